@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lexicon_bpe, mih, ngram_join, packing, token_files, toxicity
+from . import html_text, lexicon_bpe, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
 
@@ -50,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe)
+    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe)
 }
 
 _NGRAM_SQL = r"""
