@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lexicon_bpe, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
+from . import html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
@@ -54,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe)
+    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe)
 }
 
 _NGRAM_SQL = r"""
@@ -71,6 +76,22 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
+_LINE_SQL = r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM s),
+w AS (SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+n AS (SELECT ws, row_number() OVER (ORDER BY min((doc_id, k))) AS node, min((doc_id, k)) AS f, len(ws) AS n FROM w WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT node, n, f, unnest(ws) AS word FROM n),
+p AS (SELECT a.node AS x, b.node AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM t a JOIN t b ON a.word = b.word AND a.node < b.node AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL),
+g AS (SELECT DISTINCT y FROM p WHERE 5 * c >= 4 * (nx + ny - c)),
+stay AS (SELECT f FROM n ANTI JOIN g ON n.node = g.y),
+r AS (SELECT doc_id, k FROM w WHERE len(ws) > 0 AND (doc_id, k) NOT IN (SELECT f FROM stay)),
+c AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY 1)
+SELECT s.doc_id, len(ls) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+  md5(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10))) AS kept_md5
+FROM s LEFT JOIN c USING (doc_id)
+"""
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
@@ -83,4 +104,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance
 QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": _NGRAM_SQL, "op7_exact_topk": _TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
