@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm import packing, toxicity
+from quillspark.llm import line_dedup, ngram_join, packing, suffix_dedup, toxicity
 from quillspark.llm.registry import BYTE_BPE
 from quillspark.llm.runtime import stage, table
 
@@ -18,12 +19,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=DOCUMENT_COLUMNS).where("predicted = 0").select(*DOCUMENT_COLUMNS)
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier line."""
+    return _documents(line_dedup.drop_repeated_lines(docs, num=4, den=5))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 0.8 or
+    more of five-word shingles; one of the rows that share an id."""
+    groups = ngram_join.similar_components(docs, n=5, num=4, den=5)
+    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi")
+    own = Window.partitionBy("doc_id").orderBy("text")
+    known = known.withColumn("_row", F.row_number().over(own)).where("_row = 1")
+    return known.select(*DOCUMENT_COLUMNS).unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes that occur elsewhere."""
+    return _documents(suffix_dedup.remove_repeats(docs, length=400, with_text=True, carry=["lang", "source"]))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each kept document goes."""
     return packing.pack(docs, BYTE_BPE, capacity=2048)
 
 
-STAGES = [("toxicity", drop_toxic), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_passages),
+    ("best-fit packing", pack_sequences),
+]
 
 #: Scores and tokenizers aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -154,12 +154,12 @@ def _repeats(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 
 def _texts(batches: Iterator[pd.DataFrame], least: int, most: int) -> Iterator[tuple[list, list[bytes], list]]:
-    """Groups of documents of about ``most`` bytes: long and short ones apart."""
+    """Groups of documents of about ``most`` bytes: long and short ones apart.
+    A document's id goes with its other columns, as one string."""
     ids, texts, short, size = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+        for doc_id, text in zip(batch["rest"].tolist(), batch["text"].tolist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
             if len(raw) < least:
                 short.append((doc_id, raw))
             else:
@@ -226,7 +226,7 @@ def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
-CHUNKS = "chunk long, doc_id long, data binary, ids binary, known binary, bounds binary, starts binary, n_bytes long, sha256 string, text string"
+CHUNKS = "chunk long, rest string, data binary, rests array<string>, bounds binary, starts binary, n_bytes long, sha256 string, text string"
 
 
 def _chunks(docs: DataFrame, length: int, bitmap: np.ndarray, with_text: bool) -> DataFrame:
@@ -248,14 +248,13 @@ def _chunks(docs: DataFrame, length: int, bitmap: np.ndarray, with_text: bool) -
                         kept_starts.append(starts[a:b])
                     else:
                         plain.append((doc_id, raw))
-            rows = [(None, d, None, None, None, None, None, len(raw), sha256(raw).hexdigest(), raw.decode("utf-8", "surrogatepass") if with_text else None) for d, raw in plain]
+            rows = [(None, d, None, None, None, None, len(raw), sha256(raw).hexdigest(), raw.decode("utf-8", "surrogatepass") if with_text else None) for d, raw in plain]
             if kept:
                 data, bounds = _joined(kept)
-                known = np.array([d is not None for d in kept_ids], np.uint8)
-                rows.append((number, None, data.tobytes(), np.array([d or 0 for d in kept_ids], np.int64).tobytes(), known.tobytes(), bounds.tobytes(), np.packbits(np.concatenate(kept_starts)).tobytes(), len(data), None, None))
+                rows.append((number, None, data.tobytes(), kept_ids, bounds.tobytes(), np.packbits(np.concatenate(kept_starts)).tobytes(), len(data), None, None))
                 number += 1
             if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"chunk": "Int64", "doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=columns).astype({"chunk": "Int64"})
 
     return docs.mapInPandas(run, CHUNKS)
 
@@ -312,14 +311,19 @@ def _answers(sent: DataFrame, name: str) -> DataFrame:
     return back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document;
-    ``with_text`` adds the text that stays (a character cut in two goes)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ``with_text`` adds the text that stays (a character cut in two goes).
+    ``carry`` names other columns to keep beside doc_id; those named as the
+    results are replaced."""
+    results = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "text"}
+    carried = ["doc_id", *(c for c in carry or [] if c not in results and c != "doc_id")]
+    kinds = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
+    docs = docs.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in carried])).alias("rest"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = max(6, int(np.ceil(np.log2(max(total / BUCKET_TEXT, 1)))))
     staged = stage(_chunks(docs, length, _sample_bitmap(docs, length, bucket_bits), with_text), "chunks")
-    chunks = staged.where("chunk is not null").select("chunk", "data", "ids", "known", "bounds", "starts")
+    chunks = staged.where("chunk is not null").select("chunk", "data", "rests", "bounds", "starts")
 
     def send_cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,14 +368,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
                 edge[at] += 1
                 edge[at + length] -= 1
                 gone = np.cumsum(edge)[: len(repeated)] > 0
-                ids, known = np.frombuffer(r.ids, np.int64), np.frombuffer(r.known, np.uint8)
                 rows = []
                 for k, (a, b) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist())):
                     own = gone[a:b]
                     kept = chunk.data[a:b][~own].tobytes()
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
-                    rows.append((int(ids[k]) if known[k] else None, b - a, int(own.sum()), spans, sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]).astype({"doc_id": "Int64"})
+                    rows.append((r.rests[k], b - a, int(own.sum()), spans, sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                yield pd.DataFrame(rows, columns=["rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     names = "chunk long, bucket int, names binary, twice binary"
     cover = stage(_answers(chunks.mapInPandas(send_cover, names), "cover"), "cover")
@@ -379,8 +382,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     sent = stage(with_cover.mapInPandas(send_left, names), "left")
     open_names = docs.sparkSession.sparkContext.broadcast(_bitmap(sent, bucket_bits, lambda values, repeat: values))
     left = _answers(sent.unionByName(with_cover.mapInPandas(send_witnesses, names)), "left")
-    done = with_cover.join(left, "chunk", "left").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    done = with_cover.join(left, "chunk", "left").mapInPandas(finish, "rest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     zero = F.lit(0).cast("long")
-    plain = staged.where("chunk is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), "text")
-    out = plain.unionByName(done)
+    plain = staged.where("chunk is null").select("rest", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), "text")
+    out = plain.unionByName(done).withColumn("rest", F.from_json("rest", kinds)).select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
     return out if with_text else out.drop("text")
