@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stage
+from .runtime import release, stage, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = now
         now = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        unstage(before)
+        release(now.sparkSession)
         if tuple(total) == mark:
             break
         mark = tuple(total)

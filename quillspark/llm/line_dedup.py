@@ -5,17 +5,20 @@ an earlier line, by (doc_id, line number) over the whole table, has the same set
 or one of Jaccard similarity num / den or more; the first of each stays, and so
 do lines without words.
 
-Words are ordered by rarity: how many lines' words fall into a word's cell of a
-count table of fixed size, ties by hash.  Lines post their prefixes under that
-order, and a pair is verified only if it passes the length filter, the
-positional filter, and a bound from 64-bit parity signatures of the sets, none
-of which loses a match.  Each posted word's list first tries every line against
-the list's earliest one; only lines still standing are tried against all
-earlier lines of their lists, so lists of near copies don't become all pairs.
+Words are ordered by rarity: how often words of a word's cell of a count table
+of fixed size occur, ties by hash.  Lines post their prefixes under that order;
+words that occur once are counted in the prefix but not posted, as no list of
+theirs can hold two lines.  A pair is verified only if it passes the length
+filter, the positional filter, and a bound from 64-bit parity signatures of the
+sets, none of which loses a match.  Each posted word's list first tries every
+line against the list's earliest one; only lines still standing are tried
+against all earlier lines of their lists, so lists of near copies don't become
+all pairs.  Sets are built again from the texts for the lines of pairs alone.
 
 Rows equal in doc_id and text are one document.  A null doc_id sorts first; null
 text stays null and has no lines; an empty table gives no rows.  Other columns
-are carried along.  Sets are compared by 56-bit word hashes.
+are carried along.  A set is named by a 64-bit hash, words by 64 bits (56 in the
+name and the order).
 """
 
 from __future__ import annotations
@@ -24,22 +27,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import stage, unstage
+from .runtime import release, stage, unstage
 
-#: Cells of the word count table and of the node filter: bounds on what tasks
-#: receive.  Fuller tables order or filter less sharply, results stay the same.
+#: Cells of the word count table and words of the document filter: bounds on
+#: what tasks receive.  Fuller tables order or filter less sharply, results stay
+#: the same.
 COUNT_CELLS = 1 << 22
-FILTER_WORDS = 1 << 17
+FILTER_WORDS = 1 << 14
 PART = 4096
 
 SPACES = "\t\r\x0b\x0c"
 MASK = (1 << 56) - 1
+#: Keys below it belong to words that occur once.
+SHARED = 1 << 56
+AT = ["d", "t", "line_no"]
 
 
 def _words(line: Column) -> Column:
     return F.split(F.translate(line, SPACES, " " * len(SPACES)), " ")
 
 
+def _hashes(line: Column) -> Column:
+    """Hashes of a line's distinct words."""
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
 def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
     """One row: an array of ``size`` values; ``values`` has cell and value."""
     spark = values.sparkSession
@@ -51,23 +63,33 @@ def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
 
 
 def _rarity(docs: DataFrame) -> DataFrame:
-    """How common the words of each cell are, on a log scale of 0 to 120."""
+    """How common the words of each cell are, on a log scale of 0 (once) to 120."""
     words = docs.select(F.explode(_words(F.translate("text", "\n", " "))).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNT_CELLS)).alias("cell")).count()
     return _table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), COUNT_CELLS, "tinyint")
 
 
+def _ceil_share(n: Column, num: int, den: int) -> Column:
+    return F.ceil(n * num / den - 1e-9).cast("int")
+
+
 def _lines(docs: DataFrame, rarity: DataFrame, num: int, den: int) -> DataFrame:
-    """Lines with their sorted set, its size, signature and 128-bit name."""
+    """Lines with the name, size and signature of their set, how many words that
+    occur once lead its order, and the posted rest of its prefix."""
     cells = F.col("cells")
-    hashed = F.array_distinct(F.transform(F.filter(_words(F.col("line")), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    keyed = F.transform(hashed, lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(COUNT_CELLS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
+    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(COUNT_CELLS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
     lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # tested on the line, as a test of the set would compute the set twice
     lines = lines.where(F.trim(F.translate("line", SPACES, " " * len(SPACES))) != "").withColumn("cells", rarity.scalar())
-    sets = lines.select("d", "t", "line_no", F.sort_array(keyed).alias("words")).withColumn("size", F.size("words"))
+    sets = lines.select(*AT, F.sort_array(keyed).alias("words")).withColumn("size", F.size("words"))
+    length = F.col("size") - _ceil_share(F.col("size"), num, den) + 1
+    # no other set is similar to one too small for a word to differ
+    length = F.when(F.col("size") * den >= (F.col("size") + 1) * num, length).otherwise(0)
+    sets = sets.select("*", F.xxhash64("words").alias("node"), F.slice("words", F.lit(1), length).alias("head"))
+    sets = sets.withColumn("once", F.size(F.filter("head", lambda w: w < SHARED)))
+    sets = sets.withColumn("prefix", F.slice("head", F.col("once") + 1, F.size("head")))
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select("d", "t", "line_no", F.xxhash64("words").alias("node"), F.xxhash64(F.lit(1), "words").alias("node2"), "size", parity.alias("parity"), "words")
+    return sets.select(*AT, "node", "size", F.when(F.size("prefix") > 0, parity).alias("parity"), "once", "prefix")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
@@ -75,7 +97,7 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
     size_a, size_b = F.col(f"{a}size"), F.col(f"{b}size")
     room = F.least(size_a - F.col(f"{a}place"), size_b - F.col(f"{b}place"))
     # the least overlap at the threshold, and so the most words not shared
-    need = F.ceil((size_a + size_b) * num / (num + den) - 1e-9).cast("int")
+    need = _ceil_share(size_a + size_b, num, num + den)
     return (
         (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num)
         & (room >= need)
@@ -83,71 +105,85 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
     )
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Nodes ``y`` that reach the threshold with their ``x``."""
-    x, y = (sets.select(F.col("node").alias(c), F.col("node2").alias(f"{c}2"), F.col("words").alias(f"{c}_words")) for c in "xy")
-    both = pairs.join(y, ["y", "y2"]).join(x, ["x", "x2"])
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs: y (the later set) and x, each with its first place."""
+    columns = [F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("node", *AT)]).alias(s) for s in "yx"]
+    return stage(rows.select(*columns).distinct(), "pairs")
+
+
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and the word hashes of every set in the pairs, from the texts."""
+    asked = pairs.select(F.explode(F.array("y", "x")).alias("s")).select("s.*").distinct()
+    cell = F.pmod(F.xxhash64("d", "t"), F.lit(FILTER_WORDS * 64))
+    word, bit = F.floor(cell / 64).cast("int"), (cell % 64).cast("int")
+    bits = asked.select(word.alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    wanted = _table(bits.groupBy("cell").agg(F.bit_or("bit").alias("value")), FILTER_WORDS, "bigint").scalar()
+    some = docs.where(F.call_function("shiftrightunsigned", F.get(wanted, word), bit).bitwiseAND(F.lit(1)) == 1)
+    lists = asked.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_list(F.struct("line_no", "node")).alias("lines"))
+    found = some.join(lists, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
+    found = found.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
+    return found.select(F.col("l.node").alias("node"), _hashes(F.get("all", F.col("l.line_no"))).alias("words")).dropDuplicates(["node"])
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets ``node`` that reach the threshold with their earlier one."""
+    sets = _sets(docs, pairs)
+    x, y = (sets.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words")) for c in "xy")
+    both = pairs.select(F.col("y.node").alias("y"), F.col("x.node").alias("x")).join(y, "y").join(x, "x")
     common = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(common * den >= (F.size("x_words") + F.size("y_words") - common) * num).select("y", "y2").distinct()
+    return both.where(common * den >= (F.size("x_words") + F.size("y_words") - common) * num).select(F.col("y").alias("node")).distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """d (doc_id), t (hash of the text) and line_no of every line that goes."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rarity = _rarity(docs)
-    lines = stage(_lines(docs, rarity, num, den), "lines")
-    length = F.col("size") - F.ceil(F.col("size") * num / den - 1e-9).cast("int") + 1
-    place = F.struct("d", "t", "line_no")
-    first = lines.groupBy("node", "node2").agg(F.min(F.struct(place.alias("at"), "size", "parity", F.slice("words", F.lit(1), length).alias("prefix"))).alias("f")).select("node", "node2", "f.*")
-    # no other set is similar to one too small for a word to differ
-    able = first.where(F.col("size") * den >= (F.col("size") + 1) * num)
-    posted = able.select("node", "node2", "at", "size", "parity", F.posexplode("prefix").alias("place", "word"))
+    lines = stage(_lines(docs, _rarity(docs), num, den), "lines")
+    release(spark)
+    posted = ["size", "parity", "once", "prefix"]
+    first = lines.groupBy("node").agg(F.min(F.struct(*AT, *posted)).alias("f"))
+    words = first.select("node", "f.*").select("node", *AT, "size", "parity", "once", F.posexplode("prefix").alias("place", "word"))
+    words = words.withColumn("place", F.col("place") + F.col("once")).drop("once")
     by_word = Window.partitionBy("word")
-    entry = F.struct("at", "node", "node2", "size", "parity", "place")
-    listed = posted.select("*", F.min(entry).over(by_word).alias("p"), F.count("*").over(by_word).alias("n")).where("n > 1")
-    listed = stage(listed.select("word", "node", "node2", "at", "size", "parity", "place", "p"), "lists")
+    entry = F.struct(*AT, "node", "size", "parity", "place")
+    listed = words.select("*", F.min(entry).over(by_word).alias("p"), F.count("*").over(by_word).alias("n")).where("n > 1").drop("n")
+    listed = stage(listed, "lists")
+    release(spark)
     # first, each line against its lists' earliest lines
-    flat = listed.select("node", "node2", "size", "parity", "place", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "node2", "size", "parity", "place")])
-    stars = flat.where((F.col("p_node") != F.col("node")) | (F.col("p_node2") != F.col("node2"))).where(_fits("", "p_", num, den))
-    stars = stars.select(F.col("node").alias("y"), F.col("node2").alias("y2"), F.col("p_node").alias("x"), F.col("p_node2").alias("x2")).distinct()
-    sets = lines.where(_asked(listed)).select("node", "node2", "words").dropDuplicates(["node", "node2"])
-    gone = stage(_similar(stars, sets, num, den), "gone")
+    ours = ["node", *AT, "size", "parity", "place"]
+    flat = listed.select(*[F.col(c).alias(f"y_{c}") for c in ours], *[F.col(f"p.{c}").alias(f"x_{c}") for c in ours])
+    stars = _pairs(flat.where("y_node <> x_node").where(_fits("y_", "x_", num, den)))
+    gone = stage(_similar(docs, stars, num, den), "gone")
+    release(spark)
     # then the rest against every earlier line
-    rest = listed.join(gone, (F.col("node") == F.col("y")) & (F.col("node2") == F.col("y2")), "left_anti")
-    late = rest.select("word", *[F.col(c).alias(f"y_{c}") for c in ("node", "node2", "at", "size", "parity", "place")])
-    early = listed.select("word", *[F.col(c).alias(f"x_{c}") for c in ("node", "node2", "at", "size", "parity", "place")])
-    pairs = late.join(early, (late["word"] == early["word"]) & (F.col("x_at") < F.col("y_at")) & _fits("x_", "y_", num, den))
-    pairs = pairs.select(F.col("y_node").alias("y"), F.col("y_node2").alias("y2"), F.col("x_node").alias("x"), F.col("x_node2").alias("x2")).distinct()
-    more = _similar(pairs.join(stars, ["y", "y2", "x", "x2"], "left_anti"), sets, num, den)
+    late = listed.join(gone, "node", "left_anti").select("word", *[F.col(c).alias(f"y_{c}") for c in ours])
+    early = listed.select("word", *[F.col(c).alias(f"x_{c}") for c in ours])
+    at_x, at_y = (F.struct(*[F.col(f"{s}_{c}") for c in AT]) for s in "xy")
+    pairs = late.join(early, "word").where((at_x < at_y) & _fits("y_", "x_", num, den))
+    pairs = _pairs(pairs)
+    unstage(listed)
+    release(spark)
+    more = _similar(docs, pairs.join(stars, ["y", "x"], "left_anti"), num, den)
     gone = stage(gone.unionByName(more), "gone")
-    stays = first.join(gone, (F.col("node") == F.col("y")) & (F.col("node2") == F.col("y2")), "left_anti").select("at.*").withColumn("stays", F.lit(True))
-    keys = [lines[c].eqNullSafe(stays[c]) for c in ("d", "t", "line_no")]
-    out = stage(lines.join(stays, keys, "left_anti").select("d", "t", "line_no"), "removed")
-    for table in (lines, listed):
-        unstage(table)
+    stays = lines.groupBy("node").agg(F.min(F.struct(*AT)).alias("at")).join(gone, "node", "left_anti").select("at.*")
+    keys = [lines[c].eqNullSafe(stays[c]) for c in AT]
+    out = stage(lines.join(stays, keys, "left_anti").select(*AT), "removed")
+    unstage(lines)
+    release(spark)
     return out
 
 
-def _asked(listed: DataFrame) -> Column:
-    """Whether a line's node may stand in a pair, by a bitmap of fixed size."""
-    cell = F.pmod("node", F.lit(FILTER_WORDS * 64))
-    words = listed.select(F.floor(cell / 64).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit"))
-    cells = _table(words.groupBy("cell").agg(F.bit_or("bit").alias("value")), FILTER_WORDS, "bigint").scalar()
-    return F.call_function("shiftrightunsigned", F.get(cells, F.floor(cell / 64).cast("int")), (cell % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def drop_repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with the text of the lines that stay, and n_lines, n_removed."""
     gone = removed_lines(docs, num, den).groupBy("d", "t").agg(F.collect_set("line_no").alias("gone"))
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["d"]) & (keyed["_t"] == gone["t"]), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    counted = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    # columns are named through their tables: docs may have any other names
+    text = docs["text"].cast("string")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone["gone"], i)), "\n")
     return joined.select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(counted).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
+        *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
+        F.when(gone["gone"].isNull(), text).otherwise(kept).alias("text"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(gone["gone"].isNotNull(), F.size(gone["gone"])).otherwise(0).cast("long").alias("n_removed"),
     )

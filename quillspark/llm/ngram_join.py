@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .runtime import stage
+from .runtime import release, stage, unstage
 
 #: Width of the count sketch: bounds what is broadcast, not what is counted.
 SKETCH_CELLS = 1 << 21
@@ -240,20 +240,26 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over
     links of similarity num / den or more) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     sets = stage(_sets(docs, n), "sets")
     rows = sets.where("part is null").select("doc_id", "node", "size")
     known = docs.where("doc_id is not null")
     postings = _postings(known, n, num, den, _order(sets))
+    release(spark)
     # lists of one node end here; the smallest node of a list is its pivot
     by_token = Window.partitionBy("token")
     least = F.min(F.struct("node", "size", "place")).over(by_token)
     listed = postings.select("*", least.alias("pivot"), F.max("node").over(by_token).alias("last")).where("pivot.node <> last")
     listed = stage(listed.select("token", "node", "size", "place", F.col("pivot.node").alias("p_node"), F.col("pivot.size").alias("p_size"), F.col("pivot.place").alias("p_place")), "lists")
+    release(spark)
     fetched = stage(_fetch(known, listed.select("node").distinct(), n).dropDuplicates(["node"]), "fetched")
+    release(spark)
     # first each node against the pivot it shares most with
     tries = listed.where("node <> p_node").where(_fits("", "p_", num, den)).groupBy("node", "p_node").agg(F.count("*").alias("shared"))
     star = tries.groupBy("node").agg(F.max(F.struct("shared", "p_node")).alias("best")).select(F.col("node").alias("a"), F.col("best.p_node").alias("b"))
+    star = stage(star, "star")
     links = stage(_verified(star, fetched, num, den), "links")
+    release(spark)
     answers = components(links)
     # then pairs that are still apart
     labelled = listed.drop("p_node", "p_size", "p_place").join(answers, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -267,7 +273,12 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     cross = minor.join(other, ["token", "band"]).where((F.col("x_label") != F.col("y_label")) & once).where(_fits("x_", "y_", num, den))
     cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    cross = stage(cross, "cross")
+    unstage(listed)
+    release(spark)
     more = stage(_verified(cross, fetched, num, den), "links")
+    unstage(fetched)
+    release(spark)
     # documents of equal sets and rows of equal ids are linked as well
     first = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = answers.join(first, "node").groupBy("label").agg(F.min("first").alias("least"))
@@ -276,7 +287,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         joined = more.join(direct.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(direct.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
         merged = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")))
         direct = direct.join(merged, direct["component"] == merged["node"], "left").select(direct["node"], F.coalesce("label", "component").alias("component"))
-    out = rows.join(direct, "node", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.join(direct, "node", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return _merge_repeated(out)
 
 

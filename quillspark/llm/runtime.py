@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to, now
+    and not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     spark = df.sparkSession

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stage
+from .runtime import release, stage
 
 GRAM = 64
 SAMPLE_BITS = 5
@@ -323,6 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = max(6, int(np.ceil(np.log2(max(total / BUCKET_TEXT, 1)))))
     staged = stage(_chunks(docs, length, _sample_bitmap(docs, length, bucket_bits), with_text), "chunks")
+    release(docs.sparkSession)
     chunks = staged.where("chunk is not null").select("chunk", "data", "rests", "bounds", "starts")
 
     def send_cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,6 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
 
     names = "chunk long, bucket int, names binary, twice binary"
     cover = stage(_answers(chunks.mapInPandas(send_cover, names), "cover"), "cover")
+    release(docs.sparkSession)
     with_cover = chunks.join(cover, "chunk", "left")
     sent = stage(with_cover.mapInPandas(send_left, names), "left")
     open_names = docs.sparkSession.sparkContext.broadcast(_bitmap(sent, bucket_bits, lambda values, repeat: values))
