@@ -23,6 +23,8 @@ name and the order).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +37,9 @@ from .runtime import release, stage, unstage
 COUNT_CELLS = 1 << 22
 FILTER_WORDS = 1 << 14
 PART = 4096
+#: Distinct lines whose lists are made at a time, and parts at most.
+PART_LINES = 600_000
+MOST_PARTS = 16
 
 SPACES = "\t\r\x0b\x0c"
 MASK = (1 << 56) - 1
@@ -105,15 +110,18 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
     )
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs: y (the later set) and x, each with its first place."""
-    columns = [F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("node", *AT)]).alias(s) for s in "yx"]
-    return stage(rows.select(*columns).distinct(), "pairs")
+def _posted(first: DataFrame, side: str, part: int, parts: int) -> DataFrame:
+    """Postings of one part of the words: word, and under ``side``'s names the
+    node, its document and what the filters read."""
+    words = first.select("node", "d", "size", "parity", "once", F.posexplode("prefix").alias("place", "word"))
+    words = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else words
+    place = (F.col("place") + F.col("once")).alias(f"{side}_place")
+    return words.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "d", "size", "parity")], place)
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """node and the word hashes of every set in the pairs, from the texts."""
-    asked = pairs.select(F.explode(F.array("y", "x")).alias("s")).select("s.*").distinct()
+    asked = pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct().join(first.select("node", *AT), "node")
     cell = F.pmod(F.xxhash64("d", "t"), F.lit(FILTER_WORDS * 64))
     word, bit = F.floor(cell / 64).cast("int"), (cell % 64).cast("int")
     bits = asked.select(word.alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
@@ -125,50 +133,62 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select(F.col("l.node").alias("node"), _hashes(F.get("all", F.col("l.line_no"))).alias("words")).dropDuplicates(["node"])
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Sets ``node`` that reach the threshold with their earlier one."""
-    sets = _sets(docs, pairs)
+def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The later ``node`` of every pair (y, x) that reaches the threshold."""
+    sets = stage(_sets(docs, first, pairs), "sets")
     x, y = (sets.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words")) for c in "xy")
-    both = pairs.select(F.col("y.node").alias("y"), F.col("x.node").alias("x")).join(y, "y").join(x, "x")
+    both = pairs.join(y, "y").join(x, "x")
     common = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(common * den >= (F.size("x_words") + F.size("y_words") - common) * num).select(F.col("y").alias("node")).distinct()
+    similar = both.where(common * den >= (F.size("x_words") + F.size("y_words") - common) * num).select("y", "x")
+    for c in "yx":
+        similar = similar.join(first.select(F.col("node").alias(c), F.struct(*AT).alias(f"{c}_at")), c)
+    later = similar.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("node")).distinct()
+    out = stage(later, "gone")
+    unstage(sets)
+    release(docs.sparkSession)
+    return out
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """d (doc_id), t (hash of the text) and line_no of every line that goes."""
+    """d (doc_id), t (hash of the text) and line_no of every line that goes.
+
+    Lists are made for one part of the words at a time, so the disk they take is
+    that of a part."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).where("text is not null")
     lines = stage(_lines(docs, _rarity(docs), num, den), "lines")
     release(spark)
-    posted = ["size", "parity", "once", "prefix"]
-    first = lines.groupBy("node").agg(F.min(F.struct(*AT, *posted)).alias("f"))
-    words = first.select("node", "f.*").select("node", *AT, "size", "parity", "once", F.posexplode("prefix").alias("place", "word"))
-    words = words.withColumn("place", F.col("place") + F.col("once")).drop("once")
-    by_word = Window.partitionBy("word")
-    entry = F.struct(*AT, "node", "size", "parity", "place")
-    listed = words.select("*", F.min(entry).over(by_word).alias("p"), F.count("*").over(by_word).alias("n")).where("n > 1").drop("n")
-    listed = stage(listed, "lists")
+    first = lines.groupBy("node").agg(F.min(F.struct(*AT, "size", "parity", "once", "prefix")).alias("f")).select("node", "f.*")
+    first = stage(first, "first")
     release(spark)
+    parts = min(MOST_PARTS, 1 + first.count() // PART_LINES)
+    by_word = Window.partitionBy("word")
     # first, each line against its lists' earliest lines
-    ours = ["node", *AT, "size", "parity", "place"]
-    flat = listed.select(*[F.col(c).alias(f"y_{c}") for c in ours], *[F.col(f"p.{c}").alias(f"x_{c}") for c in ours])
-    stars = _pairs(flat.where("y_node <> x_node").where(_fits("y_", "x_", num, den)))
-    gone = stage(_similar(docs, stars, num, den), "gone")
-    release(spark)
-    # then the rest against every earlier line
-    late = listed.join(gone, "node", "left_anti").select("word", *[F.col(c).alias(f"y_{c}") for c in ours])
-    early = listed.select("word", *[F.col(c).alias(f"x_{c}") for c in ours])
-    at_x, at_y = (F.struct(*[F.col(f"{s}_{c}") for c in AT]) for s in "xy")
-    pairs = late.join(early, "word").where((at_x < at_y) & _fits("y_", "x_", num, den))
-    pairs = _pairs(pairs)
-    unstage(listed)
+    stars = []
+    for k in range(parts):
+        names = ["d", "node", "size", "parity", "place"]
+        rows = _posted(first, "y", k, parts).select("*", F.min(F.struct(*[F.col(f"y_{c}") for c in names])).over(by_word).alias("p"))
+        rows = rows.where("y_node <> p.y_node").select("y_node", "y_size", "y_parity", "y_place", *[F.col(f"p.y_{c}").alias(f"x_{c}") for c in names])
+        stars.append(stage(rows.where(_fits("y_", "x_", num, den)).select(F.col("y_node").alias("y"), F.col("x_node").alias("x")).distinct(), "stars"))
+        release(spark)
+    star = reduce(DataFrame.unionByName, stars).distinct()
+    gone = _later(docs, first, star, num, den)
+    # then the rest against every line of their lists that isn't of a later document
+    rest = stage(first.join(gone, "node", "left_anti"), "rest")
     release(spark)
-    more = _similar(docs, pairs.join(stars, ["y", "x"], "left_anti"), num, den)
-    gone = stage(gone.unionByName(more), "gone")
-    stays = lines.groupBy("node").agg(F.min(F.struct(*AT)).alias("at")).join(gone, "node", "left_anti").select("at.*")
+    crosses = []
+    for k in range(parts):
+        rows = _posted(rest, "y", k, parts).join(_posted(first, "x", k, parts), "word")
+        earlier = (F.col("x_node") != F.col("y_node")) & (F.col("x_d").isNull() | F.coalesce(F.col("x_d") <= F.col("y_d"), F.lit(False)))
+        crosses.append(stage(rows.where(earlier & _fits("y_", "x_", num, den)).select(F.col("y_node").alias("y"), F.col("x_node").alias("x")).distinct(), "crosses"))
+        release(spark)
+    cross = reduce(DataFrame.unionByName, crosses).distinct().join(star, ["y", "x"], "left_anti")
+    more = _later(docs, first, stage(cross, "crosses"), num, den)
+    stays = first.select("node", F.struct(*AT).alias("at")).join(gone.unionByName(more), "node", "left_anti").select("at.*")
     keys = [lines[c].eqNullSafe(stays[c]) for c in AT]
     out = stage(lines.join(stays, keys, "left_anti").select(*AT), "removed")
-    unstage(lines)
+    for table in (lines, first, rest):
+        unstage(table)
     release(spark)
     return out
 
