@@ -19,7 +19,7 @@ def read_folder(spark: SparkSession, paths: str | list[str], pattern: str = "*.m
     ``filtered`` leaves out dot files, readme.md and index.md.  Bytes that are
     no UTF-8 are dropped."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
-    rows = rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path"), F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit("")).alias("text"))
+    rows = rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
     if filtered:
         rows = rows.where(~F.col("name").startswith(".") & ~F.lower("name").isin(SKIPPED))
     return rows.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), "path", "text")
