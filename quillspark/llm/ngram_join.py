@@ -189,36 +189,33 @@ def _fits(a: str, b: str, num: int, den: int):
     return sizes & (F.lit(den) * room >= F.lit(num) * (size_a + size_b - room))
 
 
-def _fetch(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and its whole set, of the nodes asked for (and a few others that the
-    fixed-size filter can't tell from them)."""
+def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """node and its whole set, of the nodes in pairs (and a few others that the
+    fixed-size filter can't tell from them), from each node's first document."""
     words = FILTER_BITS // 64
-    cell = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    bits = nodes.select(F.floor(cell / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))").alias("bit"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
+    bits = asked.select(F.floor(F.pmod("first", F.lit(FILTER_BITS)) / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(first, {FILTER_BITS}) % 64 as int))").alias("bit"))
     wanted = np.zeros(words, np.uint64)
     for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # FILTER_BITS / 64 rows at most
         wanted[r.word] = np.int64(r.bits).astype(np.uint64)
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for batch in batches:
-            rows = []
-            for text in batch["text"].tolist():
-                own = shingles(text, n)
-                if len(own) and (node := node_of(own)) not in seen:
-                    seen.add(node)
-                    at = node % FILTER_BITS
-                    if int(shipped.value[at // 64]) >> (at % 64) & 1:
-                        rows.append((node, own.tobytes()))
+            at = batch["doc_id"].to_numpy() % FILTER_BITS
+            hit = (shipped.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) > 0
+            rows = [(node_of(own), own.tobytes()) for own in (shingles(t, n) for t in batch["text"][hit].tolist()) if len(own)]
             if rows:
                 yield pd.DataFrame(rows, columns=["node", "own"])
 
-    return docs.select("text").mapInPandas(run, "node long, own binary")
+    return docs.mapInPandas(run, "node long, own binary").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose Jaccard similarity reaches num / den."""
+    spark = docs.sparkSession
+    sets = stage(_fetch(docs, pairs, first, n), "fetched")
+    release(spark)
 
     @F.pandas_udf("int")
     def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -233,7 +230,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     common = both.select("a", "b", overlap("x", "y").cast("long").alias("common"), (F.octet_length("x") / 8 + F.octet_length("y") / 8).cast("long").alias("sizes"))
-    return common.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b")
+    out = stage(common.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b"), "links")
+    unstage(sets)
+    release(spark)
+    return out
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -252,14 +252,15 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     listed = postings.select("*", least.alias("pivot"), F.max("node").over(by_token).alias("last")).where("pivot.node <> last")
     listed = stage(listed.select("token", "node", "size", "place", F.col("pivot.node").alias("p_node"), F.col("pivot.size").alias("p_size"), F.col("pivot.place").alias("p_place")), "lists")
     release(spark)
-    fetched = stage(_fetch(known, listed.select("node").distinct(), n).dropDuplicates(["node"]), "fetched")
+    # documents of equal sets are one node, known by the first of them
+    first = stage(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "first")
     release(spark)
     # first each node against the pivot it shares most with
     tries = listed.where("node <> p_node").where(_fits("", "p_", num, den)).groupBy("node", "p_node").agg(F.count("*").alias("shared"))
     star = tries.groupBy("node").agg(F.max(F.struct("shared", "p_node")).alias("best")).select(F.col("node").alias("a"), F.col("best.p_node").alias("b"))
     star = stage(star, "star")
-    links = stage(_verified(star, fetched, num, den), "links")
     release(spark)
+    links = _verified(known, star, first, n, num, den)
     answers = components(links)
     # then pairs that are still apart
     labelled = listed.drop("p_node", "p_size", "p_place").join(answers, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -276,11 +277,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     cross = stage(cross, "cross")
     unstage(listed)
     release(spark)
-    more = stage(_verified(cross, fetched, num, den), "links")
-    unstage(fetched)
-    release(spark)
-    # documents of equal sets and rows of equal ids are linked as well
-    first = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    more = _verified(known, cross, first, n, num, den)
     named = answers.join(first, "node").groupBy("label").agg(F.min("first").alias("least"))
     direct = first.join(answers, "node", "left").join(named, "label", "left").select("node", F.coalesce("least", "first").alias("component"))
     if not more.isEmpty():
