@@ -42,10 +42,10 @@ from .graph import components
 from .runtime import release, stage, unstage
 
 #: Width of the count sketch: bounds what is broadcast, not what is counted.
-SKETCH_CELLS = 1 << 21
+SKETCH_CELLS = 1 << 23
 #: Only shingles in this share of the hash range are counted; prefixes of
 #: ordinary sets lie inside it.
-SKETCH_SHARE = 0.25
+SKETCH_SHARE = 0.18
 SKETCH_PARTS = 64
 #: Bits of the filter that tells which nodes' sets are fetched.
 FILTER_BITS = 1 << 23
@@ -104,8 +104,10 @@ class Order:
     """The global order of shingles: common ones last, else by hash."""
 
     def __init__(self, counts: np.ndarray):
-        usual = 2 * counts.mean() + 16
-        self.level = np.maximum(np.ceil(np.log2(np.maximum(counts / usual, 1))), 0).astype(np.uint8)
+        # what chance alone puts into a cell
+        usual = counts.mean() + 3 * np.sqrt(counts.mean()) + 2
+        steps = np.ceil(np.log2(np.maximum(np.arange(65536) / usual, 1))).astype(np.uint8)
+        self.level = steps[counts]
         self.top = np.uint64(int(SKETCH_SHARE * 2**64))
 
     def prefix(self, own: np.ndarray, length: int) -> np.ndarray:
@@ -119,7 +121,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, node, size) and of the sketch (part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, top = np.zeros(SKETCH_CELLS, np.uint32), np.uint64(int(SKETCH_SHARE * 2**64))
+        counts, top = np.zeros(SKETCH_CELLS, np.uint8), np.uint64(int(SKETCH_SHARE * 2**64))
         seen: set[int] = set()
         for batch in batches:
             rows, gathered = [], []
@@ -131,7 +133,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     seen.add(node)
                     gathered.append(own[: np.searchsorted(own, top)])
             if gathered:
-                counts += np.bincount(_cells(np.concatenate(gathered)), minlength=SKETCH_CELLS).astype(np.uint32)
+                cells, more = np.unique(_cells(np.concatenate(gathered)), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + more, 255)
             out = pd.DataFrame(rows, columns=["doc_id", "node", "size"]).astype({"doc_id": "Int64", "node": "Int64"})
             yield out.assign(part=pd.array([None] * len(out), "Int32"), counts=None)
         width = SKETCH_CELLS // SKETCH_PARTS
@@ -145,14 +148,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def _order(sets: DataFrame) -> Order:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in frame["counts"])
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        total = np.zeros(SKETCH_CELLS // SKETCH_PARTS, np.uint32)
+        for c in frame["counts"]:
+            total += np.frombuffer(c, np.uint8)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
 
     parts = sets.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # SKETCH_CELLS numbers
-    counts = np.zeros(SKETCH_CELLS, np.uint32)
+    counts = np.zeros(SKETCH_CELLS, np.uint16)
     width = SKETCH_CELLS // SKETCH_PARTS
     for r in parts:
-        counts[r.part * width: (r.part + 1) * width] = np.frombuffer(r.counts, np.uint32)
+        counts[r.part * width: (r.part + 1) * width] = np.frombuffer(r.counts, np.uint16)
     return Order(counts)
 
 
