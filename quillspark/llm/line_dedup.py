@@ -48,13 +48,17 @@ SHARED = 1 << 56
 AT = ["d", "t", "line_no"]
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.translate(line, SPACES, " " * len(SPACES)), " ")
+def _spaced(text: Column) -> Column:
+    """White space inside lines as plain spaces; replacing scans bytes, where
+    translating would look every character up."""
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return text
 
 
 def _hashes(line: Column) -> Column:
     """Hashes of a line's distinct words."""
-    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
@@ -69,7 +73,7 @@ def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> DataFrame:
     """How common the words of each cell are, on a log scale of 0 (once) to 120."""
-    words = docs.select(F.explode(_words(F.translate("text", "\n", " "))).alias("word")).where("word <> ''")
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNT_CELLS)).alias("cell")).count()
     return _table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), COUNT_CELLS, "tinyint")
 
@@ -85,7 +89,7 @@ def _lines(docs: DataFrame, rarity: DataFrame, num: int, den: int) -> DataFrame:
     keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(COUNT_CELLS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
     lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # tested on the line, as a test of the set would compute the set twice
-    lines = lines.where(F.trim(F.translate("line", SPACES, " " * len(SPACES))) != "").withColumn("cells", rarity.scalar())
+    lines = lines.where(F.trim("line") != "").withColumn("cells", rarity.scalar())
     sets = lines.select(*AT, F.sort_array(keyed).alias("words")).withColumn("size", F.size("words"))
     length = F.col("size") - _ceil_share(F.col("size"), num, den) + 1
     # no other set is similar to one too small for a word to differ
@@ -155,7 +159,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     Lists are made for one part of the words at a time, so the disk they take is
     that of a part."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _spaced(F.col("text").cast("string")).alias("text"))
     lines = stage(_lines(docs, _rarity(docs), num, den), "lines")
     release(spark)
     first = lines.groupBy("node").agg(F.min(F.struct(*AT, "size", "parity", "once", "prefix")).alias("f")).select("node", "f.*")
