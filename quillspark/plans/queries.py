@@ -415,6 +415,17 @@ def _vectors(spark, d):
     return rows.select("vec_id", F.col("label").cast("int").alias("side"), "embedding")
 
 
+def _all_vectors(spark, d):
+    """Every vector: labels from 5 on against the rest."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("side"), "embedding")
+
+
+def whole_sql(sql: str) -> str:
+    """The same over every row of ``embeddings``."""
+    return sql.replace("label AS side", "CASE WHEN label >= 5 THEN 1 ELSE 0 END AS side").replace(" WHERE label IN (0, 1)", "")
+
+
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12))"
 _VEC = f"""vv AS (SELECT vec_id, label AS side, {_UNIT} AS v FROM embeddings WHERE label IN (0, 1)),
 uu AS (SELECT vec_id, side, unnest(v) AS x, unnest(range(len(v))) AS i FROM vv),
@@ -424,27 +435,47 @@ dd AS (SELECT vec_id, side, proto, sum(x * y) / greatest(sqrt(sum(y * y)), 1e-12
 mm AS (SELECT vec_id, side, sum(CASE WHEN proto = 1 THEN near ELSE -near END) AS margin FROM dd GROUP BY ALL)"""
 
 
-@query(f"""WITH {_VEC}, th AS (SELECT (median(margin) FILTER (side = 0) + median(margin) FILTER (side = 1)) / 2 AS t FROM mm)
-SELECT vec_id, side, round(margin, 6) AS margin, round(margin, 6) > round(t, 6) AS side_1 FROM mm, th""")
+_MARGINS = f"""WITH {_VEC}, th AS (SELECT (median(margin) FILTER (side = 0) + median(margin) FILTER (side = 1)) / 2 AS t FROM mm)
+SELECT vec_id, side, round(margin, 6) AS margin, round(margin, 6) > round(t, 6) AS side_1 FROM mm, th"""
+
+
+@query(_MARGINS)
 def prototype_margins(spark, d):
     rows = _vectors(spark, d)
     return vectors.margin_verdicts(vectors.prototype_margins(rows, "vec_id", "side", "embedding"), "side", "vec_id")
 
 
-@query("""WITH e AS (SELECT vec_id, label AS side, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (0, 1)),
+@query(whole_sql(_MARGINS))
+def prototype_margins_whole(spark, d):
+    rows = _all_vectors(spark, d)
+    return vectors.margin_verdicts(vectors.prototype_margins(rows, "vec_id", "side", "embedding"), "side", "vec_id")
+
+
+_AXIS = """WITH e AS (SELECT vec_id, label AS side, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (0, 1)),
 u AS (SELECT vec_id, side, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
 m AS (SELECT i, avg(x) FILTER (side = 1) - avg(x) FILTER (side = 0) AS a FROM u GROUP BY 1),
 p AS (SELECT vec_id, sum(x * a) / (SELECT sqrt(sum(a * a)) FROM m) AS t FROM u JOIN m USING (i) GROUP BY 1)
-SELECT 'first' AS feature, round(corr(t, v[1]), 6) AS r FROM p JOIN e USING (vec_id) UNION ALL SELECT 'second', round(corr(t, v[2]), 6) FROM p JOIN e USING (vec_id)""")
-def axis_correlations(spark, d):
-    rows = _vectors(spark, d)
+SELECT 'first' AS feature, round(corr(t, v[1]), 6) AS r FROM p JOIN e USING (vec_id) UNION ALL SELECT 'second', round(corr(t, v[2]), 6) FROM p JOIN e USING (vec_id)"""
+
+
+def _axis(rows: DataFrame) -> DataFrame:
     features = rows.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.get("embedding", F.lit(1)).cast("double").alias("second"))
     return vectors.axis_correlations(rows, "vec_id", "side", "embedding", features, ["first", "second"])
 
 
+@query(_AXIS)
+def axis_correlations(spark, d):
+    return _axis(_vectors(spark, d))
+
+
+@query(whole_sql(_AXIS))
+def axis_correlations_whole(spark, d):
+    return _axis(_all_vectors(spark, d))
+
+
 @query()
 def probe_r2(spark, d):
-    rows = _vectors(spark, d)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
     r2 = {n: vectors.probe(rows.withColumn("y", F.get("embedding", F.lit(k)) * 2 + F.get("embedding", F.lit(5))), "embedding", "y") for n, k in (("first", 0), ("second", 1))}
     return spark.createDataFrame([(k, round(v, 3)) for k, v in r2.items()], "feature string, r2 double")
 

@@ -37,3 +37,15 @@ def test_query(spark, name):
     expected = db.execute(plans.SQL[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert normal(found) == normal(expected)
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
+def test_vector_queries_take_every_row(spark, monkeypatch):
+    every = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    found = plans.QUERIES["prototype_margins_whole"](spark, DATA)
+    assert found.count() == every and found.select("side").distinct().count() == 2
+    seen = []
+    probe = plans.vectors.probe
+    monkeypatch.setattr(plans.vectors, "probe", lambda rows, *a: seen.append(rows.count()) or probe(rows, *a))
+    plans.QUERIES["probe_r2"](spark, DATA)
+    assert seen == [every, every]
