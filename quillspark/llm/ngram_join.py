@@ -6,9 +6,10 @@ sketch shows as common go last, the rest follow by hash.  By that order each
 node posts its prefix, and nodes that may reach the threshold share a posted
 shingle.  A shingle's posting list is cut into blocks by set size and position:
 
-* index-level skipping: a pair is looked at only if its size classes are the
-  same or adjacent, and its places leave room for the overlap the threshold
-  asks for, so whole blocks of a list are passed over;
+* index-level skipping: a list's blocks are its size bands, each cut into the
+  front and the back of its sets.  Two blocks are joined only if their bands are
+  the same or adjacent and their best places leave room for the overlap the
+  threshold asks for; rows of joined blocks are then filtered by their own;
 * answer-level skipping: each node is first compared with the one pivot it
   shares most posted shingles with.  Nodes similar to a pivot take over the
   pivot's component as their answer; only pairs still in different components
@@ -194,6 +195,37 @@ def _fits(a: str, b: str, num: int, den: int):
     return sizes & (F.lit(den) * room >= F.lit(num) * (size_a + size_b - room))
 
 
+def _band(size, num: int, den: int):
+    """The size band: sizes in it are within den / num of each other."""
+    return F.floor(F.log(size.cast("double")) / np.log(den / num)).cast("int")
+
+
+def _back(size, place, num: int, den: int):
+    """Whether a place lies in the back block: from it on there are fewer shingles
+    than two sets of this size must share.  So it fits only smaller sets, and two
+    places in back blocks never fit."""
+    return F.lit(num + den) * (size.cast("long") - place) < F.lit(2 * num) * size.cast("long")
+
+
+def _reachable(num: int, den: int):
+    """band and back of the blocks that a posting (size, place) may fit."""
+    size, place = F.col("size").cast("long"), F.col("place")
+    band, back = _band(size, num, den), _back(size, place, num, den)
+    # the largest partner that the room behind this place allows
+    most = (F.lit(num + den) * (size - place) / F.lit(float(num)) - size) * (1 + 1e-9)
+    blocks = []
+    for step in (-1, 0, 1):
+        # of a pair that fits, only the larger set's place may be in a back block
+        for other in (False, True):
+            if other and step < 0:
+                continue
+            fits = F.pow(F.lit(den / num), band + step) * (1 - 1e-9) <= most
+            if other or step > 0:
+                fits = fits & ~back
+            blocks.append(F.when(fits, F.struct((band + step).alias("band"), F.lit(other).alias("back"))))
+    return F.filter(F.array(*blocks), lambda b: b.isNotNull())
+
+
 def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """node and its whole set, of the nodes in pairs (and a few others that the
     fixed-size filter can't tell from them), from each node's first document."""
@@ -271,12 +303,11 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     labelled = listed.drop("p_node", "p_size", "p_place").join(answers, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    band = F.floor(F.log(F.col("size").cast("double")) / np.log(den / num)).cast("int")
-    apart = labelled.join(main, "token").withColumn("band", band)
-    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "label")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    other = apart.select("token", "band", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "label")])
+    apart = labelled.join(main, "token")
+    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "label")], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
+    other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "label")])
     once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    cross = minor.join(other, ["token", "band"]).where((F.col("x_label") != F.col("y_label")) & once).where(_fits("x_", "y_", num, den))
+    cross = minor.join(other, ["token", "band", "back"]).where((F.col("x_label") != F.col("y_label")) & once).where(_fits("x_", "y_", num, den))
     cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross = stage(cross, "cross")

@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup, ngram_join, suffix_dedup
 from quillspark.llm.graph import components
@@ -105,6 +106,21 @@ def test_ngram_join_equals_brute_force(spark):
         assert found == brute_components(texts, ids, n, num, den)
 
 
+def test_ngram_blocks_pass_over_no_pair_that_fits(spark):
+    for num, den in ((85, 100), (4, 5)):
+        rows = [(size, place) for size in range(1, 61) for place in range(int(ngram_join.prefix_length(np.int64(size), num, den)))]
+        posts = spark.createDataFrame(rows, "size int, place int")
+        band, back = ngram_join._band(F.col("size"), num, den), ngram_join._back(F.col("size"), F.col("place"), num, den)
+        x = posts.select(F.col("size").alias("x_size"), F.col("place").alias("x_place"), F.explode(ngram_join._reachable(num, den)).alias("b")).select("*", "b.*").drop("b")
+        y = posts.select(F.col("size").alias("y_size"), F.col("place").alias("y_place"), band.alias("band"), back.alias("back"))
+        looked_at, fits = x.join(y, ["band", "back"]).drop("band", "back"), ngram_join._fits("x_", "y_", num, den)
+        every = x.select("x_size", "x_place").distinct().crossJoin(y.drop("band", "back"))
+        found, expected = looked_at.where(fits).collect(), every.where(fits).collect()
+        assert len(found) == len(expected) and set(map(tuple, found)) == set(map(tuple, expected))
+        by_band = posts.select(F.explode(F.array(band - 1, band, band + 1)).alias("band")).join(y, "band").count()
+        assert looked_at.count() < 0.7 * by_band
+
+
 def test_ngram_join_degenerate(spark):
     assert ngram_join.similar_components(frame(spark, [])).count() == 0
     rows = ngram_join.similar_components(frame(spark, ["a b c d e f", "a b c d e f", "x y z q r s", None], [5, None, 5, 2])).collect()
