@@ -44,10 +44,11 @@ def simple_annotator(text: str) -> list[tuple]:
     return rows
 
 
-def annotate(docs: DataFrame, key: str = "doc_id", annotator: Callable[[str], list[tuple]] = simple_annotator, most: int = 120_000) -> DataFrame:
+def annotate(docs: DataFrame, key: str = "doc_id", annotator: Callable[[str], list[tuple]] = simple_annotator, most: int | None = 120_000) -> DataFrame:
     """The token table of documents, read up to ``most`` characters of prose, as
-    the measure is defined."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.substring(T.without_parentheses(T.prose(F.col("text"))), 1, most).alias("p"))
+    the measure is defined, or whole if it is None."""
+    prose = T.without_parentheses(T.prose(F.col("text")))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), (prose if most is None else F.substring(prose, 1, most)).alias("p"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def chunks(docs: DataFrame, keys: list[str], words: int = 120, most: int = 48) -> DataFrame:
-    """The word chunks a document's style vector is averaged over."""
+def chunks(docs: DataFrame, keys: list[str], words: int = 120, most: int | None = 48) -> DataFrame:
+    """The word chunks a document's style vector is averaged over; all if most is None."""
     w = F.split(F.trim(F.regexp_replace(T.without_parentheses(T.prose(F.col("text"))), r"\s+", " ")), " ")
-    n = F.least(F.ceil(F.size(w) / words).cast("int"), F.lit(most))
+    n = F.ceil(F.size(w) / words).cast("int")
+    n = n if most is None else F.least(n, F.lit(most))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * words + 1, F.lit(words)), " "))
     return docs.select(*keys, F.posexplode(F.filter(parts, lambda x: x != "")).alias("chunk", "text"))
 

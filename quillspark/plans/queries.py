@@ -480,13 +480,21 @@ def probe_r2(spark, d):
     return spark.createDataFrame([(k, round(v, 3)) for k, v in r2.items()], "feature string, r2 double")
 
 
-@query(f"""WITH {DOCS}, {CORPUS}, w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace({no_parens_sql(prose_sql('text'))}, '\\s+', ' ', 'g')), ' ') AS w FROM corp),
+_CHUNKS = f"""WITH {DOCS}, {CORPUS}, w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace({no_parens_sql(prose_sql('text'))}, '\\s+', ' ', 'g')), ' ') AS w FROM corp),
 c AS (SELECT doc_id, w, unnest(range(least(CAST(ceil(len(w) / 120.0) AS INTEGER), 48))) AS k FROM w)
-SELECT doc_id, CAST(k AS INTEGER) AS chunk, md5(array_to_string(w[k * 120 + 1:k * 120 + 120], ' ')) AS digest FROM c""")
+SELECT doc_id, CAST(k AS INTEGER) AS chunk, md5(array_to_string(w[k * 120 + 1:k * 120 + 120], ' ')) AS digest FROM c"""
+
+
+@query(_CHUNKS)
 def style_chunks(spark, d):
     return vectors.chunks(corpus(spark, d), KEYS).select("doc_id", F.col("chunk").cast("int").alias("chunk"), F.md5("text").alias("digest"))
 
 
+@query(_CHUNKS.replace("least(CAST(ceil(len(w) / 120.0) AS INTEGER), 48)", "CAST(ceil(len(w) / 120.0) AS INTEGER)"))
+def style_chunks_whole(spark, d):
+    return vectors.chunks(corpus(spark, d), KEYS, most=None).select("doc_id", F.col("chunk").cast("int").alias("chunk"), F.md5("text").alias("digest"))
+
+
 # --- structure ---------------------------------------------------------------
 
 HEADED = fixtures.sql("f_headed")
@@ -683,7 +691,7 @@ def syntax_rates(spark, d):
 @query()
 def syntax_flags(spark, d):
     docs = corpus(spark, d)
-    rows = syntax.rates(syntax.annotate(docs)).join(docs.select("doc_id", "grp"), "doc_id")
+    rows = syntax.rates(syntax.annotate(docs, most=None)).join(docs.select("doc_id", "grp"), "doc_id")
     return syntax.syntax_flags(rows, "grp", KEYS)
 
 

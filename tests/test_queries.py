@@ -49,3 +49,12 @@ def test_vector_queries_take_every_row(spark, monkeypatch):
     monkeypatch.setattr(plans.vectors, "probe", lambda rows, *a: seen.append(rows.count()) or probe(rows, *a))
     plans.QUERIES["probe_r2"](spark, DATA)
     assert seen == [every, every]
+
+
+def test_long_documents_count_whole(spark, tmp_path):
+    text = ("stone " * 20 + ". ") * 1000 + "famous " * 900 + "."
+    spark.createDataFrame([(1, "en", "s", text)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rates = {r.feature: r.value for r in plans.QUERIES["syntax_flags"](spark, str(tmp_path)).collect()}
+    assert rates["adj_rate"] > 0
+    words = len(text.split())
+    assert plans.QUERIES["style_chunks_whole"](spark, str(tmp_path)).count() == -(-words // 120) > 48
