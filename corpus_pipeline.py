@@ -30,13 +30,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by 0.8 or
-    more of five-word shingles; one of the rows that share an id."""
-    groups = ngram_join.similar_components(docs, n=5, num=4, den=5)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi")
-    own = Window.partitionBy("doc_id").orderBy("text")
-    known = known.withColumn("_row", F.row_number().over(own)).where("_row = 1")
-    return known.select(*DOCUMENT_COLUMNS).unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))
+    more of five-word shingles.  Rows are told apart by id and text: those that
+    share an id are linked by their texts only, and null ids come last in a
+    group.  Of rows with the same id and text one stays, of null ids without
+    words, which nothing links, all."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.similar_components(keyed.select(F.col("_key").alias("doc_id"), "text"), n=5, num=4, den=5)
+    ids = keyed.select("_key", "doc_id").distinct()
+    order = F.struct(F.col("ids.doc_id").isNull().alias("none"), F.col("ids.doc_id").alias("id"), F.col("ids._key").alias("key"))
+    linked = groups.select("doc_id", "component_id").distinct().alias("g").join(ids.alias("ids"), F.col("g.doc_id") == F.col("ids._key"))
+    stays = linked.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_key"))
+    unlinked = F.col("doc_id").isNull() & F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")
+    own = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
+    known = keyed.where(~unlinked).join(stays, "_key", "left_semi").withColumn("_row", F.row_number().over(own)).where("_row = 1")
+    return known.select(*DOCUMENT_COLUMNS).unionByName(docs.where(unlinked).select(*DOCUMENT_COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,15 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(map(tuple, ran[["doc_id", "piece", "ids_crc32"]].values.tolist())) == sorted(map(tuple, pieces[["doc_id", "piece", "ids_crc32"]].values.tolist()))
 
 
+def test_near_copies_go_by_text_and_not_by_id(spark):
+    rng = random.Random(5)
+    a, b, c, d = (text(rng, 40, 5000) for _ in range(4))
+    data = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, d), (3, d), (None, ""), (None, None), (4, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, rows, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == sorted([(1, a), (1, b), (0, c), (3, d), (0, ""), (0, ""), (4, "")])
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql_twin(spark, name):
