@@ -5,8 +5,10 @@ or class names say navigation, advert, form, comment and so on never form
 blocks.  Pass one decides blocks by length, link density and stop-word density:
 good, bad, or open.  Pass two lets each open block inherit the label of its
 nearest decided neighbours; where they differ, or there are none, an article
-container counts for it, and outside one it goes.  Once an article (or main)
-region holds text, blocks outside such regions are boilerplate.
+container counts for it, and outside one it goes.  If article (or main) regions
+hold at least as much good text as the rest, blocks outside them are boilerplate;
+else the regions count for nothing.  A page without a good block keeps its
+longest run of open ones.
 
 Null html is empty and gives an empty text.  Texts are whole: nothing is capped.
 Repeated rows each give a row; an empty table gives none.
@@ -213,6 +215,17 @@ def second_pass(labels: list[int], inside: list[bool]) -> list[int]:
     return out
 
 
+def _longest_open(texts: list[str], labels: list[int]) -> list[str]:
+    """The run of open blocks with most text, the first of equals."""
+    runs: list[list[str]] = [[]]
+    for text, label in zip(texts, labels):
+        if label == OPEN:
+            runs[-1].append(text)
+        else:
+            runs.append([])
+    return max(runs, key=lambda run: sum(map(len, run)))
+
+
 def main_text(html: str | None) -> str:
     """The article's text: white space in a block is one space, blocks are joined
     by a newline."""
@@ -221,11 +234,20 @@ def main_text(html: str | None) -> str:
         # references are decoded after markup is gone, so they can't form tags
         if text := SPACE.sub(" ", unescape("".join(b.parts))).strip():
             kept.append((b, text))
-    if any(b.inside for b, _ in kept):
-        kept = [x for x in kept if x[0].inside]
     labels = [first_pass(t, b.linked, b.heading) for b, t in kept]
-    labels = second_pass(labels, [b.inside for b, _ in kept])
-    return "\n".join(t for (_, t), label in zip(kept, labels) if label == GOOD)
+    inside = [b.inside for b, _ in kept]
+    if any(inside):
+        good = [0, 0]
+        for (b, t), label in zip(kept, labels):
+            good[b.inside] += len(t) * (label == GOOD)
+        if good[True] >= good[False]:
+            kept, labels = [x for x in kept if x[0].inside], [x for x, i in zip(labels, inside) if i]
+            inside = [True] * len(kept)
+        else:
+            inside = [False] * len(kept)
+    decided = second_pass(labels, inside)
+    out = [t for (_, t), label in zip(kept, decided) if label == GOOD]
+    return "\n".join(out or _longest_open([t for _, t in kept], labels))
 
 
 def extract(pages: DataFrame) -> DataFrame:

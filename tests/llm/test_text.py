@@ -20,6 +20,14 @@ def test_block_rules_without_container():
     assert html_text.main_text(page) == f"{good}\nYes.\n{good}"
 
 
+def test_pages_without_good_blocks_and_teaser_articles():
+    assert html_text.main_text("<p>Short.</p><p>Two lines.</p><p><a href=x>Home</a></p><p>End</p>") == "Short.\nTwo lines."
+    good = "The cat sat on the mat and it was glad that the dog had gone to the end of the road with all of them."
+    teasers = "<article><a href=1>One more</a></article><article><p>Two</p></article>"
+    assert html_text.main_text(f"<div><p>{good}</p><p>{good}</p></div><p><a href=0>More to read</a></p>{teasers}") == f"{good}\n{good}"
+    assert html_text.main_text(f"<p>{good}</p><article><p>{good}</p><p>{good}</p></article>") == f"{good}\n{good}"
+
+
 def test_degenerate_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a") == ""
     assert html_text.main_text("<article><p>cut off <a hre") == "cut off"
