@@ -51,6 +51,26 @@ def test_nearest_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_nearest_recall_with_a_small_fit_sample_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(mih, "FIT_ROWS", 300)
+    monkeypatch.setattr(mih, "SHARD_ROWS", 500)
+    vectors = data(3000)
+    found = {}
+    for r in mih.nearest(table(spark, vectors), lambda i: i % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    matrix = np.array([v if v and len(v) == 32 and all(x is not None for x in v) else [np.nan] * 32 for v in vectors], np.float64)
+    ok = np.isfinite(matrix).all(1) & (matrix != 0).any(1)
+    hits = total = 0
+    for q in range(0, len(vectors), 20):
+        if ok[q]:
+            far = np.where(ok, np.sqrt(((matrix - matrix[q]) ** 2).sum(1)), np.inf)
+            far[q] = np.inf
+            hits += len(found[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+            total += 10
+    print(f"recall {hits} of {total}")
+    assert hits >= 0.9 * total
+
+
 def test_few_or_no_vectors(spark):
     assert mih.nearest(table(spark, []), lambda i: i % 2 == 0).count() == 0
     assert mih.exact_topk(table(spark, [None]), lambda i: i % 2 == 0).count() == 0
