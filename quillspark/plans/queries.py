@@ -290,6 +290,11 @@ _CAVEAT_SQL = f""", a AS (SELECT doc_id, {sents_sql(no_parens_sql('p'), 3)} AS s
 SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(len(list_filter(CASE WHEN coalesce(k, 0) > 0 THEN s[1:k - 1] ELSE s END, lambda x: regexp_matches(x, {lit(L.CAVEAT)}))) AS BIGINT) AS caveats FROM b"""
 
 
+@query(f"WITH {VIEWS} {_CAVEAT_SQL}")
+def caveat_order_documents(spark, d):
+    return discourse.caveat_order(english(spark, d), KEYS)
+
+
 @query(f"WITH {FIXED_VIEWS} {_CAVEAT_SQL}")
 def caveat_order(spark, d):
     return discourse.caveat_order(fixtures.frame(spark, "f_docs"), KEYS)
