@@ -6,19 +6,32 @@ or one of Jaccard similarity num / den or more; the first of each stays, and so
 do lines without words.
 
 Words are ordered by rarity: how often words of a word's cell of a count table
-of fixed size occur, ties by hash.  Lines post their prefixes under that order;
-words that occur once are counted in the prefix but not posted, as no list of
-theirs can hold two lines.  A pair is verified only if it passes the length
-filter, the positional filter, and a bound from 64-bit parity signatures of the
-sets, none of which loses a match.  Each posted word's list first tries every
-line against the list's earliest one; only lines still standing are tried
-against all earlier lines of their lists, so lists of near copies don't become
-all pairs.  Sets are built again from the texts for the lines of pairs alone.
-
-Rows equal in doc_id and text are one document.  A null doc_id sorts first; null
+occur, ties by hash.  Lines post their prefixes under that order; words that
+occur once are counted in the prefix but not posted, as no list of theirs can
+hold two lines.  A pair is verified only if it passes the length filter, the
+positional filter, and a bound from 64-bit parity signatures of the sets, none
+of which loses a match.
+
+A line needs one earlier match to go, so no list of pairs is ever made:
+
+1. Pivots.  A word's list is cut by size band, and lists of frequent words into
+   as many parts as their count asks for.  Every line meets the first three
+   lines and the line before it in each of its lists; the one with the nearest
+   signature, over all lists, is verified.
+2. The lines that still stand are joined with all earlier lines of their lists,
+   and an aggregate keeps each line's nearest one.  It is verified; the lines
+   whose candidate fails ask for the next few, then for more, until none has any
+   left.
+
+So a group of n near copies costs about n verified pairs.  Lines are read again
+from the texts for those pairs alone.
+
+Rows equal in doc_id and text are one document; of other rows that share a
+doc_id, equal line numbers are ordered by hash.  A null doc_id sorts first; null
 text stays null and has no lines; an empty table gives no rows.  Other columns
-are carried along.  A set is named by a 64-bit hash, words by 64 bits (56 in the
-name and the order).
+are carried along, but for columns named n_lines or n_removed, which the results
+replace.  A set is named by a 64-bit hash, words by 64 bits (56 in the name and
+the order).
 """
 
 from __future__ import annotations
@@ -31,15 +44,23 @@ from pyspark.sql.window import Window
 
 from .runtime import release, stage, unstage
 
-#: Cells of the word count table and words of the document filter: bounds on
-#: what tasks receive.  Fuller tables order or filter less sharply, results stay
-#: the same.
-COUNT_CELLS = 1 << 22
-FILTER_WORDS = 1 << 14
+#: Least and most cells of the word count table (a byte each), and 64-bit words
+#: of a filter: they follow the data up to these bounds on what tasks receive.
+#: Fuller tables order or filter less sharply, results stay the same.
+COUNT_CELLS = (1 << 16, 1 << 23)
+FILTER_WORDS = (1 << 10, 1 << 19)
+#: Bytes of text for each cell.
+CELL_BYTES = 64
 PART = 4096
-#: Distinct lines whose lists are made at a time, and parts at most.
-PART_LINES = 600_000
-MOST_PARTS = 16
+#: Parts of the words whose lists are made one after the other: disk holds the
+#: lists of one part.
+PARTS = 3
+#: Occurrences of a word for which its list is cut once more.
+LIST_ROWS = 1 << 16
+FIRSTS = 3
+#: Candidates a line asks for after its nearest failed, and how much more it asks
+#: for whenever all of those fail too.
+NEXT, GROWTH = 32, 8
 
 SPACES = "\t\r\x0b\x0c"
 MASK = (1 << 56) - 1
@@ -61,6 +82,10 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
+def _power_of_two(least: int, value: int, most: int) -> int:
+    return min(most, max(least, 1 << max(0, int(value) - 1).bit_length()))
+
+
 def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
     """One row: an array of ``size`` values; ``values`` has cell and value."""
     spark = values.sparkSession
@@ -71,22 +96,42 @@ def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
     return stage(rows.select(F.flatten("parts.cells").alias("cells")), "cells")
 
 
-def _rarity(docs: DataFrame) -> DataFrame:
-    """How common the words of each cell are, on a log scale of 0 (once) to 120."""
+class _Filter:
+    """A bitmap of 64-bit keys; it may hold others too."""
+
+    def __init__(self, keys: DataFrame, count: int):
+        self.words = _power_of_two(FILTER_WORDS[0], count // 4, FILTER_WORDS[1])
+        cell = F.pmod("key", F.lit(self.words * 64))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
+        bits = keys.select(F.floor(cell / 64).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("value"))
+        self.table = _table(bits, self.words, "bigint")
+
+    def holds(self, key: Column) -> Column:
+        cell = F.pmod(key, F.lit(self.words * 64))
+        word = F.get(self.table.scalar(), F.floor(cell / 64).cast("int"))
+        return F.call_function("shiftrightunsigned", word, (cell % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _rarity(docs: DataFrame) -> tuple[DataFrame, int]:
+    """How common the words of each cell are, on a log scale of 0 (once) to 120,
+    and the number of cells."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = _power_of_two(COUNT_CELLS[0], size // CELL_BYTES, COUNT_CELLS[1])
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNT_CELLS)).alias("cell")).count()
-    return _table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), COUNT_CELLS, "tinyint")
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(cells)).alias("cell")).count()
+    return _table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), cells, "tinyint"), cells
 
 
 def _ceil_share(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * num / den - 1e-9).cast("int")
 
 
-def _lines(docs: DataFrame, rarity: DataFrame, num: int, den: int) -> DataFrame:
+def _lines(docs: DataFrame, num: int, den: int) -> DataFrame:
     """Lines with the name, size and signature of their set, how many words that
     occur once lead its order, and the posted rest of its prefix."""
+    rarity, width = _rarity(docs)
     cells = F.col("cells")
-    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(COUNT_CELLS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
+    keyed = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(F.get(cells, F.pmod(h, F.lit(width)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
     lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # tested on the line, as a test of the set would compute the set twice
     lines = lines.where(F.trim("line") != "").withColumn("cells", rarity.scalar())
@@ -101,97 +146,154 @@ def _lines(docs: DataFrame, rarity: DataFrame, num: int, den: int) -> DataFrame:
     return sets.select(*AT, "node", "size", F.when(F.size("prefix") > 0, parity).alias("parity"), "once", "prefix")
 
 
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity")))
+
+
 def _fits(a: str, b: str, num: int, den: int) -> Column:
     """Length, positional and signature filters for two postings."""
     size_a, size_b = F.col(f"{a}size"), F.col(f"{b}size")
     room = F.least(size_a - F.col(f"{a}place"), size_b - F.col(f"{b}place"))
     # the least overlap at the threshold, and so the most words not shared
     need = _ceil_share(size_a + size_b, num, num + den)
-    return (
-        (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num)
-        & (room >= need)
-        & (F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= size_a + size_b - 2 * need)
-    )
+    return (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num) & (room >= need) & (_distance(a, b) <= size_a + size_b - 2 * need)
+
 
+def _near(a: str, b: str) -> Column:
+    """Rank of b among a's candidates: the nearest signature first, then by name."""
+    return F.shiftleft(_distance(a, b).cast("long"), 56).bitwiseOR(F.col(f"{b}node").bitwiseAND(F.lit(MASK)))
 
-def _posted(first: DataFrame, side: str, part: int, parts: int) -> DataFrame:
-    """Postings of one part of the words: word, and under ``side``'s names the
-    node, its document and what the filters read."""
-    words = first.select("node", "d", "size", "parity", "once", F.posexplode("prefix").alias("place", "word"))
+
+def _earlier(a: str, b: str) -> Column:
+    """Whether b's first line comes before a's."""
+    d_a, d_b, l_a, l_b = (F.col(c) for c in (f"{a}d", f"{b}d", f"{a}line_no", f"{b}line_no"))
+    within = (l_b < l_a) | ((l_b == l_a) & (F.col(f"{b}node") < F.col(f"{a}node")))
+    return F.coalesce(d_b < d_a, d_b.isNull() & d_a.isNotNull()) | (d_a.eqNullSafe(d_b) & within)
+
+
+def _posted(first: DataFrame, part: int = 0, parts: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of one part of the words: a word, the node and what the filters
+    read."""
+    words = first.where(F.size("prefix") > 0).select("node", "d", "line_no", "size", "parity", "once", *more, F.posexplode("prefix").alias("place", "word"))
     words = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else words
-    place = (F.col("place") + F.col("once")).alias(f"{side}_place")
-    return words.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "d", "size", "parity")], place)
-
-
-def _sets(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and the word hashes of every set in the pairs, from the texts."""
-    asked = pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct().join(first.select("node", *AT), "node")
-    cell = F.pmod(F.xxhash64("d", "t"), F.lit(FILTER_WORDS * 64))
-    word, bit = F.floor(cell / 64).cast("int"), (cell % 64).cast("int")
-    bits = asked.select(word.alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
-    wanted = _table(bits.groupBy("cell").agg(F.bit_or("bit").alias("value")), FILTER_WORDS, "bigint").scalar()
-    some = docs.where(F.call_function("shiftrightunsigned", F.get(wanted, word), bit).bitwiseAND(F.lit(1)) == 1)
-    lists = asked.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_list(F.struct("line_no", "node")).alias("lines"))
-    found = some.join(lists, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
-    found = found.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-    return found.select(F.col("l.node").alias("node"), _hashes(F.get("all", F.col("l.line_no"))).alias("words")).dropDuplicates(["node"])
-
-
-def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The later ``node`` of every pair (y, x) that reaches the threshold."""
-    sets = stage(_sets(docs, first, pairs), "sets")
-    x, y = (sets.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words")) for c in "xy")
-    both = pairs.join(y, "y").join(x, "x")
-    common = F.size(F.array_intersect("x_words", "y_words"))
-    similar = both.where(common * den >= (F.size("x_words") + F.size("y_words") - common) * num).select("y", "x")
-    for c in "yx":
-        similar = similar.join(first.select(F.col("node").alias(c), F.struct(*AT).alias(f"{c}_at")), c)
-    later = similar.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("node")).distinct()
-    out = stage(later, "gone")
-    unstage(sets)
+    return words.withColumn("place", F.col("place") + F.col("once")).drop("once")
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "word"])
+
+
+def _nearest(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest candidate x of every y."""
+    return rows.groupBy("y").agg(F.min_by("x", "near").alias("x"), F.min("near").alias("near"), *[F.min(c).alias(c) for c in also])
+
+
+def _pivots(first: DataFrame, part: int, num: int, den: int) -> DataFrame:
+    """The nearest of the pivots that each line of one part's lists meets."""
+    names = ["node", "size", "parity", "place"]
+    rows = _posted(first, part, PARTS)
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)))
+    cuts = F.ceil(F.pow(F.lit(2.0), F.shiftright("word", 56) / 4.0) / LIST_ROWS).cast("long")
+    # one key for word, band and cut: lists that share a key only offer more
+    rows = rows.withColumn("list", F.xxhash64("word", band, F.pmod("node", cuts))).drop("word")
+    by_list = Window.partitionBy("list").orderBy(F.col("d").asc_nulls_first(), "line_no", "node")
+    so_far = by_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pivot = F.struct(*names)
+    met = [F.nth_value(pivot, k + 1).over(so_far) for k in range(FIRSTS)] + [F.lag(pivot, 1).over(by_list)]
+    rows = rows.select(*[F.col(c).alias(f"y_{c}") for c in names], *[m.alias(f"p{k}") for k, m in enumerate(met)])
+    tried = []
+    for k in range(FIRSTS + 1):
+        p = f"p{k}."
+        fits = F.col(f"{p}node").isNotNull() & (F.col(f"{p}node") != F.col("y_node")) & _fits("y_", p, num, den)
+        tried.append(F.when(fits, F.struct(_near("y_", p).alias("near"), F.col(f"{p}node").alias("x"))))
+    rows = rows.select(F.col("y_node").alias("y"), F.least(*tried).alias("best")).where("best is not null")
+    return _nearest(rows.select("y", "best.x", "best.near"))
+
+
+def _crossed(open_: DataFrame, other: DataFrame, num: int, den: int) -> DataFrame:
+    """y, x and rank of all earlier lines that fit, other than those tried;
+    ``open_`` postings also have star (a pivot tried) and tried (a rank)."""
+    rows = _sided(open_, "y").join(_sided(other, "x"), "word").where(_earlier("y_", "x_") & _fits("y_", "x_", num, den))
+    rows = rows.select(F.col("y_node").alias("y"), F.col("x_node").alias("x"), _near("y_", "x_").alias("near"), F.col("y_star").alias("star"), F.col("y_tried").alias("tried"))
+    fresh = ~F.col("x").eqNullSafe(F.col("star")) & (F.col("tried").isNull() | (F.col("near") > F.col("tried")))
+    return rows.where(fresh)
+
+
+def _similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The nodes y of those pairs (y, x) that reach the threshold."""
+    nodes = pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct()
+    asked = stage(nodes.join(first, "node").select("node", "size", F.xxhash64(*AT).alias("key")), "asked")
+    wanted = _Filter(asked, asked.count())
+    lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.xxhash64(*AT).alias("key"), "line")
+    # repeated documents are one line a key before they are dealt out
+    lines = lines.where(wanted.holds(F.col("key"))).groupBy("key").agg(F.first("line").alias("line"))
+    found = stage(lines.join(asked, "key").select("node", "size", "line"), "found")
+    release(docs.sparkSession)
+    y, x = (found.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("line").alias(f"{c}_line")) for c in "yx")
+    both = pairs.select("y", "x").join(y, "y").join(x, "x")
+    common = F.size(F.array_intersect(_hashes(F.col("x_line")), _hashes(F.col("y_line"))))
+    both = both.select("y", (F.col("x_size") + F.col("y_size")).alias("sizes"), common.alias("common"))
+    out = stage(both.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select(F.col("y").alias("node")).distinct(), "gone")
+    for table in (asked, found, wanted.table):
+        unstage(table)
     release(docs.sparkSession)
     return out
 
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """d (doc_id), t (hash of the text) and line_no of every line that goes.
+def _staged_parts(make, name: str) -> DataFrame:
+    """The parts' tables, made one after the other."""
+    made = []
+    for k in range(PARTS):
+        made.append(stage(make(k), name))
+        release(made[0].sparkSession)
+    return reduce(DataFrame.unionByName, made)
+
 
-    Lists are made for one part of the words at a time, so the disk they take is
-    that of a part."""
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """d (doc_id), t (hash of the text) and line_no of every line that goes."""
     spark = docs.sparkSession
     docs = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _spaced(F.col("text").cast("string")).alias("text"))
-    lines = stage(_lines(docs, _rarity(docs), num, den), "lines")
+    lines = stage(_lines(docs, num, den), "lines")
     release(spark)
-    first = lines.groupBy("node").agg(F.min(F.struct(*AT, "size", "parity", "once", "prefix")).alias("f")).select("node", "f.*")
+    first = lines.groupBy("node").agg(F.min(F.struct("d", "line_no", "t", "size", "parity", "once", "prefix")).alias("f")).select("node", "f.*")
     first = stage(first, "first")
     release(spark)
-    parts = min(MOST_PARTS, 1 + first.count() // PART_LINES)
-    by_word = Window.partitionBy("word")
-    # first, each line against its lists' earliest lines
-    stars = []
-    for k in range(parts):
-        names = ["d", "node", "size", "parity", "place"]
-        rows = _posted(first, "y", k, parts).select("*", F.min(F.struct(*[F.col(f"y_{c}") for c in names])).over(by_word).alias("p"))
-        rows = rows.where("y_node <> p.y_node").select("y_node", "y_size", "y_parity", "y_place", *[F.col(f"p.y_{c}").alias(f"x_{c}") for c in names])
-        stars.append(stage(rows.where(_fits("y_", "x_", num, den)).select(F.col("y_node").alias("y"), F.col("x_node").alias("x")).distinct(), "stars"))
-        release(spark)
-    star = reduce(DataFrame.unionByName, stars).distinct()
-    gone = _later(docs, first, star, num, den)
-    # then the rest against every line of their lists that isn't of a later document
-    rest = stage(first.join(gone, "node", "left_anti"), "rest")
+    pivots = _staged_parts(lambda k: _pivots(first, k, num, den), "pivots")
+    star = stage(_nearest(pivots), "star")
+    unstage(pivots)
+    gone = [_similar(docs, first, star, num, den)]
+    tried = star.select(F.col("y").alias("node"), F.col("x").alias("star"))
+    rest = first.where(F.size("prefix") > 0).join(gone[0], "node", "left_anti").join(tried, "node", "left").withColumn("tried", F.lit(None).cast("long"))
+    rest = stage(rest, "rest")
     release(spark)
-    crosses = []
-    for k in range(parts):
-        rows = _posted(rest, "y", k, parts).join(_posted(first, "x", k, parts), "word")
-        earlier = (F.col("x_node") != F.col("y_node")) & (F.col("x_d").isNull() | F.coalesce(F.col("x_d") <= F.col("y_d"), F.lit(False)))
-        crosses.append(stage(rows.where(earlier & _fits("y_", "x_", num, den)).select(F.col("y_node").alias("y"), F.col("x_node").alias("x")).distinct(), "crosses"))
+
+    def nearest_of(k: int) -> DataFrame:
+        return _nearest(_crossed(_posted(rest, k, PARTS, ("star", "tried")), _posted(first, k, PARTS), num, den))
+
+    crossed = _staged_parts(nearest_of, "crossed")
+    pairs = stage(_nearest(crossed), "pairs")
+    unstage(crossed)
+    by_rank, asked_for, ask_next = Window.partitionBy("y").orderBy("near"), 1, NEXT
+    while True:
+        gone.append(_similar(docs, first, pairs, num, den))
+        # lines that got fewer candidates than they asked for have no more
+        last = pairs.groupBy("y").agg(F.max("near").alias("tried"), F.count("*").alias("k"))
+        last = last.where(F.col("k") == asked_for).select(F.col("y").alias("node"), "tried").join(gone[-1], "node", "left_anti")
+        asking = stage(rest.drop("tried").join(last, "node"), "asking")
+        if asking.isEmpty():
+            break
+        asked_for, ask_next = ask_next, ask_next * GROWTH
+        words = stage(asking.select(F.explode("prefix").alias("key")).distinct(), "words")
+        wanted = _Filter(words, words.count())
+        others = _posted(first).where(wanted.holds(F.col("word")))
+        rows = _crossed(_posted(asking, more=("star", "tried")), others, num, den).select("y", "x", "near").distinct()
+        pairs = stage(rows.withColumn("k", F.row_number().over(by_rank)).where(F.col("k") <= asked_for).drop("k"), "pairs")
         release(spark)
-    cross = reduce(DataFrame.unionByName, crosses).distinct().join(star, ["y", "x"], "left_anti")
-    more = _later(docs, first, stage(cross, "crosses"), num, den)
-    stays = first.select("node", F.struct(*AT).alias("at")).join(gone.unionByName(more), "node", "left_anti").select("at.*")
+    later = reduce(DataFrame.unionByName, gone)
+    stays = first.join(later, "node", "left_anti").select(*AT)
     keys = [lines[c].eqNullSafe(stays[c]) for c in AT]
     out = stage(lines.join(stays, keys, "left_anti").select(*AT), "removed")
-    for table in (lines, first, rest):
+    for table in (lines, first, star, rest, pairs, *gone):
         unstage(table)
     release(spark)
     return out
