@@ -42,16 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .filters import KeyFilter, array_table, power_of_two
 from .runtime import release, stage, unstage
 
-#: Least and most cells of the word count table (a byte each), and 64-bit words
-#: of a filter: they follow the data up to these bounds on what tasks receive.
-#: Fuller tables order or filter less sharply, results stay the same.
+#: Least and most cells of the word count table, a byte each: it follows the data
+#: up to this bound on what tasks receive.  A fuller table orders less sharply,
+#: results stay the same.
 COUNT_CELLS = (1 << 16, 1 << 23)
-FILTER_WORDS = (1 << 10, 1 << 19)
 #: Bytes of text for each cell.
 CELL_BYTES = 64
-PART = 4096
 #: Parts of the words whose lists are made one after the other: disk holds the
 #: lists of one part.
 PARTS = 3
@@ -82,44 +81,14 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def _power_of_two(least: int, value: int, most: int) -> int:
-    return min(most, max(least, 1 << max(0, int(value) - 1).bit_length()))
-
-
-def _table(values: DataFrame, size: int, kind: str) -> DataFrame:
-    """One row: an array of ``size`` values; ``values`` has cell and value."""
-    spark = values.sparkSession
-    full = spark.range(size).join(values, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("value", F.lit(0)).cast(kind).alias("value"))
-    parts = full.groupBy(F.floor(F.col("id") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "value"))).alias("cells"))
-    parts = parts.select("part", F.col("cells.value").alias("cells"))
-    rows = parts.agg(F.sort_array(F.collect_list(F.struct("part", "cells"))).alias("parts"))
-    return stage(rows.select(F.flatten("parts.cells").alias("cells")), "cells")
-
-
-class _Filter:
-    """A bitmap of 64-bit keys; it may hold others too."""
-
-    def __init__(self, keys: DataFrame, count: int):
-        self.words = _power_of_two(FILTER_WORDS[0], count // 4, FILTER_WORDS[1])
-        cell = F.pmod("key", F.lit(self.words * 64))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
-        bits = keys.select(F.floor(cell / 64).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("value"))
-        self.table = _table(bits, self.words, "bigint")
-
-    def holds(self, key: Column) -> Column:
-        cell = F.pmod(key, F.lit(self.words * 64))
-        word = F.get(self.table.scalar(), F.floor(cell / 64).cast("int"))
-        return F.call_function("shiftrightunsigned", word, (cell % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def _rarity(docs: DataFrame) -> tuple[DataFrame, int]:
     """How common the words of each cell are, on a log scale of 0 (once) to 120,
     and the number of cells."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = _power_of_two(COUNT_CELLS[0], size // CELL_BYTES, COUNT_CELLS[1])
+    cells = power_of_two(COUNT_CELLS[0], size // CELL_BYTES, COUNT_CELLS[1])
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(cells)).alias("cell")).count()
-    return _table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), cells, "tinyint"), cells
+    return array_table(counts.select("cell", F.least(F.lit(120), F.floor(4 * F.log2("count"))).alias("value")), cells, "tinyint"), cells
 
 
 def _ceil_share(n: Column, num: int, den: int) -> Column:
@@ -223,7 +192,7 @@ def _similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den:
     """The nodes y of those pairs (y, x) that reach the threshold."""
     nodes = pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct()
     asked = stage(nodes.join(first, "node").select("node", "size", F.xxhash64(*AT).alias("key")), "asked")
-    wanted = _Filter(asked, asked.count())
+    wanted = KeyFilter(asked, asked.count())
     lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.xxhash64(*AT).alias("key"), "line")
     # repeated documents are one line a key before they are dealt out
     lines = lines.where(wanted.holds(F.col("key"))).groupBy("key").agg(F.first("line").alias("line"))
@@ -234,7 +203,8 @@ def _similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den:
     common = F.size(F.array_intersect(_hashes(F.col("x_line")), _hashes(F.col("y_line"))))
     both = both.select("y", (F.col("x_size") + F.col("y_size")).alias("sizes"), common.alias("common"))
     out = stage(both.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select(F.col("y").alias("node")).distinct(), "gone")
-    for table in (asked, found, wanted.table):
+    wanted.drop()
+    for table in (asked, found):
         unstage(table)
     release(docs.sparkSession)
     return out
@@ -284,10 +254,14 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
             break
         asked_for, ask_next = ask_next, ask_next * GROWTH
         words = stage(asking.select(F.explode("prefix").alias("key")).distinct(), "words")
-        wanted = _Filter(words, words.count())
+        wanted = KeyFilter(words, words.count())
         others = _posted(first).where(wanted.holds(F.col("word")))
         rows = _crossed(_posted(asking, more=("star", "tried")), others, num, den).select("y", "x", "near").distinct()
+        unstage(pairs)
         pairs = stage(rows.withColumn("k", F.row_number().over(by_rank)).where(F.col("k") <= asked_for).drop("k"), "pairs")
+        wanted.drop()
+        for table in (asking, words):
+            unstage(table)
         release(spark)
     later = reduce(DataFrame.unionByName, gone)
     stays = first.join(later, "node", "left_anti").select(*AT)

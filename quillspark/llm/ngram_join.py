@@ -10,10 +10,16 @@ shingle.  A shingle's posting list is cut into blocks by set size and position:
   front and the back of its sets.  Two blocks are joined only if their bands are
   the same or adjacent and their best places leave room for the overlap the
   threshold asks for; rows of joined blocks are then filtered by their own;
-* answer-level skipping: each node is first compared with the one pivot it
-  shares most posted shingles with.  Nodes similar to a pivot take over the
-  pivot's component as their answer; only pairs still in different components
-  are compared afterwards.
+* answer-level skipping: in each of a few rounds every list offers one pivot to
+  its nodes, and each node is compared with the one whose signature is nearest
+  over all its lists.  Nodes similar to a pivot take over the pivot's component
+  as their answer; afterwards only pairs still in different components are
+  compared.
+
+A signature is the parity of a set's shingles in 256 cells.  Two signatures
+differ in no more bits than the sets differ in shingles, so a pair whose
+signatures are too far apart is passed over without reading its sets; such
+pairs are never links.
 
 Links not needed for the components are never listed, none that joins two
 components is missed, and list sizes are bounded by nothing: pairs of a common
@@ -25,7 +31,8 @@ are exact up to collisions of those (about one wrong pair in 10^10 documents).
 Null or empty text, and text of white space alone, is an empty set linked with
 nothing.  Fewer than n words make one shingle of the whole sequence.  Rows that
 share a doc_id count as one linked document; rows with a null doc_id get a null
-component and take part in nothing.  An empty table gives no rows.
+component and take part in nothing.  An empty table gives no rows.  Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .filters import KeyFilter
 from .graph import components
 from .runtime import release, stage, unstage
 
@@ -48,9 +56,10 @@ SKETCH_CELLS = 1 << 23
 #: ordinary sets lie inside it.
 SKETCH_SHARE = 0.18
 SKETCH_PARTS = 64
-#: Bits of the filter that tells which nodes' sets are fetched.
-FILTER_BITS = 1 << 23
-MEMO_WORDS = 500_000
+#: Cells of a set's signature, and rounds of pivots.
+SIGNATURE = 256
+ROUNDS = 2
+MEMO_WORDS = 200_000
 
 # Odd multipliers for combining word hashes.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
@@ -92,6 +101,12 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
+def signature(own: np.ndarray) -> list[int]:
+    """The parity of a set's shingles in each cell, as four signed numbers."""
+    parity = np.bincount((own >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+
+
 def prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Places that two sets at the threshold must share one of."""
     return size - (size * num + den - 1) // den + 1
@@ -118,8 +133,12 @@ class Order:
         return own[np.argsort(level, kind="stable")[:length]]
 
 
+SIGNS = [f"s{k}" for k in range(SIGNATURE // 64)]
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, node, size) and of the sketch (part, counts)."""
+    """Rows of documents (doc_id, node, size, signature) and of the sketch (part,
+    counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, top = np.zeros(SKETCH_CELLS, np.uint8), np.uint64(int(SKETCH_SHARE * 2**64))
@@ -128,23 +147,26 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             rows, gathered = [], []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 own = shingles(text, n)
-                node = node_of(own) if len(own) else None
-                rows.append((doc_id, node, len(own)))
-                if len(own) and node not in seen:  # copies count once a task
+                if not len(own):
+                    rows.append((doc_id, None, 0, 0, 0, 0, 0))
+                    continue
+                node = node_of(own)
+                rows.append((doc_id, node, len(own), *signature(own)))
+                if node not in seen:  # copies count once a task
                     seen.add(node)
                     gathered.append(own[: np.searchsorted(own, top)])
             if gathered:
                 cells, more = np.unique(_cells(np.concatenate(gathered)), return_counts=True)
                 counts[cells] = np.minimum(counts[cells] + more, 255)
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "size"]).astype({"doc_id": "Int64", "node": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "node", "size", *SIGNS]).astype({"doc_id": "Int64", "node": "Int64"})
             yield out.assign(part=pd.array([None] * len(out), "Int32"), counts=None)
         width = SKETCH_CELLS // SKETCH_PARTS
         if seen:
             own = [counts[k * width: (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
             empty = pd.array([None] * SKETCH_PARTS, "Int64")
-            yield pd.DataFrame({"doc_id": empty, "node": empty, "size": 0, "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
+            yield pd.DataFrame({"doc_id": empty, "node": empty, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
 
-    return docs.mapInPandas(run, "doc_id long, node long, size int, part int, counts binary")
+    return docs.mapInPandas(run, f"doc_id long, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
 
 
 def _order(sets: DataFrame) -> Order:
@@ -226,102 +248,141 @@ def _reachable(num: int, den: int):
     return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
+def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that signatures and sizes leave possible, with a's and b's
+    size and the distance of their signatures."""
+    x, y = (first.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(s).alias(f"{c}_{s}") for s in SIGNS]) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    apart = F.lit(0)
+    for s in SIGNS:
+        apart = apart + F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}")))
+    both = both.select("a", "b", "a_size", "b_size", apart.cast("long").alias("apart"))
+    sizes = F.col("a_size").cast("long") + F.col("b_size")
+    # at the threshold num of num + den shingles of both sets are shared twice
+    return both.where(F.lit(num + den) * F.col("apart") <= F.lit(den - num) * sizes)
+
+
 def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """node and its whole set, of the nodes in pairs (and a few others that the
-    fixed-size filter can't tell from them), from each node's first document."""
-    words = FILTER_BITS // 64
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
-    bits = asked.select(F.floor(F.pmod("first", F.lit(FILTER_BITS)) / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(first, {FILTER_BITS}) % 64 as int))").alias("bit"))
-    wanted = np.zeros(words, np.uint64)
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # FILTER_BITS / 64 rows at most
-        wanted[r.word] = np.int64(r.bits).astype(np.uint64)
-    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+    filter can't tell from them), from each node's first document."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = stage(nodes.join(first, "node").select(F.xxhash64("first").alias("key")), "asked")
+    wanted = KeyFilter(asked, asked.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = batch["doc_id"].to_numpy() % FILTER_BITS
-            hit = (shipped.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) > 0
-            rows = [(node_of(own), own.tobytes()) for own in (shingles(t, n) for t in batch["text"][hit].tolist()) if len(own)]
+            rows = [(node_of(own), own.view(np.int64)) for own in (shingles(t, n) for t in batch["text"].tolist()) if len(own)]
             if rows:
                 yield pd.DataFrame(rows, columns=["node", "own"])
 
-    return docs.mapInPandas(run, "node long, own binary").dropDuplicates(["node"])
+    some = docs.where(wanted.holds(F.xxhash64("doc_id"))).select("text")
+    out = stage(some.mapInPandas(run, "node long, own array<long>").dropDuplicates(["node"]), "fetched")
+    wanted.drop()
+    unstage(asked)
+    return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose Jaccard similarity reaches num / den."""
+    """Those of the staged pairs (a, b, sizes) whose similarity is num / den or
+    more."""
     spark = docs.sparkSession
-    sets = stage(_fetch(docs, pairs, first, n), "fetched")
+    sets = _fetch(docs, pairs, first, n)
     release(spark)
-
-    @F.pandas_udf("int")
-    def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x.tolist(), y.tolist()):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            out.append(int((q[at] == p).sum()))
-        return pd.Series(out, dtype="int32")
-
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    common = both.select("a", "b", overlap("x", "y").cast("long").alias("common"), (F.octet_length("x") / 8 + F.octet_length("y") / 8).cast("long").alias("sizes"))
+    sizes = F.col("a_size").cast("long") + F.col("b_size")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), sizes.alias("sizes"))
     out = stage(common.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b"), "links")
     unstage(sets)
     release(spark)
     return out
 
 
+def _labelled(listed: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Postings with their node's label, and the labels of linked nodes."""
+    if links is None:
+        return listed.withColumn("label", F.col("node")), None
+    answers = components(links)
+    return listed.join(answers, "node", "left").withColumn("label", F.coalesce("label", "node")), answers
+
+
+def _pivots(labelled: DataFrame, first: DataFrame, num: int, den: int, salt: int) -> DataFrame:
+    """For each node the pivot of another component with the nearest signature:
+    a list's pivot is its posting of the least salted label."""
+    pivot = F.min(F.struct(F.xxhash64("label", F.lit(salt)).alias("by"), "label", "node", "size", "place")).alias("p")
+    pivots = labelled.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", "node", "size", "place")])
+    tries = labelled.join(pivots, "token").where("label <> p_label").where(_fits("", "p_", num, den))
+    close = _close(tries.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct(), first, num, den)
+    best = close.groupBy("a").agg(F.min(F.struct("apart", "b", "a_size", "b_size")).alias("best"))
+    return stage(best.select("a", F.col("best.b").alias("b"), F.col("best.a_size").alias("a_size"), F.col("best.b_size").alias("b_size")), "star")
+
+
+def _either(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components whose blocks and places
+    fit."""
+    sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
+    apart = labelled.join(main, "token")
+    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "label")], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
+    other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "label")])
+    once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
+    cross = minor.join(other, ["token", "band", "back"]).where((F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den))
+    return _either(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct()
+
+
 def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over
     links of similarity num / den or more) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     sets = stage(_sets(docs, n), "sets")
-    rows = sets.where("part is null").select("doc_id", "node", "size")
+    rows = sets.where("part is null").select("doc_id", "node", "size", *SIGNS)
     known = docs.where("doc_id is not null")
     postings = _postings(known, n, num, den, _order(sets))
     release(spark)
-    # lists of one node end here; the smallest node of a list is its pivot
+    # lists of one node end here
     by_token = Window.partitionBy("token")
-    least = F.min(F.struct("node", "size", "place")).over(by_token)
-    listed = postings.select("*", least.alias("pivot"), F.max("node").over(by_token).alias("last")).where("pivot.node <> last")
-    listed = stage(listed.select("token", "node", "size", "place", F.col("pivot.node").alias("p_node"), F.col("pivot.size").alias("p_size"), F.col("pivot.place").alias("p_place")), "lists")
+    listed = postings.select("*", F.min("node").over(by_token).alias("least"), F.max("node").over(by_token).alias("last"))
+    listed = stage(listed.where("least <> last").drop("least", "last"), "lists")
     release(spark)
     # documents of equal sets are one node, known by the first of them
-    first = stage(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "first")
-    release(spark)
-    # first each node against the pivot it shares most with
-    tries = listed.where("node <> p_node").where(_fits("", "p_", num, den)).groupBy("node", "p_node").agg(F.count("*").alias("shared"))
-    star = tries.groupBy("node").agg(F.max(F.struct("shared", "p_node")).alias("best")).select(F.col("node").alias("a"), F.col("best.p_node").alias("b"))
-    star = stage(star, "star")
+    least = [F.min(c).alias(c) for c in ("size", *SIGNS)]
+    first = stage(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *least), "first")
     release(spark)
-    links = _verified(known, star, first, n, num, den)
-    answers = components(links)
+    # first each node against one pivot, a few times
+    links, tried = None, []
+    for salt in range(ROUNDS):
+        labelled, answers = _labelled(listed, links)
+        star = _pivots(labelled, first, num, den, salt)
+        release(spark)
+        found = _verified(known, star, first, n, num, den)
+        links = found if links is None else links.unionByName(found)
+        tried.append(star)
     # then pairs that are still apart
-    labelled = listed.drop("p_node", "p_size", "p_place").join(answers, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    apart = labelled.join(main, "token")
-    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "label")], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
-    other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "label")])
-    once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    cross = minor.join(other, ["token", "band", "back"]).where((F.col("x_label") != F.col("y_label")) & once).where(_fits("x_", "y_", num, den))
-    cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    labelled, answers = _labelled(listed, links)
+    cross = _across(labelled, num, den)
+    for star in tried:
+        cross = cross.join(_either(star), ["a", "b"], "left_anti")
     cross = stage(cross, "cross")
+    release(spark)
+    close = stage(_close(cross, first, num, den), "close")
     unstage(listed)
+    unstage(cross)
     release(spark)
-    more = _verified(known, cross, first, n, num, den)
+    more = _verified(known, close, first, n, num, den)
     named = answers.join(first, "node").groupBy("label").agg(F.min("first").alias("least"))
     direct = first.join(answers, "node", "left").join(named, "label", "left").select("node", F.coalesce("least", "first").alias("component"))
     if not more.isEmpty():
         joined = more.join(direct.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(direct.select(F.col("node").alias("b"), F.col("component").alias("v")), "b")
         merged = components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")))
         direct = direct.join(merged, direct["component"] == merged["node"], "left").select(direct["node"], F.coalesce("label", "component").alias("component"))
-    out = rows.join(direct, "node", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return _merge_repeated(out)
+    for table in (close, *tried):
+        unstage(table)
+    found = rows.select("doc_id", "node", "size").join(direct, "node", "left")
+    return _merge_repeated(found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
 def _merge_repeated(found: DataFrame) -> DataFrame:
