@@ -9,8 +9,8 @@ Words are ordered by rarity: how often words of a word's cell of a count table
 occur, ties by hash.  Lines post their prefixes under that order; words that
 occur once are counted in the prefix but not posted, as no list of theirs can
 hold two lines.  A pair is verified only if it passes the length filter, the
-positional filter, and a bound from 64-bit parity signatures of the sets, none
-of which loses a match.
+positional filter, and a bound from parity signatures of the sets (64 bits, 256
+for long lines), none of which loses a match.
 
 A line needs one earlier match to go, so no list of pairs is ever made:
 
@@ -53,7 +53,7 @@ COUNT_CELLS = (1 << 16, 1 << 23)
 CELL_BYTES = 64
 #: Parts of the words whose lists are made one after the other: disk holds the
 #: lists of one part.
-PARTS = 3
+PARTS = 4
 #: Occurrences of a word for which its list is cut once more.
 LIST_ROWS = 1 << 16
 FIRSTS = 3
@@ -61,6 +61,12 @@ FIRSTS = 3
 #: for whenever all of those fail too.
 NEXT, GROWTH = 32, 8
 
+#: Words of a set from which on its signature has 256 bits.
+LONG = 64
+#: The 64-bit signature, and three quarters of the 256-bit one: the fourth is
+#: what they lack of the first.
+SIGNS = ["parity", "q0", "q1", "q2"]
+
 SPACES = "\t\r\x0b\x0c"
 MASK = (1 << 56) - 1
 #: Keys below it belong to words that occur once.
@@ -111,12 +117,23 @@ def _lines(docs: DataFrame, num: int, den: int) -> DataFrame:
     sets = sets.select("*", F.xxhash64("words").alias("node"), F.slice("words", F.lit(1), length).alias("head"))
     sets = sets.withColumn("once", F.size(F.filter("head", lambda w: w < SHARED)))
     sets = sets.withColumn("prefix", F.slice("head", F.col("once") + 1, F.size("head")))
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select(*AT, "node", "size", F.when(F.size("prefix") > 0, parity).alias("parity"), "once", "prefix")
+    posted = F.size("prefix") > 0
+
+    def parity(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def quarter(k: int) -> Column:
+        return F.when(posted & (F.col("size") >= LONG), parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(192)) == 64 * k)))
+
+    quarters = [quarter(k).alias(f"q{k}") for k in range(3)]
+    return sets.select(*AT, "node", "size", F.when(posted, parity(F.col("words"))).alias("parity"), *quarters, "once", "prefix")
 
 
 def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity")))
+    """A lower bound of the words not shared."""
+    apart = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in SIGNS]
+    quarters = [*apart[1:], apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3])]
+    return F.coalesce(sum((F.bit_count(q) for q in quarters[1:]), F.bit_count(quarters[0])), F.bit_count(apart[0]))
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
@@ -130,7 +147,7 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
 
 def _near(a: str, b: str) -> Column:
     """Rank of b among a's candidates: the nearest signature first, then by name."""
-    return F.shiftleft(_distance(a, b).cast("long"), 56).bitwiseOR(F.col(f"{b}node").bitwiseAND(F.lit(MASK)))
+    return F.shiftleft(F.least(_distance(a, b), F.lit(127)).cast("long"), 56).bitwiseOR(F.col(f"{b}node").bitwiseAND(F.lit(MASK)))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -143,7 +160,7 @@ def _earlier(a: str, b: str) -> Column:
 def _posted(first: DataFrame, part: int = 0, parts: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
     """Postings of one part of the words: a word, the node and what the filters
     read."""
-    words = first.where(F.size("prefix") > 0).select("node", "d", "line_no", "size", "parity", "once", *more, F.posexplode("prefix").alias("place", "word"))
+    words = first.where(F.size("prefix") > 0).select("node", "d", "line_no", "size", *SIGNS, "once", *more, F.posexplode("prefix").alias("place", "word"))
     words = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else words
     return words.withColumn("place", F.col("place") + F.col("once")).drop("once")
 
@@ -159,7 +176,7 @@ def _nearest(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
 def _pivots(first: DataFrame, part: int, num: int, den: int) -> DataFrame:
     """The nearest of the pivots that each line of one part's lists meets."""
-    names = ["node", "size", "parity", "place"]
+    names = ["node", "size", *SIGNS, "place"]
     rows = _posted(first, part, PARTS)
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num)))
     cuts = F.ceil(F.pow(F.lit(2.0), F.shiftright("word", 56) / 4.0) / LIST_ROWS).cast("long")
@@ -225,7 +242,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     docs = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _spaced(F.col("text").cast("string")).alias("text"))
     lines = stage(_lines(docs, num, den), "lines")
     release(spark)
-    first = lines.groupBy("node").agg(F.min(F.struct("d", "line_no", "t", "size", "parity", "once", "prefix")).alias("f")).select("node", "f.*")
+    first = lines.groupBy("node").agg(F.min(F.struct("d", "line_no", "t", "size", *SIGNS, "once", "prefix")).alias("f")).select("node", "f.*")
     first = stage(first, "first")
     release(spark)
     pivots = _staged_parts(lambda k: _pivots(first, k, num, den), "pivots")
