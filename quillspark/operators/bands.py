@@ -72,3 +72,39 @@ def alignment(features: DataFrame, group: str, keys: list[str]) -> DataFrame:
     tells = F.when(F.col("feature").isin(L.LOWER_IS_TELL), F.col("value") < 0.7 * F.col("mid")).otherwise(F.col("value") > 1.6 * F.col("mid") + 0.2)
     ratio = F.when(F.col("mid") > 0, F.round(F.col("value") / F.when(F.col("mid") > 0, F.col("mid")).otherwise(1.0), 1))
     return rows.select(group, *keys, "feature", "value", "mid", "p25", "p75", ratio.alias("ratio"), tells.alias("tells"))
+
+
+CARD_SHAPE = ["that_density", "first_person", "meta_narration", "hedge_modal", "vague_eval_adj", "intensifier", "not_but", "abstract_subj", "burstiness_CV", "mean_sent"]
+CARD_SYNTAX = ["nominal_rate", "noun_rate", "pron_rate", "metanarr_synt"]
+CARD_HEADINGS = ["title_case", "colon", "mean_words", "compound"]
+
+
+def register_card(features: DataFrame, syntax: DataFrame, headings: DataFrame, group: str) -> DataFrame:
+    """Each group's composite dimensions and labels, from the medians of its
+    documents' surface features, syntax rates and heading features.  A group
+    without rows of the latter two has zeros there."""
+
+    def middle(rows: DataFrame, names: list[str], *more: Column) -> DataFrame:
+        return rows.groupBy(group).agg(*more, *[F.round(F.median(c), 2).alias(c) for c in names])
+
+    rows = middle(features, CARD_SHAPE, F.count("*").alias("n")).join(middle(syntax, CARD_SYNTAX), group, "left").join(middle(headings, CARD_HEADINGS), group, "left")
+    rows = rows.fillna(0.0, CARD_SYNTAX + CARD_HEADINGS)
+    dimensions = {
+        "info_density": "nominal_rate + noun_rate / 5 + that_density", "involvement": "first_person + pron_rate / 10",
+        "metadiscourse": "meta_narration + metanarr_synt + hedge_modal / 5", "stance": "vague_eval_adj + intensifier + not_but",
+        "abstraction": "abstract_subj + nominal_rate / 10",
+    }
+    case = F.when(F.col("title_case") < 0.3, "sentence-case").when(F.col("title_case") > 0.6, "Title Case").otherwise("mixed-case")
+    return rows.select(
+        group, "n", F.col("title_case").alias("h_case"), F.col("colon").alias("h_colon"), F.col("mean_words").alias("h_words"), F.col("compound").alias("h_compound"),
+        *[F.round(F.expr(e), 1).alias(k) for k, e in dimensions.items()], F.col("burstiness_CV").alias("rhythm_cv"), "mean_sent", case.alias("heading_case"),
+        F.when(F.col("compound") > 0.3, "content-announcing").otherwise("topic-naming").alias("heading_style"), F.when(F.col("burstiness_CV") > 0.4, "varied").otherwise("uniform").alias("rhythm"),
+    )
+
+
+def register_differential(cards: DataFrame, group: str, first: str, second: str) -> DataFrame:
+    """The dimensions of two groups and the first's lead over the second."""
+    names = ["h_case", "info_density", "involvement", "metadiscourse", "stance", "abstraction"]
+    long = cards.where(F.col(group).isin(first, second)).unpivot([group], names, "dimension", "value")
+    side = [F.max(F.when(F.col(group) == g, F.col("value"))).alias(c) for g, c in ((first, "a"), (second, "b"))]
+    return long.groupBy("dimension").agg(*side).select("dimension", "a", "b", F.round(F.col("a") - F.col("b"), 2).alias("lead"))

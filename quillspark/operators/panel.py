@@ -37,8 +37,14 @@ def ask(prompts: DataFrame, judges: dict[str, Callable[[str], str]], prompt: str
 
 
 def taxonomy(spark) -> DataFrame:
-    rows = [(i, c, f, l, d.split()) for i, (c, f, l, d) in enumerate(L.TAXONOMY)]
-    return spark.createDataFrame(rows, "pos int, id string, family string, label string, det array<string>")
+    rows = [(i, c, f, l, d.split(), *L.PROBES[c]) for i, (c, f, l, d) in enumerate(L.TAXONOMY)]
+    return spark.createDataFrame(rows, "pos int, id string, family string, label string, det array<string>, definition string, probe string")
+
+
+def registers(spark) -> DataFrame:
+    """The categories that mark each register, in order."""
+    rows = [(r, k, c) for r, ids in L.REGISTERS.items() for k, c in enumerate(ids.split())]
+    return spark.createDataFrame(rows, "register string, pos int, id string").join(taxonomy(spark).select("id", "family", "label"), "id", "left")
 
 
 def coverage(spark) -> DataFrame:
@@ -48,11 +54,12 @@ def coverage(spark) -> DataFrame:
 
 
 def judge_block(spark, only_judged: bool = False) -> DataFrame:
-    """One text: the numbered categories a judge is asked about."""
+    """One text: the numbered categories a judge is asked about, each with its
+    family and probe."""
     t = taxonomy(spark)
     t = t.where(F.size("det") == 0) if only_judged else t
     rows = t.withColumn("k", F.row_number().over(Window.orderBy("pos")))  # the 30 categories
-    line = F.format_string("%d. %s (%s)", "k", "label", "id")
+    line = F.format_string("%d. %s [%s] — %s.", "k", "label", "family", "probe")
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))), lambda z: z["line"]), "\n").alias("block"))
 
 

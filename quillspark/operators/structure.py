@@ -226,34 +226,41 @@ def _half() -> Column:
     return F.floor(F.count("*") / 2)
 
 
-ACADEMIC_MARK = r"(?im)\\section|\\cite|^#+\s*(?:abstract|related work)\b|\bliterature review\b"
-ACADEMIC_ANY = r"(?im)\\section|\\cite|^#+\s*abstract\b|related work"
-ESSAY_NOT = r"(?i)\\section|\\cite|#+\s*abstract\b|related work|```bash|pip install|npm install|## (?:installation|usage|getting started)|make hello"
-ARGUING = r"(?i)\b(?:because|therefore|however|suppose|consider|imagine|i think|i argue|we argue|the point is)\b"
-SPEAKING = r"(?i)\b(?:i|we|you|my|our)\b"
-README = r"(?i)```bash|pip install|npm install|## (?:installation|usage|getting started)|make hello"
-
-register_genre("academic", lambda: _share(ACADEMIC_MARK) >= F.greatest(F.lit(2), _half()), lambda: {"related_rate": F.col("type_related"), "conclusion_rate": F.col("type_conclusion")}, "academic")
+register_genre("academic", lambda: _share(L.ACADEMIC_MARK) >= F.greatest(F.lit(2), _half()), lambda: {"related_rate": F.col("type_related"), "conclusion_rate": F.col("type_conclusion")}, "academic")
 register_genre(
     "essay",
-    lambda: (_share(ESSAY_NOT) == 0) & (_share(r"(?m)^#{1,4}\s") >= 1) & (F.sum(F.regexp_count("text", F.lit(ARGUING))) >= 3) & (F.sum(F.regexp_count("text", F.lit(SPEAKING))) >= 10),
+    lambda: (_share(L.ESSAY_NOT) == 0) & (_share(r"(?m)^#{1,4}\s") >= 1) & (F.sum(F.regexp_count("text", F.lit(L.ARGUING))) >= 3) & (F.sum(F.regexp_count("text", F.lit(L.SPEAKING))) >= 10),
     lambda: {"hook_rate": F.col("type_hook"), "example_rate": F.col("type_example"), "objection_rate": F.col("type_objection")}, "essay",
 )
 register_genre(
     "design-doc",
-    lambda: (_share(r"(?m)^#{1,4}\s") >= F.greatest(F.lit(1), _half())) & (_share(ACADEMIC_ANY) < F.greatest(F.lit(2), _half())),
+    lambda: (_share(r"(?m)^#{1,4}\s") >= F.greatest(F.lit(1), _half())) & (_share(L.ACADEMIC_ANY) < F.greatest(F.lit(2), _half())),
     lambda: {"motivation_rate": F.col("type_motivation"), "tradeoff_rate": F.col("type_tradeoff"), "consequence_rate": F.col("type_consequence")}, "design-doc",
 )
 
 
 def resolve_genre(docs: DataFrame, group: str, forced: str | None = None) -> DataFrame:
-    """The genre of each group: forced, or the README guard (none), or the first
-    registered module that applies."""
-    out = F.when(_share(README) >= F.greatest(F.lit(1), _half()), F.lit("none"))
+    """The genre of each group, from all its documents.
+
+    A forced name wins.  Next, one mark of a README anywhere in the group means
+    none; then a group without code fences, with 12 or more first- and
+    second-person words per 1000 of prose and 4 or more arguing words, is an
+    essay; then the first registered module that applies.  Counts are sums over
+    each document's own prose: a references heading ends its document only."""
+    if forced:
+        return docs.groupBy(group).agg(F.lit(forced).alias("genre"))
+    rows = docs.withColumn("text", T.clean(F.col("text"))).withColumn("p", F.lower(T.prose(F.col("text"))))
+
+    def total(pattern: str, column: str) -> Column:
+        return F.sum(F.regexp_count(column, F.lit(pattern)))
+
+    voiced = F.lit(1000) * total(L.VOICE, "p") / F.greatest(total(r"\S+", "p"), F.lit(1))
+    out = F.when(_share(L.README) > 0, F.lit("none"))
+    if "essay" in GENRES:
+        out = out.when((total("```", "text") == 0) & (voiced >= 12) & (total(L.ARGUMENT, "p") >= 4), F.lit("essay"))
     for name, module in GENRES.items():
         out = out.when(module["applies"](), F.lit(name))
-    value = F.lit(forced) if forced else out.otherwise("none")
-    return docs.withColumn("text", T.clean(F.col("text"))).groupBy(group).agg(value.alias("genre"))
+    return rows.groupBy(group).agg(out.otherwise("none").alias("genre"))
 
 
 def genre_rates(docs: DataFrame, group: str, key: str, genre: str) -> DataFrame:

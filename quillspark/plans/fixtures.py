@@ -60,7 +60,32 @@ TOKENS = [
     (4, 0, 0, "Cats", "cat", "NOUN", "nsubj", 1), (4, 0, 1, "sleep", "sleep", "VERB", "root", 1), (4, 0, 2, "in", "in", "ADP", "prep", 1), (4, 0, 3, "the", "the", "DET", "det", 4), (4, 0, 4, "sun", "sun", "NOUN", "pobj", 2),
 ]
 
+# doc, group, surface features, syntax rates, heading features (none: no headings)
+CARDS = [
+    (1, "g", 12.5, 3.25, 0.5, 6.0, 1.5, 0.75, 0.0, 0.4, 0.55, 21.3, 30.1, 210.4, 25.7, 4.0, 0.2, 0.0, 4.5, 0.5),
+    (2, "g", 10.0, 1.0, 1.5, 4.0, 2.5, 0.25, 0.5, 0.9, 0.35, 18.0, 41.7, 260.0, 15.0, 8.0, 0.9, 0.24, 3.0, 0.26),
+    (3, "g", 14.0, 0.0, 0.0, 9.0, 3.0, 1.0, 0.25, 0.1, 0.61, 24.9, 22.2, 199.9, 31.3, 0.0, None, None, None, None),
+    (4, "h", 7.5, 22.0, 0.25, 2.0, 0.4, 2.0, 1.0, 0.0, 0.3, 12.4, 11.0, 150.5, 90.1, 2.6, 0.75, 0.5, 6.0, 0.0),
+    (5, "h", 9.0, 18.5, 0.75, 1.0, 4.5, 1.5, 0.0, 0.3, 0.2, 14.1, 13.5, 171.3, 75.6, 0.0, 0.69, 0.0, 5.0, 0.4),
+    (6, "i", 9.0, 18.5, 0.75, 1.1, 4.5, 1.5, 0.0, 0.32, 0.5, 14.1, 13.5, 171.0, 75.6, 0.0, None, None, None, None),
+]
+GENRES = [
+    (1, "readme", "# Tool\n\nBecause we like it, consider our tool.\n"), (2, "readme", "Run `git clone` first.\n"), (3, "readme", "# Notes\n\nPlain words of no kind.\n"),
+    (4, "essay", "I think that you and I agree because we must. However, suppose my friend and our guest do not. Imagine that.\n"),
+    (5, "essay", "# End\n\nTherefore we part, and you go your way.\n"),
+    (6, "fenced", "I think that you and I agree because we must. However, suppose my friend and our guest do not. Imagine that.\n\n```\nx = 1\n```\n"),
+    (7, "paper", "# Abstract\n\nA method is shown.\n\n## Related work\n\nOthers did so.\n"), (8, "paper", "# Abstract\n\nAnother method is shown \\cite{x}.\n"),
+    (9, "design", "# Choice\n\nThe cache holds rows.\n\n## Tradeoffs\n\nIt costs memory.\n"), (10, "plain", "Words without a heading or a voice.\n"),
+    (11, "few", "I say that my dog barks because our cat runs.\n"),
+]
+
 SCHEMAS = {
+    "f_cards": (
+        "doc_id int, grp string, that_density double, first_person double, meta_narration double, hedge_modal double, vague_eval_adj double, intensifier double, not_but double, "
+        "abstract_subj double, burstiness_CV double, mean_sent double, nominal_rate double, noun_rate double, pron_rate double, metanarr_synt double, title_case double, colon double, "
+        "mean_words double, compound double", CARDS,
+    ),
+    "f_genres": ("doc_id int, grp string, text string", GENRES),
     "f_docs": ("doc_id int, grp string, text string", DOCS), "f_headed": ("doc_id int, grp string, text string", HEADED), "f_cites": ("doc_id int, text string, bib string", CITED),
     "f_ratings": ("unit string, judge string, rating double", RATINGS), "f_replies": ("doc string, judge string, venue string, reply string", REPLIES),
     "f_counts": ("role string, word string, n long", COUNTS), "f_zipf": ("word string, zipf double", ZIPF),

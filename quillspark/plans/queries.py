@@ -402,14 +402,38 @@ def sentence_samples(spark, d):
     return contrast.sentence_samples(corpus(spark, d), "grp", "doc_id")
 
 
-@query(f"""WITH {FEATURES}, {CORPUS}, m AS (SELECT grp, {', '.join(f'round(median({c}), 2) AS {c}' for c in ('that_density', 'first_person', 'meta_narration', 'hedge_modal', 'vague_eval_adj', 'intensifier', 'not_but', 'abstract_subj', 'burstiness_CV', 'mean_sent'))}, count(*) AS n FROM feats WHERE doc_id IN (SELECT doc_id FROM corp) GROUP BY 1)
-SELECT grp, n, round(that_density, 4) AS info_density, round(first_person, 4) AS involvement, round(meta_narration + hedge_modal / 5, 4) AS metadiscourse, round(vague_eval_adj + intensifier + not_but, 4) AS stance, round(abstract_subj, 4) AS abstraction,
-  round(mean_sent, 4) AS mean_sent, CASE WHEN burstiness_CV > 0.4 THEN 'varied' ELSE 'uniform' END AS rhythm FROM m""")
+_CARD = f"""{fixtures.sql('f_cards')}, m AS (SELECT grp, count(*) AS n, {', '.join(f'coalesce(round(median({c}::DOUBLE), 2), 0) AS {c}' for c in bands.CARD_SHAPE + bands.CARD_SYNTAX + bands.CARD_HEADINGS)} FROM f_cards GROUP BY 1),
+cards AS (SELECT grp, n, title_case AS h_case, colon AS h_colon, mean_words AS h_words, compound AS h_compound,
+  round(nominal_rate + noun_rate / 5 + that_density, 1) AS info_density, round(first_person + pron_rate / 10, 1) AS involvement,
+  round(meta_narration + metanarr_synt + hedge_modal / 5, 1) AS metadiscourse, round(vague_eval_adj + intensifier + not_but, 1) AS stance, round(abstract_subj + nominal_rate / 10, 1) AS abstraction,
+  burstiness_CV AS rhythm_cv, mean_sent, CASE WHEN title_case < 0.3 THEN 'sentence-case' WHEN title_case > 0.6 THEN 'Title Case' ELSE 'mixed-case' END AS heading_case,
+  CASE WHEN compound > 0.3 THEN 'content-announcing' ELSE 'topic-naming' END AS heading_style, CASE WHEN burstiness_CV > 0.4 THEN 'varied' ELSE 'uniform' END AS rhythm FROM m)"""
+
+
+def _cards(spark):
+    rows = fixtures.frame(spark, "f_cards")
+    headings = rows.where("title_case is not null").select("grp", *bands.CARD_HEADINGS)
+    return bands.register_card(rows.select("grp", *bands.CARD_SHAPE), rows.select("grp", *bands.CARD_SYNTAX), headings, "grp")
+
+
+@query(f"WITH {_CARD} SELECT * FROM cards")
 def register_card(spark, d):
-    f = shape.features(corpus(spark, d), ["grp", *KEYS])
-    mid = f.groupBy("grp").agg(F.count("*").alias("n"), *[F.round(F.median(c), 2).alias(c) for c in ("that_density", "first_person", "meta_narration", "hedge_modal", "vague_eval_adj", "intensifier", "not_but", "abstract_subj", "burstiness_CV", "mean_sent")])
-    dims = {"info_density": F.col("that_density"), "involvement": F.col("first_person"), "metadiscourse": F.col("meta_narration") + F.col("hedge_modal") / 5, "stance": F.col("vague_eval_adj") + F.col("intensifier") + F.col("not_but"), "abstraction": F.col("abstract_subj"), "mean_sent": F.col("mean_sent")}
-    return mid.select("grp", "n", *[F.round(c, 4).alias(k) for k, c in dims.items()], F.when(F.col("burstiness_CV") > 0.4, "varied").otherwise("uniform").alias("rhythm"))
+    return _cards(spark)
+
+
+@query(f"""WITH {_CARD}, l AS (UNPIVOT (SELECT grp, h_case::DOUBLE AS h_case, info_density::DOUBLE AS info_density, involvement::DOUBLE AS involvement, metadiscourse::DOUBLE AS metadiscourse, stance::DOUBLE AS stance, abstraction::DOUBLE AS abstraction FROM cards)
+  ON h_case, info_density, involvement, metadiscourse, stance, abstraction INTO NAME dimension VALUE v)
+SELECT dimension, max(CASE WHEN grp = 'g' THEN v END) AS a, max(CASE WHEN grp = 'h' THEN v END) AS b, round(max(CASE WHEN grp = 'g' THEN v END) - max(CASE WHEN grp = 'h' THEN v END), 2) AS lead FROM l GROUP BY 1""")
+def register_differential(spark, d):
+    return bands.register_differential(_cards(spark), "grp", "g", "h")
+
+
+@query()
+def register_card_documents(spark, d):
+    """The card of every source, with the stand-in annotator's syntax rates."""
+    docs = corpus(spark, d)
+    rates = syntax.rates(syntax.annotate(docs, most=None)).join(docs.select("doc_id", "grp"), "doc_id")
+    return bands.register_card(shape.features(docs, ["grp", *KEYS]), rates, structure.heading_features(docs, ["grp", *KEYS]), "grp")
 
 
 # --- vectors -----------------------------------------------------------------
@@ -601,9 +625,23 @@ def academic_rates(spark, d):
     return structure.genre_rates(docs, "grp", "doc_id", "academic").join(structure.related_position(docs, "grp", "doc_id").drop("n"), "grp", "left")
 
 
-@query()
+_GENRE_APPLIES = "a AS (SELECT *, greatest(2, n // 2) AS two, greatest(1, n // 2) AS one FROM g)"
+
+
+@query(f"""WITH {fixtures.sql('f_genres')}, t AS (SELECT grp, text, lower({prose_sql('text')}) AS p FROM f_genres),
+g AS (SELECT grp, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, {lit(L.README)})) AS readme, sum(len(text) - len(replace(text, '```', ''))) AS fences,
+  1000.0 * sum({n_sql('p', L.VOICE)}) / greatest(1, sum({n_sql('p', r'[^ ]+')})) AS voiced, sum({n_sql('p', L.ARGUMENT)}) AS argued, count(*) FILTER (WHERE regexp_matches(text, {lit(L.ACADEMIC_MARK)})) AS papers,
+  count(*) FILTER (WHERE regexp_matches(text, {lit(L.ACADEMIC_ANY)})) AS any_paper, count(*) FILTER (WHERE regexp_matches(text, {lit(L.ESSAY_NOT)})) AS not_essay,
+  count(*) FILTER (WHERE regexp_matches(text, '(?m)^#{{1,4}}\\s')) AS headed, sum({n_sql('text', L.ARGUING)}) AS arguing, sum({n_sql('text', L.SPEAKING)}) AS speaking FROM t GROUP BY 1), {_GENRE_APPLIES}
+SELECT grp, CASE WHEN readme > 0 THEN 'none' WHEN fences = 0 AND voiced >= 12 AND argued >= 4 THEN 'essay' WHEN papers >= two THEN 'academic'
+  WHEN not_essay = 0 AND headed >= 1 AND arguing >= 3 AND speaking >= 10 THEN 'essay' WHEN headed >= one AND any_paper < two THEN 'design-doc' ELSE 'none' END AS genre FROM a""")
 def genre_resolution(spark, d):
-    return structure.resolve_genre(fixtures.frame(spark, "f_headed"), "grp")
+    return structure.resolve_genre(fixtures.frame(spark, "f_genres"), "grp")
+
+
+@query()
+def genre_resolution_documents(spark, d):
+    return structure.resolve_genre(english(spark, d), "grp")
 
 
 @query(f"""WITH {_SECTIONS}, w AS (SELECT doc_id, greatest({n_sql(prose_sql('body'), T.WORD)}, 1) AS w FROM sec), c AS (SELECT doc_id, CASE WHEN count(*) >= 2 THEN round(stddev_pop(w) / avg(w), 6) ELSE 0 END AS v FROM w GROUP BY 1)
@@ -708,9 +746,19 @@ def taxonomy(spark, d):
     return panel.taxonomy(spark).select("id", "family", "label", F.size("det").alias("n_det"))
 
 
-@query()
+def _block_sql(rows: list) -> str:
+    return lit("\n".join(f"{k}. {label} [{family}] — {L.PROBES[c][1]}." for k, (c, family, label, _) in enumerate(rows, 1)))
+
+
+@query(f"SELECT 'all' AS asked, {_block_sql(L.TAXONOMY)} AS block UNION ALL SELECT 'judged', {_block_sql([t for t in L.TAXONOMY if not t[3]])}")
 def judge_block(spark, d):
-    return panel.judge_block(spark, only_judged=True)
+    whole = panel.judge_block(spark).withColumn("asked", F.lit("all"))
+    return whole.unionByName(panel.judge_block(spark, only_judged=True).withColumn("asked", F.lit("judged")))
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({lit(r)}, {k}, {lit(c)}, {lit(f)}, {lit(l)})' for r, ids in L.REGISTERS.items() for k, i in enumerate(ids.split()) for c, f, l, _ in L.TAXONOMY if c == i)}) t(register, pos, id, family, label)")
+def register_categories(spark, d):
+    return panel.registers(spark)
 
 
 @query()
