@@ -1,7 +1,7 @@
 """Queries over the driver's tables and their twins in an SQL engine.
 
-English documents are the texts, ``source`` is the group; quality labels make
-two sides.  Compared values are counts, exact steps, or rounded.
+All documents, of any language, are the texts, ``source`` is the group; quality
+labels make two sides.  Compared values are counts, exact steps, or rounded.
 """
 
 from __future__ import annotations
@@ -32,18 +32,18 @@ def query(sql: str | None = None):
     return keep
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", F.col("source").alias("grp"), "text")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("grp"), "text")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents above the corpus word floor."""
-    return english(spark, sf_dir).where(F.regexp_count(T.prose(F.col("text")), F.lit(T.WORD)) > LONG_WORDS)
+    """Documents above the corpus word floor."""
+    return documents(spark, sf_dir).where(F.regexp_count(T.prose(F.col("text")), F.lit(T.WORD)) > LONG_WORDS)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("side"))
-    return english(spark, sf_dir).join(labels.where("quality is not null"), "doc_id")
+    return documents(spark, sf_dir).join(labels.where("quality is not null"), "doc_id")
 
 
 # --- SQL building blocks -----------------------------------------------------
@@ -79,16 +79,21 @@ def no_parens_sql(text: str) -> str:
     return f"regexp_replace({text}, {lit(PARENS)}, '', 'g')"
 
 
-DOCS = "docs AS (SELECT doc_id, source AS grp, text FROM documents WHERE lang = 'en')"
+def marked_sql(text: str) -> str:
+    """Accented letters as underscores: the twin's word boundaries know ASCII only."""
+    return f"regexp_replace({text}, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g')"
+
+
+DOCS = "docs AS (SELECT doc_id, source AS grp, text FROM documents)"
 VIEWS = f"""{DOCS},
 v0 AS (SELECT doc_id, grp, replace(coalesce(text, ''), chr(160), ' ') AS raw, {prose_sql('text')} AS p FROM docs),
 v1 AS (SELECT *, replace({no_parens_sql('p')}, 'et al.', 'et al') AS pc FROM v0),
-v2 AS (SELECT *, lower(pc) AS low, greatest({n_sql('pc', T.WORD)}, 1) AS words, {sents_sql('pc', 4)} AS sents FROM v1)"""
+v2 AS (SELECT *, lower(pc) AS low, {marked_sql('lower(pc)')} AS marked, greatest({n_sql('pc', T.WORD)}, 1) AS words, {sents_sql('pc', 4)} AS sents FROM v1)"""
 FIXED_VIEWS = VIEWS.replace(DOCS, f"{fixtures.sql('f_docs')}, docs AS (SELECT * FROM f_docs)")
 
 
 def _count_sql() -> dict[str, str]:
-    out = {n: n_sql(b, *ps) for n, (b, ps) in L.SHAPE.items()}
+    out = {n: n_sql("marked" if b == "low" and not any(r"\w" in p for p in ps) else b, *ps) for n, (b, ps) in L.SHAPE.items()}
     out["para_open_The"] = "len(list_filter(sents, lambda s: starts_with(s, 'The ')))"
     out["transition_open"] = f"len(list_filter(sents, lambda s: regexp_matches(s, {lit(L.TRANSITION_OPEN)})))"
     out["bold_run"] = f"len(list_filter(string_split(raw, chr(10)), lambda x: NOT regexp_matches(x, {lit(L.LIST_LINE)}) AND regexp_matches(x, {lit(L.BOLD_IN_LINE)})))"
@@ -132,7 +137,7 @@ def corpus_filter(spark, d):
 
 @query(f"WITH {VIEWS} SELECT doc_id, CAST(words AS BIGINT) AS words, CAST(len(regexp_extract_all(low, '[a-z]+')) AS BIGINT) AS tokens, CAST(len(sents) AS BIGINT) AS sentences FROM v2")
 def token_stats(spark, d):
-    return shape.views(english(spark, d), KEYS).select("doc_id", F.col("words").cast("long").alias("words"), F.size(T.tokens(F.col("low"))).cast("long").alias("tokens"), F.size("sents").cast("long").alias("sentences"))
+    return shape.views(documents(spark, d), KEYS).select("doc_id", F.col("words").cast("long").alias("words"), F.size(T.tokens(F.col("low"))).cast("long").alias("tokens"), F.size("sents").cast("long").alias("sentences"))
 
 
 @query(f"WITH {FIXED_VIEWS} SELECT doc_id, p AS prose, CAST(words AS BIGINT) AS words FROM v2")
@@ -142,12 +147,12 @@ def prose_views(spark, d):
 
 @query(f"WITH {FEATURES} SELECT doc_id, mean_sent, burstiness_CV, pct_short FROM feats")
 def sentence_rhythm(spark, d):
-    return shape.features(english(spark, d), KEYS).select("doc_id", "mean_sent", "burstiness_CV", "pct_short")
+    return shape.features(documents(spark, d), KEYS).select("doc_id", "mean_sent", "burstiness_CV", "pct_short")
 
 
 @query(f"WITH {VIEWS} SELECT doc_id, CAST(words AS BIGINT) AS words, {SHAPE_SELECT} FROM v2")
 def shape_counts(spark, d):
-    return shape.shape_counts(english(spark, d), KEYS).withColumn("words", F.col("words").cast("long"))
+    return shape.shape_counts(documents(spark, d), KEYS).withColumn("words", F.col("words").cast("long"))
 
 
 @query(f"WITH {FIXED_VIEWS} SELECT doc_id, CAST(words AS BIGINT) AS words, {SHAPE_SELECT} FROM v2")
@@ -157,7 +162,7 @@ def shape_counts_golden(spark, d):
 
 @query(f"WITH {FEATURES} SELECT doc_id, feature, value FROM fl")
 def shape_rates(spark, d):
-    return shape.long(shape.features(english(spark, d), KEYS), KEYS)
+    return shape.long(shape.features(documents(spark, d), KEYS), KEYS)
 
 
 _BASE = ", ".join(f"({lit(f)}, {L.DEFAULTS.get(f, L.MISSING_DEFAULT)}::DOUBLE, {L.BANDS.get(f, ('NULL', 'NULL'))[0]}, {L.BANDS.get(f, ('NULL', 'NULL'))[1]})" for f in L.FEATURES)
@@ -207,9 +212,9 @@ def fw_verdict(spark, d):
 
 
 @query(f"""WITH {LOO}, r AS (SELECT grp, doc_id, word, round(z, 6) AS zr FROM z WHERE round(z, 6) > 3)
-SELECT grp, doc_id, CAST(row_number() OVER (PARTITION BY grp, doc_id ORDER BY zr DESC, word) AS INTEGER) AS rank, word, round(zr, 4) AS z FROM r QUALIFY rank <= 8""")
+SELECT grp, doc_id, CAST(row_number() OVER (PARTITION BY grp, doc_id ORDER BY zr DESC, word) AS INTEGER) AS rank, word, zr AS z FROM r QUALIFY rank <= 8""")
 def overused_words(spark, d):
-    return distance.overused(corpus(spark, d), "grp", "doc_id").withColumn("z", F.round("z", 4))
+    return distance.overused(corpus(spark, d), "grp", "doc_id")
 
 
 # --- lexical -----------------------------------------------------------------
@@ -224,7 +229,7 @@ e AS (SELECT *, words::DOUBLE / greatest(sentences, 1) AS wps, syllables::DOUBLE
 SELECT doc_id, words, sentences, syllables, complex_words, round(206.835::DOUBLE - 1.015::DOUBLE * (greatest(words, 1)::DOUBLE / greatest(sentences, 1)) - 84.6::DOUBLE * spw, 6) AS flesch_ease,
   round(0.39::DOUBLE * (greatest(words, 1)::DOUBLE / greatest(sentences, 1)) + 11.8::DOUBLE * spw - 15.59::DOUBLE, 6) AS fk_grade, round(0.4::DOUBLE * ((greatest(words, 1)::DOUBLE / greatest(sentences, 1)) + cx), 6) AS gunning_fog FROM e""")
 def readability(spark, d):
-    rows = lexical.readability(english(spark, d), KEYS)
+    rows = lexical.readability(documents(spark, d), KEYS)
     return rows.select("doc_id", "words", "sentences", "syllables", "complex_words", "flesch_ease", "fk_grade", "gunning_fog")
 
 
@@ -232,7 +237,7 @@ def readability(spark, d):
 SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_filter(t, lambda x: x NOT IN {words_sql(L.FUNCTION_WORDS)})) AS BIGINT) AS content, CAST(len(w) AS BIGINT) AS long_tokens,
   CAST(len(list_filter(w, lambda x: regexp_matches(x, {lit(L.NOMINAL_SUFFIX)}) AND x NOT IN {words_sql(L.NOMINAL_STOP)})) AS BIGINT) AS nominal FROM a""")
 def lexical_densities(spark, d):
-    return lexical.densities(english(spark, d), KEYS).select("doc_id", "tokens", "content", "long_tokens", "nominal")
+    return lexical.densities(documents(spark, d), KEYS).select("doc_id", "tokens", "content", "long_tokens", "nominal")
 
 
 def stems_sql(text: str) -> str:
@@ -247,19 +252,19 @@ g AS (SELECT doc_id, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i]
 c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT a.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS trigrams, CAST(coalesce(sum(CASE WHEN n > 1 THEN n ELSE 0 END), 0) AS BIGINT) AS repeated FROM a LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def trigram_repetition(spark, d):
-    return lexical.trigram_repetition(english(spark, d), KEYS).select("doc_id", "trigrams", "repeated")
+    return lexical.trigram_repetition(documents(spark, d), KEYS).select("doc_id", "trigrams", "repeated")
 
 
 @query(f"""WITH {VIEWS}, a AS (SELECT doc_id, {no_parens_sql('p')} AS pc FROM v0), b AS (SELECT doc_id, pc, lower(pc) AS low FROM a)
-SELECT doc_id, CAST(len(regexp_extract_all(low, '[a-z]+')) AS BIGINT) AS tokens, CAST(greatest(len({sents_sql('pc', 4)}), 1) AS BIGINT) AS sentences, CAST({n_sql('low', L.SUBORDINATORS)} AS BIGINT) AS subordinators,
+SELECT doc_id, CAST(len(regexp_extract_all(low, '[a-z]+')) AS BIGINT) AS tokens, CAST(greatest(len({sents_sql('pc', 4)}), 1) AS BIGINT) AS sentences, CAST({n_sql(marked_sql('low'), L.SUBORDINATORS)} AS BIGINT) AS subordinators,
   CAST({n_sql('low', ',')} AS BIGINT) AS commas, CAST(len(list_filter(regexp_extract_all(low, '[a-z]+'), lambda x: x IN {words_sql(L.FUNCTION_WORDS)})) AS BIGINT) AS function_words FROM b""")
 def clause_profile(spark, d):
-    return lexical.clause_profile(english(spark, d), KEYS).select("doc_id", "tokens", "sentences", "subordinators", "commas", "function_words")
+    return lexical.clause_profile(documents(spark, d), KEYS).select("doc_id", "tokens", "sentences", "subordinators", "commas", "function_words")
 
 
 @query()
 def lexical_diversity(spark, d):
-    return discourse.voice(english(spark, d), KEYS)
+    return discourse.voice(documents(spark, d), KEYS)
 
 
 # --- discourse ---------------------------------------------------------------
@@ -278,7 +283,7 @@ _DISCOURSE_SQL = ", v9 AS (SELECT * REPLACE (regexp_replace(p, '[\u00c0-\u024f]'
 
 @query(f"WITH {VIEWS} {_DISCOURSE_SQL}")
 def discourse_counts(spark, d):
-    return discourse.counts(english(spark, d), KEYS)
+    return discourse.counts(documents(spark, d), KEYS)
 
 
 @query(f"WITH {FIXED_VIEWS} {_DISCOURSE_SQL}")
@@ -292,7 +297,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(len(list_filter(CASE WH
 
 @query(f"WITH {VIEWS} {_CAVEAT_SQL}")
 def caveat_order_documents(spark, d):
-    return discourse.caveat_order(english(spark, d), KEYS)
+    return discourse.caveat_order(documents(spark, d), KEYS)
 
 
 @query(f"WITH {FIXED_VIEWS} {_CAVEAT_SQL}")
@@ -304,12 +309,12 @@ def caveat_order(spark, d):
 b AS (SELECT doc_id, list_filter(list_transform(range(1, len(c)), lambda i: CASE WHEN least(len(c[i]), len(c[i + 1])) > 0 THEN len(list_intersect(c[i], c[i + 1]))::DOUBLE / least(len(c[i]), len(c[i + 1])) END), lambda x: x IS NOT NULL) AS r FROM a)
 SELECT doc_id, CAST(len(r) AS BIGINT) AS pairs, round(coalesce(list_sum(r), 0) / greatest(len(r), 1), 6) AS referential_cohesion FROM b""")
 def cohesion(spark, d):
-    return discourse.cohesion(english(spark, d), KEYS)
+    return discourse.cohesion(documents(spark, d), KEYS)
 
 
 @query()
 def hedge_rhythm(spark, d):
-    return discourse.hedge_rhythm(english(spark, d), KEYS)
+    return discourse.hedge_rhythm(documents(spark, d), KEYS)
 
 
 @query()
@@ -641,7 +646,7 @@ def genre_resolution(spark, d):
 
 @query()
 def genre_resolution_documents(spark, d):
-    return structure.resolve_genre(english(spark, d), "grp")
+    return structure.resolve_genre(documents(spark, d), "grp")
 
 
 @query(f"""WITH {_SECTIONS}, w AS (SELECT doc_id, greatest({n_sql(prose_sql('body'), T.WORD)}, 1) AS w FROM sec), c AS (SELECT doc_id, CASE WHEN count(*) >= 2 THEN round(stddev_pop(w) / avg(w), 6) ELSE 0 END AS v FROM w GROUP BY 1)
