@@ -82,13 +82,13 @@ def axis_correlations(rows: DataFrame, key: str, side: str, vector: str, feature
 def probe(rows: DataFrame, vector: str, target: str, alpha: float = 1.0, folds: int = 5, seed: int = 0) -> float:
     """Cross-validated R2 of a ridge probe from vectors to a feature, 0 at least.
 
-    Folds by a hash of the row; ``alpha`` is a sum-of-squares penalty, which is
+    Folds by a hash of the vector, so equal targets spread over folds; ``alpha`` is a sum-of-squares penalty, which is
     what the library's per-row penalty times the row count is."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    data = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y")).withColumn("fold", F.pmod(F.xxhash64("y", F.lit(seed)), F.lit(folds))).persist()
+    data = rows.select(F.col(vector).alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y")).withColumn("fold", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(folds))).drop("v").persist()
     score, used = RegressionEvaluator(labelCol="y", metricName="r2"), []
     for k in range(folds):
         train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)

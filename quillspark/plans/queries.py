@@ -445,23 +445,13 @@ def register_card_documents(spark, d):
 
 
 def _vectors(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("label in (0, 1)")
-    return rows.select("vec_id", F.col("label").cast("int").alias("side"), "embedding")
-
-
-def _all_vectors(spark, d):
     """Every vector: labels from 5 on against the rest."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
     return rows.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("side"), "embedding")
 
 
-def whole_sql(sql: str) -> str:
-    """The same over every row of ``embeddings``."""
-    return sql.replace("label AS side", "CASE WHEN label >= 5 THEN 1 ELSE 0 END AS side").replace(" WHERE label IN (0, 1)", "")
-
-
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12))"
-_VEC = f"""vv AS (SELECT vec_id, label AS side, {_UNIT} AS v FROM embeddings WHERE label IN (0, 1)),
+_VEC = f"""vv AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS side, {_UNIT} AS v FROM embeddings),
 uu AS (SELECT vec_id, side, unnest(v) AS x, unnest(range(len(v))) AS i FROM vv),
 ss AS (SELECT side, i, sum(x) AS s FROM uu GROUP BY ALL),
 pp AS (SELECT u.vec_id, u.side, p.side AS proto, u.x, CASE WHEN p.side = u.side THEN p.s - u.x ELSE p.s END AS y FROM uu u JOIN ss p ON p.i = u.i),
@@ -479,13 +469,7 @@ def prototype_margins(spark, d):
     return vectors.margin_verdicts(vectors.prototype_margins(rows, "vec_id", "side", "embedding"), "side", "vec_id")
 
 
-@query(whole_sql(_MARGINS))
-def prototype_margins_whole(spark, d):
-    rows = _all_vectors(spark, d)
-    return vectors.margin_verdicts(vectors.prototype_margins(rows, "vec_id", "side", "embedding"), "side", "vec_id")
-
-
-_AXIS = """WITH e AS (SELECT vec_id, label AS side, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (0, 1)),
+_AXIS = """WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS side, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT vec_id, side, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
 m AS (SELECT i, avg(x) FILTER (side = 1) - avg(x) FILTER (side = 0) AS a FROM u GROUP BY 1),
 p AS (SELECT vec_id, sum(x * a) / (SELECT sqrt(sum(a * a)) FROM m) AS t FROM u JOIN m USING (i) GROUP BY 1)
@@ -502,15 +486,15 @@ def axis_correlations(spark, d):
     return _axis(_vectors(spark, d))
 
 
-@query(whole_sql(_AXIS))
-def axis_correlations_whole(spark, d):
-    return _axis(_all_vectors(spark, d))
-
-
 @query()
 def probe_r2(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    r2 = {n: vectors.probe(rows.withColumn("y", F.get("embedding", F.lit(k)) * 2 + F.get("embedding", F.lit(5))), "embedding", "y") for n, k in (("first", 0), ("second", 1))}
+    """How well vectors tell their side and two made-up targets: a component with
+    as much noise as signal, and noise alone."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("label is not null")
+    noise = F.pmod(F.xxhash64("vec_id"), F.lit(2001)) / 1000.0 - 1.0
+    spread = rows.select(F.stddev_pop(F.get("embedding", F.lit(0))).alias("s")).first().s or 1.0
+    targets = {"side": F.when(F.col("label") >= 5, 1.0).otherwise(0.0), "half": F.get("embedding", F.lit(0)) / spread + noise * 3**0.5, "noise": noise}
+    r2 = {n: vectors.probe(rows.withColumn("y", y), "embedding", "y") for n, y in targets.items()}
     return spark.createDataFrame([(k, round(v, 3)) for k, v in r2.items()], "feature string, r2 double")
 
 
