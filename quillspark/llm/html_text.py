@@ -6,10 +6,16 @@ blocks.  Pass one decides blocks by length, link density and stop-word density:
 good, bad, or open.  Pass two lets each open block inherit the label of its
 nearest decided neighbours; where they differ, or there are none, an article
 container counts for it, and outside one it goes.  If article (or main) regions
-hold at least as much good text as the rest, blocks outside them are boilerplate;
-else the regions count for nothing.  A page without a good block keeps its
+hold at least as much good text as the rest, blocks outside them are boilerplate
+and links decide nothing inside; else the regions count for nothing.  A page
+without a good block (as in languages whose stop words aren't listed) keeps its
 longest run of open ones.
 
+An article element counts as such if its own attributes don't say otherwise and
+it stands in no other article and no dropped region.  One exception: a region
+whose end tag is missing from there on doesn't hold the article.  Inside an
+article a class or id marks a region only if all its words are marks.
+
 Null html is empty and gives an empty text.  Texts are whole: nothing is capped.
 Repeated rows each give a row; an empty table gives none.
 """
@@ -41,6 +47,10 @@ DROPPED_WORDS = re.compile(
     r"|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar|pagination|pager"
     r"|comments?|commentlist|respond|replies|disqus|social|share|sharing|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|copyright|disclaimer|widget)"
 )
+#: Words that may stand beside such words in the name of a region.
+BESIDE = frozenset("site page main top bottom left right list lists item items section box bar container wrapper wrap block area inner outer post posts article articles link links button buttons slot unit thread content js global sticky fixed".split())
+#: Regions that hold articles of their own, none of them the page's.
+HOLDS_ARTICLES = re.compile(r"comments?|commentlist|respond|replies|disqus|related|recommended|recommendations|sidebar|promo(?:tion|tions)?|sponsor(?:ed|s)?")
 NOT_DROPPED_AFTER = frozenset("no with has without hide".split())
 
 # Frequent function words of the languages covered.
@@ -72,32 +82,47 @@ class Block:
         self.linked, self.inside, self.heading = 0, inside, heading
 
 
-def _dropped(tag: str, attributes: str) -> bool:
-    """Whether an element's own tag or attributes put it outside the article."""
+KEPT, MAYBE, SURELY = 0, 1, 2
+
+
+def _marked(group: str, inside: bool) -> int:
+    """Whether a class or id names a region outside the article."""
+    words = [w for w in re.split(r"[^a-z0-9]+", group) if w]
+    marks = [w for k, w in enumerate(words) if DROPPED_WORDS.fullmatch(w) and (not k or words[k - 1] not in NOT_DROPPED_AFTER)]
+    if not marks or (inside and not all(w in marks or w in BESIDE or w.isdigit() for w in words)):
+        return KEPT
+    return SURELY if any(HOLDS_ARTICLES.fullmatch(w) for w in marks) else MAYBE
+
+
+def _dropped(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element's own tag or attributes put it outside the article;
+    surely, if an article in it can't be the page's."""
+    found = KEPT
     if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        found = SURELY if tag in ("aside", "form", "dialog", "head") else MAYBE
+    if not attributes or tag in ("html", "body"):
+        return found
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROPPED_ROLES):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            return SURELY
+        if name == "role" and value in DROPPED_ROLES:
+            found = max(found, SURELY if value in ("complementary", "dialog", "alertdialog") else MAYBE)
         if name in ("class", "id"):
-            for group in value.split():
-                words = re.split(r"[^a-z0-9]+", group)
-                if any(DROPPED_WORDS.fullmatch(w) and (not k or words[k - 1] not in NOT_DROPPED_AFTER) for k, w in enumerate(words)):
-                    return True
-    return False
+            whole = inside or tag in CONTAINERS
+            found = max([found, *(_marked(g, whole) for g in value.split())])
+    return found
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, without dropped regions."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool]] = []  # tag and whether it starts a dropped region
+    open_tags: list[tuple[str, int]] = []  # tag and whether it starts a dropped region
+    counts: dict[str, int] = {}
+    open_blocks: list[int] = []  # places of block-level tags in open_tags
+    last_end: dict[str, int] = {}  # where a tag's last end tag stands
     dropped = inside = links = breaks = 0
-    saved: list[int] = []
+    saved: list[tuple[int, int]] = []
     now: Block | None = None
     at = 0
 
@@ -118,11 +143,29 @@ def blocks(html: str) -> list[Block]:
         nonlocal dropped, inside, links
         while len(open_tags) > upto:
             tag, drops = open_tags.pop()
-            dropped -= drops
+            counts[tag] -= 1
+            if open_blocks and open_blocks[-1] == len(open_tags):
+                open_blocks.pop()
             links -= tag == "a"
             if tag in CONTAINERS:
-                inside -= 1
-                dropped = saved.pop()
+                dropped, inside = saved.pop()
+            else:
+                dropped -= drops > 0
+
+    def enter(tag: str, drops: int) -> None:
+        if tag in BLOCKS:
+            open_blocks.append(len(open_tags))
+        counts[tag] = counts.get(tag, 0) + 1
+        open_tags.append((tag, drops))
+
+    def closed_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", html, re.I)), default=-1)
+        return last_end[tag] >= at
+
+    def holds_no_article() -> bool:
+        """Whether an article that starts here stands in a dropped region."""
+        return any(d == SURELY or (d and closed_later(t)) for t, d in open_tags)
 
     while match := TAG.search(html, at):
         if match.start() > at:
@@ -141,10 +184,11 @@ def blocks(html: str) -> list[Block]:
             now, breaks = None, 0
         if closing:
             # a stray end tag closes nothing; others close what stands inside
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    leave(k)
-                    break
+            if counts.get(tag):
+                k = len(open_tags) - 1
+                while open_tags[k][0] != tag:
+                    k -= 1
+                leave(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -152,28 +196,22 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in ("p", "li") or tag in HEADINGS:  # an open paragraph ends here
-            for k in range(len(open_tags) - 1, -1, -1):
-                own = open_tags[k][0]
-                if own == tag or own == "p":
-                    leave(k)
-                    break
-                if own in BLOCKS:
-                    break
-        elif tag in BLOCKS and any(t == "p" for t, _ in open_tags[-3:]):
-            k = max(i for i, (t, _) in enumerate(open_tags) if t == "p")
-            leave(k)
+        if tag in BLOCKS and open_blocks:  # an open paragraph ends here
+            own = open_tags[open_blocks[-1]][0]
+            if own == "p" or (own == tag and (tag == "li" or tag in HEADINGS)):
+                leave(open_blocks[-1])
         if tag == "a":
             links += 1
-        if tag in CONTAINERS:  # an article inside an unclosed region still counts
-            saved.append(dropped)
-            inside += 1
-            dropped = 0
-            open_tags.append((tag, False))
+        if tag in CONTAINERS:
+            away = _dropped(tag, attributes, inside > 0) > 0 or (dropped > 0 and (inside > 0 or holds_no_article()))
+            saved.append((dropped, inside))
+            dropped = dropped + 1 if away else 0
+            inside += not away
+            enter(tag, KEPT)
             continue
-        drops = _dropped(tag, attributes) or (tag == "header" and not inside)
-        dropped += drops
-        open_tags.append((tag, drops))
+        drops = _dropped(tag, attributes, inside > 0) or (MAYBE if tag == "header" and not inside else KEPT)
+        dropped += drops > 0
+        enter(tag, drops)
     rest = html[at:]
     # a tag cut off by the end of the page is markup, not text
     cut = rest.rfind("<")
@@ -241,8 +279,9 @@ def main_text(html: str | None) -> str:
         for (b, t), label in zip(kept, labels):
             good[b.inside] += len(t) * (label == GOOD)
         if good[True] >= good[False]:
-            kept, labels = [x for x in kept if x[0].inside], [x for x, i in zip(labels, inside) if i]
-            inside = [True] * len(kept)
+            # what the article links to is part of it
+            kept = [x for x in kept if x[0].inside]
+            labels, inside = [first_pass(t, 0, b.heading) for b, t in kept], [True] * len(kept)
         else:
             inside = [False] * len(kept)
     decided = second_pass(labels, inside)

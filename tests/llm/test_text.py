@@ -1,4 +1,5 @@
 import random
+import time
 
 from quillspark.llm import html_text, toxicity
 
@@ -28,6 +29,36 @@ def test_pages_without_good_blocks_and_teaser_articles():
     assert html_text.main_text(f"<p>{good}</p><article><p>{good}</p><p>{good}</p></article>") == f"{good}\n{good}"
 
 
+GOOD = "The cat sat on the mat and it was glad that the dog had gone to the end of the road with all of them."
+
+
+def test_articles_that_are_not_the_article():
+    page = f"<article><p>{GOOD}</p></article>"
+    comment = "<article><p>A reader said that it was all very good and to the point.</p></article>"
+    assert html_text.main_text(f'{page}<section id="comments"><ol class="comment-list"><li>{comment}</li></ol></section>') == GOOD
+    assert html_text.main_text(f'<article><p>{GOOD}</p><div class="comments">{comment}</div></article>') == GOOD
+    for other in ('<aside><article class="teaser"><p>More of it</p></article></aside>', "<article hidden><p>Not yet</p></article>", '<article class="comment"><p>Mine</p></article>', "<footer><article><p>Foot</p></article></footer>"):
+        assert html_text.main_text(page + other) == html_text.main_text(other + page) == GOOD
+    assert html_text.main_text(f"<nav><ul><li>Menu{page}") == GOOD  # the menu was never closed
+
+
+def test_nothing_else_of_the_article_goes():
+    parts = [f"<p>{GOOD}</p>", '<p><a href="x">All of this paragraph is a link</a></p>', "<ul><li><a href=y>Linked item</a></li></ul>", "<figure><img src=z><figcaption>A caption</figcaption></figure>",
+             '<div class="header-image-caption"><p>Header image</p></div>', '<p class="notice-board">On the board</p>']
+    text = [GOOD, "All of this paragraph is a link", "Linked item", "A caption", "Header image", "On the board"]
+    assert html_text.main_text(f"<article>{''.join(parts)}<div class='cookie-notice'>Cookies</div></article>") == "\n".join(text)
+    words = "東京の天気は晴れです。" * 20
+    assert html_text.main_text(f"<div><a href=1>ホーム</a></div><p>{words}</p><p>{words}</p>") == f"{words}\n{words}"
+
+
+def test_long_and_hostile_pages():
+    began = time.time()
+    for piece in ("<div></x>", "<span><p></p>", "<b><li></li>", "<a '", "</div><p>", "<!--", '<article><nav>'):
+        html_text.main_text(piece * (500_000 // len(piece)))
+    assert len(html_text.main_text("<article>" + f"<p>{GOOD}</p>" * 50_000)) == 50_000 * (len(GOOD) + 1) - 1
+    assert time.time() - began < 60
+
+
 def test_degenerate_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a") == ""
     assert html_text.main_text("<article><p>cut off <a hre") == "cut off"
