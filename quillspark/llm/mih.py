@@ -8,10 +8,16 @@ until the k-th verified distance is covered by what has been probed.
 ``nearest`` retrieves every code within one radius of learned, rotated codes
 and reranks by the original vectors.
 
+Each table is an array of offsets by substring value: a probe of radius r looks
+up the query's substring under every mask of r bits, or, where the table holds
+fewer values than there are masks, compares those values.
+
 Rows with equal payloads are searched once and carry only the smallest k + 1
 ids, which is exact: no other copy can be among k answers.  The rest is dealt to
-shards, and distinct queries to blocks; each (shard, block) pair is one bounded
-task, and the shards' answers are merged by a window per query.
+shards, and distinct queries to blocks of as many as a task may hold; each
+(shard, block) pair is one bounded task that indexes its shard, and the shards'
+answers are merged by a window per query.  Rows are sent once per block, so up
+to ``BLOCK_QUERIES`` distinct queries once.
 
 Null vectors, vectors with null or non-finite components, zero vectors, and
 vectors whose length isn't the table's most common one (ties: the shorter) take
@@ -28,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .runtime import stage
+
 BITS = 16
 #: Rows of a shard and distinct queries of a block at most: bounds of a task.
 SHARD_ROWS = 1 << 16
 BLOCK_QUERIES = 8192
+#: Rows that make a shard worth a task of its own where partitions are free.
+LEAST_ROWS = 1 << 11
 #: Rows that rotations and the radius are learned from.
 FIT_ROWS = 4096
 #: Code length of ``nearest`` in rotations of the vector's length.
@@ -40,6 +50,13 @@ ROTATIONS = 4
 COVERED = 0.985
 
 
+_values = np.arange(1 << BITS, dtype=np.uint16)
+_weights = np.bitwise_count(_values)
+#: All masks, by weight, and where each weight begins.
+MASKS = _values[np.argsort(_weights, kind="stable")]
+MASK_STARTS = np.concatenate([[0], np.cumsum(np.bincount(_weights, minlength=BITS + 1))])
+
+
 class MultiIndex:
     """Tables over the substrings of codes, an array of n x bytes."""
 
@@ -50,13 +67,12 @@ class MultiIndex:
         self.n, self.words = len(codes), padded.view("<u8")
         self.used = -(-codes.shape[1] * 8 // BITS)
         self.parts = padded.view("<u2")[:, : self.used]
-        self.order, self.values, self.starts = [], [], []
+        self.order, self.values, self.offsets = [], [], []
         for j in range(self.used):
-            order = np.argsort(self.parts[:, j], kind="stable")
-            values, starts = np.unique(self.parts[order, j], return_index=True)
-            self.order.append(order)
-            self.values.append(values)
-            self.starts.append(np.append(starts, len(order)))
+            sizes = np.bincount(self.parts[:, j], minlength=1 << BITS)
+            self.order.append(np.argsort(self.parts[:, j], kind="stable"))
+            self.values.append(np.flatnonzero(sizes).astype(np.uint16))
+            self.offsets.append(np.concatenate([[0], np.cumsum(sizes)]))
 
     def query(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         padded = np.zeros(self.words.shape[1] * 8, np.uint8)
@@ -65,13 +81,19 @@ class MultiIndex:
 
     def probe(self, part: np.ndarray, j: int, low: int, high: int) -> np.ndarray:
         """Rows whose j-th substring is ``low`` to ``high`` bits from the query's."""
-        values, starts = self.values[j], self.starts[j]
-        away = np.bitwise_count(values ^ part[j])
-        at = np.flatnonzero((away >= low) & (away <= high))
-        sizes = starts[at + 1] - starts[at]
-        if not len(at) or not sizes.sum():
+        first, last = MASK_STARTS[low], MASK_STARTS[high + 1]
+        if last - first < len(self.values[j]):
+            values = part[j] ^ MASKS[first:last]
+        else:
+            away = np.bitwise_count(self.values[j] ^ part[j])
+            values = self.values[j][(away >= low) & (away <= high)]
+        at = values.astype(np.int64)
+        starts, ends = self.offsets[j][at], self.offsets[j][at + 1]
+        held = ends > starts
+        starts, sizes = starts[held], (ends - starts)[held]
+        if not len(sizes):
             return np.zeros(0, np.int64)
-        rows = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        rows = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return self.order[j][rows]
 
     def distance(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -160,11 +182,12 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, kernel, score: str) ->
     keep = k + 1
     salted = rows.groupBy("payload", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"))
     distinct = salted.groupBy("payload").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
-    distinct = distinct.withColumn("key", F.xxhash64("payload")).persist()
+    distinct = stage(distinct.withColumn("key", F.xxhash64("payload")), "distinct")
     asked = queries.select("payload").distinct().withColumn("key", F.xxhash64("payload"))
     n_rows, n_asked = distinct.count(), asked.count()
-    shards = max(1, -(-n_rows // SHARD_ROWS))
-    blocks = max(-(-n_asked // BLOCK_QUERIES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_asked // 64)), 1)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-n_rows // SHARD_ROWS), min(partitions, -(-n_rows // LEAST_ROWS)))
+    blocks = max(1, -(-n_asked // BLOCK_QUERIES))
     rows_out = distinct.select(F.lit(0).alias("asks"), "payload", "ids", F.pmod(F.hash("key"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked_out = asked.select(F.lit(1).alias("asks"), "payload", F.lit(None).cast("array<long>").alias("ids"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.hash("key", F.lit(1)), F.lit(blocks)).alias("block"))
     kind = dict(distinct.dtypes)["payload"]

@@ -1,7 +1,11 @@
+import os
+
 import numpy as np
+import pytest
 
 from quillspark.llm import mih
 
+DATA = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
@@ -76,3 +80,32 @@ def test_few_or_no_vectors(spark):
     assert mih.exact_topk(table(spark, [None]), lambda i: i % 2 == 0).count() == 0
     three = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]
     assert [(r.query_id, r.vec_id) for r in mih.nearest(table(spark, three), lambda i: i == 0).orderBy("rank").collect()] == [(0, 1), (0, 2)]
+
+
+def test_probes_by_masks_equal_a_scan():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    index = mih.MultiIndex(codes)
+    words = codes.view("<u2")
+    for q in range(20):
+        part = index.query(codes[q])[1]
+        for j in range(4):
+            away = np.bitwise_count(words[:, j] ^ part[j])
+            for low, high in ((0, 0), (1, 1), (0, 2), (3, 5), (16, 16)):
+                assert sorted(index.probe(part, j, low, high)) == np.flatnonzero((away >= low) & (away <= high)).tolist()
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
+def test_recall_on_the_embeddings_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    found = {(r.query_id, r.vec_id) for r in mih.nearest(rows, lambda i: i % 5 == 0).collect()}
+    ids, data = zip(*[(r.vec_id, r.embedding) for r in rows.select("vec_id", "embedding").collect()])
+    data, right, total = np.array(data, np.float64), 0, 0
+    for k, i in enumerate(ids):
+        if i % 5 == 0:
+            away = ((data - data[k]) ** 2).sum(1)
+            away[k] = np.inf
+            near = np.argsort(away, kind="stable")[:10]
+            right += sum((i, ids[n]) in found for n in near)
+            total += len(near)
+    assert right >= 0.9 * total
