@@ -10,11 +10,11 @@ shingle.  A shingle's posting list is cut into blocks by set size and position:
   front and the back of its sets.  Two blocks are joined only if their bands are
   the same or adjacent and their best places leave room for the overlap the
   threshold asks for; rows of joined blocks are then filtered by their own;
-* answer-level skipping: in each of a few rounds every list offers one pivot to
-  its nodes, and each node is compared with the one whose signature is nearest
-  over all its lists.  Nodes similar to a pivot take over the pivot's component
-  as their answer; afterwards only pairs still in different components are
-  compared.
+* answer-level skipping: in each round every list offers a few pivots; each node
+  is compared with the one whose signature is nearest among those it shares more
+  than one posted shingle with.  Nodes similar to a pivot take over the pivot's
+  component as their answer; afterwards only pairs still in different components
+  are compared.
 
 A signature is the parity of a set's shingles in 256 cells.  Two signatures
 differ in no more bits than the sets differ in shingles, so a pair whose
@@ -56,9 +56,12 @@ SKETCH_CELLS = 1 << 23
 #: ordinary sets lie inside it.
 SKETCH_SHARE = 0.18
 SKETCH_PARTS = 64
-#: Cells of a set's signature, and rounds of pivots.
+#: Cells of a set's signature; rounds of pivots, and pivots of a list in each.
 SIGNATURE = 256
 ROUNDS = 2
+PIVOTS = 3
+#: Sets up to this size may try a pivot that they share one posting with.
+FEW = 20
 MEMO_WORDS = 200_000
 
 # Odd multipliers for combining word hashes.
@@ -248,18 +251,23 @@ def _reachable(num: int, den: int):
     return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
+def _apart(a: str, b: str):
+    """In how many bits two signatures differ."""
+    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SIGNS), F.lit(0)).cast("long")
+
+
+def _possible(a: str, b: str, num: int, den: int):
+    """Whether signatures leave the threshold possible: there, num of num + den
+    shingles of both sets are shared twice."""
+    return F.lit(num + den) * _apart(a, b) <= F.lit(den - num) * (F.col(f"{a}size").cast("long") + F.col(f"{b}size"))
+
+
 def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that signatures and sizes leave possible, with a's and b's
     size and the distance of their signatures."""
     x, y = (first.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(s).alias(f"{c}_{s}") for s in SIGNS]) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    apart = F.lit(0)
-    for s in SIGNS:
-        apart = apart + F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}")))
-    both = both.select("a", "b", "a_size", "b_size", apart.cast("long").alias("apart"))
-    sizes = F.col("a_size").cast("long") + F.col("b_size")
-    # at the threshold num of num + den shingles of both sets are shared twice
-    return both.where(F.lit(num + den) * F.col("apart") <= F.lit(den - num) * sizes)
+    return both.where(_possible("a_", "b_", num, den)).select("a", "b", "a_size", "b_size", _apart("a_", "b_").alias("apart"))
 
 
 def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
@@ -307,11 +315,14 @@ def _labelled(listed: DataFrame, links: DataFrame | None) -> tuple[DataFrame, Da
 
 def _pivots(labelled: DataFrame, first: DataFrame, num: int, den: int, salt: int) -> DataFrame:
     """For each node the pivot of another component with the nearest signature:
-    a list's pivot is its posting of the least salted label."""
-    pivot = F.min(F.struct(F.xxhash64("label", F.lit(salt)).alias("by"), "label", "node", "size", "place")).alias("p")
-    pivots = labelled.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", "node", "size", "place")])
+    a list's pivots are its nodes least by salted hashes."""
+    names = ["node", "label", "size", "place"]
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(salt * PIVOTS + k)).alias("by"), *names)) for k in range(PIVOTS)]
+    pivots = labelled.groupBy("token").agg(*[p.alias(f"p{k}") for k, p in enumerate(least)])
+    pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(f"p_{c}") for c in names]) for k in range(PIVOTS)]))).alias("p")).select("token", "p.*")
     tries = labelled.join(pivots, "token").where("label <> p_label").where(_fits("", "p_", num, den))
-    close = _close(tries.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct(), first, num, den)
+    shared = tries.groupBy(F.col("node").alias("a"), F.col("p_node").alias("b")).agg(F.count("*").alias("k"), F.min("size").alias("size"))
+    close = _close(shared.where((F.col("k") > 1) | (F.col("size") <= FEW)).select("a", "b"), first, num, den)
     best = close.groupBy("a").agg(F.min(F.struct("apart", "b", "a_size", "b_size")).alias("best"))
     return stage(best.select("a", F.col("best.b").alias("b"), F.col("best.a_size").alias("a_size"), F.col("best.b_size").alias("b_size")), "star")
 
@@ -320,17 +331,21 @@ def _either(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _across(labelled: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components whose blocks and places
-    fit."""
+def _across(labelled: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components whose blocks, places and
+    signatures fit, with their sizes."""
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    apart = labelled.join(main, "token")
-    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "label")], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
-    other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "label")])
+    apart = labelled.join(first.select("node", *SIGNS), "node").join(main, "token")
+    names = ["node", "size", "place", "label", *SIGNS]
+    minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
+    other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in names])
     once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    cross = minor.join(other, ["token", "band", "back"]).where((F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den))
-    return _either(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct()
+    fits = (F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den) & _possible("x_", "y_", num, den)
+    cross = minor.join(other, ["token", "band", "back"]).where(fits)
+    swap = F.col("x_node") > F.col("y_node")
+    sides = [F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")) for c in ("node", "size")] + [F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")) for c in ("node", "size")]
+    return cross.select(*[c.alias(n) for c, n in zip(sides, ("a", "a_size", "b", "b_size"))]).distinct()
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -363,14 +378,11 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         tried.append(star)
     # then pairs that are still apart
     labelled, answers = _labelled(listed, links)
-    cross = _across(labelled, num, den)
+    cross = _across(labelled, first, num, den)
     for star in tried:
         cross = cross.join(_either(star), ["a", "b"], "left_anti")
-    cross = stage(cross, "cross")
-    release(spark)
-    close = stage(_close(cross, first, num, den), "close")
+    close = stage(cross, "cross")
     unstage(listed)
-    unstage(cross)
     release(spark)
     more = _verified(known, close, first, n, num, den)
     named = answers.join(first, "node").groupBy("label").agg(F.min("first").alias("least"))
