@@ -73,8 +73,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     id and text: those that share an id are linked by their texts only, and null
     ids come last in a group.  Of rows with the same id and text one stays; of
     rows without words, which nothing links, all."""
+    docs = docs.select(*DOCUMENT_COLUMNS)
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    before = _texts_before(keyed, table(spark, sf_dir, "documents"))
+    before = _texts_before(keyed, table(spark, sf_dir, "documents").select("doc_id", "text"))
     texts = stage(keyed.select(F.col("_key").alias("doc_id"), "text").unionByName(before), "texts")
     groups = ngram_join.similar_components(texts, n=5, num=4, den=5)
     ids = keyed.select("_key", "doc_id").distinct()
