@@ -20,6 +20,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_alphabet
+from .runtime import stage, unstage
 
 #: The vocabulary's word pattern and word-end mark.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -84,22 +86,32 @@ class Vocabulary:
         return [self.byte_ids[b] for b in word[:-1]] + [self.end_ids[word[-1]]]
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact ids of a word: the lowest-ranked pair is merged, leftmost first."""
-        ids, ranks = self.symbols(word), self.ranks
-        pairs = [ranks.get(p) for p in zip(ids, ids[1:])]
-        while found := [p for p in pairs if p]:
-            best = min(found)
-            at = pairs.index(best)
-            while at >= 0:
-                ids[at: at + 2] = [best[1]]
-                pairs[at: at + 1] = []
-                if at:
-                    pairs[at - 1] = ranks.get((ids[at - 1], ids[at]))
-                if at < len(pairs):
-                    pairs[at] = ranks.get((ids[at], ids[at + 1]))
-                at = pairs.index(best, at) if best in pairs[at:] else -1
-        return ids
+        """Exact ids of a word: the lowest-ranked pair is merged, leftmost first.
 
+        Symbols form a linked list and pairs wait in a heap of (rank, place), so
+        the work is n log n in the word's bytes; a waiting pair whose symbols have
+        changed since is passed over.
+        """
+        ids, ranks = self.symbols(word), self.ranks
+        end = len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        waiting = [(found[0], at) for at, p in enumerate(zip(ids, ids[1:])) if (found := ranks.get(p))]
+        heapify(waiting)
+        while waiting:
+            rank, at = heappop(waiting)
+            right = after[at]
+            found = ranks.get((ids[at], ids[right])) if right < end else None
+            if found is None or found[0] != rank:
+                continue
+            ids[at], ids[right] = found[1], -1
+            after[at] = right = after[right]
+            if right < end:
+                before[right] = at
+                if found := ranks.get((ids[at], ids[right])):
+                    heappush(waiting, (found[0], at))
+            if (left := before[at]) >= 0 and (found := ranks.get((ids[left], ids[at]))):
+                heappush(waiting, (found[0], left))
+        return [i for i in ids if i >= 0]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
@@ -110,14 +122,12 @@ class Vocabulary:
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """``merge`` of many words, one merge of every word a step."""
         out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for k in [k for k, w in enumerate(words) if len(w) > LONG_WORD]:
+            out[k] = self.merge(words[k])
+        order = sorted((k for k, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda k: len(words[k]))
         for begin in range(0, len(order), 8192):
             part = order[begin: begin + 8192]
             widest = len(words[part[-1]])
-            if widest > LONG_WORD:
-                for k in part:
-                    out[k] = self.merge(words[k])
-                continue
             ids = np.full((len(part), widest), -1, np.int64)
             for row, k in enumerate(part):
                 ids[row, : len(words[k])] = self.symbols(words[k])
@@ -311,13 +321,36 @@ class LexiconBpe:
 _worker: dict[tuple[str, str], LexiconBpe] = {}
 
 
+def _cut(rows: list, most: int) -> tuple[int, int]:
+    """The first of the ordered (place, n) rows that doesn't fit into ``most``
+    whole, and what is left for it; past the last place if all fit."""
+    for place, n in rows:
+        if n > most:
+            return place, most
+        most -= n
+    return (rows[-1][0] + 1 if rows else 0), 0
+
+
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words over all documents, ties by word: a top-k report
-    of bounded size.  Counting is a map-side aggregate in the JVM; words are cut
-    the way English and most other text is, and the exact path covers the rest."""
+    """The most frequent words over all documents: a top-k report of bounded size.
+
+    Counting is a map-side aggregate in the JVM; words are cut the way English and
+    most other text is, and the exact path covers the rest.  Two small histograms,
+    of counts on a scale of 64 steps a doubling and, at the step that doesn't fit
+    whole, of a hash, say where to stop, so the driver is sent the chosen words
+    and at most one hash value's more.  Counts of one step (equal ones up to 64)
+    are ties, taken by hash.
+    """
     found = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = found.groupBy("word").count().where("count > 1")
-    return [r.word.encode() for r in counted.orderBy(F.desc("count"), "word").limit(words).collect()]
+    step = -F.floor(F.log2("count") * 64).cast("int")
+    counted = stage(counted.select("word", step.alias("step"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("part")), "words")
+    last, left = _cut(sorted(tuple(r) for r in counted.groupBy("step").count().collect()), words)
+    at_last = counted.where(F.col("step") == last)
+    stop, _ = _cut(sorted(tuple(r) for r in at_last.groupBy("part").count().collect()), left)
+    chosen = counted.where((F.col("step") < last) | ((F.col("step") == last) & (F.col("part") <= stop))).collect()
+    unstage(counted)
+    return [r.word.encode() for r in sorted(chosen, key=lambda r: (r.step, r.part, r.word))[:words]]
 
 
 def encode_decode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

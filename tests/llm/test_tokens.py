@@ -1,6 +1,7 @@
 """Tokenizer paths, token files, packing and lexicon BPE against the library."""
 
 import random
+import time
 from array import array
 from collections import defaultdict
 
@@ -118,6 +119,28 @@ def test_merges_equal_library():
     assert [vocabulary.merge(w.encode()) for w in words] == expected
 
 
+def test_very_long_word_merges_in_near_linear_time():
+    vocabulary, library = lexicon_bpe.Vocabulary(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(6)
+    mixed = "".join(rng.choice("etaoinshrdluab") for _ in range(30_000))
+    for word in (mixed, "a" * 30_000, "ab" * 10_000):
+        assert vocabulary.merge_all([b"the", word.encode()])[1] == library.encode(word, add_special_tokens=False).ids
+    began = time.process_time()
+    vocabulary.merge((mixed * 10).encode())
+    assert time.process_time() - began < 20  # the square of 300,000 letters takes many minutes
+
+
+def test_frequent_words_by_count(spark):
+    texts = [f"w{'abcdefghij'[k]} " * (k + 2) for k in range(10)] + ["once", None, ""]
+    ranked = [f"w{c}".encode() for c in "jihgfedcba"]
+    for most in (0, 1, 4, 10, 50):
+        assert lexicon_bpe.frequent_words(frame(spark, texts), most) == ranked[:most]
+    ties = frame(spark, [f"{a}{b} {a}{b}" for a in "abcdefgh" for b in "abcdefgh"])
+    found = lexicon_bpe.frequent_words(ties, 20)
+    assert len(set(found)) == 20 and found == lexicon_bpe.frequent_words(ties, 64)[:20]
+    assert lexicon_bpe.frequent_words(frame(spark, [])) == []
+
+
 def test_encode_decode_equals_library(spark):
     library = Tokenizer.from_file(WORD_BPE)
     texts = [*ODD, None, "the and of the and of"]
