@@ -10,7 +10,9 @@ lane is a stream of ``ceil(32 * width / 32) = width`` 32-bit words.
 
 Documents are range-partitioned by id, so shard order is document order.  Null
 texts count as empty and still get their end id; repeated rows are all written,
-ties ordered by text; an empty table writes one empty shard.
+ties ordered by text; an empty table writes one empty shard.  A shard is closed
+at ``SHARD_IDS`` ids and goes on in a further file, so files, their writers and
+their readers are bounded by that and one document.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ END_ID = 0
 PERCENTILE = 0.90
 #: Ids held before a shard part is packed; bounds a writer's memory.
 FLUSH_IDS = 1 << 22
+#: Ids after which a file is closed; packed, 64 MB or less of usual ids.
+SHARD_IDS = 1 << 25
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -193,41 +197,48 @@ def read_document(raw: bytes, place: int) -> np.ndarray:
     return ids[begin - first * BLOCK: end - first * BLOCK]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, uri: str) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, uri: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write every document's ids to shard files under ``uri`` in id order.
 
-    Returns the manifest, a row per file: shard, file, n_docs, n_tokens.
+    Returns the manifest, a row per file: shard, part, file, n_docs, n_tokens.
+    Files in order of (shard, part) hold the documents in order.
     """
     files = SharedFiles(uri)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, writer, encode = TaskContext.get().partitionId(), ShardWriter(), byte_bpe(tokenizer).encode
-        end = np.array([END_ID], "<u4").tobytes()
+        end, part = np.array([END_ID], "<u4").tobytes(), 0
+
+        def close() -> pd.DataFrame:
+            name = f"shard-{shard:07d}-{part:07d}.pfor"
+            files.write(name, writer.chunks())
+            return pd.DataFrame({"shard": [shard], "part": [part], "file": [name], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.n_ids]})
+
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                if writer.n_ids + writer.n_waiting >= shard_ids:
+                    yield close()
+                    writer, part = ShardWriter(), part + 1
                 writer.add(None if pd.isna(doc_id) else int(doc_id), encode(text or "") + end)
-        n_docs, n_tokens = len(writer.doc_ids), sum(writer.lengths)
-        name = f"shard-{shard:07d}.pfor"
-        files.write(name, writer.chunks())
-        yield pd.DataFrame({"shard": [shard], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+        yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInPandas(write, "shard int, file string, n_docs long, n_tokens long")
+    return ordered.mapInPandas(write, "shard int, part int, file string, n_docs long, n_tokens long")
 
 
-def read_token_files(spark, uri: str, starts: dict[int, int]) -> DataFrame:
+def read_token_files(spark, uri: str, starts: dict[str, int]) -> DataFrame:
     """A row per document from the files: doc_id, start, n_tokens, ids_crc32.
 
-    ``starts`` has each shard's first global place; one entry a file.
+    ``starts`` has each file's first global place; one entry a file.
     """
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                base = starts[int(path.rpartition("shard-")[2].split(".")[0])]
+                base = starts[path.rpartition("/")[2]]
                 doc_ids, lengths, ids = read_shard(content)
                 ends = np.cumsum(lengths)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n): 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": base + ends - lengths, "n_tokens": lengths, "ids_crc32": np.array(crc, np.int64)})
 
@@ -235,14 +246,14 @@ def read_token_files(spark, uri: str, starts: dict[int, int]) -> DataFrame:
     return files.mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write ``docs`` as token files in the shared folder, then read them back."""
     spark = docs.sparkSession
     uri = stage_path(spark, "tokens")
-    manifest = sorted(write_token_files(docs, tokenizer, uri).collect())  # a row per file
+    manifest = sorted(write_token_files(docs, tokenizer, uri, shard_ids).collect())  # a row per file
     starts, total = {}, 0
     for row in manifest:
-        starts[row.shard] = total
+        starts[row.file] = total
         total += row.n_tokens
     SharedFiles(uri).write("manifest.json", [json.dumps([r.asDict() for r in manifest]).encode()])
     return read_token_files(spark, uri, starts)

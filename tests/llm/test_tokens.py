@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from quillspark.llm import lexicon_bpe, packing, token_files
 from quillspark.llm.byte_bpe import byte_bpe
 from quillspark.llm.registry import BYTE_BPE, WORD_BPE
+from quillspark.llm.runtime import stage_path
 
 ODD = [
     "", " ", "  a", "a   b", "a\n b", "x  \ny", " \n\n z", "tab\tq", "it's I'll'd", "<|endoftext|> a<|startoftext|>", "é à", "日本 語 12345", "a \x1c b", "é e",
@@ -58,6 +59,16 @@ def test_files_round_trip_and_random_access(spark):
         assert token_files.read_document(raw, k).tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_small_files_hold_the_same_documents(spark):
+    texts = [*ODD, None, *ODD]
+    whole = sorted(token_files.token_files(frame(spark, texts), BYTE_BPE).collect())
+    assert sorted(token_files.token_files(frame(spark, texts), BYTE_BPE, shard_ids=5).collect()) == whole
+    uri = stage_path(spark, "small")
+    manifest = token_files.write_token_files(frame(spark, texts), BYTE_BPE, uri, shard_ids=5).collect()
+    assert len(manifest) > len(texts) // 5 and sum(r.n_docs for r in manifest) == len(texts)
+    assert all(r.n_docs <= 5 for r in manifest)
+
+
 def test_files_of_empty_table_and_repeated_rows(spark):
     assert token_files.token_files(frame(spark, []), BYTE_BPE).count() == 0
     twice = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (None, "b", 0)], SCHEMA)
