@@ -23,13 +23,16 @@ def rank_floor(q: float, n: Column) -> Column:
 
 
 def order_statistics(long: DataFrame, group: list[str], value: str, ranks: dict[str, tuple[float, str]]) -> DataFrame:
-    """Values at given ranks of each group, by one sort per group that spills,
-    instead of a list of all values.  ranks: name -> (q, "round" or "floor")."""
+    """Values at given ranks of each group, from counts of its distinct values:
+    rows are counted map-side first, so a large group is no one task's work.
+    ranks: name -> (q, "round" or "floor"); null values take no part."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group)
-    rows = long.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
+    upto = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(w))
     at = {name: (rank_round if rule == "round" else rank_floor)(q, F.col("_n")) for name, (q, rule) in ranks.items()}
     return rows.groupBy(*group).agg(
-        F.max("_n").alias("n"), *[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(name) for name, k in at.items()]
+        F.max("_n").alias("n"), *[F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("_v"))).alias(name) for name, k in at.items()]
     )
 
 

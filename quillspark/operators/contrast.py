@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,20 +11,39 @@ from ..functions import text as T
 from .bands import rank_round
 
 
-def auc(long: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
-    """P[value of side 1 > value of side 0] + half the ties, by rank sums; 0.5
-    where a side is empty.  ``side`` holds 1 and 0."""
+def side_counts(long: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
+    """by, _v, n0, n1 and the rows below, b0 and b1, and in all, t0 and t1, of each
+    side, a row per distinct value; ``side`` holds 1 and 0, null values take no
+    part.  Rows are counted map-side first, so a window holds distinct values."""
+    n1, n0 = F.when(F.col(side) == 1, 1).otherwise(0), F.when(F.col(side) == 1, 0).otherwise(1)
+    counts = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(n1).alias("n1"), F.sum(n0).alias("n0"))
     w = Window.partitionBy(*by)
-    # average rank of ties: rows below plus half of one more than the ties
-    below = F.rank().over(w.orderBy(value)) - 1
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    ranked = long.select(*by, side, (below + (ties + 1) / 2).alias("r"))
-    sums = ranked.groupBy(*by).agg(
-        F.sum(F.when(F.col(side) == 1, F.col("r")).otherwise(0.0)).alias("r1"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col(side) == 1, 0).otherwise(1)).alias("n0")
-    )
-    pairs = F.col("n1") * F.col("n0")
-    value = (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2) / F.greatest(pairs, F.lit(1))
-    return sums.select(*by, "n1", "n0", F.when(pairs > 0, value).otherwise(0.5).alias("auc"))
+    upto = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumns({f"b{k}": F.sum(f"n{k}").over(upto) - F.col(f"n{k}") for k in (0, 1)} | {f"t{k}": F.sum(f"n{k}").over(w) for k in (0, 1)})
+
+
+def _auc() -> Column:
+    """P[value of side 1 > value of side 0] + half the ties; 0.5 where a side is
+    empty.  An aggregate over ``side_counts``."""
+    above = F.sum(F.col("n1") * (F.col("b0") + F.col("n0") / 2))
+    pairs = F.max("t1").cast("double") * F.max("t0")
+    return F.when(pairs > 0, above / F.greatest(pairs, F.lit(1.0))).otherwise(0.5)
+
+
+def at_rank(k: Column, below: str, n: str, value: str = "_v") -> Column:
+    """The value at zero-based rank ``k``: an aggregate over distinct values that
+    have ``n`` rows and ``below`` rows before them."""
+    return F.max(F.when((F.col(below) <= k) & (k < F.col(below) + F.col(n)), F.col(value)))
+
+
+def _median(k: int) -> Column:
+    half = (F.col(f"t{k}") - 1) / 2
+    return (at_rank(F.floor(half), f"b{k}", f"n{k}") + at_rank(F.ceil(half), f"b{k}", f"n{k}")) / 2
+
+
+def auc(long: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
+    """by, n1, n0 and the AUC of side 1 over side 0."""
+    return side_counts(long, by, side, value).groupBy(*by).agg(F.max("t1").alias("n1"), F.max("t0").alias("n0"), _auc().alias("auc"))
 
 
 def feature_categories(spark) -> DataFrame:
@@ -35,9 +54,9 @@ def feature_categories(spark) -> DataFrame:
 
 def feature_ranking(features: DataFrame, side: str, key: str) -> DataFrame:
     """AUC, medians, category and mark of every feature."""
-    long = features.unpivot([key, side], L.FEATURES, "feature", "value")
-    mid = long.groupBy("feature").agg(F.median(F.when(F.col(side) == 0, F.col("value"))).alias("mid0"), F.median(F.when(F.col(side) == 1, F.col("value"))).alias("mid1"))
-    rows = auc(long, ["feature"], side, "value").join(mid, "feature").join(F.broadcast(feature_categories(features.sparkSession)), "feature", "left")
+    counts = side_counts(features.unpivot([key, side], L.FEATURES, "feature", "value"), ["feature"], side, "value")
+    rows = counts.groupBy("feature").agg(_auc().alias("auc"), _median(0).alias("mid0"), _median(1).alias("mid1"))
+    rows = rows.join(F.broadcast(feature_categories(features.sparkSession)), "feature", "left")
     gap = F.abs(F.col("auc") - 0.5)
     mark = F.when(gap >= 0.25, "strong").when(F.col("auc") < 0.42, "invert").otherwise("")
     return rows.select("feature", F.round("auc", 6).alias("auc"), F.round("mid0", 4).alias("mid0"), F.round("mid1", 4).alias("mid1"), "category", mark.alias("mark"))
@@ -114,31 +133,36 @@ def loo_composite(features: DataFrame, side: str, key: str) -> DataFrame:
     20th) percentile; a side-0 document is read against the other side-0
     documents.  Removing one value from a sorted list moves a rank by at most
     one, so its band is one of two neighbouring values and no document is
-    paired with another.
+    paired with another.  Bands come from counts of distinct values, the row from
+    a histogram of flag counts, which has a bin per number of features at most.
     """
     long = features.unpivot([key, side], L.FEATURES, "feature", "value")
-    strength = auc(long, ["feature"], side, "value").where(F.abs(F.col("auc") - 0.5) >= 0.1).select("feature", (F.col("auc") > 0.5).alias("up"))
-    rows = long.join(F.broadcast(strength), "feature")
-    w = Window.partitionBy("feature")
-    zero = rows.where(F.col(side) == 0)
-    placed = zero.select("feature", key, "value", "up", (F.row_number().over(w.orderBy("value", key)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-
-    def band(n):
-        return F.when(F.col("up"), rank_round(0.8, n)).otherwise(rank_round(0.2, n))
-
-    full = placed.withColumn("at", band(F.col("n"))).withColumn("loo", band(F.col("n") - 1))
-    cuts = full.groupBy("feature").agg(
-        F.max(F.when(F.col("k") == F.col("at"), F.col("value"))).alias("cut"), F.max(F.when(F.col("k") == F.col("loo"), F.col("value"))).alias("lo_cut"), F.max(F.when(F.col("k") == F.col("loo") + 1, F.col("value"))).alias("hi_cut")
-    )
-    # without the document at place k, rank r holds what was at r or, past k, r+1
-    own = full.join(F.broadcast(cuts), "feature").withColumn("cut", F.when(F.col("k") <= F.col("loo"), F.col("hi_cut")).otherwise(F.col("lo_cut"))).select(key, "value", "up", "cut", F.lit(0).alias(side))
-    other = rows.where(F.col(side) == 1).join(F.broadcast(cuts), "feature").select(key, "value", "up", "cut", F.lit(1).alias(side))
+    bands = {}
+    for name, q in (("up", 0.8), ("down", 0.2)):
+        full, loo = rank_round(q, F.col("t0")), rank_round(q, F.col("t0") - 1)
+        bands |= {f"{name}_cut": full, f"{name}_lo": loo, f"{name}_hi": loo + 1}
+    cuts = side_counts(long, ["feature"], side, "value").groupBy("feature").agg(_auc().alias("auc"), *[at_rank(k, "b0", "n0").alias(name) for name, k in bands.items()])
+    up = F.col("auc") > 0.5
+    cuts = cuts.where(F.abs(F.col("auc") - 0.5) >= 0.1).select("feature", up.alias("up"), *[F.when(up, F.col(f"up_{c}")).otherwise(F.col(f"down_{c}")).alias(c) for c in ("cut", "lo", "hi")])
+    # without one document's value, rank r holds what was at r or, from that value on, at r + 1
+    cut = F.when(F.col(side) == 1, F.col("cut")).when(F.col("value") <= F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    # a row per feature at most
+    rows = long.join(F.broadcast(cuts), "feature").withColumn("cut", cut)
     over = F.when(F.col("up"), F.col("value") > F.col("cut")).otherwise(F.col("value") < F.col("cut"))
-    flagged = own.unionByName(other).groupBy(key, side).agg(F.sum(F.when(over, 1).otherwise(0)).alias("flags"))
-    separation = auc(flagged.withColumn("one", F.lit(1)), ["one"], side, "flags").select(F.round("auc", 6).alias("auc"))
-    most = flagged.where(F.col(side) == 0).agg(F.max("flags").alias("most")).scalar()
-    strict = flagged.where(F.col(side) == 1).withColumn("most", most).agg(F.round(F.avg(F.when(F.col("flags") > F.col("most"), 1.0).otherwise(0.0)), 6).alias("strict_tpr"))
-    return separation.withColumn("strict_tpr", strict.scalar())
+    flagged = rows.groupBy(key, side).agg(F.sum(F.when(over, 1).otherwise(0)).alias("flags"))
+    bins = flagged.groupBy("flags").agg(*[F.sum(F.when(F.col(side) == s, 1).otherwise(0)).cast("double").alias(f"n{s}") for s in (0, 1)])
+    whole = bins.agg(F.collect_list(F.struct("flags", "n0", "n1")).alias("h"), F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.max(F.when(F.col("n0") > 0, F.col("flags"))).alias("most"))
+
+    def total(weight) -> Column:
+        return F.aggregate("h", F.lit(0.0), lambda s, x: s + weight(x))
+
+    def beaten(x: Column) -> Column:
+        return F.aggregate("h", F.lit(0.0), lambda s, y: s + y["n0"] * F.when(x["flags"] > y["flags"], 1.0).when(x["flags"] == y["flags"], 0.5).otherwise(0.0))
+
+    pairs = F.col("t0") * F.col("t1")
+    separation = F.when(pairs > 0, total(lambda x: x["n1"] * beaten(x)) / F.greatest(pairs, F.lit(1.0))).otherwise(0.5)
+    strict = total(lambda x: F.when(x["flags"] > F.col("most"), x["n1"]).otherwise(0.0)) / F.when(F.col("t1") > 0, F.col("t1"))
+    return whole.where(F.size("h") > 0).select(F.round(separation, 6).alias("auc"), F.round(strict, 6).alias("strict_tpr"))
 
 
 def diction(docs: DataFrame, group: str, most: int = 140, shown: int = 25) -> DataFrame:

@@ -17,12 +17,13 @@ def lexicon(spark, words: list[str]) -> DataFrame:
 
 def function_word_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word, n and the document's token count w; every function word has a
-    row.  Counting is a map-side aggregate of the tokens that are in the list."""
+    row.  The list's words follow a document's own and count nothing, so one
+    map-side aggregate gives every row."""
     rows = docs.select(*keys, T.tokens(F.lower(T.without_parentheses(T.prose(F.col("text"))))).alias("t"))
-    rows = rows.select(*keys, F.greatest(F.size("t"), F.lit(1)).cast("long").alias("w"), F.filter("t", lambda x: x.isin(L.FUNCTION_WORDS)).alias("f"))
-    found = rows.select(*keys, F.explode("f").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    words = F.explode(F.array(*[F.lit(w) for w in L.FUNCTION_WORDS])).alias("word")
-    return rows.select(*keys, "w", words).join(found, [*keys, "word"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    rows = rows.select(*keys, F.greatest(F.size("t"), F.lit(1)).cast("long").alias("w"), F.coalesce(F.filter("t", lambda x: x.isin(L.FUNCTION_WORDS)), F.array().cast("array<string>")).alias("f"))
+    listed = F.array(*[F.lit(w) for w in L.FUNCTION_WORDS])
+    words = rows.select(*keys, "w", F.size("f").alias("_own"), F.posexplode(F.concat("f", listed)).alias("_at", "word"))
+    return words.groupBy(*keys, "w", "word").agg(F.sum(F.when(F.col("_at") < F.col("_own"), 1).otherwise(0)).alias("n"))
 
 
 def group_moments(rates: DataFrame, group: str) -> DataFrame:
@@ -33,27 +34,25 @@ def group_moments(rates: DataFrame, group: str) -> DataFrame:
 def leave_one_out(rates: DataFrame, group: str, key: str, term: str = "word") -> DataFrame:
     """z of each document's rate against the other documents of its group.
 
-    Totals of the group less the document itself, one pass; where the others
-    are all equal (their smallest and largest agree) the deviation is zero, as
-    subtraction alone could leave a trace.
+    Totals of the group less the document itself: rates are counted by distinct
+    value, then summed by group and term, map-side first, and joined back (the
+    totals have a row per group and term).  Where the others are all equal the
+    deviation is zero, as subtraction alone could leave a trace: all are equal, or
+    there are two values and the document alone holds one.
     """
-    w = Window.partitionBy(group, term)
-    k = F.count("*").over(w)
-    rows = rates.select(
-        "*", k.alias("k"), F.sum("rate").over(w).alias("s1"), F.sum(F.col("rate") * F.col("rate")).over(w).alias("s2"),
-        F.min("rate").over(w).alias("lo"), F.max("rate").over(w).alias("hi"),
-        F.sum(F.lit(1)).over(Window.partitionBy(group, term, "rate")).alias("same"),
+    values = rates.groupBy(group, term, "rate").agg(F.count("*").alias("c"))
+    totals = values.groupBy(group, term).agg(
+        F.sum("c").alias("k"), F.sum(F.col("c") * F.col("rate")).alias("s1"), F.sum(F.col("c") * F.col("rate") * F.col("rate")).alias("s2"),
+        F.count("*").alias("distinct"), F.min(F.struct("rate", "c")).alias("lo"), F.max(F.struct("rate", "c")).alias("hi"),
     )
-    # extremes of the others: the next value if the document alone holds one
-    own_low = (F.col("rate") == F.col("lo")) & (F.col("same") == 1)
-    own_high = (F.col("rate") == F.col("hi")) & (F.col("same") == 1)
-    second_low = F.min(F.when(F.col("rate") > F.col("lo"), F.col("rate"))).over(w)
-    second_high = F.max(F.when(F.col("rate") < F.col("hi"), F.col("rate"))).over(w)
-    rows = rows.withColumn("o_lo", F.when(own_low, second_low).otherwise(F.col("lo"))).withColumn("o_hi", F.when(own_high, second_high).otherwise(F.col("hi")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (group, term)]
+    rows = rates.alias("r").join(totals.alias("t"), same[0] & same[1]).select("r.*", "t.k", "t.s1", "t.s2", "t.distinct", "t.lo", "t.hi")
+    alone = [(F.col("rate") == F.col(f"{end}.rate")) & (F.col(f"{end}.c") == 1) for end in ("lo", "hi")]
+    equal = (F.col("distinct") == 1) | ((F.col("distinct") == 2) & (alone[0] | alone[1]))
     n = F.col("k") - 1
     mean = (F.col("s1") - F.col("rate")) / F.greatest(n, F.lit(1))
     square = (F.col("s2") - F.col("rate") * F.col("rate")) / F.greatest(n, F.lit(1))
-    sd = F.when((n < 1) | F.col("o_lo").eqNullSafe(F.col("o_hi")), 0.0).otherwise(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
+    sd = F.when((n < 1) | equal, 0.0).otherwise(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
     rows = rows.withColumn("mean", mean).withColumn("sd", sd)
     z = F.when(F.col("sd") > 1e-9, (F.col("rate") - F.col("mean")) / F.when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0))
     return rows.where(n > 0).select(group, key, term, "rate", "mean", "sd", z.alias("z"))
