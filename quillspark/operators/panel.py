@@ -111,6 +111,36 @@ def category_scores(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("unit").agg(n.alias("n"), F.median("rating").alias("mid"), F.when(n > 1, F.max("rating") - F.min("rating")).otherwise(0.0).alias("spread"))
 
 
+PROFILE_JSON = "categories array<struct<name string, does string, does_not string, intensity double, example string>>, venue_voice string"
+ALIGNMENT_JSON = "categories array<struct<name string, alignment double, verdict string, evidence string>>, summary string"
+
+
+def profile_categories(replies: DataFrame, group: str) -> DataFrame:
+    """The categories that a judge's reply names for a group, a row each: group,
+    pos, name, does, does_not, intensity.  A reply that isn't JSON gives none; of
+    categories of one name the first counts."""
+    named = replies.select(group, F.posexplode(F.from_json(json_text(F.col("reply")), PROFILE_JSON)["categories"]).alias("pos", "c")).where("c.name is not null")
+    first = named.groupBy(group, F.col("c.name").alias("name")).agg(F.min(F.struct("pos", "c.does", "c.does_not", "c.intensity")).alias("x"))
+    return first.select(group, "x.pos", "name", "x.does", "x.does_not", "x.intensity")
+
+
+def profile_alignment(categories: DataFrame, replies: DataFrame, group: str, key: str) -> dict[str, DataFrame]:
+    """How drafts fit their group's categories, by judges' replies (group, key,
+    judge, reply): median and spread by category, and agreement by draft.
+
+    A category has a row for every draft a judge answered on; names outside the
+    profile are left out, a judge's last word on a name counts, replies that
+    aren't JSON are no judge's."""
+    said = replies.select(group, key, "judge", F.from_json(json_text(F.col("reply")), ALIGNMENT_JSON)["categories"].alias("c")).where("c is not null")
+    rated = said.select(key, "judge", F.posexplode("c").alias("at", "c")).groupBy(key, "judge", F.col("c.name").alias("name")).agg(F.max_by("c.alignment", "at").alias("rating"))
+    units = said.select(group, key).distinct().join(categories.select(group, "name"), group)
+    rows = units.join(rated, [key, "name"], "left")
+    n = F.count("rating")
+    spread = F.when(n > 1, F.max("rating") - F.min("rating")).otherwise(0.0)
+    by_name = rows.groupBy(key, "name").agg(n.alias("n"), F.round(F.median("rating"), 1).alias("mid"), spread.alias("spread"))
+    return {"categories": by_name, "agreement": interval_alpha(rows.withColumnRenamed("name", "unit"), [key])}
+
+
 def interval_alpha(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Agreement alpha on the interval scale, pairs not weighted by unit size.
 

@@ -79,7 +79,20 @@ GENRES = [
     (11, "few", "I say that my dog barks because our cat runs.\n"),
 ]
 
+PROFILES = [
+    ("g", 'Here it is: ```json\n{"venue_voice": "dry", "categories": [{"name": "stance", "does": "hedges", "does_not": "boast", "intensity": 70, "example": ""}, {"name": "rhythm", "does": "varies", "does_not": "drum", "intensity": null}, {"name": "stance", "does": "again", "intensity": 5}]}\n```'),
+    ("h", '{"categories": [{"name": "diction", "does": "plain words", "does_not": "jargon", "intensity": 12.5}, {"name": "appeal"}]}'), ("i", "I would rather not."), ("j", None),
+]
+ALIGNED = [
+    (1, "g", "a", '{"categories": [{"name": "stance", "alignment": 80}, {"name": "rhythm", "alignment": 40}], "summary": "close"}'),
+    (1, "g", "b", 'Sure. {"categories": [{"name": "stance", "alignment": 71}, {"name": "rhythm", "alignment": 45}, {"name": "other", "alignment": 1}]}'),
+    (1, "g", "c", '{"categories": [{"name": "stance", "alignment": 10}, {"name": "stance", "alignment": 75.5}, {"name": "rhythm", "alignment": null}]}'),
+    (2, "g", "a", '{"categories": [{"name": "rhythm", "alignment": 20}]}'), (2, "g", "b", "no"), (3, "h", "a", '{"categories": [{"name": "diction", "alignment": 90}, {"name": "appeal", "alignment": 10}]}'),
+    (3, "h", "b", '{"categories": [{"name": "diction", "alignment": 30}, {"name": "appeal", "alignment": 85}]}'), (4, "i", "a", '{"categories": [{"name": "stance", "alignment": 50}]}'), (5, "h", "a", None),
+]
+
 SCHEMAS = {
+    "f_profiles": ("grp string, reply string", PROFILES), "f_aligned": ("doc_id int, grp string, judge string, reply string", ALIGNED),
     "f_cards": (
         "doc_id int, grp string, that_density double, first_person double, meta_narration double, hedge_modal double, vague_eval_adj double, intensifier double, not_but double, "
         "abstract_subj double, burstiness_CV double, mean_sent double, nominal_rate double, noun_rate double, pron_rate double, metanarr_synt double, title_case double, colon double, "

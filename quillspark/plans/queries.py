@@ -777,6 +777,36 @@ def category_scores(spark, d):
     return panel.category_scores(fixtures.frame(spark, "f_ratings"))
 
 
+_JSON = "CAST(regexp_extract(reply, '(?s)(\\{.*\\})', 1) AS JSON)"
+_ANSWERED = "reply IS NOT NULL AND regexp_extract(reply, '(?s)(\\{.*\\})', 1) <> ''"
+_PROFILE = f"""{fixtures.sql('f_profiles')}, pj AS (SELECT grp, {_JSON} AS j FROM f_profiles WHERE {_ANSWERED}),
+pc AS (SELECT grp, CAST(i AS INTEGER) AS pos, json_extract(j, '$.categories[' || i || ']') AS c FROM pj, range(20) r(i) WHERE i < json_array_length(j, '$.categories')),
+pn AS (SELECT grp, pos, c->>'$.name' AS name, c->>'$.does' AS does, c->>'$.does_not' AS does_not, CAST(c->>'$.intensity' AS DOUBLE) AS intensity FROM pc QUALIFY row_number() OVER (PARTITION BY grp, c->>'$.name' ORDER BY pos) = 1)"""
+_ALIGNED = f"""{_PROFILE}, {fixtures.sql('f_aligned')}, aj AS (SELECT doc_id, grp, judge, {_JSON} AS j FROM f_aligned WHERE {_ANSWERED}),
+ac AS (SELECT doc_id, judge, i, json_extract(j, '$.categories[' || i || ']') AS c FROM aj, range(20) r(i) WHERE i < json_array_length(j, '$.categories')),
+ar AS (SELECT doc_id, judge, c->>'$.name' AS name, CAST(c->>'$.alignment' AS DOUBLE) AS rating FROM ac QUALIFY row_number() OVER (PARTITION BY doc_id, judge, c->>'$.name' ORDER BY i DESC) = 1),
+au AS (SELECT DISTINCT aj.doc_id, name FROM aj JOIN pn USING (grp)), al AS (SELECT au.doc_id, au.name, rating FROM au LEFT JOIN ar USING (doc_id, name))"""
+
+
+@query(f"WITH {_PROFILE} SELECT * FROM pn")
+def emergent_profile(spark, d):
+    return panel.profile_categories(fixtures.frame(spark, "f_profiles"), "grp")
+
+
+@query(f"WITH {_ALIGNED} SELECT doc_id, name, count(rating) AS n, round(median(rating), 1) AS mid, CASE WHEN count(rating) > 1 THEN max(rating) - min(rating) ELSE 0 END AS spread FROM al GROUP BY ALL")
+def emergent_alignment(spark, d):
+    return panel.profile_alignment(emergent_profile(spark, d), fixtures.frame(spark, "f_aligned"), "grp", "doc_id")["categories"]
+
+
+@query(f"""WITH {_ALIGNED}, k AS (SELECT *, row_number() OVER () AS id FROM al WHERE rating IS NOT NULL),
+o AS (SELECT a.doc_id, avg((a.rating - b.rating) ** 2) AS v FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.name = b.name AND a.id < b.id GROUP BY 1),
+e AS (SELECT a.doc_id, avg((a.rating - b.rating) ** 2) AS v FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.id < b.id GROUP BY 1),
+s AS (SELECT ids.doc_id, round(1 - o.v / e.v, 3) AS alpha FROM (SELECT DISTINCT doc_id FROM k) ids LEFT JOIN o USING (doc_id) LEFT JOIN e USING (doc_id))
+SELECT doc_id, alpha, CASE WHEN alpha IS NULL THEN 'n/a' WHEN alpha >= 0.8 THEN 'strong' WHEN alpha >= 0.5 THEN 'moderate' ELSE 'low' END AS agreement FROM s""")
+def emergent_agreement(spark, d):
+    return panel.profile_alignment(emergent_profile(spark, d), fixtures.frame(spark, "f_aligned"), "grp", "doc_id")["agreement"]
+
+
 @query(f"""WITH {fixtures.sql('f_ratings')}, k AS (SELECT *, row_number() OVER () AS id FROM f_ratings WHERE rating IS NOT NULL),
 o AS (SELECT avg((a.rating - b.rating) ** 2) AS v FROM k a JOIN k b ON a.unit = b.unit AND a.id < b.id), e AS (SELECT avg((a.rating - b.rating) ** 2) AS v FROM k a JOIN k b ON a.id < b.id)
 SELECT round(1 - o.v / e.v, 3) AS alpha, CASE WHEN 1 - o.v / e.v >= 0.8 THEN 'strong' WHEN 1 - o.v / e.v >= 0.5 THEN 'moderate' ELSE 'low' END AS agreement FROM o, e""")

@@ -58,6 +58,37 @@ def register(docs: DataFrame, group: str = "grp") -> DataFrame:
     return bands.alignment(shape.features(docs, [group, KEY]), group, [KEY]).where("tells")
 
 
+#: What a judge is asked for a group's own categories, and for a draft's fit.
+ASK_PROFILE = """Name the six to nine categories of tone and style that set this group of texts apart, judging only by its sentences and
+medians below.  Answer with JSON alone: {"venue_voice": "...", "categories": [{"name": "...", "does": "...", "does_not": "...",
+"intensity": 0 to 100 or null, "example": "..."}]}."""
+ASK_FIT = """Say for each category below how well the draft fits it.  Answer with JSON alone: {"categories": [{"name": "...",
+"alignment": 0 to 100 or null, "verdict": "...", "evidence": "..."}], "summary": "..."}."""
+PROFILE_MEDIANS = ["mean_sent", "burstiness_CV", "first_person", "hedge_modal", "meta_narration", "vague_eval_adj", "ai_vocab", "emdash", "semicolon"]
+
+
+def style_profile(docs: DataFrame, judge, group: str = "grp") -> DataFrame:
+    """The categories that a judge (prompt to reply) finds for each group from
+    sample sentences and medians; a judge that fails gives a group none."""
+    mid = shape.features(docs, [group, KEY]).groupBy(group).agg(*[F.round(F.median(f), 2).alias(f) for f in PROFILE_MEDIANS])
+    samples = contrast.sentence_samples(docs, group, KEY).groupBy(group).agg(F.concat_ws("\n- ", F.array_sort(F.collect_list("sentence"))).alias("samples"))
+    medians = F.concat_ws(", ", *[F.concat(F.lit(f + " "), F.col(f).cast("string")) for f in PROFILE_MEDIANS])
+    prompt = F.concat_ws("\n\n", F.lit(ASK_PROFILE), medians, F.concat(F.lit("- "), F.col("samples")))
+    return panel.profile_categories(panel.ask(mid.join(samples, group).select(group, prompt.alias("prompt")), {"profile": judge}), group)
+
+
+def style_fit(docs: DataFrame, categories: DataFrame, judges: dict, group: str = "grp", most: int = 22_000) -> dict[str, DataFrame]:
+    """How documents fit their group's categories, by a panel of judges; a judge
+    reads the first ``most`` characters of a document's prose, as the measure
+    defines."""
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(": does "), F.coalesce("does", F.lit("")), F.lit("; does not "), F.coalesce("does_not", F.lit("")))
+    # a handful of categories a group
+    lines = categories.groupBy(group).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])).alias("lines"))
+    prompt = F.concat_ws("\n\n", F.lit(ASK_FIT), "lines", F.substring(T.prose(F.col("text")), 1, most))
+    prompts = docs.join(lines, group).select(group, KEY, prompt.alias("prompt"))
+    return panel.profile_alignment(categories, panel.ask(prompts, judges), group, KEY)
+
+
 def density(docs: DataFrame) -> dict[str, DataFrame]:
     """Readability, densities, repetition, and a document's heavy sections."""
     return {

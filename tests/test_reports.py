@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillspark.plans import fixtures, reports
 
 
@@ -21,3 +23,25 @@ def test_baseline_resumes(spark):
     prompts = spark.createDataFrame([("a", "p"), ("b", "p")], "file string, prompt string")
     done = spark.createDataFrame([("a",)], "file string")
     assert [(r.file, r.score) for r in reports.baseline(prompts, {"j": lambda p: "PROB_AI: 7"}, done).collect()] == [("b", 7)]
+
+
+def test_style_profile_and_fit(spark):
+    docs = fixtures.frame(spark, "f_docs")
+    long = docs.withColumn("text", F.concat_ws(" ", "text", F.lit("The old harbour wall keeps the worst of the weather from the boats that lie inside it. " * 2)))
+
+    def profile(prompt):
+        assert "mean_sent" in prompt and "harbour" in prompt
+        return '{"categories": [{"name": "stance", "does": "hedges", "does_not": "boasts", "intensity": 60}]}'
+
+    found = reports.style_profile(long, profile)
+    assert {(r.name, r.does, r.intensity) for r in found.collect()} == {("stance", "hedges", 60.0)}
+
+    def high(prompt):
+        assert "does hedges" in prompt
+        return '{"categories": [{"name": "stance", "alignment": 90}]}'
+
+    fit = reports.style_fit(long, found, {"a": high, "b": lambda p: '{"categories": [{"name": "stance", "alignment": 70}]}', "c": lambda p: 1 / 0})
+    rows = fit["categories"].collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    assert {(r.n, r.mid, r.spread) for r in rows} == {(2, 80.0, 20.0)}
+    assert reports.style_profile(long, lambda p: "no").count() == 0
