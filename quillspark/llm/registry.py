@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
+from . import centroids, html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,9 +57,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe)
+    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe, op13_centroids)
 }
 
 _NGRAM_SQL = r"""
@@ -104,4 +108,26 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance
 QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
+
+
+def _centroids_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    square = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [f"""WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale}.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM v WHERE vec_id IS NOT NULL ORDER BY j LIMIT {k})"""]
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS (SELECT r, min((d, j)) AS best FROM (SELECT r, j, {square} AS d FROM v CROSS JOIN c{t}) GROUP BY r)")
+        if t < rounds:
+            steps.append(f"""u{t} AS (SELECT best[2] AS j, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{t} JOIN v USING (r)),
+s{t} AS (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM u{t} GROUP BY j, i),
+m{t} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{t} GROUP BY j),
+c{t + 1} AS (SELECT j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (j))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON j = best[2]
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_centroids": _centroids_sql(), "op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
