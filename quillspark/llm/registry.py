@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, suffix_dedup, token_files, toxicity
+from . import centroids, html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, spelling, suffix_dedup, token_files, toxicity
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,13 +57,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199, least_length=6, least_count=5, ratio=5)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe, op13_centroids)
+    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe, op11_spelling_variants, op13_centroids)
 }
 
 _NGRAM_SQL = r"""
@@ -109,6 +113,27 @@ QUALIFY rank <= 10
 """
 
 
+_SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+r0 AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+r1 AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM r0 WHERE length(w) >= 6 GROUP BY ALL),
+r2 AS (SELECT w, n, list_transform(range(length(x) // 2), lambda i: 16 * strpos('123456789ABCDEF', x[2 * i + 1]) + strpos('123456789ABCDEF', x[2 * i + 2])) AS b FROM r1),
+r3 AS (SELECT w, n, xor(list_reduce([4294967295] || b, lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS h FROM r2 CROSS JOIN bits),
+r4 AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM r3),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r4 WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS near FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+q AS (SELECT p.word, count(*) AS n_near, min({'l': -v.n, 'f': near}) AS best FROM p JOIN v ON v.word = near GROUP BY 1),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.l >= 5 * v.n THEN best.f END AS form, CASE WHEN -best.l >= 5 * v.n THEN -best.l END AS form_n FROM v LEFT JOIN q USING (word)),
+g AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON g.further = f.word)
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word AND g.further IS NULL
+"""
+
 
 def _centroids_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
     square = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
@@ -130,4 +155,4 @@ FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON j = best[2]
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op13_centroids": _centroids_sql(), "op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _SPELLING_SQL, "op13_centroids": _centroids_sql(), "op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
