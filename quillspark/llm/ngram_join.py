@@ -251,15 +251,15 @@ def _reachable(num: int, den: int):
     return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
-def _apart(a: str, b: str):
+def apart(a: str, b: str):
     """In how many bits two signatures differ."""
     return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SIGNS), F.lit(0)).cast("long")
 
 
-def _possible(a: str, b: str, num: int, den: int):
+def possible(a: str, b: str, num: int, den: int):
     """Whether signatures leave the threshold possible: there, num of num + den
     shingles of both sets are shared twice."""
-    return F.lit(num + den) * _apart(a, b) <= F.lit(den - num) * (F.col(f"{a}size").cast("long") + F.col(f"{b}size"))
+    return F.lit(num + den) * apart(a, b) <= F.lit(den - num) * (F.col(f"{a}size").cast("long") + F.col(f"{b}size"))
 
 
 def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
     size and the distance of their signatures."""
     x, y = (first.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(s).alias(f"{c}_{s}") for s in SIGNS]) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(_possible("a_", "b_", num, den)).select("a", "b", "a_size", "b_size", _apart("a_", "b_").alias("apart"))
+    return both.where(possible("a_", "b_", num, den)).select("a", "b", "a_size", "b_size", apart("a_", "b_").alias("apart"))
 
 
 def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _across(labelled: DataFrame, first: DataFrame, num: int, den: int) -> DataFr
     minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
     other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in names])
     once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    fits = (F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den) & _possible("x_", "y_", num, den)
+    fits = (F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den) & possible("x_", "y_", num, den)
     cross = minor.join(other, ["token", "band", "back"]).where(fits)
     swap = F.col("x_node") > F.col("y_node")
     sides = [F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")) for c in ("node", "size")] + [F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")) for c in ("node", "size")]
@@ -394,10 +394,10 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     for table in (close, *tried):
         unstage(table)
     found = rows.select("doc_id", "node", "size").join(direct, "node", "left")
-    return _merge_repeated(found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    return merge_repeated(found.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
-def _merge_repeated(found: DataFrame) -> DataFrame:
+def merge_repeated(found: DataFrame) -> DataFrame:
     """Rows of one doc_id in different components join them."""
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"))
     pairs = found.join(repeated.where("a <> b"), "doc_id").select("a", F.col("component_id").alias("b"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, spelling, suffix_dedup, token_files, toxicity
+from . import centroids, chosen_path, html_text, lexicon_bpe, line_dedup, mih, ngram_join, packing, spelling, suffix_dedup, token_files, toxicity
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,13 +61,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), every=199, least_length=6, least_count=5, ratio=5)
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=85, den=100)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe, op11_spelling_variants, op13_centroids)
+    for f in (op1_suffix_dedup, op2_best_fit_packing, op3_token_files, op4_ngram_join, op5_html_extraction, op6_line_dedup, op7_exact_topk, op8_neighbours, op9_toxicity, op10_bpe, op11_spelling_variants, op12_minhash_dedup, op13_centroids)
 }
 
 _NGRAM_SQL = r"""
@@ -84,6 +88,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
+_MINHASH_SQL = _NGRAM_SQL.replace("len(ws) < 4", "len(ws) < 5").replace("len(ws) - 2), lambda i: array_to_string(ws[i:i + 3]", "len(ws) - 3), lambda i: array_to_string(ws[i:i + 4]").replace("AS component_id FROM", "AS component_id, n.doc_id = min(r.b) AS kept FROM")
+
 _LINE_SQL = r"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM s),
@@ -155,4 +161,4 @@ FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON j = best[2]
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _SPELLING_SQL, "op13_centroids": _centroids_sql(), "op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _SPELLING_SQL, "op12_minhash_dedup": _MINHASH_SQL, "op13_centroids": _centroids_sql(), "op4_ngram_join": _NGRAM_SQL, "op6_line_dedup": _LINE_SQL, "op7_exact_topk": _TOPK_SQL}
