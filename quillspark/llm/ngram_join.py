@@ -148,28 +148,30 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             rows, gathered = [], []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for doc_id, named, text in zip(batch["doc_id"].tolist(), batch["named"].tolist(), batch["text"].tolist()):
                 own = shingles(text, n)
                 if not len(own):
-                    rows.append((doc_id, None, 0, 0, 0, 0, 0))
+                    rows.append((doc_id, named, 0, 0, 0, 0, 0, 0))
                     continue
                 node = node_of(own)
-                rows.append((doc_id, node, len(own), *signature(own)))
+                rows.append((doc_id, named, node, len(own), *signature(own)))
                 if node not in seen:  # copies count once a task
                     seen.add(node)
                     gathered.append(own[: np.searchsorted(own, top)])
             if gathered:
                 cells, more = np.unique(_cells(np.concatenate(gathered)), return_counts=True)
                 counts[cells] = np.minimum(counts[cells] + more, 255)
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "size", *SIGNS]).astype({"doc_id": "Int64", "node": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "named", "node", "size", *SIGNS])
             yield out.assign(part=pd.array([None] * len(out), "Int32"), counts=None)
         width = SKETCH_CELLS // SKETCH_PARTS
         if seen:
             own = [counts[k * width: (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
-            empty = pd.array([None] * SKETCH_PARTS, "Int64")
-            yield pd.DataFrame({"doc_id": empty, "node": empty, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
+            yield pd.DataFrame({"doc_id": np.zeros(SKETCH_PARTS, np.int64), "named": False, "node": 0, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
 
-    return docs.mapInPandas(run, f"doc_id long, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
+    # no nulls among the numbers: pandas would make floats of them
+    whole = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
+    rows = whole.mapInPandas(run, f"doc_id long, named boolean, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
+    return rows.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size", *SIGNS, "part", "counts")
 
 
 def _order(sets: DataFrame) -> Order:
