@@ -13,15 +13,17 @@ probability 1 - q is missed by t trees with q^t.
 
 Small leaves are compared exhaustively, but only where it can change an answer:
 
-* first each node is compared with the nearest pivot of its leaves (the least by a
-  salted hash), twice, and linked nodes get a common label;
+* first each node is compared with the nearest pivot of its leaves, and linked nodes
+  get a common label: in the first round a leaf's pivot is the node that meets most
+  others in its leaves, which stands in the middle of a group of copies, in the
+  second the least by hash;
 * leaves whose nodes have one label are done; in the others the nodes outside the
   largest label are compared with all that have another label;
 * of two labels the nearest pair is verified first, and the rest only if that
   isn't a link.
 
 Before sets are read a pair must pass its sizes and its signatures: the parity of
-a set's shingles in 256 cells, which differ in no more bits than the sets differ
+a set's shingles in 1024 cells, which differ in no more bits than the sets differ
 in shingles, so no link is lost there.  Links are confirmed on whole sets: those of
 a pivot and of a bounded share of the nodes that ask for it meet in one task, which
 reads them one after the other.
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .filters import KeyFilter
 from .graph import components
-from .ngram_join import SIGNS, apart, merge_repeated, node_of, possible, shingles, signature
+from .ngram_join import apart, merge_repeated, node_of, possible, shingles, signature
 from .runtime import release, stage, unstage
 
 LEVELS = 3
@@ -57,8 +59,11 @@ BRANCH = 2
 #: Tokens kept for branching full leaves, and how many levels of that at most.
 DEEP = 64
 DEEPER = 6
-#: Nodes of a leaf, or of its lesser labels, that are compared exhaustively.
-SMALL = 64
+#: Nodes of a leaf, or of its lesser labels, whose signatures are all compared.
+SMALL = 1024
+#: Cells of a signature; the more, the fewer sets are read in vain.
+SIGNATURE = 1024
+SIGNS = [f"s{k}" for k in range(SIGNATURE // 64)]
 #: Nodes that share one copy of their pivot's set while they are verified.
 SHARE = 256
 ROUNDS = 2
@@ -129,7 +134,7 @@ def _read(docs: DataFrame, n: int, paths: Paths) -> DataFrame:
                 seen.add(node)
                 minima = shipped.value.minima(own)
                 deep = (minima[-DEEP:] >> np.uint64(1)).astype(np.uint16).view(np.int16)
-                rows.append((doc_id, named, node, len(own), signature(own), shipped.value.leaves(minima), deep))
+                rows.append((doc_id, named, node, len(own), signature(own, SIGNATURE), shipped.value.leaves(minima), deep))
             yield pd.DataFrame(rows, columns=["doc_id", "named", "node", "size", "signs", "leaves", "deep"])
 
     # no nulls among the numbers: pandas would make floats of them
@@ -138,16 +143,33 @@ def _read(docs: DataFrame, n: int, paths: Paths) -> DataFrame:
     return rows.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size", "signs", "leaves", "deep")
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Staged leaf and node of the leaves that hold more than one node."""
+    places = nodes.select(F.explode("leaves").alias("leaf"), "node")
+    shared = stage(places.groupBy("leaf").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("leaf"), "shared")
+    # most leaves hold one node: those never reach the shuffle
+    wanted = KeyFilter(shared.select(F.col("leaf").alias("key")), shared.count())
+    rows = stage(places.where(wanted.holds(F.col("leaf"))).join(shared, "leaf", "left_semi").distinct(), "leaves")
+    wanted.drop()
+    unstage(shared)
+    return rows
+
+
 def _mixed(rows: DataFrame, name: str) -> DataFrame:
     """Staged rows of the leaves that hold more than one label."""
     spread = rows.groupBy("leaf").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("leaf")
     return stage(rows.join(spread, "leaf"), name)
 
 
-def _labels(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows with how many nodes their node meets in all its leaves."""
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("k"))
+    met = rows.join(sizes, "leaf").groupBy("node").agg(F.sum("k").alias("met"))
+    return rows.join(met, "node").withColumn("label", F.col("node"))
+
+
+def _labels(rows: DataFrame, links: DataFrame) -> DataFrame:
     """The rows with the labels that the links give their nodes."""
-    if links is None:
-        return rows.withColumn("label", F.col("node"))
     answers = components(links).withColumnRenamed("label", "now")
     return rows.drop("label").join(answers, "node", "left").withColumn("label", F.coalesce("now", "node")).drop("now")
 
@@ -160,17 +182,19 @@ def _as(rows: DataFrame, side: str, *more: str) -> DataFrame:
 def _worth(num: int, den: int) -> Column:
     """Different labels, sizes and signatures that leave the threshold possible."""
     x, y = F.col("x_size").cast("long"), F.col("y_size").cast("long")
-    return (F.col("x_label") != F.col("y_label")) & (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)) & possible("x_", "y_", num, den)
+    return (F.col("x_label") != F.col("y_label")) & (F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)) & possible("x_", "y_", num, den, SIGNS)
 
 
-def _pivots(rows: DataFrame, num: int, den: int, salt: int) -> DataFrame:
+def _pivots(rows: DataFrame, about: DataFrame, num: int, den: int, salt: int) -> DataFrame:
     """a and b: each node and the nearest of its leaves' pivots that may be
     similar."""
-    names = ["node", "label", "size", *SIGNS]
-    least = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("by"), *names)).alias("p")
-    pivots = rows.groupBy("leaf").agg(least).select("leaf", *[F.col(f"p.{c}").alias(f"y_{c}") for c in names])
-    tries = _as(rows, "x").join(pivots, "leaf").where(_worth(num, den))
-    best = tries.groupBy(F.col("x_node").alias("a")).agg(F.min(F.struct(apart("x_", "y_").alias("apart"), F.col("y_node").alias("b"))).alias("best"))
+    order = F.xxhash64("node", F.lit(salt))
+    by = F.struct(F.col("met"), order, "node", "label") if salt == 0 else F.struct(order, "node", "label")
+    pivots = rows.groupBy("leaf").agg(F.max(by).alias("p")).select("leaf", F.col("p.node").alias("b"), F.col("p.label").alias("b_label"))
+    tries = rows.join(pivots, "leaf").where("label <> b_label").select(F.col("node").alias("a"), "b", F.col("label").alias("x_label"), F.col("b_label").alias("y_label")).distinct()
+    for side, c in (("x", "a"), ("y", "b")):
+        tries = tries.join(about.select(F.col("node").alias(c), *[F.col(k).alias(f"{side}_{k}") for k in ("size", *SIGNS)]), c)
+    best = tries.where(_worth(num, den)).groupBy("a").agg(F.min(F.struct(apart("x_", "y_", SIGNS).alias("apart"), "b")).alias("best"))
     return best.select("a", F.col("best.b").alias("b"))
 
 
@@ -228,7 +252,7 @@ def _branched(rows: DataFrame, deep: DataFrame) -> DataFrame:
     return rows.join(deep, "node").withColumn("leaf", F.explode(names)).drop("deep")
 
 
-def _candidates(rows: DataFrame, deep: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(rows: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
     """Staged pairs (a < b) of nodes of different labels that may be similar, with
     the distance of their signatures."""
     found, now = [], rows
@@ -237,18 +261,17 @@ def _candidates(rows: DataFrame, deep: DataFrame, num: int, den: int) -> DataFra
         sizes = counted.groupBy("leaf").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("main"))
         sizes = sizes.select("leaf", F.col("main.label").alias("main"), ((F.col("n") <= SMALL) | (F.col("n") - F.col("main.k") <= SMALL) | F.lit(level == DEEPER)).alias("small"))
         sized = now.join(sizes, "leaf")
-        small = sized.where("small")
+        small = sized.where("small").join(about.drop("deep"), "node")
         x, y = _as(small.where("label <> main"), "x"), _as(small, "y", "main")
         once = (F.col("y_label") == F.col("y_main")) | (F.col("x_node") < F.col("y_node"))
         pairs = x.join(y, "leaf").where(_worth(num, den) & once)
         ends = {"a": F.least, "b": F.greatest}
-        pairs = pairs.select(*[f("x_node", "y_node").alias(c) for c, f in ends.items()], apart("x_", "y_").alias("apart"), *[F.when(F.col("x_node") == f("x_node", "y_node"), F.col("x_label")).otherwise(F.col("y_label")).alias(f"{c}_label") for c, f in ends.items()])
+        pairs = pairs.select(*[f("x_node", "y_node").alias(c) for c, f in ends.items()], apart("x_", "y_", SIGNS).alias("apart"), *[F.when(F.col("x_node") == f("x_node", "y_node"), F.col("x_label")).otherwise(F.col("y_label")).alias(f"{c}_label") for c, f in ends.items()])
         found.append(stage(pairs.distinct(), "pairs"))
         large = sized.where("not small").drop("main", "small")
         if level == DEEPER or large.isEmpty():
             break
-        after = _mixed(_branched(large, deep).distinct(), "deeper")
-        now = after
+        now = _mixed(_branched(large, about.select("node", "deep")).distinct(), "deeper")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -263,23 +286,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, rec
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, known = docs.sparkSession, docs.where("doc_id is not null")
     read = stage(_read(docs, n, Paths(trees_for(num / den, recall))), "read")
-    signs = [F.element_at("signs", k + 1).alias(s) for k, s in enumerate(SIGNS)]
     nodes = read.where("leaves is not null")
     first = stage(read.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "first")
-    places = nodes.select(F.explode("leaves").alias("leaf"), "node", F.col("node").alias("label"), "size", *signs)
-    rows = _mixed(places.distinct(), "leaves")
+    shared = _shared(nodes)
+    release(spark)
+    signs = [F.element_at("signs", k + 1).alias(s) for k, s in enumerate(SIGNS)]
+    about = nodes.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    about = stage(about.select("node", "size", *signs, "deep"), "about")
+    rows = stage(_met(shared), "leaves")
+    unstage(shared)
     release(spark)
     links, tried = None, None
     for salt in range(ROUNDS):
-        star = stage(_pivots(rows, num, den, salt), "star")
+        star = stage(_pivots(rows, about, num, den, salt), "star")
         more = _verified(known, star, first, n, num, den)
         links = more if links is None else links.unionByName(more)
         tried = star if tried is None else tried.unionByName(star)
         before, rows = rows, _mixed(_labels(rows, links), "leaves")
         unstage(before)
         release(spark)
-    pairs = _candidates(rows, nodes.select("node", "deep").dropDuplicates(["node"]), num, den)
+    pairs = _candidates(rows.drop("met"), about, num, den)
     unstage(rows)
+    unstage(about)
     release(spark)
     left = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     # of two labels the nearest pair first

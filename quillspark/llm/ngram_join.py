@@ -104,9 +104,9 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def signature(own: np.ndarray) -> list[int]:
-    """The parity of a set's shingles in each cell, as four signed numbers."""
-    parity = np.bincount((own >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+def signature(own: np.ndarray, cells: int = SIGNATURE) -> list[int]:
+    """The parity of a set's shingles in each cell, as signed numbers of 64 cells."""
+    parity = np.bincount((own >> np.uint64(20)).astype(np.int64) % cells, minlength=cells) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -253,15 +253,15 @@ def _reachable(num: int, den: int):
     return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
-def apart(a: str, b: str):
+def apart(a: str, b: str, signs: list[str] = SIGNS):
     """In how many bits two signatures differ."""
-    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SIGNS), F.lit(0)).cast("long")
+    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in signs), F.lit(0)).cast("long")
 
 
-def possible(a: str, b: str, num: int, den: int):
+def possible(a: str, b: str, num: int, den: int, signs: list[str] = SIGNS):
     """Whether signatures leave the threshold possible: there, num of num + den
     shingles of both sets are shared twice."""
-    return F.lit(num + den) * apart(a, b) <= F.lit(den - num) * (F.col(f"{a}size").cast("long") + F.col(f"{b}size"))
+    return F.lit(num + den) * apart(a, b, signs) <= F.lit(den - num) * (F.col(f"{a}size").cast("long") + F.col(f"{b}size"))
 
 
 def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
