@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
+from .selection import medians, select_ranks
 
 
 def rank_round(q: float, n: Column) -> Column:
@@ -25,27 +26,31 @@ def rank_floor(q: float, n: Column) -> Column:
 def order_statistics(long: DataFrame, group: list[str], value: str, ranks: dict[str, tuple[float, str]]) -> DataFrame:
     """Values at given ranks of each group, from counts of its distinct values:
     rows are counted map-side first, so a large group is no one task's work.
-    ranks: name -> (q, "round" or "floor"); null values take no part."""
+    For values that repeat; continuous ones: ``selection.select_ranks``.
+    ranks: name -> (q, "round", "floor" or "ceil"); null values take no part."""
     counts = long.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group)
     upto = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(w))
-    at = {name: (rank_round if rule == "round" else rank_floor)(q, F.col("_n")) for name, (q, rule) in ranks.items()}
+    rules = {"round": rank_round, "floor": rank_floor, "ceil": lambda q, n: F.ceil(F.lit(q) * (n - 1))}
+    at = {name: rules[rule](q, F.col("_n")) for name, (q, rule) in ranks.items()}
     return rows.groupBy(*group).agg(
         F.max("_n").alias("n"), *[F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("_v"))).alias(name) for name, k in at.items()]
     )
 
 
 def five_numbers(long: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Minimum, quartiles and maximum by nearest rank."""
-    return order_statistics(long, group, value, {"low": (0.0, "round"), "p25": (0.25, "round"), "mid": (0.5, "round"), "p75": (0.75, "round"), "high": (1.0, "round")})
+    """Minimum, quartiles and maximum by nearest rank, of continuous values."""
+    places = {"low": 0.0, "p25": 0.25, "mid": 0.5, "p75": 0.75, "high": 1.0}
+    return select_ranks(long, group, value, {name: lambda n, q=q: rank_round(q, n) for name, q in places.items()})
 
 
 def robust_high(rows: DataFrame, group: list[str], value: str, k: float = 3.0) -> DataFrame:
-    """median + k x 1.4826 x median absolute deviation of each group."""
-    mid = rows.groupBy(*group).agg(F.median(value).alias("mid"))
-    away = rows.join(mid, group).withColumn("away", F.abs(F.col(value) - F.col("mid")))
-    spread = away.groupBy(*group).agg(F.first("mid").alias("mid"), F.median("away").alias("mad"), F.count("*").alias("n"))
+    """median + k x 1.4826 x median absolute deviation of each group; null groups
+    are left out."""
+    mid = medians(rows, group, value).drop("n")
+    away = rows.join(mid, group).select(*group, "mid", F.abs(F.col(value) - F.col("mid")).alias("away"))
+    spread = medians(away, group, "away").withColumnRenamed("mid", "mad").join(mid, group)
     scaled = F.lit(1.4826) * F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad"))
     return spread.select(*group, "n", "mid", "mad", (F.col("mid") + k * scaled).alias("cutoff"))
 
@@ -70,8 +75,8 @@ def alignment(features: DataFrame, group: str, keys: list[str]) -> DataFrame:
     """Glossed features that tell a document from its group's median."""
     long = features.unpivot([group, *keys], L.GLOSSED, "feature", "value")
     w = [group, "feature"]
-    band = order_statistics(long, w, "value", {"p25": (0.25, "round"), "p75": (0.75, "round")}).join(long.groupBy(*w).agg(F.median("value").alias("mid")), w)
-    rows = long.join(band, w)
+    band = order_statistics(long, w, "value", {"p25": (0.25, "round"), "p75": (0.75, "round"), "below": (0.5, "floor"), "above": (0.5, "ceil")})
+    rows = long.join(band.withColumn("mid", F.col("below") * 0.5 + F.col("above") * 0.5), w)
     tells = F.when(F.col("feature").isin(L.LOWER_IS_TELL), F.col("value") < 0.7 * F.col("mid")).otherwise(F.col("value") > 1.6 * F.col("mid") + 0.2)
     ratio = F.when(F.col("mid") > 0, F.round(F.col("value") / F.when(F.col("mid") > 0, F.col("mid")).otherwise(1.0), 1))
     return rows.select(group, *keys, "feature", "value", "mid", "p25", "p75", ratio.alias("ratio"), tells.alias("tells"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .selection import medians
 
 
 def chunks(docs: DataFrame, keys: list[str], words: int = 120, most: int | None = 48) -> DataFrame:
@@ -59,7 +60,8 @@ def prototype_margins(rows: DataFrame, key: str, side: str, vector: str) -> Data
 
 def margin_threshold(margins: DataFrame, side: str) -> DataFrame:
     """One row: the mean of the two sides' median margins."""
-    mids = margins.agg(*[F.median(F.when(F.col(side) == s, F.col("margin"))).alias(f"m{s}") for s in (0, 1)])
+    by_side = medians(margins, [side], "margin")
+    mids = by_side.agg(*[F.max(F.when(F.col(side) == s, F.col("mid"))).alias(f"m{s}") for s in (0, 1)])
     return mids.select(((F.col("m0") + F.col("m1")) / 2).alias("threshold"))
 
 
