@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staged import staged
 from .selection import medians
 
 
@@ -29,14 +30,20 @@ def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     return mean.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("mean"))
 
 
-def _normal(v: Column) -> Column:
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
+def _length(v: str) -> Column:
+    return F.greatest(F.sqrt(dot(F.col(v), F.col(v))), F.lit(1e-12))
+
+
+def _normalised(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """The rows with the vector at length one; its length is a column of its own, or
+    it would be taken again for every component."""
+    rows = rows.withColumn("_length", _length(vector))
+    return rows.withColumn(name, F.transform(vector, lambda x: x.cast("double") / F.col("_length"))).drop("_length")
 
 
 def document_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """A document's normalised mean over its chunks' vectors."""
-    return mean_vectors(rows, [key], vector).select(key, _normal(F.col("mean")).alias("v"))
+    return _normalised(mean_vectors(rows, [key], vector), "mean", "v").select(key, "v")
 
 
 def prototype_margins(rows: DataFrame, key: str, side: str, vector: str) -> DataFrame:
@@ -44,18 +51,17 @@ def prototype_margins(rows: DataFrame, key: str, side: str, vector: str) -> Data
 
     A vector's own side leaves it out: sums less itself, so nothing is paired.
     rows: key, side (1 or 0), vector."""
-    unit = rows.select(key, side, _normal(F.col(vector)).alias("v"))
+    unit = _normalised(rows.select(key, side, vector), vector, "v").select(key, side, "v")
     long = unit.select(side, F.posexplode("v").alias("i", "x"))
     sums = long.groupBy(side, "i").agg(F.sum("x").alias("x")).groupBy(side).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("s"))
     # two rows, each of a vector's length
     both = sums.agg(*[F.first(F.when(F.col(side) == s, F.col("s")), ignorenulls=True).alias(f"s{s}") for s in (0, 1)])
     rows = unit.withColumns({"s0": both.select("s0").scalar(), "s1": both.select("s1").scalar()})
 
-    def near(s: int) -> Column:
-        rest = F.zip_with(f"s{s}", "v", lambda a, b: a - b)
-        return dot(F.col("v"), _normal(F.when(F.col(side) == s, rest).otherwise(F.col(f"s{s}"))))
-
-    return rows.select(key, side, (near(1) - near(0)).alias("margin"))
+    rest = {f"r{s}": F.when(F.col(side) == s, F.zip_with(f"s{s}", "v", lambda a, b: a - b)).otherwise(F.col(f"s{s}")) for s in (0, 1)}
+    rows = rows.withColumns(rest)
+    near = [dot(F.col("v"), F.col(f"r{s}")) / _length(f"r{s}") for s in (0, 1)]
+    return rows.select(key, side, (near[1] - near[0]).alias("margin"))
 
 
 def margin_threshold(margins: DataFrame, side: str) -> DataFrame:
@@ -66,6 +72,7 @@ def margin_threshold(margins: DataFrame, side: str) -> DataFrame:
 
 
 def margin_verdicts(margins: DataFrame, side: str, key: str) -> DataFrame:
+    margins = staged(margins, "margins")  # read for the medians and for the verdicts
     rows = margins.withColumn("threshold", margin_threshold(margins, side).scalar())
     return rows.select(key, side, F.round("margin", 6).alias("margin"), (F.round("margin", 6) > F.round("threshold", 6)).alias("side_1"))
 
@@ -75,7 +82,7 @@ def axis_correlations(rows: DataFrame, key: str, side: str, vector: str, feature
     difference of the sides."""
     means = mean_vectors(rows.select(side, vector), [side], vector)
     both = means.agg(*[F.first(F.when(F.col(side) == s, F.col("mean")), ignorenulls=True).alias(f"m{s}") for s in (0, 1)])
-    axis = both.select(_normal(F.zip_with("m1", "m0", lambda a, b: a - b)).alias("axis"))
+    axis = _normalised(both.select(F.zip_with("m1", "m0", lambda a, b: a - b).alias("between")), "between", "axis").select("axis")
     projected = rows.withColumn("axis", axis.scalar()).select(key, dot(F.col(vector), F.col("axis")).alias("t")).join(features, key)
     long = projected.unpivot([key, "t"], names, "feature", "value")
     return long.groupBy("feature").agg(F.round(F.coalesce(F.corr("t", "value"), F.lit(0.0)), 6).alias("r"))

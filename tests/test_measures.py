@@ -152,3 +152,34 @@ def test_prototype_margins_leave_self_out(spark):
     rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.9, 0.1]), (3, 0, [0.0, 1.0]), (4, 0, [0.1, 0.9])], "k int, side int, v array<float>")
     got = {r.k: r.margin for r in vectors.prototype_margins(rows, "k", "side", "v").collect()}
     assert got[1] > 0 > got[3]
+
+
+def test_vector_leave_one_out_equals_the_long_form(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = [(g, i * 10 + j, " ".join(rng.choice(["the", "of", "and", "stone", "But", "which"]) for _ in range(rng.randint(1, 60)))) for j, g in enumerate(("a", "b", None)) for i in range(15)]
+    docs += [("pair", 901, "the of the"), ("pair", 902, "of"), ("one", 903, "the"), ("equal", 904, "the cat"), ("equal", 905, "the dog"), ("equal", 906, "the of"), ("a", 907, None), ("a", 908, "")]
+    frame = spark.createDataFrame(docs, "grp string, doc_id long, text string")
+    counts = distance.function_word_counts(frame, ["grp", "doc_id"])
+    assert counts.count() == len(docs) * len(distance.WORDS)
+    words = {(r.doc_id, r.word): (r.n, r.w) for r in counts.where("n > 0").collect()}
+    assert words[901, "the"] == (2, 3) and (908, "the") not in words
+    rates = counts.selectExpr("grp", "doc_id", "word", "1000.0D * n / w as rate")
+    long = {(r.doc_id, r.word): r.z for r in distance.leave_one_out(rates, "grp", "doc_id").collect()}
+    wide = {(r.doc_id, w): z for r in distance._scored(frame, "grp", "doc_id").collect() for w, z in zip(distance.WORDS, r.z)}
+    assert set(long) == set(wide) and 903 not in {d for d, _ in wide}
+    assert all((long[k] is None and wide[k] is None) or abs(long[k] - wide[k]) < 1e-9 for k in long)
+    # brute force: the others' mean and deviation
+    by = {}
+    for g, d, _ in docs:
+        by.setdefault(g, []).append(d)
+    for g, d, _ in docs:
+        for w in ("the", "of", "which"):
+            others = [1000.0 * words.get((o, w), (0, 1))[0] / words.get((o, w), (0, 1))[1] for o in by[g] if o != d]
+            if others:
+                mean = sum(others) / len(others)
+                sd = (sum((x - mean) ** 2 for x in others) / len(others)) ** 0.5
+                n, t = words.get((d, w), (0, 1))
+                assert (wide[d, w] is None) == (sd <= 1e-9)
+                assert sd <= 1e-9 or abs(wide[d, w] - (1000.0 * n / t - mean) / sd) < 1e-6
