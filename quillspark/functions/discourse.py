@@ -73,7 +73,7 @@ def voice(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Sentence-length variation and lexical diversity on one scale, and MTLD."""
     rows = docs.select(*keys, T.prose(F.col("text")).alias("p"))
     rows = rows.select(*keys, T.tokens(F.lower("p")).alias("t"), F.transform(T.sentences(T.without_parentheses(F.col("p")), 3), lambda s: T.spaced_words(s).cast("double")).alias("lens"))
-    rows = rows.withColumn("mtld", mtld("t"))
+    rows = rows.withColumn("mtld", mtld(F.col("t")))
     deviation, mean = T.spread(F.col("lens"))
     burst = deviation / F.greatest(mean, F.lit(1.0))
     value = F.least(burst / 1.2, F.lit(1.0)) * 50 + F.least(F.col("mtld") / 120, F.lit(1.0)) * 50

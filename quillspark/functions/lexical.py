@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from . import lexicons as L
 from . import text as T
@@ -114,9 +110,39 @@ def lexical_diversity(tokens: list[str], least: int = 50, threshold: float = 0.7
     return round((runs(tokens) + runs(tokens[::-1])) / 2, 1)
 
 
-@F.pandas_udf(DoubleType())
-def mtld(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``lexical_diversity`` of an array of tokens: an order-bound fold that
-    built-in functions can only express in quadratic time."""
-    for batch in batches:
-        yield batch.map(lambda t: lexical_diversity(list(t)) if t is not None else 0.0).astype("float64")
+def _earlier(tokens: Column) -> Column:
+    """The place of each token's previous occurrence in its array, -1 for none, in
+    the order of the tokens."""
+    placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i"))
+    linked = F.zip_with(placed, F.concat(F.array(none), placed), lambda z, y: F.struct(z["i"].alias("i"), F.when(z["w"] == y["w"], y["i"]).otherwise(-1).alias("p")))
+    return F.filter(F.sort_array(linked), lambda z: z["i"].isNotNull())
+
+
+def _mean_run(tokens: Column, threshold: float) -> Column:
+    """Mean length of the runs of one reading direction.
+
+    A token is a new type of the run that began at s if its previous occurrence
+    lies before s, so the fold needs the run's start and number of types alone."""
+    size = F.size(tokens).cast("double")
+    begun = F.struct(F.lit(0).alias("start"), F.lit(0).alias("types"), F.lit(0).alias("runs"))
+
+    def add(a: Column, x: Column) -> Column:
+        types = a["types"] + F.when(x["p"] < a["start"], 1).otherwise(0)
+        ends = types <= F.lit(threshold) * (x["i"] - a["start"] + 1)
+        after = F.struct((x["i"] + 1).alias("start"), F.lit(0).alias("types"), (a["runs"] + 1).alias("runs"))
+        return F.when(ends, after).otherwise(F.struct(a["start"].alias("start"), types.alias("types"), a["runs"].alias("runs")))
+
+    def mean(a: Column) -> Column:
+        rest = size - a["start"]
+        part = F.when(rest > 0, (1 - a["types"] / F.greatest(rest, F.lit(1.0))) / (1 - threshold)).otherwise(0.0)
+        return F.when(a["runs"] + part > 0, size / F.when(a["runs"] + part > 0, a["runs"] + part).otherwise(1.0)).otherwise(size)
+
+    return F.aggregate(_earlier(tokens), begun, add, mean)
+
+
+def mtld(tokens: Column, least: int = 50, threshold: float = 0.72) -> Column:
+    """``lexical_diversity`` of an array of tokens, in time that grows as n log n; 0
+    for null."""
+    both = (_mean_run(tokens, threshold) + _mean_run(F.reverse(tokens), threshold)) / 2
+    return F.when(F.size(tokens) >= least, F.floor(both * 10 + 0.5) / 10).otherwise(0.0)

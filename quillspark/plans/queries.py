@@ -262,7 +262,21 @@ def clause_profile(spark, d):
     return lexical.clause_profile(documents(spark, d), KEYS).select("doc_id", "tokens", "sentences", "subordinators", "commas", "function_words")
 
 
-@query()
+_RUN = """list_reduce([{'s': 0, 't': 0, 'r': 0, 'i': -1, 'p': -1}] || list({'s': 0, 't': 0, 'r': 0, 'i': i, 'p': p} ORDER BY i), lambda a, x:
+  CASE WHEN a.t + CAST(x.p < a.s AS INTEGER) <= 0.72::DOUBLE * (x.i - a.s + 1) THEN {'s': x.i + 1, 't': 0, 'r': a.r + 1, 'i': x.i, 'p': x.p}
+  ELSE {'s': a.s, 't': a.t + CAST(x.p < a.s AS INTEGER), 'r': a.r, 'i': x.i, 'p': x.p} END)"""
+_DIVERSITY = f"""WITH {VIEWS}, a AS (SELECT doc_id, p, regexp_extract_all(lower(p), '[a-z]+') AS t FROM v0),
+b AS (SELECT doc_id, 0 AS d, unnest(t) AS w, CAST(unnest(range(len(t))) AS INTEGER) AS i FROM a WHERE len(t) >= 50 UNION ALL SELECT doc_id, 1, unnest(list_reverse(t)), CAST(unnest(range(len(t))) AS INTEGER) FROM a WHERE len(t) >= 50),
+c AS (SELECT doc_id, d, i, coalesce(lag(i) OVER (PARTITION BY doc_id, d, w ORDER BY i), -1) AS p FROM b),
+e AS (SELECT doc_id, d, count(*)::DOUBLE AS n, {_RUN} AS z FROM c GROUP BY ALL),
+f AS (SELECT doc_id, n, z.r + CASE WHEN n - z.s > 0 THEN (1 - z.t / greatest(n - z.s, 1.0::DOUBLE)) / (1 - 0.72::DOUBLE) ELSE 0 END AS runs FROM e),
+g AS (SELECT doc_id, sum(CASE WHEN runs > 0 THEN n / runs ELSE n END) / 2 AS length FROM f GROUP BY 1),
+h AS (SELECT a.doc_id, len(t) AS n, coalesce(floor(length * 10 + 0.5::DOUBLE) / 10, 0) AS mtld, list_transform({sents_sql(no_parens_sql('p'), 3)}, lambda s: CAST(len(regexp_extract_all(s, '\\S+')) AS DOUBLE)) AS lens FROM a LEFT JOIN g USING (doc_id)),
+k AS (SELECT *, list_sum(lens) / len(lens) AS m, list_sum(list_transform(lens, lambda x: x * x)) / len(lens) AS q FROM h)
+SELECT doc_id, mtld, CASE WHEN len(lens) < 2 OR n < 50 THEN 0 ELSE round(least(sqrt(greatest(q - m * m, 0)) / greatest(m, 1) / 1.2::DOUBLE, 1) * 50 + least(mtld / 120, 1) * 50, 2) END AS voice FROM k"""
+
+
+@query(_DIVERSITY)
 def lexical_diversity(spark, d):
     return discourse.voice(documents(spark, d), KEYS)
 

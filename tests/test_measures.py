@@ -64,6 +64,24 @@ def test_diversity_resets_and_short_texts():
     assert lexical.lexical_diversity([str(i) for i in range(60)]) == 60.0
 
 
+def test_mtld_of_arrays_equals_the_fold(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    lists = [None, [], ["a"] * 49, ["a"] * 50, [str(i) for i in range(60)]]
+    lists += [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, k) for _ in range(rng.randint(40, 900))] for k in (1, 2, 3, 9) for _ in range(12)]
+    lists.append([str(i) for i in range(60_000)])  # one run that never ends: not quadratic
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, t array<string>")
+    plan = rows.select(lexical.mtld(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    for r in rows.select("id", lexical.mtld(F.col("t")).alias("m")).collect():
+        # the fold rounds ties to even, the column up
+        assert math.isclose(r.m, lexical.lexical_diversity(lists[r.id] or []), abs_tol=0.1000001 if (lists[r.id] and r.id > 4) else 1e-9)
+    exact = [abs(r.m - lexical.lexical_diversity(lists[r.id] or [])) < 1e-9 for r in rows.select("id", lexical.mtld(F.col("t")).alias("m")).collect()]
+    assert sum(exact) >= len(exact) - 1
+
+
 def test_stems_take_first_suffix(spark):
     row = docs(spark, "Organization runs quickly; the classes are being tested <!-- x --> happiness").select(lexical.stems(F.col("text")).alias("s")).first()
     assert row.s == ["organ", "run", "quick", "class", "test", "happi"]
