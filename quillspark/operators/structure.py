@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.folding import fold
 from ..functions.lexical import stems
 
 LATEX = r"\\[a-zA-Z]+\*?|[{}]"
@@ -282,15 +283,6 @@ def related_position(docs: DataFrame, group: str, key: str) -> DataFrame:
     return first.groupBy(group).agg(F.round(F.median("place"), 2).alias("related_pos_mid"), F.count("*").alias("n"))
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyszo"
-
-
-def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
-
-
 def textual_citations(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Author phrases with a year, as they stand in the text."""
     text = T.clean(F.col("text"))
@@ -299,15 +291,46 @@ def textual_citations(docs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "pos", F.trim(F.regexp_extract("m", rf"^({L.AUTHORS})\s*\(?({L.YEAR})", 1)).alias("authors"), F.regexp_extract("m", rf"({L.YEAR})$", 1).alias("year"))
 
 
-def missing_citations(docs: DataFrame, keys: list[str]) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """The distinct trigrams of a text of three characters or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def found_in_lines(asked: DataFrame, lines: DataFrame, name: str, line: str, by: list[str]) -> DataFrame:
+    """The distinct (by, name) that stand within a line of the same ``by``.  Names
+    have three characters or more.
+
+    An inverted index of the lines' trigrams, of those that names have: each name
+    looks up its rarest trigram and is then searched for in those lines alone, so
+    neither the lines nor the names are ever in one row or task.  Null ``by`` match
+    nothing."""
+    names = asked.select(*by, name).distinct()
+    wanted = names.select(*by, name, F.explode(_grams(F.col(name))).alias("_gram"))
+    numbered = lines.where(F.length(line) >= 3).select(*by, F.col(line).alias("_line"), F.xxhash64(line).alias("_id"))
+    index = numbered.select(*by, "_id", F.explode(_grams(F.col("_line"))).alias("_gram")).join(wanted.select(*by, "_gram").distinct(), [*by, "_gram"], "left_semi").distinct()
+    sizes = index.groupBy(*by, "_gram").agg(F.count("*").alias("_k"))
+    rarest = wanted.join(sizes, [*by, "_gram"], "left").groupBy(*by, name).agg(F.min(F.struct(F.coalesce("_k", F.lit(0)).alias("k"), F.col("_gram").alias("gram"))).alias("_best"))
+    rarest = rarest.where("_best.k > 0").select(*by, name, F.col("_best.gram").alias("_gram"))
+    places = rarest.join(index, [*by, "_gram"]).select(*by, name, "_id").distinct()
+    return places.join(numbered, [*by, "_id"]).where(F.col("_line").contains(F.col(name))).select(*by, name).distinct()
+
+
+def missing_citations(docs: DataFrame, keys: list[str], lines: DataFrame | None = None) -> DataFrame:
     """Citations whose first surname stands in no cite key and no bibliography.
-    ``docs`` has text and bib (may be null or empty)."""
+
+    ``lines`` has the lines of one bibliography for all documents (column line);
+    without it ``docs`` has a bibliography each (column bib, may be null).
+    Documents with a null key are left out."""
     cites = F.regexp_extract_all(T.clean(F.col("text")), F.lit(r"\\cite[a-z]*\*?(?:\[[^]]*\])*\{([^}]+)\}"), 1)
-    books = docs.select(*keys, fold(F.array_join(cites, " ")).alias("_keys"), fold(F.coalesce("bib", F.lit(""))).alias("_bib"))
+    cited = docs.select(*keys, fold(F.array_join(cites, " ")).alias("_keys"))
     first = F.regexp_replace(F.split(F.col("authors"), r"\s+(?:and|&|et)\b", 2)[0], r"['’]s\b", "")
     rows = textual_citations(docs, keys).withColumn("surname", F.regexp_replace(fold(first), "[^a-z]", ""))
-    rows = rows.where((F.length("surname") >= 3) & ~F.col("surname").isin(L.NOT_SURNAMES)).join(books, keys)
-    rows = rows.where(~F.col("_keys").contains(F.col("surname")) & ~F.col("_bib").contains(F.col("surname")))
+    rows = rows.where((F.length("surname") >= 3) & ~F.col("surname").isin(L.NOT_SURNAMES)).join(cited, keys).where(~F.col("_keys").contains(F.col("surname")))
+    by = keys if lines is None else []
+    if lines is None:
+        lines = docs.select(*keys, F.explode(F.split(F.coalesce("bib", F.lit("")), r"[\r\n]+")).alias("line"))
+    known = found_in_lines(rows, lines.select(*by, fold(F.col("line")).alias("line")), "surname", "line", by)
+    rows = rows.join(known, [*by, "surname"], "left_anti")
     return rows.select(*keys, F.format_string("%s (%s)", "authors", "year").alias("citation")).distinct()
 
 

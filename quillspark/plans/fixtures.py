@@ -26,6 +26,8 @@ CITED = [
     (1, "As Smith and Jones (2010) shows, and Müller (1999) proves more than Lee et al. 2005 did. Enron 2001 fell.", "@book{muller99, author={Muller}}"),
     (2, "See \\cite{lee05} and Lee (2005). \\cite{roe} clearly establishes it. O'Neil's (2016) view.", ""),
     (3, "Nothing here.", None),
+    (4, "Dvořák (2010) and Erdős (1959) agree, Sørensen (1948) doesn't; Łukasiewicz (1920) and Œuvre (1999) stand alone.", "author = {Dvořák, A.}\nauthor = {Erdos, P.}\nauthor = {Sorensen, T.}"),
+    (5, "Nguyễn (2001), Novák and Čapek (1999), Kovač (2003).", "x = {Nguyen}\ny = {NOVÁK}\nz = {Kova\nc}"),
 ]
 
 RATINGS = [

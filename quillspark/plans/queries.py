@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import discourse, lexical, shape
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.folding import fold
 from ..operators import bands, contrast, distance, panel, structure, syntax, vectors
 from . import fixtures
 
@@ -217,6 +218,28 @@ def overused_words(spark, d):
     return distance.overused(corpus(spark, d), "grp", "doc_id")
 
 
+# --- folding and look-ups in lines ---------------------------------------------
+
+
+@query("SELECT doc_id, md5(strip_accents(lower(coalesce(text, '')))) AS folded_md5 FROM documents")
+def folded_texts(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(fold(F.coalesce("text", F.lit("")))).alias("folded_md5"))
+
+
+_LINES = r"list_filter(regexp_split_to_array({}, '\n'), lambda x: length(x) >= 3)"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT unnest({_LINES.format("strip_accents(lower(text))")}) AS line FROM benchmark),
+n AS (SELECT DISTINCT strip_accents(lower(unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]{{3,}}')))) AS name FROM documents)
+SELECT name, EXISTS (SELECT 1 FROM b WHERE contains(line, name)) AS found FROM n""")
+def names_in_benchmark(spark, d):
+    """Which capitalised words of the documents stand in a line of the benchmark."""
+    lines = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(fold(F.col("text")), "\n")).alias("line"))
+    names = documents(spark, d).select(F.explode(T.tokens(F.col("text"), "[A-Z][a-zà-ÿ]{3,}")).alias("name")).distinct().select(fold(F.col("name")).alias("name")).distinct()
+    known = structure.found_in_lines(names, lines, "name", "line", [])
+    return names.join(known.withColumn("found", F.lit(True)), "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 # --- lexical -----------------------------------------------------------------
 
 _SYL = "greatest(len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN ends_with(w, 'e') AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(w, '[^aeiouy]le$') THEN 1 ELSE 0 END, 1)"

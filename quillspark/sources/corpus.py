@@ -41,9 +41,9 @@ def read_generated(spark: SparkSession, paths: str | list[str], over: int = 300)
 
 
 def read_bibliography(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row: the text of all .bib files."""
+    """path, pos and line of all .bib files' lines that aren't blank."""
     rows = read_folder(spark, paths, "*.bib", filtered=False)
-    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda z: z["text"]), "\n").alias("bib"))
+    return rows.select("path", F.posexplode(F.split("text", r"\r\n|[\r\n]")).alias("pos", "line")).where(F.trim("line") != "")
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
