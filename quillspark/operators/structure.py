@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.folding import fold
+from .similarity import most_similar
+from .vectors import chunks
 from ..functions.lexical import stems
 
 LATEX = r"\\[a-zA-Z]+\*?|[{}]"
@@ -172,18 +174,18 @@ def _stem_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def section_redundancy(docs: DataFrame, key: str, most: int = 6, over: int = 120) -> DataFrame:
     """The most similar pairs of a document's longer sections."""
     rows = sections(docs, [key]).withColumn("p", T.prose(F.col("body"))).where(T.spaced_words(F.col("p")) > over)
-    rows = rows.withColumn("name", F.regexp_replace("title", r"^\d+\.?\s*", ""))
-    counts = _stem_counts(rows, [key, "pos"], "p")
-    norms = counts.groupBy(key, "pos").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    heads = rows.select(key, "pos", "name").join(norms, [key, "pos"], "left")
-    a, b = (heads.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("pos", "name", "norm")]) for side in "ab")
-    pairs = a.join(b, key).where("a_pos < b_pos")  # a document's own sections
-    ca, cb = (counts.select(key, F.col("pos").alias(f"{side}_pos"), "term", F.col("n").alias(f"{side}_n")) for side in "ab")
-    dots = ca.join(cb, [key, "term"]).where("a_pos < b_pos").groupBy(key, "a_pos", "b_pos").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("dot"))
-    value = F.coalesce(F.col("dot") / (F.col("a_norm") * F.col("b_norm")), F.lit(0.0))
-    rows = pairs.join(dots, [key, "a_pos", "b_pos"], "left").withColumn("cosine", F.round(value, 2))
-    top = Window.partitionBy(key).orderBy(F.desc("cosine"), "a_pos", "b_pos")
-    return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most).select(key, "rank", F.col("a_name").alias("first"), F.col("b_name").alias("second"), "cosine", (F.col("cosine") >= 0.6).alias("restated"))
+    rows = rows.select(key, F.col("pos").alias("part"), F.regexp_replace("title", r"^\d+\.?\s*", "").alias("name"), "p")
+    found = most_similar(rows.select(key, "part"), _stem_counts(rows, [key, "part"], "p"), key, most)
+    for side, name in (("a", "first"), ("b", "second")):
+        found = found.join(rows.select(key, F.col("part").alias(side), F.col("name").alias(name)), [key, side])
+    return found.select(key, "rank", "first", "second", "cosine", (F.col("cosine") >= 0.6).alias("restated"))
+
+
+def block_redundancy(docs: DataFrame, key: str, words: int = 150, most: int = 6) -> DataFrame:
+    """The most similar pairs of a document's blocks of so many words, for prose
+    without headings; the last block may be shorter."""
+    blocks = chunks(docs, [key], words=words, most=None).select(key, F.col("chunk").alias("part"), "text")
+    return most_similar(blocks.select(key, "part"), _stem_counts(blocks, [key, "part"], "text"), key, most)
 
 
 def conclusion_restatement(docs: DataFrame, key: str, over: int = 80) -> DataFrame:

@@ -687,6 +687,17 @@ def section_redundancy(spark, d):
     return structure.section_redundancy(fixtures.frame(spark, "f_headed"), "doc_id")
 
 
+@query(f"""WITH {VIEWS}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace({no_parens_sql('p')}, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM v0),
+b AS (SELECT doc_id, unnest(range(CAST(ceil(len(ws) / 150.0) AS BIGINT))) AS k, ws FROM w), t AS (SELECT doc_id, k, array_to_string(ws[150 * k + 1:150 * k + 150], ' ') AS body FROM b),
+e AS (SELECT doc_id, k, unnest({stems_sql('body')}) AS term FROM t), c AS (SELECT doc_id, k, term, count(*) AS n FROM e GROUP BY ALL),
+nm AS (SELECT doc_id, k, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL), dt AS (SELECT x.doc_id, x.k AS a, y.k AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.term = y.term AND x.k < y.k GROUP BY ALL),
+pr AS (SELECT x.doc_id, x.k AS a, y.k AS b, round(coalesce(dot / (u.norm * v.norm), 0), 2) AS cosine FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.k < y.k
+  LEFT JOIN nm u ON u.doc_id = x.doc_id AND u.k = x.k LEFT JOIN nm v ON v.doc_id = y.doc_id AND v.k = y.k LEFT JOIN dt ON dt.doc_id = x.doc_id AND dt.a = x.k AND dt.b = y.k)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, a, b) AS INTEGER) AS rank, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, cosine FROM pr QUALIFY rank <= 6""")
+def block_redundancy(spark, d):
+    return structure.block_redundancy(documents(spark, d), "doc_id")
+
+
 @query(f"""WITH {_SECTIONS}, {_STEMMED}, la AS (SELECT doc_id, min(pos) AS fst FROM st WHERE regexp_matches(name, {lit(L.CONCLUSION_TITLE)}) GROUP BY 1),
 s AS (SELECT te.doc_id, term, count(*) FILTER (pos = fst) AS c1, count(*) FILTER (pos <> fst AND len(regexp_extract_all(p, '\\S+')) > 80) AS c0 FROM te JOIN la USING (doc_id) GROUP BY ALL)
 SELECT doc_id, round(sum(c0 * c1) / (sqrt(sum(c0 * c0)) * sqrt(sum(c1 * c1))), 2) AS cosine FROM s GROUP BY 1 HAVING sum(c0) > 0 AND sum(c1) > 0""")
