@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,22 +93,70 @@ def axis_correlations(rows: DataFrame, key: str, side: str, vector: str, feature
     return long.groupBy("feature").agg(F.round(F.coalesce(F.corr("t", "value"), F.lit(0.0)), 6).alias("r"))
 
 
-def probe(rows: DataFrame, vector: str, target: str, alpha: float = 1.0, folds: int = 5, seed: int = 0) -> float:
-    """Cross-validated R2 of a ridge probe from vectors to a feature, 0 at least.
-
-    Folds by a hash of the vector, so equal targets spread over folds; ``alpha`` is a sum-of-squares penalty, which is
-    what the library's per-row penalty times the row count is."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    data = rows.select(F.col(vector).alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y")).withColumn("fold", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(folds))).drop("v").persist()
-    score, used = RegressionEvaluator(labelCol="y", metricName="r2"), []
-    for k in range(folds):
-        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        n = train.count()
-        if n and test.count() > 1:
-            model = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False).fit(train)
-            used.append(score.evaluate(model.transform(test)))
-    data.unpersist()
-    return max(0.0, sum(used) / len(used)) if used else 0.0
+def _gram_cells(data: DataFrame, width: int, folds: int) -> DataFrame:
+    """fold, i, j and value: the sums of products of every two columns of the rows
+    [1, vector, targets], fold by fold; a task adds its rows up before it hands on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = np.zeros((folds, width, width))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            fold = batch.column("fold").to_numpy()
+            for k in range(folds):
+                own = x[fold == k]
+                grams[k] += own.T @ own
+        k, i, j = np.nonzero(grams)
+        columns = [pa.array(c, pa.int32()) for c in (k, i, j)] + [pa.array(grams[k, i, j])]
+        yield pa.RecordBatch.from_arrays(columns, ["fold", "i", "j", "value"])
+
+    cells = data.mapInArrow(run, "fold int, i int, j int, value double")
+    return cells.groupBy("fold", "i", "j").agg(F.sum("value").alias("value"))
+
+
+def held_out_r2(grams: np.ndarray, dims: int, alpha: float) -> list[float]:
+    """Mean held-out R2 of each target, from the folds' sums of products alone.
+
+    Columns are a constant, ``dims`` components and the targets.  Training sums are
+    all folds' less the held-out one's; components and targets are centred by them,
+    and the held-out errors follow from the held-out sums."""
+    total, scores = grams.sum(0), []
+    at, of = slice(1, dims + 1), slice(dims + 1, None)
+    for held in grams:
+        train, n, m = total - held, (total - held)[0, 0], held[0, 0]
+        if n < 1 or m < 2:
+            continue
+        mean_x, mean_y = train[0, at] / n, train[0, of] / n
+        left = train[at, at] - n * np.outer(mean_x, mean_x) + alpha * np.eye(dims)
+        weights = np.linalg.solve(left, train[at, of] - n * np.outer(mean_x, mean_y))
+        bias = mean_y - mean_x @ weights
+        model = np.vstack([bias, weights])  # over the constant and the components
+        inner = slice(0, dims + 1)
+        errors = np.diag(held[of, of]) - 2 * (model * held[inner, of]).sum(0) + (model * (held[inner, inner] @ model)).sum(0)
+        spread = np.diag(held[of, of]) - held[0, of] ** 2 / m
+        scores.append(np.where(spread > 1e-12 * np.maximum(np.diag(held[of, of]), 1e-300), 1 - errors / np.where(spread > 0, spread, 1.0), 0.0))
+    return np.maximum(np.mean(scores, axis=0), 0.0).tolist() if scores else [0.0] * (grams.shape[1] - dims - 1)
+
+
+def probes(rows: DataFrame, vector: str, targets: list[str], alpha: float = 1.0, folds: int = 5, seed: int = 0) -> DataFrame:
+    """feature and r2: the cross-validated R2, 0 at least, of a ridge probe from
+    vectors to each target, all targets and folds in one pass over the rows.
+
+    ``alpha`` penalises the sum of squared weights.  Folds go by a hash of the
+    vector.  What leaves a task are sums of products, as wide as a vector and the
+    targets together; vectors of another length than most, and rows with a null or
+    non-finite number in the vector or any target, take no part."""
+    numbers = F.concat(F.array(F.lit(1.0)), F.col(vector).cast("array<double>"), F.array(*[F.col(t).cast("double") for t in targets]))
+    data = rows.select(F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), numbers.alias("x"))
+    data = data.where(F.coalesce(F.forall("x", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)))
+    sizes = data.groupBy(F.size("x").alias("w")).agg(F.count("*").alias("k")).agg(F.max_by("w", F.struct("k", -F.col("w"))).alias("w")).first()
+    width = sizes.w or len(targets) + 1
+    names, dims = list(targets), width - len(targets) - 1
+
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        grams = np.zeros((folds, width, width))
+        grams[cells["fold"], cells["i"], cells["j"]] = cells["value"]
+        return pd.DataFrame({"feature": names, "r2": held_out_r2(grams, dims, alpha)})
+
+    cells = _gram_cells(data.where(F.size("x") == width), width, folds)
+    # folds x width x width numbers, whatever the rows
+    return cells.groupBy().applyInPandas(solve, "feature string, r2 double")

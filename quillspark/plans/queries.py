@@ -531,8 +531,16 @@ def probe_r2(spark, d):
     noise = F.pmod(F.xxhash64("vec_id"), F.lit(2001)) / 1000.0 - 1.0
     spread = rows.select(F.stddev_pop(F.get("embedding", F.lit(0))).alias("s")).first().s or 1.0
     targets = {"side": F.when(F.col("label") >= 5, 1.0).otherwise(0.0), "half": F.get("embedding", F.lit(0)) / spread + noise * 3**0.5, "noise": noise}
-    r2 = {n: vectors.probe(rows.withColumn("y", y), "embedding", "y") for n, y in targets.items()}
-    return spark.createDataFrame([(k, round(v, 3)) for k, v in r2.items()], "feature string, r2 double")
+    return vectors.probes(rows.withColumns(targets), "embedding", list(targets)).select("feature", F.round("r2", 3).alias("r2"))
+
+
+@query()
+def probe_features(spark, d):
+    """How much of each surface feature of a document the vector of the same id
+    tells: all features in one pass."""
+    features = shape.features(documents(spark, d), KEYS)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding").join(features, "doc_id")
+    return vectors.probes(rows, "embedding", L.FEATURES).select("feature", F.round("r2", 3).alias("r2"))
 
 
 _CHUNKS = f"""WITH {DOCS}, {CORPUS}, w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace({no_parens_sql(prose_sql('text'))}, '\\s+', ' ', 'g')), ' ') AS w FROM corp),
