@@ -34,6 +34,16 @@ def prose(text: Column) -> Column:
     return F.array_join(F.filter(lines(_body(text)), lambda x: x.rlike(KEPT_LINE) & ~x.rlike(FOOTNOTE)), " ")
 
 
+SECTION_LINE = r"(?m)^(?:\\(?:sub)?section\*?\{([^}]*)\}|#{2,3}[^\S\n]+(.+))$"
+
+
+def section_bodies(text: Column) -> Column:
+    """The texts under a document's section headings, none without headings."""
+    parts = F.split(F.regexp_replace(clean(text), SECTION_LINE, "\u0001$1$2\u0001"), "\u0001")
+    # heading and body take turns after what stands before the first heading
+    return F.filter(parts, lambda x, i: (i > 0) & (i % 2 == 0))
+
+
 def prose_paragraphs(text: Column) -> Column:
     """As ``prose`` with lines stripped and blank lines kept."""
     stripped = F.transform(lines(_body(text)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))

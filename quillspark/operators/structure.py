@@ -122,13 +122,10 @@ def heading_flags(features: DataFrame, group: str, keys: list[str], margin: str
     return long.join(mid, [group, "feature"]).where(F.col("value") > limit).select(group, *keys, "feature", "value", "mid")
 
 
-SECTION_LINE = r"(?m)^(?:\\(?:sub)?section\*?\{([^}]*)\}|#{2,3}[^\S\n]+(.+))$"
-
-
 def sections(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, title and body; text before the first heading is dropped."""
     mark = "\u0001"
-    marked = F.regexp_replace(T.clean(F.col("text")), SECTION_LINE, mark + "$1$2" + mark)
+    marked = F.regexp_replace(T.clean(F.col("text")), T.SECTION_LINE, mark + "$1$2" + mark)
     parts = F.split(marked, mark)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.size(parts) - 1) / 2).cast("int"), F.lit(1))), lambda i: F.struct(F.trim(F.get(parts, 2 * i - 1)).alias("title"), F.get(parts, 2 * i).alias("body")))
     return docs.select(*keys, F.when(F.size(parts) >= 3, pairs).otherwise(F.slice(pairs, 1, 0)).alias("s")).select(*keys, F.posexplode("s").alias("pos", "s")).select(*keys, "pos", "s.title", "s.body")

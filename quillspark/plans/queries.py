@@ -349,16 +349,42 @@ def cohesion(spark, d):
     return discourse.cohesion(documents(spark, d), KEYS)
 
 
-@query()
+_PARAGRAPHS = prose_sql("text", "chr(10)").replace("list_filter(regexp_split_to_array(", "list_filter(list_transform(regexp_split_to_array(", 1).replace(", lambda x: regexp_matches(x", ", lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x = '' OR regexp_matches(x", 1)
+_MARKED_PARAGRAPHS = f"regexp_replace({_PARAGRAPHS}, '[\u00c0-\u024f]', '_', 'g')"
+_SPREAD = "sqrt(greatest(list_sum(list_transform({0}, lambda x: x * x)) / len({0}) - (list_sum({0}) / len({0})) * (list_sum({0}) / len({0})), 0))"
+
+
+@query(f"""WITH {VIEWS}, a AS (SELECT doc_id, regexp_replace(p, '[\u00c0-\u024f]', '_', 'g') AS p, regexp_split_to_array({_MARKED_PARAGRAPHS.replace('text', 'raw')}, '\\n\\s*\\n') AS paras FROM v0),
+b AS (SELECT doc_id, {n_sql('p', L.HEDGE)} AS h, len({sents_sql(no_parens_sql('p'), 3)}) AS s, list_transform(paras, lambda y: {{'h': {n_sql('y', L.HEDGE)}, 's': len({sents_sql(no_parens_sql('y'), 3)})}}) AS z FROM a),
+c AS (SELECT *, list_transform(list_filter(z, lambda q: q.s > 0), lambda q: q.h::DOUBLE / q.s) AS r FROM b)
+SELECT doc_id, round(CASE WHEN s > 0 THEN h::DOUBLE / s ELSE 0 END, 6) AS hedge_mean,
+  round(CASE WHEN s > 0 AND len(r) >= 2 AND list_sum(r) > 0 THEN {_SPREAD.format('r')} / (list_sum(r) / len(r)) ELSE 0 END, 6) AS hedge_spread FROM c""")
 def hedge_rhythm(spark, d):
     return discourse.hedge_rhythm(documents(spark, d), KEYS)
 
 
-@query()
+_TASTE = f"""WITH {VIEWS.replace(DOCS, f"{DOCS}, {CORPUS}").replace("FROM docs)", "FROM corp)")},
+n AS ({_DISCOURSE_SQL.replace(", v9 AS", "WITH v9 AS", 1)}),
+k AS (WITH a AS (SELECT doc_id, {sents_sql(no_parens_sql('p'), 3)} AS s FROM v0), b AS (SELECT *, list_position(list_transform(s, lambda x: regexp_matches(x, {lit(L.PAYOFF)})), true) AS k FROM a)
+  SELECT doc_id, len(list_filter(CASE WHEN coalesce(k, 0) > 0 THEN s[1:k - 1] ELSE s END, lambda x: regexp_matches(x, {lit(L.CAVEAT)}))) AS caveats, list_transform(s, lambda x: CAST(len(regexp_extract_all(x, '\\S+')) AS DOUBLE)) AS lens FROM b),
+h AS (WITH a AS (SELECT doc_id, list_transform({sents_sql(no_parens_sql('p'), 3)}, lambda x: list_distinct(list_filter(regexp_extract_all(lower(x), {lit(r"[a-z][a-z'\-]+")}), lambda w: len(w) > 3 AND w NOT IN {words_sql(L.COHESION_STOP)}))) AS c FROM v0),
+  b AS (SELECT doc_id, list_filter(list_transform(range(1, len(c)), lambda i: CASE WHEN least(len(c[i]), len(c[i + 1])) > 0 THEN len(list_intersect(c[i], c[i + 1]))::DOUBLE / least(len(c[i]), len(c[i + 1])) END), lambda x: x IS NOT NULL) AS r FROM a)
+  SELECT doc_id, round(coalesce(list_sum(r), 0) / greatest(len(r), 1), 6) AS rc FROM b),
+j AS (SELECT doc_id, grp, n.*, caveats, lens, rc, greatest(words, 1) AS w, CASE WHEN len(lens) > 0 THEN list_sum(lens) / len(lens) ELSE 0 END AS m, CASE WHEN len(lens) > 0 THEN {_SPREAD.format('lens')} ELSE 0 END AS dv,
+  100.0::DOUBLE * nominalisations / greatest(words, 1) AS nom, 1000.0::DOUBLE * (proper_nouns + numerals + examples) / greatest(words, 1) AS con FROM v0 JOIN n USING (doc_id) JOIN k USING (doc_id) JOIN h USING (doc_id)),
+m AS (SELECT doc_id, grp, caveats::DOUBLE AS caveat_before_payoff, round(1000.0::DOUBLE * connectives / w, 4) AS connective_density, round(1000.0::DOUBLE * (table_rows + figure_refs + appendix_headings) / w, 4) AS apparatus_load,
+  round(con, 4) AS concreteness, round(nom, 4) AS nominalization, round(CASE WHEN len(lens) >= 2 AND words > 1 THEN ((1 - least(dv / greatest(m, 1), 1)) * 50 + least(m, 40) / 40 * 50 + least(round(nom, 2) * 5, 50) + greatest(0, 50 - least(round(con, 2), 50))) / 4 ELSE 0 END, 2) AS formality,
+  CASE WHEN words > 1 THEN round(1000.0::DOUBLE * engagement / w, 4) ELSE 0 END AS engagement_markers, round(rc, 3) AS referential_cohesion FROM j),
+u AS (UNPIVOT (SELECT * FROM m) ON COLUMNS(* EXCLUDE (doc_id, grp)) INTO NAME measure VALUE value),
+g AS (SELECT grp, measure, min(value) AS low, max(value) AS high FROM u WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT grp, doc_id, measure, value, CASE WHEN CASE WHEN measure IN {words_sql([k for k, v in discourse.DIRECTIONS.items() if v == 'low_bad'])} THEN value >= low ELSE value <= high END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM u JOIN g USING (grp, measure)"""
+
+
+@query(_TASTE)
 def taste_verdicts(spark, d):
-    docs = corpus(spark, d)
-    rows = discourse.measures(docs, ["grp", *KEYS])
-    return discourse.against_band(rows, ["grp", *KEYS], discourse.exemplar_band(rows, "grp"), "grp")
+    """Documents against the band of their group's exemplars, those of even id."""
+    rows = discourse.measures(corpus(spark, d), ["grp", *KEYS])
+    return discourse.against_band(rows, ["grp", *KEYS], discourse.exemplar_band(rows.where("doc_id % 2 = 0"), "grp"), "grp")
 
 
 # --- two sides ---------------------------------------------------------------
@@ -610,7 +636,7 @@ def heading_flags(spark, d):
     return structure.heading_flags(rows, "grp", KEYS).withColumn("rule", F.lit("mirror")).unionByName(structure.heading_flags(rows, "grp", KEYS, "conventions").withColumn("rule", F.lit("conventions")))
 
 
-_SECTIONS = f"""{HEADED}, sp AS (SELECT doc_id, grp, string_split(regexp_replace(text, {lit(structure.SECTION_LINE.replace('[^\\S\\n]+', '[ \\t]+'))}, chr(1) || '\\1\\2' || chr(1), 'g'), chr(1)) AS q FROM f_headed),
+_SECTIONS = f"""{HEADED}, sp AS (SELECT doc_id, grp, string_split(regexp_replace(text, {lit(T.SECTION_LINE.replace('[^\\S\\n]+', '[ \\t]+'))}, chr(1) || '\\1\\2' || chr(1), 'g'), chr(1)) AS q FROM f_headed),
 sec AS (SELECT doc_id, grp, CAST(k AS INTEGER) AS pos, trim(q[2 * k + 2]) AS title, q[2 * k + 3] AS body FROM (SELECT *, unnest(range((len(q) - 1) // 2)) AS k FROM sp))"""
 
 
