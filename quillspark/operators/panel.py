@@ -183,18 +183,63 @@ def panel_verdict(ratings: DataFrame, inverted: tuple[str, ...] = ("performed_ri
     return rows.select("dimension", "n", "mid", "spread", F.when(passed, "PASS").otherwise("FAIL").alias("verdict"))
 
 
+def context_budget(context_tokens: int, reserve: int = 12000) -> int:
+    """Characters of a text that a judge's context has room for."""
+    return max(4000, context_tokens - reserve) * 4
+
+
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_ENDS = f"^[{WHITE}]+|[{WHITE}]+$"
+
+
+def context_parts(docs: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """keys, part (from 0) and text: each text in parts of at most ``budget``
+    characters, cut at blank lines; a text that fits is one part, untouched.
+
+    Paragraphs join a part while they and their blank lines fit; parts lose white
+    space at their ends.  Of a longer paragraph, full pieces go out at once, before
+    the part that is being filled, and the rest is a paragraph.  The cuts come from
+    a fold over paragraph lengths that keeps the filled length and the cuts alone,
+    so a text of any length takes linear time.  Null texts are empty ones."""
+    rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_p", F.split("_text", "\n\n"))
+    full = F.transform("_p", lambda x: F.greatest(F.ceil(F.length(x) / budget).cast("int") - 1, F.lit(0)))
+    rows = rows.withColumn("_z", F.zip_with("_p", full, lambda x, m: F.struct(x.alias("x"), m.alias("m"))))
+    rows = rows.withColumn("_rest", F.transform("_z", lambda z: F.substring(z["x"], z["m"] * budget + 1, F.length(z["x"]))))
+    sizes = F.transform("_rest", lambda x, i: F.struct(i.alias("i"), (F.length(x) + 2).alias("n")))
+    none = F.struct(F.lit(0).alias("filled"), F.array().cast("array<int>").alias("cuts"))
+
+    def add(a: Column, x: Column) -> Column:
+        ends = (a["filled"] > 0) & (a["filled"] + x["n"] > budget)
+        cut = F.struct(x["n"].alias("filled"), F.array_append(a["cuts"], x["i"]).alias("cuts"))
+        return F.when(ends, cut).otherwise(F.struct((a["filled"] + x["n"]).alias("filled"), a["cuts"].alias("cuts")))
+
+    rows = rows.withColumn("_cuts", F.concat(F.array(F.lit(0)), F.aggregate(sizes, none, add, lambda a: a["cuts"]), F.array(F.size("_p"))))
+
+    def entry(at: Column, kind: int, piece: Column, text: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), piece.alias("piece"), text.alias("text"))
+
+    spans = F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), lambda k: F.struct(F.get("_cuts", k - 1).alias("a"), F.get("_cuts", k).alias("b")))
+    parts = F.transform(spans, lambda v: entry(v["b"], 1, F.lit(0), F.regexp_replace(F.array_join(F.slice("_rest", v["a"] + 1, v["b"] - v["a"]), "\n\n"), BLANK_ENDS, "")))
+    # the last part goes if it is blank
+    parts = F.filter(parts, lambda e: (e["at"] < F.size("_p")) | (e["text"] != ""))
+    long = F.filter(F.transform("_z", lambda z, i: F.struct(i.alias("i"), z["m"].alias("m"), z["x"].alias("x"))), lambda z: z["m"] > 0)
+    pieces = F.flatten(F.transform(long, lambda z: F.transform(F.sequence(F.lit(0), z["m"] - 1), lambda k: entry(z["i"], 0, k, F.substring(z["x"], k * budget + 1, F.lit(budget))))))
+    every = F.transform(F.sort_array(F.concat(parts, pieces)), lambda e: e["text"])
+    found = F.when(F.length("_text") <= budget, F.array("_text")).otherwise(every)
+    return rows.select(*keys, F.posexplode(found).alias("part", "text"))
+
+
 def fit_or_chunk(text: str, context_tokens: int, reserve: int = 12000) -> list[str]:
-    """Parts of a text that fit a judge's context, cut at blank lines; a
-    paragraph over the budget is cut hard."""
-    budget = max(4000, context_tokens - reserve) * 4
+    """``context_parts`` of one text."""
+    budget = context_budget(context_tokens, reserve)
     if len(text) <= budget:
         return [text]
     parts, now = [], ""
     for paragraph in text.split("\n\n"):
-        pieces = [paragraph[k: k + budget] for k in range(0, len(paragraph), budget)] or [""]
-        for piece in pieces:
-            if now and len(now) + 2 + len(piece) > budget:
-                parts.append(now)
-                now = ""
-            now = f"{now}\n\n{piece}" if now else piece
-    return [*parts, now] if now else parts
+        full = max(-(-len(paragraph) // budget) - 1, 0) * budget
+        parts += [paragraph[k: k + budget] for k in range(0, full, budget)]
+        if now and len(now) + len(paragraph) - full + 2 > budget:
+            parts.append(now.strip())
+            now = ""
+        now += paragraph[full:] + "\n\n"
+    return parts + [now.strip()] if now.strip() else parts

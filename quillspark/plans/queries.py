@@ -574,6 +574,25 @@ c AS (SELECT doc_id, w, unnest(range(least(CAST(ceil(len(w) / 120.0) AS INTEGER)
 SELECT doc_id, CAST(k AS INTEGER) AS chunk, md5(array_to_string(w[k * 120 + 1:k * 120 + 120], ' ')) AS digest FROM c"""
 
 
+_BUDGET = 1200
+_CUTS = f"""list_reduce([{{'i': -1, 'n': 0, 'c': []::INTEGER[]}}] || list_transform(rest, lambda x, i: {{'i': CAST(i - 1 AS INTEGER), 'n': CAST(len(x) + 2 AS INTEGER), 'c': []::INTEGER[]}}),
+  lambda a, x: CASE WHEN a.n > 0 AND a.n + x.n > {_BUDGET} THEN {{'i': x.i, 'n': x.n, 'c': list_append(a.c, x.i)}} ELSE {{'i': x.i, 'n': a.n + x.n, 'c': a.c}} END)"""
+
+
+@query(f"""WITH {DOCS}, t AS (SELECT doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)) AS text FROM docs), a AS (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS p FROM t),
+b AS (SELECT *, list_transform(p, lambda x: substr(x, CAST(greatest(ceil(len(x)::DOUBLE / {_BUDGET}) - 1, 0) * {_BUDGET} + 1 AS BIGINT))) AS rest FROM a WHERE length(text) > {_BUDGET}),
+c AS (SELECT *, [0] || {_CUTS}.c || [len(p)] AS cuts FROM b),
+s AS (SELECT doc_id, p, rest, unnest(list_zip(cuts[:-2], cuts[2:])) AS v FROM c),
+e AS (SELECT doc_id, v[2] AS pos, 1 AS kind, 0 AS piece, trim(array_to_string(rest[v[1] + 1:v[2]], chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS text, len(p) AS n FROM s),
+q AS (SELECT doc_id, i - 1 AS pos, p[i] AS x, unnest(range(CAST(greatest(ceil(len(p[i])::DOUBLE / {_BUDGET}) - 1, 0) AS BIGINT))) AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM b)),
+u AS (SELECT doc_id, pos, kind, piece, text FROM e WHERE pos < n OR text <> '' UNION ALL SELECT doc_id, pos, 0, piece, substr(x, piece * {_BUDGET} + 1, {_BUDGET}) FROM q UNION ALL SELECT doc_id, 0, 0, 0, text FROM t WHERE length(text) <= {_BUDGET})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, kind, piece) - 1 AS INTEGER) AS part, md5(text) AS digest FROM u""")
+def context_parts(spark, d):
+    """Documents, each sentence a paragraph, in parts of 1200 characters."""
+    docs = documents(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
+    return panel.context_parts(docs, KEYS, _BUDGET).select("doc_id", "part", F.md5("text").alias("digest"))
+
+
 @query(_CHUNKS)
 def style_chunks(spark, d):
     return vectors.chunks(corpus(spark, d), KEYS).select("doc_id", F.col("chunk").cast("int").alias("chunk"), F.md5("text").alias("digest"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import versions
 
 SKIPPED = ["readme.md", "index.md"]
 
@@ -47,23 +50,25 @@ def read_bibliography(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines log with an explicit schema; bad lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """A JSON-lines log with an explicit schema, all its batches; bad lines are
+    dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Add rows to a log, once for each ``batch`` name however often it is tried;
+    whether they were added now.  Without a name every call adds."""
+    return versions.add_once(rows, path, batch or uuid.uuid4().hex, "json")
 
 
 def cached(rows: DataFrame, path: str, refresh: bool = False) -> DataFrame:
-    """Compute once and keep as Parquet; read it afterwards unless refreshed.
-    A failed computation leaves nothing behind that would be read."""
+    """Compute once and keep as Parquet; read it afterwards unless refreshed.  A
+    refresh is a version of its own: until it is whole, and if it fails, the last
+    one is read."""
     spark = rows.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if refresh or not files.exists(target):
-        rows.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if refresh or versions.current(spark, path) is None:
+        versions.publish(rows, path)
+    return spark.read.parquet(versions.current(spark, path))
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, **options) -> DataFrame:

@@ -201,3 +201,21 @@ def test_vector_leave_one_out_equals_the_long_form(spark):
                 n, t = words.get((d, w), (0, 1))
                 assert (wide[d, w] is None) == (sd <= 1e-9)
                 assert sd <= 1e-9 or abs(wide[d, w] - (1000.0 * n / t - mean) / sd) < 1e-6
+
+
+def test_context_parts_equal_the_fold_over_paragraphs(spark):
+    import random
+
+    rng = random.Random(11)
+    budget = panel.context_budget(0)
+    texts = [None, "", "short \n\n", "x" * budget, "x" * (budget + 1), "y" * (3 * budget) + "\n\nend", "\n\n" * budget]
+    for _ in range(25):
+        texts.append("\n\n".join("é " * rng.randint(0, 6000) if rng.random() < 0.9 else "z" * rng.randint(budget - 3, 3 * budget) for _ in range(rng.randint(1, 30))))
+    texts += ["a" * (budget - 6) + "\n\n" + "b" * k for k in (1, 2, 3, 4, 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in panel.context_parts(rows, ["id"], budget).orderBy("id", "part").collect():
+        got.setdefault(r.id, []).append(r.text)
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == panel.fit_or_chunk(text or "", 0), i
+        assert all(len(p) <= budget for p in got.get(i, []))

@@ -37,3 +37,56 @@ def test_feature_stream_equals_batch(spark, tmp_path):
     streamed = streams.feature_stream(streams.read_documents(spark, source, "doc_id int, text string", 1), ["doc_id"])
     streams.run_to_parquet(streamed, out, str(tmp_path / "check"))
     assert sorted(spark.read.parquet(out).collect()) == sorted(shape.features(docs, ["doc_id"]).collect())
+
+
+def test_a_write_stopped_half_way_changes_nothing(spark, tmp_path):
+    import os
+    import shutil
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quillspark.sources import versions
+
+    good = spark.range(100).repartition(4)
+    broken = good.select(F.when(F.col("id") == 77, F.raise_error(F.lit("stopped"))).otherwise(F.col("id")).alias("id"))
+    kept, log = str(tmp_path / "kept"), str(tmp_path / "log")
+    with pytest.raises(Exception, match="stopped"):
+        corpus.cached(broken, kept)
+    assert versions.current(spark, kept) is None
+    assert corpus.cached(good, kept).count() == 100
+    with pytest.raises(Exception, match="stopped"):
+        corpus.cached(broken, kept, refresh=True)
+    # a writer that was killed leaves files behind, under a name that nothing reads
+    last = versions.current(spark, kept)
+    shutil.copytree(last, f"{kept}/{versions.HIDDEN}killed")
+    os.remove(f"{kept}/{versions.HIDDEN}killed/_SUCCESS")
+    assert corpus.cached(broken, kept).count() == 100 and versions.current(spark, kept) == last
+    # readers of an older version keep it until it is pruned
+    old = corpus.cached(good, kept)
+    assert corpus.cached(good.limit(3), kept, refresh=True).count() == 3 and old.count() == 100
+    versions.prune(spark, kept)
+    assert [f for f in os.listdir(kept) if f.startswith("v")] == [os.path.basename(versions.current(spark, kept))]
+
+    entry = spark.createDataFrame([("f", "j", 5), ("g", "j", 6)], corpus.BASELINE)
+    failing = entry.withColumn("score", F.when(F.col("file") == "g", F.raise_error(F.lit("stopped"))).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stopped"):
+        corpus.append_log(failing, log, "day 1/a")
+    assert corpus.append_log(entry, log, "day 1/a") and not corpus.append_log(entry, log, "day 1/a")
+    assert corpus.append_log(entry, log, "day 1-a")
+    shutil.copytree(f"{log}/batch-day%20.1%2f.a", f"{log}/{versions.HIDDEN}killed")
+    assert corpus.read_log(spark, log, corpus.BASELINE).count() == 4
+
+
+def test_writers_at_the_same_time_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillspark.sources import versions
+
+    path = str(tmp_path / "many")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: versions.publish(spark.range(k + 1), path), range(6)))
+    assert len(set(made)) == 6 and sorted(spark.read.parquet(m).count() for m in made) == [1, 2, 3, 4, 5, 6]
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda k: versions.add_once(spark.range(5), str(tmp_path / "once"), "b", "json"), range(4)))
+    assert sum(added) == 1
