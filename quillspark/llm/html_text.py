@@ -4,17 +4,20 @@ A page is cut into blocks of text at block-level tags.  Regions whose tag, role
 or class names say navigation, advert, form, comment and so on never form
 blocks.  Pass one decides blocks by length, link density and stop-word density:
 good, bad, or open.  Pass two lets each open block inherit the label of its
-nearest decided neighbours; where they differ, or there are none, an article
-container counts for it, and outside one it goes.  If article (or main) regions
-hold at least as much good text as the rest, blocks outside them are boilerplate
-and links decide nothing inside; else the regions count for nothing.  A page
-without a good block (as in languages whose stop words aren't listed) keeps its
-longest run of open ones.
+nearest decided neighbours; where they differ, the run of decided text that is
+longer counts, and with none it goes.  Where article (or main) regions hold the
+article, blocks outside them are boilerplate and all inside stay; links decide
+nothing there.  They do so if there is but one with text that isn't linked,
+however short and in whatever language, or if all of them together hold at least
+as much text as the good blocks outside; else (teasers around an unmarked
+article) the regions count for nothing.  A page without a good block (as in
+languages whose stop words aren't listed) keeps its longest run of open ones.
 
 An article element counts as such if its own attributes don't say otherwise and
 it stands in no other article and no dropped region.  One exception: a region
 whose end tag is missing from there on doesn't hold the article.  Inside an
-article a class or id marks a region only if all its words are marks.
+article a class or id marks a region only if all its words are marks; there the
+words of ``WEAK`` don't mark paragraphs, and widgets are part of the article.
 
 Null html is empty and gives an empty text.  Texts are whole: nothing is capped.
 Repeated rows each give a row; an empty table gives none.
@@ -45,12 +48,16 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = re.compile(
     r"(?:ads?|advert(?:s|isement|ising)?|adbox|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|tions)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
     r"|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar|pagination|pager"
-    r"|comments?|commentlist|respond|replies|disqus|social|share|sharing|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|copyright|disclaimer|widget)"
+    r"|comments?|commentlist|respond|responses?|replies|feedback|disqus|social|share|sharing|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|copyright|disclaimer|widget)"
 )
 #: Words that may stand beside such words in the name of a region.
 BESIDE = frozenset("site page main top bottom left right list lists item items section box bar container wrapper wrap block area inner outer post posts article articles link links button buttons slot unit thread content js global sticky fixed".split())
+BESIDE_INSIDE = BESIDE | frozenset("widget user users reader readers visitor visitors".split())
+#: Words that mark boxes of an article, but none of its paragraphs.
+WEAK = frozenset("alert notice notices social response responses feedback".split())
+PARAGRAPHS = frozenset("p blockquote li dd dt pre figcaption td".split())
 #: Regions that hold articles of their own, none of them the page's.
-HOLDS_ARTICLES = re.compile(r"comments?|commentlist|respond|replies|disqus|related|recommended|recommendations|sidebar|promo(?:tion|tions)?|sponsor(?:ed|s)?")
+HOLDS_ARTICLES = re.compile(r"comments?|commentlist|respond|responses?|replies|feedback|disqus|related|recommended|recommendations|sidebar|promo(?:tion|tions)?|sponsor(?:ed|s)?")
 NOT_DROPPED_AFTER = frozenset("no with has without hide".split())
 
 # Frequent function words of the languages covered.
@@ -63,6 +70,7 @@ STOP_WORDS = frozenset(
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+END = re.compile(r"</([a-zA-Z][^\s/>]*)")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -75,21 +83,23 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 
 class Block:
-    __slots__ = ("heading", "inside", "linked", "parts")
+    __slots__ = ("heading", "linked", "parts", "region")
 
-    def __init__(self, inside: bool, heading: bool):
+    def __init__(self, region: int, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.inside, self.heading = 0, inside, heading
+        self.linked, self.region, self.heading = 0, region, heading  # region 0: outside all
 
 
 KEPT, MAYBE, SURELY = 0, 1, 2
 
 
-def _marked(group: str, inside: bool) -> int:
+def _marked(group: str, inside: bool, paragraph: bool) -> int:
     """Whether a class or id names a region outside the article."""
     words = [w for w in re.split(r"[^a-z0-9]+", group) if w]
     marks = [w for k, w in enumerate(words) if DROPPED_WORDS.fullmatch(w) and (not k or words[k - 1] not in NOT_DROPPED_AFTER)]
-    if not marks or (inside and not all(w in marks or w in BESIDE or w.isdigit() for w in words)):
+    if inside:
+        marks = [w for w in marks if w != "widget" and not (paragraph and w in WEAK)]
+    if not marks or (inside and not all(w in marks or w in BESIDE_INSIDE or w.isdigit() for w in words)):
         return KEPT
     return SURELY if any(HOLDS_ARTICLES.fullmatch(w) for w in marks) else MAYBE
 
@@ -110,18 +120,20 @@ def _dropped(tag: str, attributes: str, inside: bool) -> int:
             found = max(found, SURELY if value in ("complementary", "dialog", "alertdialog") else MAYBE)
         if name in ("class", "id"):
             whole = inside or tag in CONTAINERS
-            found = max([found, *(_marked(g, whole) for g in value.split())])
+            found = max([found, *(_marked(g, whole, tag in PARAGRAPHS) for g in value.split())])
     return found
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, without dropped regions."""
     found: list[Block] = []
-    open_tags: list[tuple[str, int]] = []  # tag and whether it starts a dropped region
+    # tag, whether it starts a dropped region, and up to where an article in it or
+    # in what holds it can't be the page's
+    open_tags: list[tuple[str, int, float]] = []
     counts: dict[str, int] = {}
     open_blocks: list[int] = []  # places of block-level tags in open_tags
-    last_end: dict[str, int] = {}  # where a tag's last end tag stands
-    dropped = inside = links = breaks = 0
+    last_end = {m[1].lower(): m.start() for m in END.finditer(html)}
+    dropped = inside = links = breaks = regions = 0
     saved: list[tuple[int, int]] = []
     now: Block | None = None
     at = 0
@@ -131,7 +143,7 @@ def blocks(html: str) -> list[Block]:
         if dropped or not piece:
             return
         if now is None:
-            now = Block(inside > 0, any(t in HEADINGS for t, _ in open_tags[-4:]))
+            now = Block(regions if inside else 0, any(t in HEADINGS for t, _, _ in open_tags[-4:]))
             found.append(now)
         now.parts.append(piece)
         if links:
@@ -142,7 +154,7 @@ def blocks(html: str) -> list[Block]:
     def leave(upto: int) -> None:
         nonlocal dropped, inside, links
         while len(open_tags) > upto:
-            tag, drops = open_tags.pop()
+            tag, drops, _ = open_tags.pop()
             counts[tag] -= 1
             if open_blocks and open_blocks[-1] == len(open_tags):
                 open_blocks.pop()
@@ -156,16 +168,12 @@ def blocks(html: str) -> list[Block]:
         if tag in BLOCKS:
             open_blocks.append(len(open_tags))
         counts[tag] = counts.get(tag, 0) + 1
-        open_tags.append((tag, drops))
-
-    def closed_later(tag: str) -> bool:
-        if tag not in last_end:
-            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", html, re.I)), default=-1)
-        return last_end[tag] >= at
+        own = len(html) if drops == SURELY else last_end.get(tag, -1) if drops else -1
+        open_tags.append((tag, drops, max(own, open_tags[-1][2] if open_tags else -1)))
 
     def holds_no_article() -> bool:
         """Whether an article that starts here stands in a dropped region."""
-        return any(d == SURELY or (d and closed_later(t)) for t, d in open_tags)
+        return bool(open_tags) and open_tags[-1][2] >= at
 
     while match := TAG.search(html, at):
         if match.start() > at:
@@ -206,6 +214,7 @@ def blocks(html: str) -> list[Block]:
             away = _dropped(tag, attributes, inside > 0) > 0 or (dropped > 0 and (inside > 0 or holds_no_article()))
             saved.append((dropped, inside))
             dropped = dropped + 1 if away else 0
+            regions += not away and not inside
             inside += not away
             enter(tag, KEPT)
             continue
@@ -234,22 +243,22 @@ def first_pass(text: str, linked: int, heading: bool) -> int:
     return OPEN
 
 
-def second_pass(labels: list[int], inside: list[bool]) -> list[int]:
-    """Open blocks take the label of their nearest decided neighbours."""
+def second_pass(labels: list[int], sizes: list[int]) -> list[int]:
+    """Open blocks take the label of their nearest decided neighbours; of two that
+    differ, that of the run of equal labels with more text."""
     n = len(labels)
-    before, after = [OPEN] * n, [OPEN] * n
-    for k in range(1, n):
-        before[k] = labels[k - 1] if labels[k - 1] != OPEN else before[k - 1]
-    for k in range(n - 2, -1, -1):
-        after[k] = labels[k + 1] if labels[k + 1] != OPEN else after[k + 1]
+    before, after = [(OPEN, 0)] * n, [(OPEN, 0)] * n
+    for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        run = (OPEN, 0)
+        for k in order:
+            side[k] = run
+            if labels[k] != OPEN:
+                run = (labels[k], sizes[k] + (run[1] if run[0] == labels[k] else 0))
     out = []
-    for k, label in enumerate(labels):
+    for label, (x, more_x), (y, more_y) in zip(labels, before, after):
         if label == OPEN:
-            near = {x for x in (before[k], after[k]) if x != OPEN}
-            label = near.pop() if len(near) == 1 else (GOOD if inside[k] else BAD)
-            if inside[k] and before[k] != after[k]:
-                label = GOOD
-        out.append(label)
+            label = x if y == OPEN else y if x == OPEN else x if more_x >= more_y else y
+        out.append(BAD if label == OPEN else label)
     return out
 
 
@@ -264,6 +273,15 @@ def _longest_open(texts: list[str], labels: list[int]) -> list[str]:
     return max(runs, key=lambda run: sum(map(len, run)))
 
 
+def _holds_article(kept: list[tuple[Block, str]], labels: list[int]) -> bool:
+    """Whether the page's article is what its article regions hold."""
+    regions = {b.region for b, _ in kept if b.region}
+    own = sum(len(t) for b, t in kept if b.region)
+    linked = sum(b.linked for b, _ in kept if b.region)
+    outside = sum(len(t) for (b, t), label in zip(kept, labels) if not b.region and label == GOOD)
+    return len(regions) > 0 and (own >= outside or (len(regions) == 1 and linked < own))
+
+
 def main_text(html: str | None) -> str:
     """The article's text: white space in a block is one space, blocks are joined
     by a newline."""
@@ -273,18 +291,10 @@ def main_text(html: str | None) -> str:
         if text := SPACE.sub(" ", unescape("".join(b.parts))).strip():
             kept.append((b, text))
     labels = [first_pass(t, b.linked, b.heading) for b, t in kept]
-    inside = [b.inside for b, _ in kept]
-    if any(inside):
-        good = [0, 0]
-        for (b, t), label in zip(kept, labels):
-            good[b.inside] += len(t) * (label == GOOD)
-        if good[True] >= good[False]:
-            # what the article links to is part of it
-            kept = [x for x in kept if x[0].inside]
-            labels, inside = [first_pass(t, 0, b.heading) for b, t in kept], [True] * len(kept)
-        else:
-            inside = [False] * len(kept)
-    decided = second_pass(labels, inside)
+    if _holds_article(kept, labels):
+        # what the article links to is part of it
+        return "\n".join(t for b, t in kept if b.region)
+    decided = second_pass(labels, [len(t) for _, t in kept])
     out = [t for (_, t), label in zip(kept, decided) if label == GOOD]
     return "\n".join(out or _longest_open([t for _, t in kept], labels))
 

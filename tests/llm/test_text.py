@@ -51,6 +51,33 @@ def test_nothing_else_of_the_article_goes():
     assert html_text.main_text(f"<div><a href=1>ホーム</a></div><p>{words}</p><p>{words}</p>") == f"{words}\n{words}"
 
 
+def test_short_and_foreign_articles_stay():
+    links = '<ul><li><a href=1>Home page</a></li><li><a href=2>More news</a></li></ul>'
+    short = "<article><h1>Title</h1><p>Roses are red</p><p>Violets are blue</p></article>"
+    assert html_text.main_text(f"{short}{links}<p>{GOOD}</p>") == "Title\nRoses are red\nViolets are blue"
+    words = "東京の天気は晴れです。" * 30
+    assert html_text.main_text(f"<p>{GOOD}</p>{links}<article><p>{words}</p></article>") == words
+    assert html_text.main_text(f"<p>{GOOD}</p><p>Short end.</p>{links}") == f"{GOOD}\nShort end."
+    assert html_text.main_text(f"{links}<h2>Heading</h2><p>{GOOD}</p>{links}<p>Imprint</p>") == f"Heading\n{GOOD}"
+
+
+def test_boxes_of_an_article():
+    for name in ("user-feedback", "response", "reader-responses", "comments"):
+        assert html_text.main_text(f'<main><p>{GOOD}</p><div class="{name}"><p>{GOOD}</p></div></main>') == GOOD
+    for name in ("alert", "social", "notice"):
+        assert html_text.main_text(f'<article><p>{GOOD}</p><p class="{name}">Stays.</p></article>') == f"{GOOD}\nStays."
+        assert html_text.main_text(f'<article><p>{GOOD}</p><div class="{name}">Goes.</div></article>') == GOOD
+    assert html_text.main_text(f'<article><p>{GOOD}</p><div class="widget"><p>Stays.</p></div></article>') == f"{GOOD}\nStays."
+
+
+def test_hostile_nesting_is_linear():
+    began = time.time()
+    for n in (250_000,):
+        html_text.main_text("<b>" * n + "<nav>" + "<article></article>" * n)
+        html_text.main_text("".join(f"<x{k} class=nav>" for k in range(n)) + "<article></article>" * n)
+    assert time.time() - began < 60
+
+
 def test_long_and_hostile_pages():
     began = time.time()
     for piece in ("<div></x>", "<span><p></p>", "<b><li></li>", "<a '", "</div><p>", "<!--", '<article><nav>'):
