@@ -1,6 +1,7 @@
 """Dedup operators against brute force on small fixtures."""
 
 import random
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -171,3 +172,12 @@ def test_line_dedup_degenerate(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
     rows = line_dedup.drop_repeated_lines(frame(spark, ["m n o\nk l", "m n o\nk l", "k l"], [3, 3, None])).collect()
     assert sorted(r.text for r in rows) == ["k l", "m n o", "m n o"]
+
+
+def test_dropping_lines_is_linear_in_them(spark):
+    began, n = time.time(), 400_000
+    for gone in (set(range(0, n, 2)), set(range(n)), {0}, {n - 1}, set(range(1000, n))):
+        one = spark.createDataFrame([("\n".join(f"line {k}" if k % 3 else "" for k in range(n)), sorted(gone, reverse=True))], "text string, gone array<int>")
+        found = one.select(line_dedup.without(F.split("text", "\n"), F.col("gone")).alias("kept")).collect()[0].kept
+        assert found == "\n".join(f"line {k}" if k % 3 else "" for k in range(n) if k not in gone)
+    assert time.time() - began < 60
