@@ -46,17 +46,23 @@ def auc(long: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
     return side_counts(long, by, side, value).groupBy(*by).agg(F.max("t1").alias("n1"), F.max("t0").alias("n0"), _auc().alias("auc"))
 
 
+#: What the names of syntax features begin with where they stand beside others.
+SYNTAX = "synt_"
+
+
 def feature_categories(spark) -> DataFrame:
     """feature -> category; the last category that names a feature has it."""
     owner = {f: c for c, _, _, det in L.TAXONOMY for f in det.split()}
     return spark.createDataFrame(list(owner.items()), "feature string, category string")
 
 
-def feature_ranking(features: DataFrame, side: str, key: str) -> DataFrame:
-    """AUC, medians, category and mark of every feature."""
-    counts = side_counts(features.unpivot([key, side], L.FEATURES, "feature", "value"), ["feature"], side, "value")
+def feature_ranking(features: DataFrame, side: str, key: str, names: list[str] = L.FEATURES) -> DataFrame:
+    """AUC, medians, category and mark of every feature; those of the syntax have
+    the category of their name without ``SYNTAX``."""
+    counts = side_counts(features.unpivot([key, side], names, "feature", "value"), ["feature"], side, "value")
     rows = counts.groupBy("feature").agg(_auc().alias("auc"), _median(0).alias("mid0"), _median(1).alias("mid1"))
-    rows = rows.join(F.broadcast(feature_categories(features.sparkSession)), "feature", "left")
+    categories = feature_categories(features.sparkSession).withColumnRenamed("feature", "_plain")
+    rows = rows.withColumn("_plain", F.regexp_replace("feature", f"^{SYNTAX}", "")).join(F.broadcast(categories), "_plain", "left")
     gap = F.abs(F.col("auc") - 0.5)
     mark = F.when(gap >= 0.25, "strong").when(F.col("auc") < 0.42, "invert").otherwise("")
     return rows.select("feature", F.round("auc", 6).alias("auc"), F.round("mid0", 4).alias("mid0"), F.round("mid1", 4).alias("mid1"), "category", mark.alias("mark"))
@@ -126,7 +132,7 @@ def overuse_channels(counts: DataFrame, zipf: DataFrame | None = None, least: in
     return rows.select("channel", "word", "n", F.round(score, 4).alias("z"))
 
 
-def loo_composite(features: DataFrame, side: str, key: str) -> DataFrame:
+def loo_composite(features: DataFrame, side: str, key: str, names: list[str] = L.FEATURES) -> DataFrame:
     """One row: AUC and strict true-positive rate of flag counts.
 
     A feature of |AUC - 0.5| >= 0.1 flags a document past side 0's 80th (or
@@ -136,7 +142,7 @@ def loo_composite(features: DataFrame, side: str, key: str) -> DataFrame:
     paired with another.  Bands come from counts of distinct values, the row from
     a histogram of flag counts, which has a bin per number of features at most.
     """
-    long = features.unpivot([key, side], L.FEATURES, "feature", "value")
+    long = features.unpivot([key, side], names, "feature", "value")
     bands = {}
     for name, q in (("up", 0.8), ("down", 0.2)):
         full, loo = rank_round(q, F.col("t0")), rank_round(q, F.col("t0") - 1)

@@ -67,9 +67,11 @@ def candidate_key(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def harvest(replies: DataFrame, marker: str = "UNCATALOGUED") -> DataFrame:
+def harvest(replies: DataFrame, marker: str = "UNCATALOGUED", at: Column | None = None) -> DataFrame:
     """Candidates from "<marker>: label — span — why" lines of replies (columns
-    doc, judge, venue, reply); known categories are skipped."""
+    doc, judge, venue, reply); known categories are skipped.  ts is the time of
+    ``at``, or of the run."""
+    ts = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss")
     pattern = rf"(?im)^\s*[-*\d.]*\s*{marker}:\s*(.+)$"
     rows = replies.select("doc", "judge", "venue", F.posexplode(F.regexp_extract_all("reply", F.lit(pattern), 1)).alias("pos", "m"))
     rows = rows.withColumn("m", F.trim("m")).where((F.col("m") != "") & ~F.regexp_replace(F.lower("m"), r"\.+$", "").isin("none", "n/a", "na"))
@@ -79,7 +81,7 @@ def harvest(replies: DataFrame, marker: str = "UNCATALOGUED") -> DataFrame:
     rows = rows.withColumn("key", candidate_key(F.col("label"))).where("key <> ''").withColumn("source", F.lit(marker.lower()))
     known = taxonomy(replies.sparkSession)
     known = known.select(candidate_key(F.col("label")).alias("key")).union(known.select(candidate_key(F.col("id")).alias("key"))).distinct()
-    return rows.join(F.broadcast(known), "key", "left_anti").select("key", "label", "source", "doc", "judge", "venue", "span", "why", "pos")
+    return rows.join(F.broadcast(known), "key", "left_anti").select(ts.alias("ts"), "key", "label", "source", "doc", "judge", "venue", "span", "why", "pos")
 
 
 def review(candidates: DataFrame, least_docs: int = 1) -> DataFrame:

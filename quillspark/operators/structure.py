@@ -282,6 +282,40 @@ def related_position(docs: DataFrame, group: str, key: str) -> DataFrame:
     return first.groupBy(group).agg(F.round(F.median("place"), 2).alias("related_pos_mid"), F.count("*").alias("n"))
 
 
+def genre_lines(docs: DataFrame, group: str, key: str, genre: str) -> DataFrame:
+    """Each document beside its group by what a genre measures, a row a measure.
+
+    ``flow`` has the types of its sections in the order in which they first come
+    up.  A rate has yes or no for the document and the group's share of documents.
+    ``related_position`` (academic) has the place of the document's first
+    related-work section and the group's median; its note says earlier where the
+    group places it more than 0.2 before, else in band."""
+    module = GENRES[genre]
+    if genre == "academic":
+        order = section_order(docs, [group, key]).withColumnRenamed("i", "pos")
+    else:
+        order = sections(docs, [group, key]).withColumn("type", section_type(F.regexp_replace("title", r"^#*\s*\d*\.?\s*", ""), module["sectype"])).withColumn("place", F.lit(None).cast("double"))
+    # a document's sections: one row each of a type and two numbers
+    seen = order.groupBy(group, key, "type").agg(F.min("pos").alias("pos"), F.min("place").alias("place")).where("type <> 'other'")
+    per = seen.groupBy(group, key).agg(F.sort_array(F.collect_list(F.struct("pos", "type", "place"))).alias("s"))
+    per = docs.select(group, key).join(per, [group, key], "left").withColumn("types", F.coalesce(F.transform("s", lambda x: x["type"]), F.array().cast("array<string>")))
+    rates = genre_rates(docs, group, key, genre).drop("n")
+    names = [c for c in rates.columns if c != group]
+    flow = F.struct(F.lit(0).alias("pos"), F.lit("flow").alias("measure"), F.array_join("types", " -> ").alias("draft"), F.lit(None).cast("double").alias("corpus"), F.lit("").alias("note"))
+    said = [flow]
+    rows = per.join(rates, group)
+    for k, name in enumerate(names):
+        has = F.array_contains("types", name.removesuffix("_rate"))
+        said.append(F.struct(F.lit(k + 2).alias("pos"), F.lit(name.removesuffix("_rate")).alias("measure"), F.when(has, "yes").otherwise("no").alias("draft"), F.col(name).alias("corpus"), F.lit("").alias("note")))
+    if genre == "academic":
+        rows = rows.join(related_position(docs, group, key).select(group, "related_pos_mid"), group, "left")
+        own = F.get(F.filter("s", lambda x: x["type"] == "related"), F.lit(0))["place"]
+        note = F.when(F.col("related_pos_mid").isNull(), "").when(own > F.col("related_pos_mid") + 0.2, "earlier").otherwise("in band")
+        place = F.struct(F.lit(1).alias("pos"), F.lit("related_position").alias("measure"), own.cast("string").alias("draft"), F.col("related_pos_mid").alias("corpus"), note.alias("note"))
+        said.append(F.when(own.isNotNull(), place))
+    return rows.select(group, key, F.explode(F.array_compact(F.array(*said))).alias("x")).select(group, key, "x.*")
+
+
 def textual_citations(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Author phrases with a year, as they stand in the text."""
     text = T.clean(F.col("text"))

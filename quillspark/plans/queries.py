@@ -14,7 +14,8 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.folding import fold
 from ..operators import bands, contrast, distance, panel, structure, syntax, vectors
-from . import fixtures
+from ..sources import replies
+from . import fixtures, reports
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -443,14 +444,45 @@ def _odds_sql(name: str, one: str, zero: str) -> str:
   (SELECT sum(n) FILTER (role = '{zero}') AS t0, sum(n) FILTER (role = '{one}') AS t1 FROM f_counts)))"""
 
 
-@query(f"""WITH {fixtures.sql('f_counts')}, {fixtures.sql('f_zipf')}, {_odds_sql('dh', 'draft', 'human')}, {_odds_sql('mh', 'matched', 'human')}, {_odds_sql('dt', 'draft', 'on_topic')},
+_OVERUSE = f"""{_odds_sql('dh', 'draft', 'human')}, {_odds_sql('mh', 'matched', 'human')}, {_odds_sql('dt', 'draft', 'on_topic')},
 r AS (SELECT c.word, c.n, dh.z AS a, coalesce(mh.z, 0) AS b, coalesce(dt.z, 0) AS t, coalesce(zipf, 3.5) AS zipf FROM f_counts c JOIN dh USING (word) LEFT JOIN mh USING (word) LEFT JOIN dt USING (word) LEFT JOIN f_zipf USING (word) WHERE role = 'draft' AND c.n >= 3),
 k AS (SELECT *, CASE WHEN a > 1.96 AND b > 1.5 AND zipf >= 3 THEN 'generic_slop' WHEN t > 1.96 AND n >= 5 THEN 'over_repetition' END AS channel FROM r)
-SELECT channel, word, CAST(n AS BIGINT) AS n, round(CASE WHEN channel = 'generic_slop' THEN a ELSE t END, 4) AS z FROM k WHERE channel IS NOT NULL""")
+SELECT channel, word, CAST(n AS BIGINT) AS n, round(CASE WHEN channel = 'generic_slop' THEN a ELSE t END, 4) AS z FROM k WHERE channel IS NOT NULL"""
+
+
+@query(f"WITH {fixtures.sql('f_counts')}, {fixtures.sql('f_zipf')}, {_OVERUSE}")
 def overuse_channels(spark, d):
     return contrast.overuse_channels(fixtures.frame(spark, "f_counts"), fixtures.frame(spark, "f_zipf"))
 
 
+@query(f"""WITH rt AS (SELECT CASE WHEN role = 'assistant' THEN 'draft' ELSE 'human' END AS role, text FROM conversations
+  UNION ALL SELECT 'on_topic', text FROM benchmark UNION ALL SELECT 'matched', text FROM documents),
+f_counts AS (SELECT role, word, count(*) AS n FROM (SELECT role, unnest({stems_sql(prose_sql("coalesce(text, '')"))}) AS word FROM rt) GROUP BY ALL), f_zipf AS (SELECT '' AS word, 3.5::DOUBLE AS zipf WHERE false), {_OVERUSE}""")
+def overuse_turns(spark, d):
+    """Words that the assistant's turns over-use against the other turns, told
+    apart by what documents and benchmark texts do."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.when(F.col("role") == "assistant", "draft").otherwise("human").alias("role"), "text")
+    others = [spark.read.parquet(f"{d}/{t}.parquet").select(F.lit(r).alias("role"), "text") for t, r in (("benchmark", "on_topic"), ("documents", "matched"))]
+    return contrast.overuse_channels(reports.role_counts(turns.unionByName(others[0]).unionByName(others[1])))
+
+
+REFERENCE_MODELS = ["first", "second"]
+
+
+@query(f"""WITH {DOCS}, p AS (SELECT {prose_sql('text')} AS p FROM docs), t AS (SELECT {lit(reports.ASK_REFERENCE)} || substr(array_to_string(string_split_regex(trim(p, ' '), '\\s+')[1:25], ' '), 1, 200) AS prompt FROM p),
+m AS (SELECT DISTINCT model, prompt FROM t, (VALUES {', '.join(f"({lit(m)})" for m in REFERENCE_MODELS)}) v(model) WHERE prompt IS NOT NULL)
+SELECT sha256(model || chr(10) || prompt) AS key, model, prompt FROM m""")
+def reference_requests(spark, d):
+    """What would be asked for the references of every document's topic."""
+    return replies.requests(reports.topic_prompts(documents(spark, d)), REFERENCE_MODELS)
+
+
+@query()
+def infer_syntax(spark, d):
+    """The ranking of surface and syntax features together."""
+    return reports.infer(sides(spark, d))["features"]
+
+
 @query(f"""WITH {DOCS}, {CORPUS}, u AS (SELECT grp, unnest(regexp_extract_all(lower({prose_sql('text')}), '[a-z][a-z\\-]{{4,}}')) AS word FROM corp), c AS (SELECT grp, word, count(*) AS n FROM u GROUP BY ALL),
 t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, word) <= 140)
 SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, word) AS INTEGER) AS rank, word, n FROM t WHERE word NOT IN {words_sql(L.DICTION_STOP)} QUALIFY rank <= 25""")
@@ -853,7 +885,7 @@ def register_categories(spark, d):
 
 @query()
 def candidate_harvest(spark, d):
-    return panel.harvest(fixtures.frame(spark, "f_replies"))
+    return panel.harvest(fixtures.frame(spark, "f_replies")).drop("ts")
 
 
 @query("SELECT 'lone_tell' AS key, 1::BIGINT AS docs, 1::BIGINT AS judges, 1::BIGINT AS hits, 'Lone tell' AS label, false AS promote UNION ALL SELECT 'stacked_colons', 2, 2, 2, 'Stacked colons', true")

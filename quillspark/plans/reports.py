@@ -7,12 +7,16 @@ read, and each section is computed for all documents of all groups at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import discourse, lexical, shape
 from ..functions import text as T
 from ..operators import bands, contrast, distance, panel, structure, syntax, vectors
+from ..sources import corpus, replies
+from ..sources.staged import staged
 
 KEY = "doc_id"
 
@@ -41,11 +45,23 @@ def check(docs: DataFrame, group: str = "grp") -> dict[str, DataFrame]:
     return {"features": flags, "documents": totals.withColumn("clean", F.col("flags") <= 2)}
 
 
-def infer(docs: DataFrame) -> dict[str, DataFrame]:
-    """What tells side 1 from side 0: features, categories, words, composite."""
-    features = shape.features(docs, [KEY, "side"])
-    ranking = contrast.feature_ranking(features, "side", KEY)
-    return {"features": ranking, "categories": contrast.category_support(ranking), "words": contrast.excess_words(docs, "side"), "composite": contrast.loo_composite(features, "side", KEY)}
+def side_features(docs: DataFrame, annotator=syntax.simple_annotator) -> DataFrame:
+    """doc_id, side, the surface features and, named synt_, those of the syntax;
+    staged, as patterns and annotator run once for all that reads them.  Documents
+    without a token have rates of zero."""
+    rates = syntax.rates(syntax.annotate(docs, KEY, annotator, most=None))
+    names = [c for c in rates.columns if c != KEY]
+    rates = rates.select(KEY, *[F.col(c).cast("double").alias(contrast.SYNTAX + c) for c in names])
+    return staged(shape.features(docs, [KEY, "side"]).join(rates, KEY, "left").fillna(0.0, [contrast.SYNTAX + c for c in names]), "side_features")
+
+
+def infer(docs: DataFrame, annotator=syntax.simple_annotator) -> dict[str, DataFrame]:
+    """What tells side 1 from side 0: features of surface and syntax, categories,
+    words, composite.  doc_id tells documents apart."""
+    features = side_features(docs, annotator)
+    names = [c for c in features.columns if c not in (KEY, "side")]
+    ranking = contrast.feature_ranking(features, "side", KEY, names)
+    return {"features": ranking, "categories": contrast.category_support(ranking), "words": contrast.excess_words(docs, "side"), "composite": contrast.loo_composite(features, "side", KEY, names)}
 
 
 def describe(docs: DataFrame, group: str = "grp") -> dict[str, DataFrame]:
@@ -58,6 +74,14 @@ def register(docs: DataFrame, group: str = "grp") -> DataFrame:
     return bands.alignment(shape.features(docs, [group, KEY]), group, [KEY]).where("tells")
 
 
+def register_fit(docs: DataFrame, judge, judges: dict, path: str, group: str = "grp", refresh: bool = False) -> dict[str, DataFrame]:
+    """What sets documents apart from their group, by fixed features and by the
+    group's own categories: ``judge`` names those once (kept at ``path``, read from
+    there until refreshed), ``judges`` say how each document fits them."""
+    profile = corpus.cached(style_profile(docs, judge, group), path, refresh)
+    return {"tells": register(docs, group), "profile": profile, **style_fit(docs, profile, judges, group)}
+
+
 #: What a judge is asked for a group's own categories, and for a draft's fit.
 ASK_PROFILE = """Name the six to nine categories of tone and style that set this group of texts apart, judging only by its sentences and
 medians below.  Answer with JSON alone: {"venue_voice": "...", "categories": [{"name": "...", "does": "...", "does_not": "...",
@@ -107,6 +131,7 @@ def conventions(docs: DataFrame, group: str = "grp", genre: str | None = None) -
         "conclusions": restated.join(mid, group).withColumn("restates", F.col("cosine") > F.col("mid") + 0.08),
         "headings": structure.heading_flags(structure.heading_features(docs, [group, KEY]), group, [KEY], "conventions"),
         "rates": {name: structure.genre_rates(docs, group, KEY, name) for name in structure.GENRES},
+        "lines": {name: structure.genre_lines(docs, group, KEY, name) for name in structure.GENRES},
     }
 
 
@@ -123,6 +148,38 @@ def excess(counts: DataFrame, zipf: DataFrame | None = None) -> DataFrame:
     return contrast.overuse_channels(counts, zipf)
 
 
+ASK_REFERENCE = "Write some 450 words of connected prose as they might stand in a journal article, without title, headings or lists.  Topic: "
+
+
+def topic_prompts(docs: DataFrame, variations: int = 0) -> DataFrame:
+    """A prompt for a text on each document's topic, or so many variations."""
+    prompt = F.concat(F.lit(ASK_REFERENCE), "topic")
+    if not variations:
+        return topics(docs).select(prompt.alias("prompt"))
+    each = F.explode(F.sequence(F.lit(1), F.lit(variations)))
+    return topics(docs).select("topic", each.alias("k")).select(F.concat(prompt, F.lit(" (variation "), F.col("k").cast("string"), F.lit(")")).alias("prompt"))
+
+
+def role_counts(texts: DataFrame) -> DataFrame:
+    """role, word and n of content stems.  texts: role, text."""
+    return contrast.term_counts(texts, "role", lexical.stems(T.prose(F.col("text")))).where("word is not null")
+
+
+def matched_excess(drafts: DataFrame, docs: DataFrame, models: dict, path: str, matched_by: str | None = None, zipf: DataFrame | None = None) -> DataFrame:
+    """Over-used words of drafts (read as one) against the documents and against
+    generated references: two texts of every model on each draft's topic, and one of
+    the model ``matched_by`` (else the first) on each document's.  Texts are kept at
+    ``path`` and asked for once; those a model failed to give are left out."""
+    one = matched_by or next(iter(models))
+    on_topic = replies.requests(topic_prompts(drafts, 2), list(models))
+    matched = replies.requests(topic_prompts(docs), [one])
+    kept = replies.fulfil(on_topic.unionByName(matched), models, path)
+    sides = [drafts.select(F.lit("draft").alias("role"), "text"), docs.select(F.lit("human").alias("role"), "text")]
+    for role, wanted in (("on_topic", on_topic), ("matched", matched)):
+        sides.append(kept.join(wanted.select("key"), "key", "left_semi").select(F.lit(role).alias("role"), F.col("reply").alias("text")))
+    return excess(role_counts(reduce(DataFrame.unionByName, sides)), zipf)
+
+
 def cites(docs: DataFrame) -> dict[str, DataFrame]:
     return {"missing": structure.missing_citations(docs, [KEY]), "overclaims": structure.overclaims(docs, [KEY])}
 
@@ -132,10 +189,14 @@ def style(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.margin_verdicts(vectors.prototype_margins(rows, KEY, "side", vector), "side", KEY)
 
 
-def verdict(docs: DataFrame, style_rows: DataFrame, group: str = "grp", vector: str = "embedding") -> DataFrame:
-    """Two separate channels per document: style margin and function words."""
-    words = distance.verdicts(distance.function_word_delta(docs, group, KEY), group, KEY).select(KEY, "delta", F.when(F.col("verdict") == "MIRRORS", "CONFORMS").otherwise("OFF-VENUE").alias("words"))
-    return style(style_rows, vector).select(KEY, "margin", "side_1").join(words, KEY)
+def verdict(docs: DataFrame, style_rows: DataFrame, group: str = "grp", vector: str = "embedding", annotator=syntax.simple_annotator) -> DataFrame:
+    """Two separate questions per document: which side its style is nearer to, and
+    whether its function words and its tag bigrams conform to its group."""
+    conforms = F.when(F.col("verdict") == "MIRRORS", "CONFORMS").otherwise("OFF-VENUE")
+    words = distance.verdicts(distance.function_word_delta(docs, group, KEY), group, KEY).select(KEY, "delta", conforms.alias("words"))
+    pairs = syntax.bigrams(syntax.annotate(docs, KEY, annotator)).join(docs.select(KEY, group), KEY)
+    tags = distance.verdicts(distance.bigram_delta(pairs, group, KEY).drop("bigrams"), group, KEY).select(KEY, F.col("delta").alias("tag_delta"), conforms.alias("tags"))
+    return style(style_rows, vector).select(KEY, "margin", "side_1").join(words, KEY).join(tags, KEY, "left")
 
 
 def topics(docs: DataFrame) -> DataFrame:

@@ -79,6 +79,15 @@ def add_once(rows: DataFrame, path: str, batch: str, format: str) -> bool:
     return False
 
 
+def batches(spark: SparkSession, path: str) -> list[str]:
+    """The names, as folders have them, of the batches in a folder."""
+    files = _files(spark, path)
+    if not files.exists(_path(spark, path)):
+        return []
+    names = (s.getPath().getName() for s in files.listStatus(_path(spark, path)))
+    return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+
+
 def prune(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Delete all but the latest ``keep`` versions, once nothing reads them."""
     for number in _numbers(spark, path)[: -max(keep, 1)]:

@@ -90,3 +90,50 @@ def test_writers_at_the_same_time_get_versions_of_their_own(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         added = list(pool.map(lambda k: versions.add_once(spark.range(5), str(tmp_path / "once"), "b", "json"), range(4)))
     assert sum(added) == 1
+
+
+def test_each_request_gets_one_reply_whatever_fails(spark, tmp_path):
+    import hashlib
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillspark.sources import replies
+
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+
+    def model(name):
+        def ask(prompt):
+            at = f"{calls}/{hashlib.sha256((name + prompt).encode()).hexdigest()}"
+            with open(at, "a") as log:
+                log.write("x")
+            if int(at[-1], 16) % 2 and os.path.getsize(at) < 2:
+                raise TimeoutError
+            return f"{name} on {prompt}"
+
+        return ask
+
+    models, path = {"a": model("a"), "b": model("b"), "mute": lambda p: " "}, str(tmp_path / "replies")
+    prompts = spark.createDataFrame([(f"p{k % 40}",) for k in range(120)] + [(None,)], "prompt string")
+    wanted = replies.requests(prompts, ["a", "b"])
+    assert wanted.count() == 80
+    first = replies.fulfil(wanted, models, path, parts=3).collect()
+    assert 20 < len(first) < 60
+    second = replies.fulfil(wanted, models, path, parts=3).collect()
+    assert len(second) == len({r.key for r in second}) == 80 and all(r.reply == f"{r.model} on {r.prompt}" for r in second)
+    assert {r.key: r.reply for r in first}.items() <= {r.key: r.reply for r in second}.items()
+    # who replied is never asked again, and who failed is asked until there is a reply
+    failed = 80 - len(first)
+    asked = sorted(os.path.getsize(f"{calls}/{f}") for f in os.listdir(calls))
+    assert asked == [1] * len(first) + [2] * failed
+    assert len(replies.fulfil(wanted, {"a": None, "b": None}, path, parts=3).collect()) == 80
+    # a model that says nothing leaves its requests open; unknown models are passed over
+    assert replies.fulfil(replies.requests(prompts, ["mute", "none"]), models, path, parts=2).count() == 0
+    # runs at the same time
+    both = str(tmp_path / "both")
+    with ThreadPoolExecutor(2) as pool:
+        for _ in pool.map(lambda _: replies.fulfil(wanted, {"a": str.upper, "b": str.upper}, both, parts=2).count(), range(2)):
+            pass
+    kept = [r.key for r in replies.replies(spark, both).collect()]
+    assert len(kept) == len(set(kept)) == 80
+    assert replies.fulfil(wanted.limit(0), models, str(tmp_path / "none")).count() == 0
