@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,8 @@ from ..functions import text as T
 
 TOKENS = "doc_id long, sent_id int, i int, text string, lemma string, pos string, dep string, head_i int"
 NOT_WORDS = ["PUNCT", "SPACE"]
+#: About so many tokens leave a worker at a time, however many documents it gets.
+CHUNK = 1 << 16
 
 
 def simple_annotator(text: str) -> list[tuple]:
@@ -50,12 +52,21 @@ def annotate(docs: DataFrame, key: str = "doc_id", annotator: Callable[[str], li
     prose = T.without_parentheses(T.prose(F.col("text")))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (prose if most is None else F.substring(prose, 1, most)).alias("p"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(d, *row) for d, p in zip(batch["doc_id"].tolist(), batch["p"]) for row in annotator(p)]
-            yield pd.DataFrame(out, columns=["doc_id", "sent_id", "i", "text", "lemma", "pos", "dep", "head_i"])
+    return rows.mapInPandas(lambda batches: token_frames(batches, annotator), TOKENS)
 
-    return rows.mapInPandas(run, TOKENS)
+
+def token_frames(batches: Iterator[pd.DataFrame], annotator: Callable[[str], list[tuple]]) -> Iterator[pd.DataFrame]:
+    """Token rows of batches of doc_id and prose (p), ``CHUNK`` of them at a time."""
+    names = ["doc_id", "sent_id", "i", "text", "lemma", "pos", "dep", "head_i"]
+    for batch in batches:
+        out: list[tuple] = []
+        for d, p in zip(batch["doc_id"].tolist(), batch["p"]):
+            out.extend((d, *row) for row in annotator(p))
+            while len(out) >= CHUNK:
+                yield pd.DataFrame(out[:CHUNK], columns=names)
+                del out[:CHUNK]
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
 
 def _sentences(tokens: DataFrame, over: int = 3) -> DataFrame:
@@ -69,26 +80,34 @@ def bigrams(tokens: DataFrame) -> DataFrame:
     return words.select("doc_id", F.col("pos").alias("pos1"), after.alias("pos2")).where("pos2 is not null").groupBy("doc_id", "pos1", "pos2").agg(F.count("*").alias("n"))
 
 
+def _depth(cap: int) -> Column:
+    """Longest way to the root of a sentence: t has its tokens in order, heads
+    their heads' places from its first token.  Ways double in length each round;
+    one that leaves the sentence ends there, and a cycle counts as the cap."""
+    steps = F.least(F.size("heads"), F.lit(cap))
+
+    def moves(h, k):
+        return h.isNotNull() & (h != k)
+
+    begun = F.struct(F.transform("heads", lambda h, k: F.when(moves(h, k), h).otherwise(k)).alias("up"), F.transform("heads", lambda h, k: F.when(moves(h, k), 1).otherwise(0)).alias("d"))
+
+    def double(state, _):
+        up = F.transform(state["up"], lambda u: F.coalesce(F.get(state["up"], u), u))
+        d = F.transform(state["d"], lambda x, k: x + F.coalesce(F.get(state["d"], F.get(state["up"], k)), F.lit(0)))
+        return F.struct(up.alias("up"), d.alias("d"))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(steps)), F.lit(1)).cast("int"))
+    words = F.transform(F.filter("t", lambda z: z["pos"] != "SPACE"), lambda z: z["i"] - F.col("first"))
+    return F.aggregate(rounds, begun, double, lambda state: F.array_max(F.transform(words, lambda at: F.least(F.coalesce(F.get(state["d"], at), F.lit(0)), steps))))
+
+
 def parse_depths(tokens: DataFrame, cap: int = 100) -> DataFrame:
     """Longest way to the root of each sentence of more than three tokens, from
     the sentence's array of heads: one shuffle, whatever the depth."""
     rows = tokens.join(_sentences(tokens), ["doc_id", "sent_id"])
     trees = rows.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("i", "head_i", "pos"))).alias("t"), F.min("i").alias("first"))
     trees = trees.withColumn("heads", F.transform("t", lambda z: z["head_i"] - F.col("first")))
-
-    def climb(state, _):
-        up = F.get("heads", state["at"])
-        stays = up.isNull() | (up == state["at"])
-        return F.struct(F.when(stays, state["at"]).otherwise(up).alias("at"), F.when(stays, state["d"]).otherwise(state["d"] + 1).alias("d"))
-
-    steps = F.sequence(F.lit(1), F.least(F.size("heads"), F.lit(cap)))
-
-    def depth(z):
-        start = F.struct((z["i"] - F.col("first")).alias("at"), F.lit(0).alias("d"))
-        return F.aggregate(steps, start, climb, lambda state: state["d"])
-
-    words = F.filter("t", lambda z: z["pos"] != "SPACE")
-    return trees.select("doc_id", "sent_id", F.array_max(F.transform(words, depth)).alias("depth"))
+    return trees.select("doc_id", "sent_id", _depth(cap).alias("depth"))
 
 
 def meta_sentences(tokens: DataFrame) -> DataFrame:
@@ -109,30 +128,75 @@ def meta_sentences(tokens: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sent_id", F.coalesce(meta, F.lit(False)).alias("meta"))
 
 
+def _trees(tokens: DataFrame) -> DataFrame:
+    """doc_id, sent_id and a sentence's tokens in order (t), its words, roots and
+    the tokens that hang on a root (kids)."""
+    token = F.struct("i", "head_i", "pos", "dep", F.lower("lemma").alias("lemma"), F.lower("text").alias("text"))
+    rows = tokens.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(token)).alias("t"), F.min("i").alias("first"))
+    rows = rows.withColumns({
+        "heads": F.transform("t", lambda z: z["head_i"] - F.col("first")), "words": F.filter("t", lambda z: ~z["pos"].isin(NOT_WORDS)), "roots": F.filter("t", lambda z: z["head_i"] == z["i"]),
+    })
+    return rows.withColumn("kids", F.filter("t", lambda z: (z["head_i"] != z["i"]) & F.array_contains(F.transform("roots", lambda r: r["i"]), z["head_i"])))
+
+
+def _narrating() -> Column:
+    """How many of a sentence's roots ``meta_sentences`` counts."""
+
+    def some(test) -> Column:
+        return F.coalesce(F.exists("kids", test), F.lit(False))
+
+    def subject(z):
+        return z["dep"].isin("nsubj", "nsubjpass", "csubj")
+
+    marks = F.struct(
+        some(lambda z: subject(z) & z["text"].isin("we", "i")).alias("fp"), some(lambda z: subject(z) & z["lemma"].isin(L.DISCOURSE_NOUNS)).alias("disc"), some(lambda z: z["dep"] == "neg").alias("neg"),
+        some(lambda z: z["dep"].isin("acomp", "attr") & (z["lemma"].isin(L.STATUS_ADJECTIVES) | z["lemma"].isin(L.PREDICATE_NOUNS))).alias("pred"),
+    )
+
+    def narrates(r):
+        said = ((r["lemma"] == "be") & marks["pred"]) | ((marks["fp"] | marks["disc"]) & r["lemma"].isin(L.STANCE_VERBS))
+        return said | (marks["fp"] & r["lemma"].isin(L.CLAIM_VERBS) & marks["neg"])
+
+    return F.size(F.filter("roots", narrates))
+
+
 def rates(tokens: DataFrame) -> DataFrame:
-    """The syntax measures of each document."""
-    words = ~F.col("pos").isin(NOT_WORDS)
-    head = tokens.select("doc_id", F.col("i").alias("head_i"), F.col("dep").alias("head_dep"))
-    rows = tokens.join(head, ["doc_id", "head_i"], "left")
-    total = F.greatest(F.sum(F.when(words, 1).otherwise(0)), F.lit(1))
-
-    def share(test) -> F.Column:
-        return F.round(F.lit(1000.0) * F.sum(F.when(test, 1).otherwise(0)) / total, 4)
-
-    got = rows.groupBy("doc_id").agg(
-        F.round(F.sum(F.when(words, F.abs(F.col("i") - F.col("head_i"))).otherwise(0)) / total, 4).alias("mean_dep_dist"),
-        *[share(words & (F.col("pos") == p)).alias(f"{p.lower()}_rate") for p in ("NOUN", "ADJ", "PRON", "ADP")],
-        share(words & (F.col("pos") == "NOUN") & F.lower("text").rlike(L.NOUN_SUFFIX)).alias("nominal_rate"),
-        F.sum(F.when(words & F.col("dep").isin(L.CLAUSE_DEPS), 1).otherwise(0)).alias("clauses"),
-        share((F.lower("text") == "that") & F.col("head_dep").isin("csubj", "ccomp", "acl")).alias("that_subj_pm"),
+    """The syntax measures of each document.
+
+    Tokens are read and dealt out once: a sentence becomes a row of numbers, and
+    nothing is joined."""
+
+    def n(array: str, test) -> Column:
+        return F.size(F.filter(array, test))
+
+    def tagged(p: str):
+        return lambda z: z["pos"] == p
+
+    tags = ("NOUN", "ADJ", "PRON", "ADP")
+    long = F.size("t") > 3
+    per = _trees(tokens).select(
+        "doc_id", F.size("words").alias("n"), F.aggregate("words", F.lit(0), lambda a, z: a + F.coalesce(F.abs(z["i"] - z["head_i"]), F.lit(0))).alias("away"),
+        *[n("words", tagged(p)).alias(p) for p in tags], n("words", lambda z: (z["pos"] == "NOUN") & z["text"].rlike(L.NOUN_SUFFIX)).alias("nominal"),
+        n("words", lambda z: z["dep"].isin(L.CLAUSE_DEPS)).alias("clauses"),
+        # a head may stand in another sentence
+        F.transform(F.filter("t", lambda z: z["text"] == "that"), lambda z: z["head_i"]).alias("that"),
+        F.transform(F.filter("t", lambda z: z["dep"].isin("csubj", "ccomp", "acl")), lambda z: z["i"]).alias("marked"),
+        F.when(long, F.greatest(F.size("roots"), F.lit(1))).otherwise(0).alias("ns"), F.when(long, _narrating()).otherwise(0).alias("meta"), F.when(long, _depth(100)).alias("depth"),
     )
-    sents = meta_sentences(tokens).groupBy("doc_id").agg(F.count("*").alias("ns"), F.sum(F.col("meta").cast("int")).alias("meta"))
-    depth = parse_depths(tokens).groupBy("doc_id").agg(F.round(F.avg("depth"), 4).alias("parse_depth"))
-    rows = got.join(sents, "doc_id", "left").join(depth, "doc_id", "left").fillna(0, ["ns", "meta", "parse_depth"])
+    names = ("away", *tags, "nominal", "clauses", "ns", "meta")
+    rows = per.groupBy("doc_id").agg(
+        F.greatest(F.sum("n"), F.lit(1)).alias("total"), *[F.sum(c).alias(c) for c in names], F.coalesce(F.round(F.avg("depth"), 4), F.lit(0.0)).alias("parse_depth"),
+        F.flatten(F.collect_list("that")).alias("that"), F.flatten(F.collect_list("marked")).alias("marked"),
+    )
+    rows = rows.withColumn("that_subj", F.size(F.filter("that", lambda h: F.array_contains("marked", h))))
+
+    def share(c: str) -> Column:
+        return F.round(F.lit(1000.0) * F.col(c) / F.col("total"), 4)
+
     ns = F.greatest("ns", F.lit(1))
     return rows.select(
-        "doc_id", "mean_dep_dist", "parse_depth", "noun_rate", "adj_rate", "pron_rate", "adp_rate", "nominal_rate",
-        F.round(F.col("clauses") / ns, 4).alias("subcl_ratio"), "that_subj_pm", F.round(F.lit(100.0) * F.col("meta") / ns, 4).alias("metanarr_synt"),
+        "doc_id", F.round(F.col("away") / F.col("total"), 4).alias("mean_dep_dist"), "parse_depth", *[share(p).alias(f"{p.lower()}_rate") for p in tags], share("nominal").alias("nominal_rate"),
+        F.round(F.col("clauses") / ns, 4).alias("subcl_ratio"), share("that_subj").alias("that_subj_pm"), F.round(F.lit(100.0) * F.col("meta") / ns, 4).alias("metanarr_synt"),
     )
 
 
