@@ -9,7 +9,7 @@ term isn't posted by both can't.  Pairs that meet in a posting are measured exac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,12 @@ from ..sources.staged import staged
 HALF, SLACK = 0.005, 1e-9
 
 
+def cents(x: Column) -> Column:
+    """To two decimals, half up by the number as it is: ``round`` goes by its shortest
+    decimals, and would make 0.15 of the 0.145 that is a little less."""
+    return F.round(x * 100) / 100
+
+
 def _measured(pairs: DataFrame, counts: DataFrame, norms: DataFrame, key: str) -> DataFrame:
     """The pairs (key, a, b) with their cosine to two decimals; 0 for empty parts."""
     x, y = (counts.select(key, F.col("part").alias(side), "term", F.col("n").alias(f"_n{side}")) for side in "ab")
@@ -26,7 +32,7 @@ def _measured(pairs: DataFrame, counts: DataFrame, norms: DataFrame, key: str) -
     rows = pairs.join(dots, [key, "a", "b"], "left")
     for side in "ab":
         rows = rows.join(norms.select(key, F.col("part").alias(side), F.col("norm").alias(f"_l{side}")), [key, side], "left")
-    return rows.select(key, "a", "b", F.round(F.coalesce(F.col("_dot") / (F.col("_la") * F.col("_lb")), F.lit(0.0)), 2).alias("cosine"))
+    return rows.select(key, "a", "b", cents(F.coalesce(F.col("_dot") / (F.col("_la") * F.col("_lb")), F.lit(0.0))).alias("cosine"))
 
 
 def _seeds(parts: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.folding import fold
-from .similarity import most_similar
+from .similarity import cents, most_similar
 from .vectors import chunks
 from ..functions.lexical import stems
 
@@ -194,7 +194,7 @@ def conclusion_restatement(docs: DataFrame, key: str, over: int = 80) -> DataFra
     counts = _stem_counts(rows.withColumn("side", side).where("side is not null"), [key, "side"], "p")
     wide = counts.groupBy(key, "term").agg(*[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"c{s}") for s in (0, 1)])
     sums = wide.groupBy(key).agg(F.sum(F.col("c0") * F.col("c1")).alias("dot"), F.sum(F.col("c0") * F.col("c0")).alias("n0"), F.sum(F.col("c1") * F.col("c1")).alias("n1"))
-    return sums.where("n0 > 0 and n1 > 0").select(key, F.round(F.col("dot") / (F.sqrt("n0") * F.sqrt("n1")), 2).alias("cosine"))
+    return sums.where("n0 > 0 and n1 > 0").select(key, cents(F.col("dot") / (F.sqrt("n0") * F.sqrt("n1"))).alias("cosine"))
 
 
 def densest_sections(docs: DataFrame, key: str, least: int = 80, most: int = 8) -> DataFrame:

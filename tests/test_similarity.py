@@ -55,3 +55,8 @@ def test_empty(spark):
     assert similarity.most_similar(*frames(spark, {(1, 1): ["a"]}), "doc_id").collect() == []
     rows, counts = frames(spark, {(1, 1): ["a"]})
     assert similarity.most_similar(rows.where("false"), counts.where("false"), "doc_id").collect() == []
+
+
+def test_cosines_round_as_numbers_not_as_their_shortest_decimals(spark):
+    rows = spark.createDataFrame([(0.575,), (0.125,), (0.145,), (0.57,), (0.0,)], "x double")
+    assert [r.c for r in rows.select(similarity.cents(F.col("x")).alias("c")).collect()] == [0.57, 0.13, 0.14, 0.57, 0.0]
