@@ -61,7 +61,9 @@ def fold(text: Column) -> Column:
     one, _ = tables()
     gone = [c for c, bare in one.items() if not bare]
     kept = [(c, bare) for c, bare in one.items() if bare]
-    plain = F.translate(text, "".join(c for c, _ in kept) + "".join(gone), "".join(bare for _, bare in kept))
+    # most characters are ASCII: they are passed over before the larger tests
+    beyond = r"[^\x00-\x7F]"
+    plain = F.when(~text.rlike(beyond), text).otherwise(F.translate(text, "".join(c for c, _ in kept) + "".join(gone), "".join(bare for _, bare in kept)))
     pattern, pages, entries = _several()
     # constants of the plan; their size follows from Unicode alone
     pages_ = F.from_json(F.lit(json.dumps(pages)), "array<int>")
@@ -73,4 +75,4 @@ def fold(text: Column) -> Column:
         entry = F.get(entries_, (page * PAGE + code % PAGE).cast("int"))
         return F.when((page > 0) & (entry != ""), entry).otherwise(c)
 
-    return F.lower(F.when(plain.rlike(pattern), F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain))
+    return F.lower(F.when(plain.rlike(f"(?={beyond}){pattern}"), F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain))

@@ -39,3 +39,14 @@ def test_citations_against_one_bibliography(spark):
     got = sorted(tuple(r) for r in structure.missing_citations(docs, ["id"], lines).collect())
     assert got == [(1, "Novak (1999)"), (1, "Smith (2001)")]
     assert len(structure.missing_citations(docs, ["id"], lines.where("false")).collect()) == 4
+
+
+def test_plain_text_is_not_looked_up_character_by_character(spark):
+    import time
+
+    texts = spark.range(400, numPartitions=4).select(F.repeat(F.lit("Plain words "), 1000).alias("t")).union(spark.createDataFrame([("Ça ﬁn — ½",)], "t string"))
+    rows = texts.select(F.sha2(folding.fold(F.col("t")), 256).alias("f"))
+    rows.first()
+    began = time.monotonic()
+    assert rows.distinct().count() == 2
+    assert time.monotonic() - began < 3
