@@ -5,6 +5,9 @@ Null texts behave as empty ones.  A no-break space counts as a space.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,11 +77,62 @@ def tokens(text: Column, pattern: str = "[a-z]+") -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
 
 
+# Java's classes, of which Python's parser knows the names.
+_CLASSES = {"CATEGORY_SPACE": " \t\n\x0b\f\r", "CATEGORY_DIGIT": "0123456789"}
+
+
+def _first(nodes) -> tuple[set[str], bool]:
+    """The characters that a match of parsed pattern nodes can begin with, and
+    whether it can be empty; LookupError if they aren't few."""
+    found: set[str] = set()
+    for op, arg in nodes:
+        kind = str(op)
+        if kind in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if kind == "LITERAL":
+            own, empty = {chr(arg)}, False
+        elif kind == "IN":
+            own, empty = set(), False
+            for sub, what in arg:
+                if str(sub) == "RANGE":
+                    own |= set(map(chr, range(what[0], what[1] + 1)))
+                else:
+                    own |= {chr(what)} if str(sub) == "LITERAL" else set(_CLASSES[str(what)])
+        elif kind == "BRANCH":
+            parts = [_first(x) for x in arg[1]]
+            own, empty = set().union(*(p[0] for p in parts)), any(p[1] for p in parts)
+        elif kind == "SUBPATTERN":
+            own, empty = _first(arg[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            own, empty = _first(arg[2])
+            empty = empty or arg[0] == 0
+        else:
+            raise LookupError(kind)
+        found |= own
+        if not empty:
+            return found, False
+    return found, True
+
+
+@cache
+def quick(pattern: str) -> str:
+    """The same matches, tried only where a character stands that one can begin
+    with; the pattern as it is where that can't be told."""
+    flags, rest = re.fullmatch(r"((?:\(\?[im]+\))?)(.*)", pattern, re.S).groups()
+    try:
+        first, empty = _first(re._parser.parse(pattern))
+    except (LookupError, re.error):
+        return pattern
+    if empty or len(rest) < 3 or any(ord(c) > 126 for c in first):
+        return pattern
+    return f"{flags}(?=[{''.join(f'\\x{ord(c):02x}' for c in sorted(first))}])(?:{rest})"
+
+
 def count(text: Column, *patterns: str) -> Column:
     """Matches of all patterns together."""
     total = F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(text, F.lit(p))
+        total = total + F.regexp_count(text, F.lit(quick(p)))
     return total
 
 

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from quillspark.functions import discourse, lexical, shape
+from quillspark.functions import lexicons as L
 from quillspark.functions import text as T
 from quillspark.operators import bands, contrast, distance, panel, structure, vectors
 from quillspark.plans import fixtures
@@ -219,3 +220,16 @@ def test_context_parts_equal_the_fold_over_paragraphs(spark):
     for i, text in enumerate(texts):
         assert got.get(i, []) == panel.fit_or_chunk(text or "", 0), i
         assert all(len(p) <= budget for p in got.get(i, []))
+
+
+def test_guarded_patterns_count_the_same(spark):
+    assert T.quick(r"(?i)\b(?:may|could)\b") == r"(?i)(?=[\x63\x6d])(?:\b(?:may|could)\b)"
+    assert T.quick(r"(?:a?|\bnot )b") == r"(?=[\x61\x62\x6e])(?:(?:a?|\bnot )b)"
+    # any character, an empty match, Java's own classes
+    for p in (r"[^,]+,", r"a*", r"[\p{L}\p{N}_]+", "—"):
+        assert T.quick(p) == p
+    text = "May we? In other words, it is what it is, the point is: lorem ipsum XXX, and [TODO]; KEEP it in view. " * 3
+    row = spark.createDataFrame([(text,)], "t string")
+    patterns = [p for _, ps in L.SHAPE.values() for p in ps] + [L.HEDGE, L.CONNECTIVE, L.WASTE, L.PREPOSITION]
+    plain = row.select(*[F.regexp_count("t", F.lit(p)) for p in patterns]).first()
+    assert tuple(plain) == tuple(row.select(*[T.count(F.col("t"), p) for p in patterns]).first())
