@@ -110,21 +110,37 @@ def lexical_diversity(tokens: list[str], least: int = 50, threshold: float = 0.7
     return round((runs(tokens) + runs(tokens[::-1])) / 2, 1)
 
 
-def _earlier(tokens: Column) -> Column:
-    """The place of each token's previous occurrence in its array, -1 for none, in
-    the order of the tokens."""
-    placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _links(tokens: Column) -> Column:
+    """Of each token in order: its place (i) and those of its word's occurrence
+    before (p) and after (q), -1 for none.  Words are sorted once."""
     none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i"))
-    linked = F.zip_with(placed, F.concat(F.array(none), placed), lambda z, y: F.struct(z["i"].alias("i"), F.when(z["w"] == y["w"], y["i"]).otherwise(-1).alias("p")))
-    return F.filter(F.sort_array(linked), lambda z: z["i"].isNotNull())
+
+    def linked(s: Column) -> Column:
+        before = F.zip_with(s, F.concat(F.array(none), s), lambda z, y: F.struct(z["i"].alias("i"), z["w"].alias("w"), F.when(z["w"] == y["w"], y["i"]).otherwise(-1).alias("p")))
+        after = F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(none))
+        both = F.zip_with(before, after, lambda z, y: F.struct(z["i"].alias("i"), z["p"].alias("p"), F.when(z["w"] == y["w"], y["i"]).otherwise(-1).alias("q")))
+        return F.filter(F.sort_array(both), lambda z: z["i"].isNotNull())
+
+    return _let(F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), linked)
 
 
-def _mean_run(tokens: Column, threshold: float) -> Column:
+def _backward(links: Column) -> Column:
+    """The links of the other reading direction."""
+    last = F.size(links) - 1
+    return F.transform(F.reverse(links), lambda z: F.struct((last - z["i"]).alias("i"), F.when(z["q"] >= 0, last - z["q"]).otherwise(-1).alias("p"), F.lit(-1).alias("q")))
+
+
+def _mean_run(links: Column, threshold: float) -> Column:
     """Mean length of the runs of one reading direction.
 
     A token is a new type of the run that began at s if its previous occurrence
     lies before s, so the fold needs the run's start and number of types alone."""
-    size = F.size(tokens).cast("double")
+    size = F.size(links).cast("double")
     begun = F.struct(F.lit(0).alias("start"), F.lit(0).alias("types"), F.lit(0).alias("runs"))
 
     def add(a: Column, x: Column) -> Column:
@@ -138,11 +154,15 @@ def _mean_run(tokens: Column, threshold: float) -> Column:
         part = F.when(rest > 0, (1 - a["types"] / F.greatest(rest, F.lit(1.0))) / (1 - threshold)).otherwise(0.0)
         return F.when(a["runs"] + part > 0, size / F.when(a["runs"] + part > 0, a["runs"] + part).otherwise(1.0)).otherwise(size)
 
-    return F.aggregate(_earlier(tokens), begun, add, mean)
+    return F.aggregate(links, begun, add, mean)
 
 
 def mtld(tokens: Column, least: int = 50, threshold: float = 0.72) -> Column:
     """``lexical_diversity`` of an array of tokens, in time that grows as n log n; 0
     for null."""
-    both = (_mean_run(tokens, threshold) + _mean_run(F.reverse(tokens), threshold)) / 2
-    return F.when(F.size(tokens) >= least, F.floor(both * 10 + 0.5) / 10).otherwise(0.0)
+
+    def rounded(links: Column) -> Column:
+        both = (_mean_run(links, threshold) + _let(_backward(links), lambda x: _mean_run(x, threshold))) / 2
+        return F.floor(both * 10 + 0.5) / 10
+
+    return F.when(F.size(tokens) >= least, _let(_links(tokens), rounded)).otherwise(0.0)
