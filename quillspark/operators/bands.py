@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
+from ..sources.staged import staged
 from .selection import medians, select_ranks
 
 
@@ -58,7 +59,9 @@ def robust_high(rows: DataFrame, group: list[str], value: str, k: float = 3.0) -
 def threshold_flags(features: DataFrame, group: str, keys: list[str], least: int = 8) -> DataFrame:
     """Each feature of each document against its group: OUT of a fixed band, or
     HIGH over the group's 80th percentile (groups of ``least`` or more) or the
-    default threshold."""
+    default threshold.  Features are computed once and staged, as they are read for
+    the percentile and for the flag."""
+    features = staged(features, "features")
     long = features.unpivot([group, *keys], L.FEATURES, "feature", "value")
     p80 = order_statistics(long, [group, "feature"], "value", {"p80": (0.8, "round")})
     spark = features.sparkSession
@@ -72,8 +75,9 @@ def threshold_flags(features: DataFrame, group: str, keys: list[str], least: int
 
 
 def alignment(features: DataFrame, group: str, keys: list[str]) -> DataFrame:
-    """Glossed features that tell a document from its group's median."""
-    long = features.unpivot([group, *keys], L.GLOSSED, "feature", "value")
+    """Glossed features that tell a document from its group's median; staged, as
+    they are read twice."""
+    long = staged(features.select(group, *keys, *L.GLOSSED), "features").unpivot([group, *keys], L.GLOSSED, "feature", "value")
     w = [group, "feature"]
     band = order_statistics(long, w, "value", {"p25": (0.25, "round"), "p75": (0.75, "round"), "below": (0.5, "floor"), "above": (0.5, "ceil")})
     rows = long.join(band.withColumn("mid", F.col("below") * 0.5 + F.col("above") * 0.5), w)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.staged import staged
 from .bands import rank_round
 
 
@@ -141,8 +142,9 @@ def loo_composite(features: DataFrame, side: str, key: str, names: list[str] = L
     one, so its band is one of two neighbouring values and no document is
     paired with another.  Bands come from counts of distinct values, the row from
     a histogram of flag counts, which has a bin per number of features at most.
+    Features are staged, as bands and flags read them.
     """
-    long = features.unpivot([key, side], names, "feature", "value")
+    long = staged(features.select(key, side, *names), "features").unpivot([key, side], names, "feature", "value")
     bands = {}
     for name, q in (("up", 0.8), ("down", 0.2)):
         full, loo = rank_round(q, F.col("t0")), rank_round(q, F.col("t0") - 1)

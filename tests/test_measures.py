@@ -233,3 +233,10 @@ def test_guarded_patterns_count_the_same(spark):
     patterns = [p for _, ps in L.SHAPE.values() for p in ps] + [L.HEDGE, L.CONNECTIVE, L.WASTE, L.PREPOSITION]
     plain = row.select(*[F.regexp_count("t", F.lit(p)) for p in patterns]).first()
     assert tuple(plain) == tuple(row.select(*[T.count(F.col("t"), p) for p in patterns]).first())
+
+
+def test_features_read_twice_are_computed_once(spark):
+    features = shape.features(docs(spark, "One two three four. " * 9, "The case is that. " * 9), ["grp", "doc_id"])
+    for rows in (bands.threshold_flags(features, "grp", ["doc_id"]), bands.alignment(features, "grp", ["doc_id"])):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_count" not in plan.lower() and rows.count() > 0
