@@ -147,7 +147,9 @@ def probes(rows: DataFrame, vector: str, targets: list[str], alpha: float = 1.0,
     non-finite number in the vector or any target, take no part."""
     numbers = F.concat(F.array(F.lit(1.0)), F.col(vector).cast("array<double>"), F.array(*[F.col(t).cast("double") for t in targets]))
     data = rows.select(F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), numbers.alias("x"))
+    # read for the width and for the sums: computed once
     data = data.where(F.coalesce(F.forall("x", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)))
+    data = staged(data, "numbers")
     sizes = data.groupBy(F.size("x").alias("w")).agg(F.count("*").alias("k")).agg(F.max_by("w", F.struct("k", -F.col("w"))).alias("w")).first()
     width = sizes.w or len(targets) + 1
     names, dims = list(targets), width - len(targets) - 1
