@@ -38,11 +38,12 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,6 +63,9 @@ ROUNDS = 2
 PIVOTS = 3
 #: Sets up to this size may try a pivot that they share one posting with.
 FEW = 20
+#: Listed shingles before it that a posting carries, which tell whether a pair has
+#: met already.
+BEFORE = 6
 MEMO_WORDS = 200_000
 
 # Odd multipliers for combining word hashes.
@@ -139,39 +143,44 @@ class Order:
 SIGNS = [f"s{k}" for k in range(SIGNATURE // 64)]
 
 
+def _key():
+    """The name of a row by its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, node, size, signature) and of the sketch (part,
-    counts)."""
+    """Rows of documents (doc_id, key, node, size, signature) and of the sketch
+    (part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, top = np.zeros(SKETCH_CELLS, np.uint8), np.uint64(int(SKETCH_SHARE * 2**64))
         seen: set[int] = set()
         for batch in batches:
             rows, gathered = [], []
-            for doc_id, named, text in zip(batch["doc_id"].tolist(), batch["named"].tolist(), batch["text"].tolist()):
+            for doc_id, named, key, text in zip(batch["doc_id"].tolist(), batch["named"].tolist(), batch["key"].tolist(), batch["text"].tolist()):
                 own = shingles(text, n)
                 if not len(own):
-                    rows.append((doc_id, named, 0, 0, 0, 0, 0, 0))
+                    rows.append((doc_id, named, key, 0, 0, 0, 0, 0, 0))
                     continue
                 node = node_of(own)
-                rows.append((doc_id, named, node, len(own), *signature(own)))
+                rows.append((doc_id, named, key, node, len(own), *signature(own)))
                 if node not in seen:  # copies count once a task
                     seen.add(node)
                     gathered.append(own[: np.searchsorted(own, top)])
             if gathered:
                 cells, more = np.unique(_cells(np.concatenate(gathered)), return_counts=True)
                 counts[cells] = np.minimum(counts[cells] + more, 255)
-            out = pd.DataFrame(rows, columns=["doc_id", "named", "node", "size", *SIGNS])
+            out = pd.DataFrame(rows, columns=["doc_id", "named", "key", "node", "size", *SIGNS])
             yield out.assign(part=pd.array([None] * len(out), "Int32"), counts=None)
         width = SKETCH_CELLS // SKETCH_PARTS
         if seen:
             own = [counts[k * width: (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
-            yield pd.DataFrame({"doc_id": np.zeros(SKETCH_PARTS, np.int64), "named": False, "node": 0, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
+            yield pd.DataFrame({"doc_id": np.zeros(SKETCH_PARTS, np.int64), "named": False, "key": 0, "node": 0, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
 
     # no nulls among the numbers: pandas would make floats of them
-    whole = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
-    rows = whole.mapInPandas(run, f"doc_id long, named boolean, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
-    return rows.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size", *SIGNS, "part", "counts")
+    whole = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), _key().alias("key"), "text")
+    rows = whole.mapInPandas(run, f"doc_id long, named boolean, key long, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
+    return rows.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "key", F.when(F.col("size") > 0, F.col("node")).alias("node"), "size", *SIGNS, "part", "counts")
 
 
 def _order(sets: DataFrame) -> Order:
@@ -265,89 +274,114 @@ def possible(a: str, b: str, num: int, den: int, signs: list[str] = SIGNS):
 
 
 def _close(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that signatures and sizes leave possible, with a's and b's
-    size and the distance of their signatures."""
+    """The pairs (a, b) that signatures and sizes leave possible, with the distance
+    of their signatures."""
     x, y = (first.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(s).alias(f"{c}_{s}") for s in SIGNS]) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(possible("a_", "b_", num, den)).select("a", "b", "a_size", "b_size", apart("a_", "b_").alias("apart"))
+    return both.where(possible("a_", "b_", num, den)).select("a", "b", apart("a_", "b_").alias("apart"))
 
 
-def _fetch(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int) -> DataFrame:
-    """node and its whole set, of the nodes in pairs (and a few others that the
-    filter can't tell from them), from each node's first document."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stage(nodes.join(first, "node").select(F.xxhash64("first").alias("key")), "asked")
-    wanted = KeyFilter(asked, asked.count())
+def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of the staged pairs (a, b) whose similarity is num / den or more.
+
+    Texts travel, not sets, which are several times as large: one text a node,
+    that of its first document.  Pairs come sorted by b, whose set is made once."""
+    spark = docs.sparkSession
+    x, y = (first.select(F.col("node").alias(c), F.col("key").alias(f"{c}_key")) for c in "ab")
+    named = stage(pairs.select("a", "b").join(x, "a").join(y, "b"), "named")
+    asked = named.select(F.col("a_key").alias("key")).unionByName(named.select(F.col("b_key").alias("key"))).distinct()
+    wanted = KeyFilter(asked, 2 * named.count())
+    some = docs.select(_key().alias("key"), "text").where(wanted.holds(F.col("key")))
+    # rows that repeat are one text
+    texts = stage(some.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    release(spark)
+    both = named.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("x")), "a_key").join(texts.select(F.col("key").alias("b_key"), F.col("text").alias("y")), "b_key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, other = None, None
         for batch in batches:
-            rows = [(node_of(own), own.view(np.int64)) for own in (shingles(t, n) for t in batch["text"].tolist()) if len(own)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["node", "own"])
+            found = []
+            for a, b, text, pivot in zip(batch["a"].tolist(), batch["b"].tolist(), batch["x"].tolist(), batch["y"].tolist()):
+                if b != last:
+                    last, other = b, shingles(pivot, n)
+                own = shingles(text, n)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if common * den >= (len(own) + len(other) - common) * num:
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    some = docs.where(wanted.holds(F.xxhash64("doc_id"))).select("text")
-    out = stage(some.mapInPandas(run, "node long, own array<long>").dropDuplicates(["node"]), "fetched")
+    out = stage(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
     wanted.drop()
-    unstage(asked)
+    for table in (named, texts):
+        unstage(table)
+    release(spark)
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the staged pairs (a, b, sizes) whose similarity is num / den or
-    more."""
-    spark = docs.sparkSession
-    sets = _fetch(docs, pairs, first, n)
-    release(spark)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    sizes = F.col("a_size").cast("long") + F.col("b_size")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), sizes.alias("sizes"))
-    out = stage(common.where(F.col("common") * den >= (F.col("sizes") - F.col("common")) * num).select("a", "b"), "links")
-    unstage(sets)
-    release(spark)
-    return out
+def _labelled(rows: DataFrame, answers: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """Rows with the label of their node: its component's, else its own."""
+    named = answers.select(F.col("node").alias(node), F.col("label").alias(label))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _labelled(listed: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Postings with their node's label, and the labels of linked nodes."""
-    if links is None:
-        return listed.withColumn("label", F.col("node")), None
-    answers = components(links)
-    return listed.join(answers, "node", "left").withColumn("label", F.coalesce("label", "node")), answers
+def _tries(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """For each round the nodes (a) and the pivots that they meet (b), how often
+    (k) and a's least size, from one pass over the lists: a list's pivots are its
+    nodes least by salted hashes."""
+    names = ["node", "size", "place"]
+    by_token = Window.partitionBy("token")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), *names)).over(by_token).alias(f"p{k}") for k in range(ROUNDS * PIVOTS)]
+    pivots = [F.struct(F.lit(k // PIVOTS).alias("round"), *[F.col(f"p{k}.{c}").alias(f"p_{c}") for c in names]) for k in range(ROUNDS * PIVOTS)]
+    met = listed.select(*names, *least).select(*names, F.explode(F.array_distinct(F.array(*pivots))).alias("p")).select(*names, "p.*")
+    met = met.where("node <> p_node").where(_fits("", "p_", num, den))
+    return met.groupBy("round", F.col("node").alias("a"), F.col("p_node").alias("b")).agg(F.count("*").alias("k"), F.min("size").alias("size"))
 
 
-def _pivots(labelled: DataFrame, first: DataFrame, num: int, den: int, salt: int) -> DataFrame:
-    """For each node the pivot of another component with the nearest signature:
-    a list's pivots are its nodes least by salted hashes."""
-    names = ["node", "label", "size", "place"]
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(salt * PIVOTS + k)).alias("by"), *names)) for k in range(PIVOTS)]
-    pivots = labelled.groupBy("token").agg(*[p.alias(f"p{k}") for k, p in enumerate(least)])
-    pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(f"p_{c}") for c in names]) for k in range(PIVOTS)]))).alias("p")).select("token", "p.*")
-    tries = labelled.join(pivots, "token").where("label <> p_label").where(_fits("", "p_", num, den))
-    shared = tries.groupBy(F.col("node").alias("a"), F.col("p_node").alias("b")).agg(F.count("*").alias("k"), F.min("size").alias("size"))
-    close = _close(shared.where((F.col("k") > 1) | (F.col("size") <= FEW)).select("a", "b"), first, num, den)
-    best = close.groupBy("a").agg(F.min(F.struct("apart", "b", "a_size", "b_size")).alias("best"))
-    return stage(best.select("a", F.col("best.b").alias("b"), F.col("best.a_size").alias("a_size"), F.col("best.b_size").alias("b_size")), "star")
+def _pivots(tries: DataFrame, first: DataFrame, num: int, den: int, answers: DataFrame | None) -> DataFrame:
+    """For each node the pivot of another component with the nearest signature."""
+    shared = tries.where((F.col("k") > 1) | (F.col("size") <= FEW)).select("a", "b")
+    if answers is not None:
+        shared = _labelled(_labelled(shared, answers, "a", "x"), answers, "b", "y").where("x <> y").select("a", "b")
+    close = _close(shared, first, num, den)
+    best = close.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
+    return stage(best.select("a", F.col("best.b").alias("b")), "star")
 
 
 def _either(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _across(labelled: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components whose blocks, places and
-    signatures fit, with their sizes."""
+def _met(a: str, b: str, earlier: list[str]):
+    """Whether two postings carry the same shingle from before."""
+    return F.coalesce(reduce(Column.__or__, [F.col(f"{a}{s}") == F.col(f"{b}{t}") for s in earlier for t in earlier]), F.lit(False))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The postings of lists that hold more than one component, with the one that
+    most of the list is in (main); a node that several tasks posted is there once."""
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    apart = labelled.join(first.select("node", *SIGNS), "node").join(main, "token")
-    names = ["node", "size", "place", "label", *SIGNS]
+    return labelled.join(main, "token").distinct()
+
+
+def _across(mixed: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components whose blocks, places and
+    signatures fit, once for each list that makes them.
+
+    Two nodes meet in every list that they share.  A pair is left out of a list if
+    one of the last listed shingles before it is among the other's too, as it met
+    there, with more room: the first list that a pair shares always makes it."""
+    by_place = Window.partitionBy("node").orderBy("place")
+    earlier = [f"t{k}" for k in range(BEFORE)]
+    rows = mixed.select("*", *[F.lag("token", k + 1).over(by_place).alias(c) for k, c in enumerate(earlier)])
+    apart = rows.join(first.select("node", *SIGNS), "node")
+    names = ["node", "size", "place", "label", *earlier, *SIGNS]
     minor = apart.where("label <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names], F.explode(_reachable(num, den)).alias("block")).select("*", "block.*").drop("block")
     other = apart.select("token", _band(F.col("size"), num, den).alias("band"), _back(F.col("size"), F.col("place"), num, den).alias("back"), "main", *[F.col(c).alias(f"y_{c}") for c in names])
     once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    fits = (F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den) & possible("x_", "y_", num, den)
+    fits = (F.col("x_label") != F.col("y_label")) & once & _fits("x_", "y_", num, den) & possible("x_", "y_", num, den) & ~_met("x_", "y_", earlier)
     cross = minor.join(other, ["token", "band", "back"]).where(fits)
-    swap = F.col("x_node") > F.col("y_node")
-    sides = [F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")) for c in ("node", "size")] + [F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")) for c in ("node", "size")]
-    return cross.select(*[c.alias(n) for c, n in zip(sides, ("a", "a_size", "b", "b_size"))]).distinct()
+    return cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -356,7 +390,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     sets = stage(_sets(docs, n), "sets")
-    rows = sets.where("part is null").select("doc_id", "node", "size", *SIGNS)
+    rows = sets.where("part is null").select("doc_id", "key", "node", "size", *SIGNS)
     known = docs.where("doc_id is not null")
     postings = _postings(known, n, num, den, _order(sets))
     release(spark)
@@ -367,24 +401,29 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     release(spark)
     # documents of equal sets are one node, known by the first of them
     least = [F.min(c).alias(c) for c in ("size", *SIGNS)]
-    first = stage(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *least), "first")
+    first = stage(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("key", "doc_id").alias("key"), *least), "first")
     release(spark)
     # first each node against one pivot, a few times
-    links, tried = None, []
+    tries = stage(_tries(listed, num, den), "tries")
+    release(spark)
+    links, answers, tried = None, None, []
     for salt in range(ROUNDS):
-        labelled, answers = _labelled(listed, links)
-        star = _pivots(labelled, first, num, den, salt)
+        star = _pivots(tries.where(F.col("round") == salt), first, num, den, answers)
         release(spark)
         found = _verified(known, star, first, n, num, den)
         links = found if links is None else links.unionByName(found)
+        answers = components(links)
         tried.append(star)
+    unstage(tries)
     # then pairs that are still apart
-    labelled, answers = _labelled(listed, links)
-    cross = _across(labelled, first, num, den)
+    mixed = stage(_mixed(_labelled(listed, answers)), "mixed")
+    unstage(listed)
+    release(spark)
+    cross = _across(mixed, first, num, den).distinct()
     for star in tried:
         cross = cross.join(_either(star), ["a", "b"], "left_anti")
     close = stage(cross, "cross")
-    unstage(listed)
+    unstage(mixed)
     release(spark)
     more = _verified(known, close, first, n, num, den)
     named = answers.join(first, "node").groupBy("label").agg(F.min("first").alias("least"))

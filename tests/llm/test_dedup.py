@@ -122,6 +122,34 @@ def test_ngram_blocks_pass_over_no_pair_that_fits(spark):
         assert looked_at.count() < 0.7 * by_band
 
 
+def test_ngram_pairs_are_made_by_few_of_the_lists_they_share(spark):
+    rng = random.Random(8)
+    rows, shared = [], {node: set() for node in range(8)}
+    for node in shared:  # all hold most of the same 300 shingles
+        own = [t for t in range(300) if rng.random() < 0.9]
+        shared[node] = set(own)
+        rows += [(t, node, 3000, place, node) for place, t in enumerate(own)]
+    listed = spark.createDataFrame(rows, "token long, node long, size int, place int, label long")
+    first = spark.createDataFrame([(node, *[0] * len(ngram_join.SIGNS)) for node in shared], f"node long, {', '.join(s + ' long' for s in ngram_join.SIGNS)}")
+    pairs = Counter((r.a, r.b) for r in ngram_join._across(ngram_join._mixed(listed), first, 4, 5).collect())
+    assert set(pairs) == {(a, b) for b in shared for a in range(b)}
+    assert sum(pairs.values()) < 0.05 * sum(len(shared[a] & shared[b]) for a, b in pairs)
+
+
+def test_ngram_join_reads_each_row_of_repeated_ids(spark):
+    """An id's rows hold different texts: a set is compared by its own row's."""
+    rng = random.Random(9)
+    near = [text(rng, 80).split() for _ in range(3)]
+    texts, ids = [], []
+    for k, words in enumerate(near):
+        for j in range(3):  # alike but for a word at the end
+            texts += [" ".join([*words[:-1], f"e{k}{j}"]), text(rng, 80)]
+            ids += [10 * k + j, 10 * k + j]
+    texts, ids = texts + texts[:2], ids + ids[:2]
+    found = {(r.doc_id, r.component_id) for r in ngram_join.similar_components(frame(spark, texts, ids), 5, 4, 5).collect()}
+    assert found == {(i, i - i % 10) for i in ids}
+
+
 def test_ngram_join_degenerate(spark):
     assert ngram_join.similar_components(frame(spark, [])).count() == 0
     rows = ngram_join.similar_components(frame(spark, ["a b c d e f", "a b c d e f", "x y z q r s", None], [5, None, 5, 2])).collect()
