@@ -65,12 +65,32 @@ def stems(text: Column) -> Column:
     return F.transform(words, stem)
 
 
-def trigram_repetition(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Trigrams of stems, and those that occur more than once."""
+def _grams(docs: DataFrame, keys: list[str]) -> DataFrame:
     rows = docs.select(*keys, stems(T.prose(F.col("text"))).alias("s"))
     grams = F.when(F.size("s") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - 2, F.lit(1))), lambda i: F.array_join(F.slice("s", i, F.lit(3)), " ")))
-    counted = rows.select(*keys, F.explode_outer(grams).alias("g")).groupBy(*keys, "g").agg(F.count("g").alias("n"))
-    out = counted.groupBy(*keys).agg(F.sum("n").alias("trigrams"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"))
+    return rows.select(*keys, F.sort_array(F.coalesce(grams, F.array().cast("array<string>"))).alias("g"))
+
+
+def trigram_repetition(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Trigrams of stems, and those that occur more than once.
+
+    They are counted row by row; only those of rows that share their keys with
+    others are dealt out."""
+    def same(a: Column, b: Column) -> Column:
+        return F.when(a.eqNullSafe(b), 1).otherwise(0)
+
+    shared = docs.groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    alike = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    single, many = (docs.join(shared, alike, how) for how in ("left_anti", "left_semi"))
+    none = F.array(F.lit(None).cast("string"))
+    own = _grams(single, keys)
+    before = F.zip_with("g", F.slice(F.concat(none, F.col("g")), F.lit(1), F.size("g")), same)
+    # one that equals the one before it, or the one after it
+    after = F.zip_with("g", F.concat(F.slice(F.col("g"), F.lit(2), F.size("g")), none), same)
+    repeated = F.size(F.filter(F.zip_with(before, after, lambda x, y: x + y), lambda x: x > 0))
+    out = own.select(*keys, F.size("g").cast("long").alias("trigrams"), repeated.cast("long").alias("repeated"))
+    counted = _grams(many, keys).select(*keys, F.explode_outer("g").alias("g")).groupBy(*keys, "g").agg(F.count("g").alias("n"))
+    out = out.unionByName(counted.groupBy(*keys).agg(F.sum("n").alias("trigrams"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated")))
     return out.select("*", F.round(F.lit(100.0) * F.col("repeated") / F.greatest("trigrams", F.lit(1)), 4).alias("trigram_rep"))
 
 

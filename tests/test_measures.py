@@ -240,3 +240,13 @@ def test_features_read_twice_are_computed_once(spark):
     for rows in (bands.threshold_flags(features, "grp", ["doc_id"]), bands.alignment(features, "grp", ["doc_id"])):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_count" not in plan.lower() and rows.count() > 0
+
+
+def test_trigrams_are_dealt_out_for_shared_keys_only(spark):
+    one, two = "winter garden lantern winter garden lantern winter", "garden lantern winter silver"
+    rows = [(1, one), (2, two), (3, one), (3, two), (None, two), (None, two), (4, None), (5, "winter garden")]
+    found = lexical.trigram_repetition(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    by_id = {r.doc_id: (r.trigrams, r.repeated) for r in found.collect()}
+    assert by_id == {1: (5, 4), 2: (2, 0), 3: (7, 5), None: (4, 4), 4: (0, 0), 5: (0, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
