@@ -31,6 +31,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .runtime import stage, unstage
 
 #: Labelled rows of each label that fitting reads at most.
 FIT_ROWS = 2000
@@ -208,35 +211,46 @@ class Scorer:
         return bias, most * x, total * y
 
 
-def learn_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Stems of (text, toxic) rows.  Support is the number of different words
-    before a stem, so copies of one text count once."""
-    contexts: dict[str, set] = defaultdict(set)
-    toxic: dict[str, int] = defaultdict(int)
-    clean: dict[str, int] = defaultdict(int)
-    n = [0, 0]
-
-    def stems(word: str) -> list[str]:
-        return [word, *(word[:k] + "*" for k in STEM_LENGTHS if k <= len(word))]
-
-    for text, label in rows:
-        if not label:
-            continue
-        n[1] += 1
-        words = WORD.findall((text or "").lower())
-        for before, word in zip(["", *words], words):
-            for s in stems(word):
-                if len(contexts[s]) < 64:
-                    contexts[s].add(before)
-        for s in {s for w in set(words) for s in stems(w)}:
-            toxic[s] += 1
-    candidates = {s for s, c in contexts.items() if len(c) >= LEAST_CONTEXTS}
-    for text, label in rows:
-        if label:
-            continue
-        n[0] += 1
-        for s in {s for w in set(WORD.findall((text or "").lower())) for s in stems(w)} & candidates:
-            clean[s] += 1
+def stems(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in STEM_LENGTHS if k <= len(word))]
+
+
+def stem_counts(training: DataFrame) -> DataFrame:
+    """stem, and over all rows and over those of the first half (_h): contexts (the
+    different words before it in toxic texts, so copies of one text count once),
+    toxic and clean (the texts that hold it); stems of ``LEAST_CONTEXTS`` or more.
+
+    training: text, toxic, first.  Counts are made by Spark, texts stay in tasks."""
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, first in zip(batch["text"].tolist(), batch["first"].tolist()):
+                words = WORD.findall((text or "").lower())
+                found = {(s, before) for before, word in set(zip(["", *words], words)) for s in stems(word)}
+                yield pd.DataFrame(list(found), columns=["stem", "before"]).assign(first=int(first)).astype({"stem": object, "before": object})
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            for text, label, first in zip(batch["text"].tolist(), batch["toxic"].tolist(), batch["first"].tolist()):
+                for s in {s for w in set(WORD.findall((text or "").lower())) for s in stems(w)}:
+                    own = counts[s]
+                    own[1 - label] += 1
+                    own[3 - label] += int(first)
+            yield pd.DataFrame([(s, *c) for s, c in counts.items()], columns=["stem", "toxic", "clean", "toxic_h", "clean_h"]).astype({"stem": object})
+
+    pairs = training.where("toxic = 1").select("text", "first").mapInPandas(contexts, "stem string, before string, first int")
+    pairs = pairs.groupBy("stem", "before").agg(F.max("first").alias("first"))
+    wide = pairs.groupBy("stem").agg(F.count("*").alias("contexts"), F.sum("first").alias("contexts_h")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    held = training.select("text", "toxic", "first").mapInPandas(texts, "stem string, toxic long, clean long, toxic_h long, clean_h long")
+    held = held.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_h", "clean_h")])
+    return wide.join(held, "stem")
+
+
+def choose_stems(counts: dict[str, tuple[int, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Stems with weights, of counts (contexts, toxic, clean) by stem."""
+    candidates = {s: c for s, c in counts.items() if c[0] >= LEAST_CONTEXTS}
+    toxic, clean = ({s: c[k] for s, c in candidates.items()} for k in (1, 2))
     longer: dict[str, list[str]] = defaultdict(list)
     for e in candidates:
         for k in STEM_LENGTHS:
@@ -244,8 +258,9 @@ def learn_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
                 longer[p].append(e)
     chosen: dict[str, float] = {}
     for s in sorted(candidates, key=lambda s: (len(s.rstrip("*")), s[-1] != "*", s)):
-        support = min(toxic[s], len(contexts[s])) if len(contexts[s]) < 64 else toxic[s]
-        rate, base = (support + 0.5) / (n[1] + 1), (clean[s] + 0.5) / (n[0] + 1)
+        contexts = candidates[s][0]
+        support = min(toxic[s], contexts) if contexts < 64 else toxic[s]
+        rate, base = (support + 0.5) / (n_toxic + 1), (clean[s] + 0.5) / (n_clean + 1)
         if rate < LEAST_RATIO * base or any(s.startswith(p[:-1]) for k in STEM_LENGTHS if (p := s[:k] + "*") in chosen and p != s):
             continue  # too common in clean texts, or a shorter stem covers it
         if any(toxic[e] >= (0.8 if clean[e] < clean[s] else 0.95) * toxic[s] for e in longer.get(s, ()) if clean[e] <= clean[s]):
@@ -278,15 +293,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = training.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(training.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     sample = sample.repartition(1)  # 2 x rows ids
     found = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    data = [(r.text or "", r.toxic) for r in found.select("text", "toxic").orderBy("doc_id").toLocalIterator()]
-    positive = sum(label for _, label in data)
-    if not positive or positive == len(data):
-        return Model()
+    # texts may be long, so the driver sees none: at most 2 x rows of them, staged once
+    found = stage(found, "training")
     # halves: stems from one, the layer from the other, so it sees unseen texts
-    model = Model(learn_stems(data[::2]) | {})
-    scorer = Scorer(model)
-    layer = fit_layer(np.array([scorer.features(t) for t, _ in data[1::2]]).reshape(-1, 2), np.array([y for _, y in data[1::2]], float)) if data[1::2] else Model().layer
-    return Model(learn_stems(data), layer)
+    place = F.row_number().over(Window.orderBy("doc_id"))
+    halves = found.select("doc_id").repartition(1).select("doc_id", (place % 2 == 1).alias("first"))  # 2 x rows ids
+    training = stage(found.repartition("doc_id").join(F.broadcast(halves), "doc_id"), "halves")
+    n = {(r.toxic, r.first): r.k for r in training.groupBy("toxic", "first").agg(F.count("*").alias("k")).collect()}  # four numbers
+    whole, half = ([sum(k for (y, first), k in n.items() if y == label and (first or every)) for label in (1, 0)] for every in (True, False))
+    if not all(whole):
+        unstage(found)
+        unstage(training)
+        return Model()
+    counts = list(stem_counts(training).toLocalIterator())  # bounded by the words of 2 x rows texts
+    model = Model(choose_stems({r.stem: (r.contexts_h, r.toxic_h, r.clean_h) for r in counts}, *half))
+    layer = model.layer
+    if any(not first for _, first in n):
+        features = _features(training.where("not first"), model).orderBy("doc_id").collect()  # two numbers an id
+        layer = fit_layer(np.array([(r.most, r.total) for r in features]).reshape(-1, 2), np.array([r.toxic for r in features], float))
+    unstage(found)
+    unstage(training)
+    return Model(choose_stems({r.stem: (r.contexts, r.toxic, r.clean) for r in counts}, *whole), layer)
+
+
+def _features(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, toxic and the features most and total."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for batch in batches:
+            most, total = zip(*(scorer.features(t) for t in batch["text"].tolist()), strict=True) if len(batch) else ((), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "most": np.array(most, float), "total": np.array(total, float)})
+
+    return rows.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, most double, total double")
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import time
+import tracemalloc
 
 from quillspark.llm import html_text, toxicity
+from quillspark.llm.runtime import stage_path
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -148,3 +150,33 @@ def test_without_labels_or_rows(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()}
     assert got[1] > got[2]
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
+
+
+def test_stems_are_counted_by_tasks_and_texts_stay_out_of_the_driver(spark):
+    rng = random.Random(11)
+    data = [(k, " ".join(rng.choice(["ab" + rng.choice("cde"), "Zorg" + rng.choice("xyz"), 9 * "q" + "".join(rng.choices("rstuvw", k=9))]) for _ in range(6000)), k % 2) for k in range(60)]
+    data += [(60, None, 1), (61, "", 0)]
+    training = spark.createDataFrame([(t, y, k % 4 < 2) for k, t, y in data], "text string, toxic int, first boolean")
+    expected = {}
+    for every in (True, False):
+        contexts, held = {}, {}
+        for k, t, y in data:
+            if every or k % 4 < 2:
+                words = toxicity.WORD.findall((t or "").lower())
+                for before, word in zip(["", *words], words):
+                    for s in toxicity.stems(word):
+                        held.setdefault((s, y), set()).add(k)
+                        if y:
+                            contexts.setdefault(s, set()).add(before)
+        expected[every] = {s: (len(c), len(held.get((s, 1), ())), len(held.get((s, 0), ()))) for s, c in contexts.items()}
+    found = toxicity.stem_counts(training).collect()
+    assert {r.stem: (r.contexts, r.toxic, r.clean) for r in found} == {s: c for s, c in expected[True].items() if c[0] >= toxicity.LEAST_CONTEXTS} != {}
+    assert all((r.contexts_h, r.toxic_h, r.clean_h) == expected[False].get(r.stem, (0, r.toxic_h, r.clean_h)) for r in found)
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, toxic int")
+    docs.write.mode("overwrite").parquet(path := stage_path(spark, "texts"))
+    tracemalloc.start()
+    toxicity.fit(spark.read.parquet(path), labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20 < sum(len(t or "") for _, t, _ in data)
