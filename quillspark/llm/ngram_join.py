@@ -13,8 +13,11 @@ shingle.  A shingle's posting list is cut into blocks by set size and position:
 * answer-level skipping: in each round every list offers a few pivots; each node
   is compared with the one whose signature is nearest among those it shares more
   than one posted shingle with.  Nodes similar to a pivot take over the pivot's
-  component as their answer; afterwards only pairs still in different components
-  are compared.
+  component as their answer.  Lists that still hold many nodes outside their
+  largest component, as those of near copies without a common centre do, are sorted
+  by each word of the signatures, and nodes are compared with the nearest of their
+  neighbours there; afterwards only pairs still in different components are
+  compared.
 
 A signature is the parity of a set's shingles in 256 cells.  Two signatures
 differ in no more bits than the sets differ in shingles, so a pair whose
@@ -63,6 +66,12 @@ ROUNDS = 2
 PIVOTS = 3
 #: Sets up to this size may try a pivot that they share one posting with.
 FEW = 20
+#: Nodes outside its largest component from which on a list is sorted by signatures;
+#: rounds of that, neighbours before a node in each order, and how many it tries.
+CHAIN = 32
+CHAIN_ROUNDS = 2
+NEIGHBOURS = 2
+NEAREST = 3
 #: Listed shingles before it that a posting carries, which tell whether a pair has
 #: met already.
 BEFORE = 6
@@ -358,12 +367,33 @@ def _met(a: str, b: str, earlier: list[str]):
 
 def _mixed(labelled: DataFrame) -> DataFrame:
     """The postings of lists that hold more than one component, with the one that
-    most of the list is in (main); a node that several tasks posted is there once."""
+    most of the list is in (main) and how many are in others (minors); a node that
+    several tasks posted is there once."""
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), F.sum("k").alias("rows")).where("labels > 1")
+    main = main.select("token", F.col("main.label").alias("main"), (F.col("rows") - F.col("main.k")).alias("minors"))
     return labelled.join(main, "token").distinct()
 
 
+def _neighbours(chained: DataFrame, answers: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """For each node the nearest few, by signature, of those of other components that
+    stand next to it when its lists are sorted by one word of the signatures, turned
+    by some bits: a number of comparisons in proportion to the postings."""
+    names = ["node", "size", "place", "label", *SIGNS]
+    near = []
+    for s in SIGNS:
+        word = F.shiftleft(s, turn).bitwiseOR(F.shiftrightunsigned(s, 64 - turn)) if turn else F.col(s)
+        by_word = Window.partitionBy("token").orderBy(word, "node")
+        near += [F.lag(F.struct(*names), k + 1).over(by_word) for k in range(NEIGHBOURS)]
+    met = _labelled(chained, answers).select(*names, F.array(*near).alias("near")).select(*names, F.explode("near").alias("b")).where("b is not null")
+    met = met.select(*[F.col(c).alias(f"a_{c}") for c in names], *[F.col(f"b.{c}").alias(f"b_{c}") for c in names])
+    met = met.where((F.col("a_label") != F.col("b_label")) & _fits("a_", "b_", num, den) & possible("a_", "b_", num, den))
+    met = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), apart("a_", "b_").alias("apart"))
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart")).distinct()
+    best = both.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("k") <= NEAREST)
+    return stage(_either(best).distinct(), "star")
+
+
 def _across(mixed: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components whose blocks, places and
     signatures fit, once for each list that makes them.
@@ -419,9 +449,23 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     mixed = stage(_mixed(_labelled(listed, answers)), "mixed")
     unstage(listed)
     release(spark)
-    cross = _across(mixed, first, num, den).distinct()
-    for star in tried:
-        cross = cross.join(_either(star), ["a", "b"], "left_anti")
+    # a list with many nodes outside its largest component would make pairs by the square of them
+    posted = ["token", "node", "size", "place"]
+    chained = stage(mixed.where(F.col("minors") > CHAIN).select(*posted).join(first.select("node", *SIGNS), "node"), "chained")
+    if not chained.isEmpty():
+        for k in range(CHAIN_ROUNDS):
+            star = _neighbours(chained, answers, 21 * k, num, den)
+            release(spark)
+            links = links.unionByName(_verified(known, star, first, n, num, den))
+            answers = components(links)
+            tried.append(star)
+        still = stage(_mixed(_labelled(mixed.select(*posted), answers)), "mixed")
+        unstage(mixed)
+        mixed = still
+        release(spark)
+    unstage(chained)
+    compared = reduce(DataFrame.unionByName, [_either(star) for star in tried]).distinct()
+    cross = _across(mixed, first, num, den).distinct().join(compared, ["a", "b"], "left_anti")
     close = stage(cross, "cross")
     unstage(mixed)
     release(spark)

@@ -136,6 +136,26 @@ def test_ngram_pairs_are_made_by_few_of_the_lists_they_share(spark):
     assert sum(pairs.values()) < 0.05 * sum(len(shared[a] & shared[b]) for a, b in pairs)
 
 
+def test_ngram_neighbours_by_signature_follow_the_postings(spark):
+    """A list of many components offers each node its nearest few, not all."""
+    rng, base, rows, signs = random.Random(12), random.Random(1).getrandbits(256), [], ngram_join.SIGNS
+    for pair in range(150):
+        own = base
+        for bit in rng.sample(range(256), 20):
+            own ^= 1 << bit
+        twin = own
+        for bit in rng.sample(range(256), 4):
+            twin ^= 1 << bit
+        for k, s in enumerate((own, twin)):
+            words = [(s >> 64 * j) % 2**64 for j in range(len(signs))]
+            rows.append((7, 2 * pair + k, 150, 0, *[w - 2**64 if w >> 63 else w for w in words]))
+    chained = spark.createDataFrame(rows, f"token long, node long, size int, place int, {', '.join(s + ' long' for s in signs)}")
+    answers = spark.createDataFrame([(0, 0), (1, 0)], "node long, label long")
+    found = [{(r.a, r.b) for r in ngram_join._neighbours(chained, answers, turn, 85, 100).collect()} for turn in (0, 21)]
+    assert set.union(*found) >= {(2 * k, 2 * k + 1) for k in range(1, 150)} and not {(0, 1)} & set.union(*found)
+    assert all(len(pairs) <= ngram_join.NEAREST * 300 for pairs in found)
+
+
 def test_ngram_join_reads_each_row_of_repeated_ids(spark):
     """An id's rows hold different texts: a set is compared by its own row's."""
     rng = random.Random(9)
