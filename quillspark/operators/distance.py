@@ -66,11 +66,13 @@ def _others(x: Column, t: Column, k: Column) -> tuple[Column, Column, Column]:
     their hashes add up to so many times its hash."""
     n = k - 1
     h = _hashes(x)
-    alike = [F.lit(True), F.lit(True)]
-    for i, own in enumerate(h):
-        rest = t[f"h{i + 1}"] - own
-        for j, end in enumerate(("lo", "hi")):
-            alike[j] = alike[j] & (rest == n * _hashes(t[end])[i])
+    alike = []
+    for end in ("lo", "hi"):
+        # hashes are made only where the sum allows it: equal rates add up to far closer
+        same = F.abs(t["s1"] - x - n * t[end]) <= 1e-3 * F.abs(t["s1"])
+        for i, own in enumerate(h):
+            same = same & (t[f"h{i + 1}"] - own == n * _hashes(t[end])[i])
+        alike.append(same)
     mean = (t["s1"] - x) / F.greatest(n, F.lit(1))
     square = (t["s2"] - x * x) / F.greatest(n, F.lit(1))
     sd = F.when((n < 1) | alike[0] | alike[1], 0.0).otherwise(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
@@ -97,7 +99,14 @@ def leave_one_out_vectors(rows: DataFrame, group: str, key: str, vector: str) ->
     by_place = long.groupBy(group, "_j").agg(*_totals(F.col("_x")))
     totals = by_place.groupBy(group).agg(F.max("k").alias("_k"), F.sort_array(F.collect_list(F.struct("_j", "s1", "s2", "lo", "hi", "h1", "h2"))).alias("_t")).where("_k > 1")
     joined = rows.alias("r").join(totals.alias("t"), F.col(f"r.{group}").eqNullSafe(F.col(f"t.{group}"))).select("r.*", "t._k", "t._t")
-    return joined.select(group, key, F.zip_with(vector, "_t", lambda x, t: _others(x, t, F.col("_k"))[2]).alias("z"))
+
+    def parts(x: Column, t: Column) -> Column:
+        mean, sd, _ = _others(x, t, F.col("_k"))
+        return F.struct((x - mean).alias("off"), sd.alias("sd"))
+
+    # two steps, as what a lambda repeats is computed again
+    z = F.transform(F.zip_with(vector, "_t", parts), lambda p: F.when(p["sd"] > 1e-9, p["off"] / F.when(p["sd"] > 1e-9, p["sd"]).otherwise(1.0)))
+    return joined.select(group, key, z.alias("z"))
 
 
 def _scored(docs: DataFrame, group: str, key: str) -> DataFrame:
@@ -115,7 +124,9 @@ def function_word_delta(docs: DataFrame, group: str, key: str) -> DataFrame:
 
 def verdicts(delta: DataFrame, group: str, key: str, least: int = 3) -> DataFrame:
     """MIRRORS or OUTLIER against the group's robust cutoff; groups of at least
-    ``least`` documents."""
+    ``least`` documents.  Deltas are read for the median, the deviations and the
+    verdicts, so they are computed once and staged."""
+    delta = staged(delta.select(group, key, "delta"), "delta")
     cut = robust_high(delta, [group], "delta").where(F.col("n") >= least)
     rows = delta.join(cut.select(group, "n", "cutoff"), group)
     return rows.select(group, key, "n", "delta", "cutoff", F.when(F.col("delta") <= F.col("cutoff"), "MIRRORS").otherwise("OUTLIER").alias("verdict"))

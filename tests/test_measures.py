@@ -250,3 +250,17 @@ def test_trigrams_are_dealt_out_for_shared_keys_only(spark):
     assert by_id == {1: (5, 4), 2: (2, 0), 3: (7, 5), None: (4, 4), 4: (0, 0), 5: (0, 0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_verdicts_compute_their_deltas_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([("g", k, float(k % 7)) for k in range(39)] + [("g", 39, 900.0), ("h", 40, 1.0)], "grp string, doc_id long, x double")
+    got = distance.verdicts(rows.select("grp", "doc_id", counted("x").alias("delta")), "grp", "doc_id").collect()
+    assert seen.value == 41
+    assert {r.doc_id for r in got if r.verdict == "OUTLIER"} == {39} and len(got) == 40
