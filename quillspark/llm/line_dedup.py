@@ -244,14 +244,21 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     release(spark)
     first = lines.groupBy("node").agg(F.min(F.struct("d", "line_no", "t", "size", *SIGNS, "once", "prefix")).alias("f")).select("node", "f.*")
     first = stage(first, "first")
+    # from here on only each set's first line keeps its prefix
+    wide, lines = lines, stage(lines.select(*AT, "node"), "named")
+    unstage(wide)
     release(spark)
     pivots = _staged_parts(lambda k: _pivots(first, k, num, den), "pivots")
     star = stage(_nearest(pivots), "star")
     unstage(pivots)
     gone = [_similar(docs, first, star, num, den)]
     tried = star.select(F.col("y").alias("node"), F.col("x").alias("star"))
-    rest = first.where(F.size("prefix") > 0).join(gone[0], "node", "left_anti").join(tried, "node", "left").withColumn("tried", F.lit(None).cast("long"))
-    rest = stage(rest, "rest")
+    # one table holds those that still stand and the others, as a second would be as large again
+    marked = first.join(gone[0].withColumn("went", F.lit(True)), "node", "left").join(tried, "node", "left").withColumn("tried", F.lit(None).cast("long"))
+    marked = stage(marked, "marked")
+    unstage(first)
+    first = marked.drop("star", "tried", "went")
+    rest = marked.where((F.size("prefix") > 0) & F.col("went").isNull()).drop("went")
     release(spark)
 
     def nearest_of(k: int) -> DataFrame:
@@ -284,7 +291,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     stays = first.join(later, "node", "left_anti").select(*AT)
     keys = [lines[c].eqNullSafe(stays[c]) for c in AT]
     out = stage(lines.join(stays, keys, "left_anti").select(*AT), "removed")
-    for table in (lines, first, star, rest, pairs, *gone):
+    for table in (lines, marked, star, pairs, *gone):
         unstage(table)
     release(spark)
     return out

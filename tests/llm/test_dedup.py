@@ -229,3 +229,25 @@ def test_dropping_lines_is_linear_in_them(spark):
         found = one.select(line_dedup.without(F.split("text", "\n"), F.col("gone")).alias("kept")).collect()[0].kept
         assert found == "\n".join(f"line {k}" if k % 3 else "" for k in range(n) if k not in gone)
     assert time.time() - began < 60
+
+
+def test_line_join_keeps_one_table_of_prefixes(spark, monkeypatch):
+    rng, alive, held = random.Random(3), [], []
+    stage, unstage = line_dedup.stage, line_dedup.unstage
+
+    def staged(rows, name):
+        if name == "crossed":
+            held.append(sum("prefix" in rows.columns for rows in alive))
+        alive.append(stage(rows, name))
+        return alive[-1]
+
+    def unstaged(rows):
+        alive[:] = [r for r in alive if r is not rows]
+        unstage(rows)
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    monkeypatch.setattr(line_dedup, "unstage", unstaged)
+    line = text(rng, 20)
+    rows = frame(spark, [line + " one\n" + text(rng, 9), line + " two\n" + line + " two", None])
+    assert {(r.d, r.line_no) for r in line_dedup.removed_lines(rows).collect()} == {(1, 0), (1, 1)}
+    assert held and max(held) == 1
