@@ -45,6 +45,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +78,8 @@ NEAREST = 3
 #: met already.
 BEFORE = 6
 MEMO_WORDS = 200_000
+#: Bytes of text whose sets a task makes at once.
+SLICE_BYTES = 1 << 21
 
 # Odd multipliers for combining word hashes.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
@@ -112,6 +116,59 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def _hashed(words: pa.Array) -> np.ndarray:
+    """The hash of every word, from the array's own bytes."""
+    wide = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    ends = np.frombuffer(words.buffers()[1], wide)[words.offset: words.offset + len(words) + 1].tolist() if len(words) else [0]
+    data = words.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(words))
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``shingles`` of each text, one set after the other, and the bounds of the
+    sets: set k is ``flat[bounds[k]: bounds[k + 1]]``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(flat, "")
+    coded = flat.filter(real).dictionary_encode()
+    rows = rows[real.to_numpy(zero_copy_only=False)]
+    codes = coded.indices.to_numpy()
+    distinct = _hashed(coded.dictionary)
+    total = np.full(max(0, len(codes) - n + 1), n, np.uint64) * np.uint64(0x27D4EB2F165667C5)
+    for k in range(n if len(total) else 0):
+        total += (_mix(distinct + MULTIPLIERS[k % 8] * np.uint64(k // 8 + 1)) * MULTIPLIERS[k % 8])[codes[k: len(codes) - n + 1 + k]]
+    # windows inside one text; texts of fewer words are one window of their own width
+    inside = rows[: len(total)] == rows[n - 1:]
+    hashes, owner = _mix(total[inside]), rows[: len(total)][inside]
+    words = np.bincount(rows, minlength=len(texts))
+    short = np.flatnonzero((words > 0) & (words < n))
+    if len(short):
+        own = np.concatenate([shingles(texts[int(k)].as_py(), n) for k in short])
+        hashes, owner = np.concatenate([hashes, own]), np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for k in range(len(texts)):
+        hashes[ends[k]: ends[k + 1]].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def _slices(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows of about SLICE_BYTES of text, or of one row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in texts:
+        total += pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(total) // SLICE_BYTES
+    at = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(at, at[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def node_of(own: np.ndarray) -> int:
     """A set's node id, as a signed 64-bit number."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
@@ -123,6 +180,14 @@ def signature(own: np.ndarray, cells: int = SIGNATURE) -> list[int]:
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
+def signatures(flat: np.ndarray, bounds: np.ndarray, cells: int = SIGNATURE) -> np.ndarray:
+    """The ``signature`` of every set, a row each."""
+    sets = len(bounds) - 1
+    at = np.repeat(np.arange(sets) * cells, np.diff(bounds)) + (flat >> np.uint64(20)).astype(np.int64) % cells
+    parity = np.bincount(at, minlength=sets * cells).astype(np.uint8) & 1
+    return np.packbits(parity.reshape(sets, cells), axis=1).view(np.int64)
+
+
 def prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Places that two sets at the threshold must share one of."""
     return size - (size * num + den - 1) // den + 1
@@ -142,11 +207,13 @@ class Order:
         self.level = steps[counts]
         self.top = np.uint64(int(SKETCH_SHARE * 2**64))
 
+    def _levels(self, own: np.ndarray) -> np.ndarray:
+        return np.where(own < self.top, self.level[_cells(own)], 0)
+
     def prefix(self, own: np.ndarray, length: int) -> np.ndarray:
-        level = np.where(own < self.top, self.level[_cells(own)], 0)
-        if not level[: length].any():
+        if not self._levels(own[:length]).any():
             return own[:length]
-        return own[np.argsort(level, kind="stable")[:length]]
+        return own[np.argsort(self._levels(own), kind="stable")[:length]]
 
 
 SIGNS = [f"s{k}" for k in range(SIGNATURE // 64)]
@@ -161,34 +228,33 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, key, node, size, signature) and of the sketch
     (part, counts)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, top = np.zeros(SKETCH_CELLS, np.uint8), np.uint64(int(SKETCH_SHARE * 2**64))
         seen: set[int] = set()
         for batch in batches:
-            rows, gathered = [], []
-            for doc_id, named, key, text in zip(batch["doc_id"].tolist(), batch["named"].tolist(), batch["key"].tolist(), batch["text"].tolist()):
-                own = shingles(text, n)
-                if not len(own):
-                    rows.append((doc_id, named, key, 0, 0, 0, 0, 0, 0))
-                    continue
-                node = node_of(own)
-                rows.append((doc_id, named, key, node, len(own), *signature(own)))
-                if node not in seen:  # copies count once a task
-                    seen.add(node)
-                    gathered.append(own[: np.searchsorted(own, top)])
-            if gathered:
-                cells, more = np.unique(_cells(np.concatenate(gathered)), return_counts=True)
+            for rows in _slices(batch, "text"):
+                flat, bounds = shingle_sets(rows.column("text"), n)
+                sizes, signs = np.diff(bounds), signatures(flat, bounds)
+                nodes, fresh = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+                for k in np.flatnonzero(sizes).tolist():
+                    node = nodes[k] = node_of(flat[bounds[k]: bounds[k + 1]])
+                    if node not in seen:  # copies count once a task
+                        seen.add(node)
+                        fresh[k] = True
+                cells, more = np.unique(_cells(flat[np.repeat(fresh, sizes) & (flat < top)]), return_counts=True)
                 counts[cells] = np.minimum(counts[cells] + more, 255)
-            out = pd.DataFrame(rows, columns=["doc_id", "named", "key", "node", "size", *SIGNS])
-            yield out.assign(part=pd.array([None] * len(out), "Int32"), counts=None)
+                numbers = [nodes, sizes.astype(np.int32), *(np.ascontiguousarray(signs[:, k]) for k in range(len(SIGNS)))]
+                none = [pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], *map(pa.array, numbers), *none], names=columns)
         width = SKETCH_CELLS // SKETCH_PARTS
         if seen:
             own = [counts[k * width: (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
-            yield pd.DataFrame({"doc_id": np.zeros(SKETCH_PARTS, np.int64), "named": False, "key": 0, "node": 0, "size": 0, **dict.fromkeys(SIGNS, 0), "part": pd.array(range(SKETCH_PARTS), "Int32"), "counts": own})
+            zero = pa.array(np.zeros(SKETCH_PARTS, np.int64))
+            yield pa.RecordBatch.from_arrays([zero, zero.cast(pa.bool_()), zero, zero, zero.cast(pa.int32()), *[zero] * len(SIGNS), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(own, pa.binary())], names=columns)
 
-    # no nulls among the numbers: pandas would make floats of them
+    columns = ["doc_id", "named", "key", "node", "size", *SIGNS, "part", "counts"]
     whole = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), _key().alias("key"), "text")
-    rows = whole.mapInPandas(run, f"doc_id long, named boolean, key long, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
+    rows = whole.mapInArrow(run, f"doc_id long, named boolean, key long, node long, size int, {', '.join(s + ' long' for s in SIGNS)}, part int, counts binary")
     return rows.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "key", F.when(F.col("size") > 0, F.col("node")).alias("node"), "size", *SIGNS, "part", "counts")
 
 
@@ -207,28 +273,33 @@ def _order(sets: DataFrame) -> Order:
     return Order(counts)
 
 
-def _postings(docs: DataFrame, n: int, num: int, den: int, order: Order) -> DataFrame:
-    """token, node, size and place of every node's prefix."""
+def _postings(docs: DataFrame, n: int, num: int, den: int, order: Order, owned: bool = False) -> DataFrame:
+    """token, node, size and place of every node's prefix; if ``owned``, with the
+    doc_id that it was made from."""
+    names = ["token", "node", "size", "place", *["owner"] * owned]
     shipped = docs.sparkSession.sparkContext.broadcast(order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes, places = [], [], [], []
-            for text in batch["text"].tolist():
-                own = shingles(text, n)
-                if not len(own) or (node := node_of(own)) in seen:
-                    continue
-                seen.add(node)
-                length = int(prefix_length(np.int64(len(own)), num, den))
-                tokens.append(shipped.value.prefix(own, length).view(np.int64))
-                nodes.append(np.full(length, node))
-                sizes.append(np.full(length, len(own), np.int32))
-                places.append(np.arange(length, dtype=np.int32))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "node": np.concatenate(nodes), "size": np.concatenate(sizes), "place": np.concatenate(places)})
-
-    return docs.select("text").mapInPandas(run, "token long, node long, size int, place int")
+            for rows in _slices(batch, "text"):
+                flat, bounds = shingle_sets(rows.column("text"), n)
+                tokens, nodes, sizes, places, owners = [], [], [], [], []
+                for a, b, owner in zip(bounds[:-1].tolist(), bounds[1:].tolist(), rows.column("doc_id").to_pylist()):
+                    if a == b or (node := node_of(flat[a:b])) in seen:
+                        continue
+                    seen.add(node)
+                    length = int(prefix_length(np.int64(b - a), num, den))
+                    tokens.append(shipped.value.prefix(flat[a:b], length).view(np.int64))
+                    nodes.append(np.full(length, node))
+                    sizes.append(np.full(length, b - a, np.int32))
+                    places.append(np.arange(length, dtype=np.int32))
+                    owners.append(np.full(length, owner))
+                if tokens:
+                    made = [pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes, places, owners)]
+                    yield pa.RecordBatch.from_arrays(made[: len(names)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, size int, place int" + ", owner long" * owned)
 
 
 def _fits(a: str, b: str, num: int, den: int):
@@ -306,20 +377,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, n: int, num:
     release(spark)
     both = named.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("x")), "a_key").join(texts.select(F.col("key").alias("b_key"), F.col("text").alias("y")), "b_key")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for a, b, text, pivot in zip(batch["a"].tolist(), batch["b"].tolist(), batch["x"].tolist(), batch["y"].tolist()):
-                if b != last:
-                    last, other = b, shingles(pivot, n)
-                own = shingles(text, n)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if common * den >= (len(own) + len(other) - common) * num:
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    out = stage(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
+            for rows in _slices(batch, "x", "y"):
+                a, b = (rows.column(c).to_numpy() for c in "ab")
+                turns = np.concatenate([[True], b[1:] != b[:-1]])
+                own, at = shingle_sets(rows.column("x"), n)
+                other, of = shingle_sets(rows.column("y").take(pa.array(np.flatnonzero(turns))), n)
+                links = np.zeros(len(a), bool)
+                for k, t in enumerate((np.cumsum(turns) - 1).tolist()):
+                    both = np.concatenate([own[at[k]: at[k + 1]], other[of[t]: of[t + 1]]])
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    links[k] = common * den >= (len(both) - common) * num
+                yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], names=["a", "b"])
+
+    out = stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     wanted.drop()
     for table in (named, texts):
         unstage(table)

@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup, ngram_join, suffix_dedup
@@ -107,6 +108,20 @@ def test_ngram_join_equals_brute_force(spark):
         assert found == brute_components(texts, ids, n, num, den)
 
 
+def test_ngram_sets_of_a_batch_are_those_of_each_text():
+    rng = random.Random(3)
+    texts = ["", None, " \t ", "One", "a B", "a b c d", " lead \u00dc \x0b x\x0cy\r\nz q ", "a\x1cb c\x85d e f g", "w " * 50, "x\x00y z q r s", *[text(rng, k, 30) for k in range(40)]]
+    whole = pa.array(["not read", *texts], pa.string())
+    for n in (1, 4, 5, 9):
+        # a slice, as arrays with an offset go wrong easily
+        flat, bounds = ngram_join.shingle_sets(whole.slice(1), n)
+        expected = [ngram_join.shingles(t, n) for t in texts]
+        assert flat.tolist() == np.concatenate(expected).tolist() and np.diff(bounds).tolist() == [len(e) for e in expected]
+        assert ngram_join.signatures(flat, bounds).tolist() == [ngram_join.signature(e) for e in expected]
+        for some in ([], [None], ["a"]):
+            assert len(ngram_join.shingle_sets(pa.array(some, pa.string()), n)[1]) == len(some) + 1
+
+
 def test_ngram_blocks_pass_over_no_pair_that_fits(spark):
     for num, den in ((85, 100), (4, 5)):
         rows = [(size, place) for size in range(1, 61) for place in range(int(ngram_join.prefix_length(np.int64(size), num, den)))]
