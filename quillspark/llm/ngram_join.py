@@ -409,7 +409,9 @@ def _labelled(rows: DataFrame, answers: DataFrame, node: str = "node", label: st
 def _tries(listed: DataFrame, num: int, den: int) -> DataFrame:
     """For each round the nodes (a) and the pivots that they meet (b), how often
     (k) and a's least size, from one pass over the lists: a list's pivots are its
-    nodes least by salted hashes."""
+    nodes least by salted hashes.  Lists are dealt out first, as a window's inputs
+    are computed before its own exchange and would travel with every posting."""
+    listed = listed.repartition("token")
     names = ["node", "size", "place"]
     by_token = Window.partitionBy("token")
     least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), *names)).over(by_token).alias(f"p{k}") for k in range(ROUNDS * PIVOTS)]
@@ -419,6 +421,29 @@ def _tries(listed: DataFrame, num: int, den: int) -> DataFrame:
     return met.groupBy("round", F.col("node").alias("a"), F.col("p_node").alias("b")).agg(F.count("*").alias("k"), F.min("size").alias("size"))
 
 
+def _same(rows: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the nodes of rows that share a doc_id, staged, if any do:
+    those are one document whether similar or not."""
+    named = rows.where("doc_id is not null and node is not null")
+    least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
+    same = stage(named.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "same")
+    if same.isEmpty():
+        unstage(same)
+        return None
+    return same
+
+
+def _listed(postings: DataFrame) -> DataFrame:
+    """The postings of lists that can link anything: those of one node end here, and
+    those that one document's rows alone have made."""
+    by_token = Window.partitionBy("token")
+    told = [c for c in ("node", "owner") if c in postings.columns]
+    least = [F.min(c).over(by_token).alias(f"least_{c}") for c in told]
+    last = [F.max(c).over(by_token).alias(f"last_{c}") for c in told]
+    some = reduce(Column.__and__, [F.col(f"least_{c}") != F.col(f"last_{c}") for c in told])
+    return postings.select("*", *least, *last).where(some).select("token", "node", "size", "place")
+
+
 def _pivots(tries: DataFrame, first: DataFrame, num: int, den: int, answers: DataFrame | None) -> DataFrame:
     """For each node the pivot of another component with the nearest signature."""
     shared = tries.where((F.col("k") > 1) | (F.col("size") <= FEW)).select("a", "b")
@@ -495,12 +520,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     sets = stage(_sets(docs, n), "sets")
     rows = sets.where("part is null").select("doc_id", "key", "node", "size", *SIGNS)
     known = docs.where("doc_id is not null")
-    postings = _postings(known, n, num, den, _order(sets))
-    release(spark)
-    # lists of one node end here
-    by_token = Window.partitionBy("token")
-    listed = postings.select("*", F.min("node").over(by_token).alias("least"), F.max("node").over(by_token).alias("last"))
-    listed = stage(listed.where("least <> last").drop("least", "last"), "lists")
+    same = _same(rows)
+    listed = stage(_listed(_postings(known, n, num, den, _order(sets), same is not None)), "lists")
     release(spark)
     # documents of equal sets are one node, known by the first of them
     least = [F.min(c).alias(c) for c in ("size", *SIGNS)]
@@ -509,7 +530,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     # first each node against one pivot, a few times
     tries = stage(_tries(listed, num, den), "tries")
     release(spark)
-    links, answers, tried = None, None, []
+    links, answers, tried = same, same and components(same), []
     for salt in range(ROUNDS):
         star = _pivots(tries.where(F.col("round") == salt), first, num, den, answers)
         release(spark)

@@ -122,6 +122,27 @@ def test_ngram_sets_of_a_batch_are_those_of_each_text():
             assert len(ngram_join.shingle_sets(pa.array(some, pa.string()), n)[1]) == len(some) + 1
 
 
+def test_ngram_lists_travel_no_wider_than_their_postings(spark):
+    """What a window computes from its rows is computed after they are dealt out."""
+    listed = spark.createDataFrame([(1, 2, 9, 0), (1, 3, 9, 0)], "token long, node long, size int, place int")
+    plan = ngram_join._tries(listed, 4, 5)._jdf.queryExecution().executedPlan().toString()
+    # a plan is printed from its result down
+    assert plan.rindex("xxhash64(node") < plan.rindex("Exchange")
+
+
+def test_ngram_lists_of_one_document_alone_are_left_out(spark):
+    """Rows that share an id are one document: what only they share links nothing."""
+    posts = spark.createDataFrame([(1, 10, 9, 0, 7), (1, 11, 9, 1, 7), (2, 10, 9, 2, 7), (2, 12, 9, 0, 8), (3, 12, 9, 1, 8)], "token long, node long, size int, place int, owner long")
+    assert {r.token for r in ngram_join._listed(posts).collect()} == {2}
+    rng = random.Random(21)
+    base, own = text(rng, 80), text(rng, 30)
+    # 1 has two unlike rows, each near another document; 4 has two near ones
+    texts = [base, own, base + " x", own + " y", base[:200], base[:200] + " z"]
+    ids = [1, 1, 2, 3, 4, 4]
+    found = {(r.doc_id, r.component_id) for r in ngram_join.similar_components(frame(spark, texts, ids), 5, 4, 5).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_ngram_blocks_pass_over_no_pair_that_fits(spark):
     for num, den in ((85, 100), (4, 5)):
         rows = [(size, place) for size in range(1, 61) for place in range(int(ngram_join.prefix_length(np.int64(size), num, den)))]
