@@ -182,6 +182,8 @@ def _pivots(first: DataFrame, part: int, num: int, den: int) -> DataFrame:
     cuts = F.ceil(F.pow(F.lit(2.0), F.shiftright("word", 56) / 4.0) / LIST_ROWS).cast("long")
     # one key for word, band and cut: lists that share a key only offer more
     rows = rows.withColumn("list", F.xxhash64("word", band, F.pmod("node", cuts))).drop("word")
+    # dealt out here, as the window's own exchange would carry each pivot beside its row
+    rows = rows.repartition("list")
     by_list = Window.partitionBy("list").orderBy(F.col("d").asc_nulls_first(), "line_no", "node")
     so_far = by_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pivot = F.struct(*names)
@@ -208,12 +210,14 @@ def _crossed(open_: DataFrame, other: DataFrame, num: int, den: int) -> DataFram
 def _similar(docs: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The nodes y of those pairs (y, x) that reach the threshold."""
     nodes = pairs.select(F.col("y").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct()
-    asked = stage(nodes.join(first, "node").select("node", "size", F.xxhash64(*AT).alias("key")), "asked")
-    wanted = KeyFilter(asked, asked.count())
-    lines = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.xxhash64(*AT).alias("key"), "line")
+    holder = F.xxhash64("d", "t")
+    asked = stage(nodes.join(first, "node").select("node", "size", F.xxhash64(*AT).alias("key"), holder.alias("holder")), "asked")
+    # one bitmap tells documents and lines: those of no asked line are not cut up
+    wanted = KeyFilter(asked.select(F.explode(F.array("key", "holder")).alias("key")), 2 * asked.count())
+    lines = docs.where(wanted.holds(holder)).select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.xxhash64(*AT).alias("key"), "line")
     # repeated documents are one line a key before they are dealt out
     lines = lines.where(wanted.holds(F.col("key"))).groupBy("key").agg(F.first("line").alias("line"))
-    found = stage(lines.join(asked, "key").select("node", "size", "line"), "found")
+    found = stage(lines.join(asked.drop("holder"), "key").select("node", "size", "line"), "found")
     release(docs.sparkSession)
     y, x = (found.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("line").alias(f"{c}_line")) for c in "yx")
     both = pairs.select("y", "x").join(y, "y").join(x, "x")

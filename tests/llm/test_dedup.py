@@ -287,3 +287,22 @@ def test_line_join_keeps_one_table_of_prefixes(spark, monkeypatch):
     rows = frame(spark, [line + " one\n" + text(rng, 9), line + " two\n" + line + " two", None])
     assert {(r.d, r.line_no) for r in line_dedup.removed_lines(rows).collect()} == {(1, 0), (1, 1)}
     assert held and max(held) == 1
+
+
+def test_line_pivots_travel_no_wider_than_their_postings(spark):
+    """A posting's pivot is made after lists are dealt out, not beside every row."""
+    first = spark.createDataFrame([(1, 0, 0, 0, 9, 0, 0, 0, 0, 0, [5, 6]), (2, 1, 0, 0, 9, 0, 0, 0, 0, 0, [5, 6])], "node long, d long, t long, line_no int, size int, parity long, q0 long, q1 long, q2 long, once int, prefix array<long>")
+    plan = line_dedup._pivots(first, 0, 4, 5)._jdf.queryExecution().executedPlan().toString()
+    # a plan is printed from its result down
+    assert plan.rindex("struct(node") < plan.rindex("Exchange")
+
+
+def test_line_verification_cuts_up_only_documents_of_asked_lines(spark, monkeypatch):
+    docs = spark.range(50).selectExpr("id as d", "id * 7 as t", "concat('a b c d e f g h i ', id, '\\nx', id) as text")
+    first = docs.selectExpr("d as node", "d", "t", "0 as line_no", "10 as size")
+    pairs = spark.createDataFrame([(4, 3)], "y long, x long")
+    asked = []
+    whole = line_dedup.KeyFilter.holds
+    monkeypatch.setattr(line_dedup.KeyFilter, "holds", lambda self, key: asked.append(str(key)) or whole(self, key))
+    assert [r.node for r in line_dedup._similar(docs, first, pairs, 4, 5).collect()] == [4]
+    assert "xxhash64(d, t)" in asked[0]
