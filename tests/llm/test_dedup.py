@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_dedup, ngram_join, suffix_dedup
+from quillspark.llm import graph, line_dedup, ngram_join, suffix_dedup
 from quillspark.llm.graph import components
 
 SCHEMA = "doc_id long, text string, d string"
@@ -218,6 +218,33 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(21)}, **{k: 100 for k in range(100, 130)}}
 
 
+def test_components_at_once_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [tuple(rng.randrange(-300, 300) for _ in range(2)) for _ in range(260)] + [(2**62, -2**62), (-2**62, 2**61)]
+    least = {v: v for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    expected = {v: k for v, k in least.items() if any(v in e and e[0] != e[1] for e in edges)}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r.node: r.label for r in components(frame).collect()} == expected
+    monkeypatch.setattr(graph, "AT_ONCE", 10)
+    assert {r.node: r.label for r in components(frame).collect()} == expected
+    monkeypatch.undo()
+    assert components(frame.where("false")).count() == 0
+
+
+def test_components_of_few_edges_take_few_plans(spark):
+    """A chain took the driver some twenty plans, which it keeps for a while."""
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    assert components(chain).where("label = 0").count() == 201
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before <= 4
+
+
 def brute_lines(texts, num, den):
     seen, out = [], []
     for t in texts:
