@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,35 @@ def densities(docs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+STEMMED = r"[a-z][a-z'\-]{2,}"
+MEMO_WORDS = 200_000
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased text without comments and marks."""
+    return F.lower(F.regexp_replace(F.regexp_replace(T.clean(text), T.COMMENT, ""), r"[*`#>\[\]()]|\\[a-z]+", " "))
+
+
+class _Stems(dict):
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        suffix = next((s for s in L.STEM_SUFFIXES if word.endswith(s) and len(word) >= len(s) + 3), "")
+        value = self[word] = None if word in L.STEM_STOP else word[: len(word) - len(suffix)]
+        return value
+
+
+_stems = _Stems()
+
+
+def stemmed(text: str) -> list[str]:
+    """The ``stems`` of a text that ``plain`` has made, a word at a time."""
+    return [s for s in map(_stems.__getitem__, re.findall(STEMMED, text)) if s is not None]
+
+
 def stems(text: Column) -> Column:
     """Content stems: stop words out, the first matching suffix off."""
-    plain = F.regexp_replace(F.regexp_replace(T.clean(text), T.COMMENT, ""), r"[*`#>\[\]()]|\\[a-z]+", " ")
-    words = F.filter(T.tokens(F.lower(plain), r"[a-z][a-z'\-]{2,}"), lambda w: ~w.isin(L.STEM_STOP))
+    words = F.filter(T.tokens(plain(text), STEMMED), lambda w: ~w.isin(L.STEM_STOP))
 
     def stem(w: Column) -> Column:
         out = None

@@ -9,6 +9,10 @@ term isn't posted by both can't.  Pairs that meet in a posting are measured exac
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +21,10 @@ from ..sources.staged import staged
 
 #: Half a step of the rounded cosine, and more than floating point can be off.
 HALF, SLACK = 0.005, 1e-9
+#: Parts up to which a document's pairs are all measured in its own row, and terms
+#: of its count table that are multiplied at a time.
+WITHIN = 256
+COLUMNS = 4096
 
 
 def cents(x: Column) -> Column:
@@ -77,3 +85,46 @@ def most_similar(parts: DataFrame, counts: DataFrame, key: str, most: int = 6) -
     rest = candidate_pairs(counts, norms, bounds, key).join(seeds, [key, "a", "b"], "left_anti")
     every = _measured(rest, counts, norms, key).unionByName(seeds)
     return every.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most).select(key, "rank", "a", "b", "cosine")
+
+
+def row_cosines(terms: list[list[str]]) -> np.ndarray:
+    """The cosines of all parts of one document, to two decimals as ``cents`` does;
+    0 for empty parts."""
+    parts, codes = len(terms), {}
+    at = np.fromiter((codes.setdefault(t, len(codes)) for own in terms for t in own), np.int64)
+    of = np.repeat(np.arange(parts), [len(own) for own in terms])
+    words = len(codes)
+    cells, n = np.unique(at * parts + of, return_counts=True)
+    dots = np.zeros((parts, parts))
+    for low in range(0, words, COLUMNS):
+        a, b = np.searchsorted(cells, (low * parts, (low + COLUMNS) * parts))
+        table = np.zeros((min(COLUMNS, words - low), parts))
+        table[cells[a:b] // parts - low, cells[a:b] % parts] = n[a:b]
+        dots += table.T @ table  # whole numbers
+    norms = np.sqrt(np.diag(dots))
+    lengths = np.outer(norms, norms)
+    hundredths = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0) * 100
+    whole = np.floor(hundredths)
+    return (whole + (hundredths - whole >= 0.5)) / 100
+
+
+def most_similar_in_rows(rows: DataFrame, key: str, terms: Callable[[str], list[str]], most: int = 6) -> DataFrame:
+    """As ``most_similar`` for rows of a document each: key, and texts, an array of
+    its parts, from which ``terms`` makes their terms.  A document's pairs are
+    measured where its row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = batch.column(0), []
+            for k, texts in enumerate(batch.column(1)):
+                cosines = row_cosines([terms(t) for t in texts.as_py()])
+                a, b = np.triu_indices(len(cosines), 1)
+                best = np.argsort(-cosines[a, b], kind="stable")[:most]
+                out.append((np.full(len(best), k), np.arange(1, len(best) + 1), a[best], b[best], cosines[a[best], b[best]]))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            if len(columns):
+                ints = [pa.array(c.astype(np.int32)) for c in columns[1:4]]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0])), *ints, pa.array(columns[4])], names=[key, "rank", "a", "b", "cosine"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.where(F.size("texts") > 1).select(key, "texts").mapInArrow(run, f"`{key}` {kind}, rank int, a int, b int, cosine double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql.window import Window
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.folding import fold
-from .similarity import cents, most_similar
-from .vectors import chunks
-from ..functions.lexical import stems
+from ..sources.staged import staged
+from .similarity import WITHIN, cents, most_similar, most_similar_in_rows
+from .vectors import chunks, word_blocks
+from ..functions.lexical import plain, stemmed, stems
 
 LATEX = r"\\[a-zA-Z]+\*?|[{}]"
 NUMBERING = r"^#+\s*\d+(?:\.\d+)*\.?\s*|^#+\s*"
@@ -180,9 +182,28 @@ def section_redundancy(docs: DataFrame, key: str, most: int = 6, over: int = 120
 
 def block_redundancy(docs: DataFrame, key: str, words: int = 150, most: int = 6) -> DataFrame:
     """The most similar pairs of a document's blocks of so many words, for prose
-    without headings; the last block may be shorter."""
-    blocks = chunks(docs, [key], words=words, most=None).select(key, F.col("chunk").alias("part"), "text")
-    return most_similar(blocks.select(key, "part"), _stem_counts(blocks, [key, "part"], "text"), key, most)
+    without headings; the last block may be shorter.
+
+    A document of up to ``WITHIN`` blocks is one row from text to pairs, and nothing
+    of it is dealt out."""
+    docs = docs.where(F.col(key).isNotNull()).select(key, "text")
+    shared = staged(docs.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_shared")), "shared")
+    # rows that share a key have their blocks taken together
+    split = []
+    if not shared.isEmpty():
+        split.append(chunks(docs.join(shared, F.col(key) == F.col("_shared"), "left_semi"), [key], words=words, most=None).select(key, F.col("chunk").alias("part"), "text"))
+        docs = docs.join(shared, F.col(key) == F.col("_shared"), "left_anti")
+    # a word and the space behind it are two characters
+    large = F.coalesce(F.length("text"), F.lit(0)) >= 2 * words * WITHIN
+    rows = staged(word_blocks(docs.where(large), [key], words, None), "rows")
+    few = F.size("blocks") <= WITHIN
+    split.append(rows.where(~few).select(key, F.posexplode("blocks").alias("part", "text")))
+    own = word_blocks(docs.where(~large), [key], words, None).unionByName(rows.where(few))
+    found = most_similar_in_rows(own.select(key, F.transform("blocks", plain).alias("texts")), key, stemmed, most)
+    blocks = reduce(DataFrame.unionByName, split)
+    if blocks.isEmpty():
+        return found
+    return found.unionByName(most_similar(blocks.select(key, "part"), _stem_counts(blocks, [key, "part"], "text"), key, most))
 
 
 def conclusion_restatement(docs: DataFrame, key: str, over: int = 80) -> DataFrame:

@@ -17,11 +17,18 @@ from .selection import medians
 
 def chunks(docs: DataFrame, keys: list[str], words: int = 120, most: int | None = 48) -> DataFrame:
     """The word chunks a document's style vector is averaged over; all if most is None."""
-    w = F.split(F.trim(F.regexp_replace(T.without_parentheses(T.prose(F.col("text"))), r"\s+", " ")), " ")
-    n = F.ceil(F.size(w) / words).cast("int")
+    return word_blocks(docs, keys, words, most).select(*keys, F.posexplode("blocks").alias("chunk", "text"))
+
+
+def word_blocks(docs: DataFrame, keys: list[str], words: int, most: int | None) -> DataFrame:
+    """keys and the array of a document's chunks (blocks).  Its words are an array of
+    its own: within the expression of a chunk they would be made anew for each."""
+    split = F.split(F.trim(F.regexp_replace(T.without_parentheses(T.prose(F.col("text"))), r"\s+", " ")), " ")
+    rows = docs.select(*keys, F.explode(F.array(split)).alias("_w"))
+    n = F.ceil(F.size("_w") / words).cast("int")
     n = n if most is None else F.least(n, F.lit(most))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * words + 1, F.lit(words)), " "))
-    return docs.select(*keys, F.posexplode(F.filter(parts, lambda x: x != "")).alias("chunk", "text"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice("_w", i * words + 1, F.lit(words)), " "))
+    return rows.select(*keys, F.filter(parts, lambda x: x != "").alias("blocks"))
 
 
 def dot(a: Column, b: Column) -> Column:
