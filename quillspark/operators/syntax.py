@@ -9,9 +9,12 @@ head), so numbers depend on the annotator used.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,22 +28,39 @@ NOT_WORDS = ["PUNCT", "SPACE"]
 CHUNK = 1 << 16
 
 
+CLOSED = {
+    "DET": "the a an this that these those", "ADP": "of in on to for with by at from into over under", "PRON": "i you he she it we they who which",
+    "AUX": "is are was were be been has have had do does did will would can could may might must", "CCONJ": "and or but nor", "PART": "not",
+}
+TAGS = {w: pos for pos, words in CLOSED.items() for w in words.split()}
+MEMO_WORDS = 200_000
+
+
+class _Tagged(dict):
+    """A word's lower case and tag."""
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        low = word.lower()
+        pos = TAGS.get(low) or (
+            "PUNCT" if not word[0].isalnum() else "NUM" if word[0].isdigit() else "ADV" if low.endswith("ly") else "ADJ" if re.search(r"(?:ous|ful|ive|able|ible|al|ic)$", low)
+            else "VERB" if re.search(r"(?:ed|ing|ize|ise)$", low) else "NOUN"
+        )
+        value = self[word] = low, pos
+        return value
+
+
+_tagged = _Tagged()
+
+
 def simple_annotator(text: str) -> list[tuple]:
     """(sent_id, i, text, lemma, pos, dep, head_i) by suffix and closed lists."""
-    closed = {
-        "DET": "the a an this that these those", "ADP": "of in on to for with by at from into over under", "PRON": "i you he she it we they who which",
-        "AUX": "is are was were be been has have had do does did will would can could may might must", "CCONJ": "and or but nor", "PART": "not",
-    }
-    tag = {w: pos for pos, words in closed.items() for w in words.split()}
     rows, i = [], 0
     for sent, sentence in enumerate(re.split(r"(?<=[.!?])\s+", text)):
         first = i
         for word in re.findall(r"[^\W_]+(?:'[^\W_]+)?|[^\w\s]", sentence):
-            low = word.lower()
-            pos = tag.get(low) or (
-                "PUNCT" if not word[0].isalnum() else "NUM" if word[0].isdigit() else "ADV" if low.endswith("ly") else "ADJ" if re.search(r"(?:ous|ful|ive|able|ible|al|ic)$", low)
-                else "VERB" if re.search(r"(?:ed|ing|ize|ise)$", low) else "NOUN"
-            )
+            low, pos = _tagged[word]
             rows.append((sent, i, word, low, pos, "root" if i == first else "dep", first if i == first else i - 1))
             i += 1
     return rows
@@ -200,6 +220,73 @@ def rates(tokens: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(MEMO_WORDS)
+def _nominal(text: str) -> bool:
+    return re.search(L.NOUN_SUFFIX, text.lower()) is not None
+
+
+SUBJECTS = {"nsubj", "nsubjpass", "csubj"}
+
+
+def _narrates(root: tuple, kids: list[tuple]) -> bool:
+    """Whether ``meta_sentences`` counts a root beside its sentence's kids."""
+    subjects = [k for k in kids if k[5] in SUBJECTS]
+    first = any((k[2] or "").lower() in ("we", "i") for k in subjects)
+    told = first or any((k[3] or "").lower() in L.DISCOURSE_NOUNS for k in subjects)
+    said = any(k[5] in ("acomp", "attr") and ((k[3] or "").lower() in L.STATUS_ADJECTIVES or (k[3] or "").lower() in L.PREDICATE_NOUNS) for k in kids)
+    lemma = (root[3] or "").lower()
+    return (lemma == "be" and said) or (told and lemma in L.STANCE_VERBS) or (first and lemma in L.CLAIM_VERBS and any(k[5] == "neg" for k in kids))
+
+
+def card_counts(tokens: list[tuple]) -> tuple[int, ...]:
+    """A document's tokens, words, nouns, pronouns and nominalisations, the roots of
+    its sentences of more than three tokens (one at least), and those that narrate."""
+    tags = Counter(t[4] for t in tokens)
+    nominal = sum(t[4] == "NOUN" and t[2] is not None and _nominal(t[2]) for t in tokens)
+    sizes, roots = Counter(t[0] for t in tokens), Counter(t[0] for t in tokens if t[6] == t[1])
+    long = [s for s, k in sizes.items() if k > 3]
+    meta = 0
+    if not SUBJECTS.union(("acomp", "attr")).isdisjoint(t[5] for t in tokens):
+        kept, by = set(long), defaultdict(list)
+        for t in tokens:
+            if t[0] in kept:
+                by[t[0]].append(t)
+        for own in by.values():
+            heads = [t for t in own if t[6] == t[1]]
+            at = {t[1] for t in heads}
+            kids = [t for t in own if t[6] != t[1] and t[6] in at]
+            meta += sum(_narrates(r, kids) for r in heads)
+    words = len(tokens) - sum(tags[p] for p in (*NOT_WORDS, None))
+    return len(tokens), words, tags["NOUN"], tags["PRON"], nominal, sum(max(roots[s], 1) for s in long), meta
+
+
+CARD = ["nominal_rate", "noun_rate", "pron_rate", "metanarr_synt"]
+
+
+def card_rates(docs: DataFrame, keys: list[str], annotator: Callable[[str], list[tuple]] = simple_annotator, most: int | None = None) -> DataFrame:
+    """keys and the ``CARD`` part of the ``rates`` of rows that share their id
+    with no other; rows without tokens are left out.  Tokens are counted where they
+    are made, and none is dealt out."""
+    p = T.without_parentheses(T.prose(F.col("text")))
+    names = ["tokens", "total", "nouns", "prons", "nominals", "ns", "meta"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [card_counts(annotator(text.as_py())) if text.is_valid else (0,) * len(names) for text in batch.column(len(keys))]
+            made = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, *names])
+
+    rows = docs.select(*keys, (p if most is None else F.substring(p, 1, most)).alias("_p"))
+    types = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    counted = rows.mapInArrow(run, ", ".join([*types, *(f"{c} long" for c in names)])).where("tokens > 0")
+
+    def share(c: str) -> Column:
+        return F.round(F.lit(1000.0) * F.col(c) / F.greatest("total", F.lit(1)), 4)
+
+    meta = F.round(F.lit(100.0) * F.col("meta") / F.greatest("ns", F.lit(1)), 4)
+    return counted.select(*keys, share("nominals").alias("nominal_rate"), share("nouns").alias("noun_rate"), share("prons").alias("pron_rate"), meta.alias("metanarr_synt"))
+
+
 def syntax_flags(features: DataFrame, group: str, keys: list[str]) -> DataFrame:
     """HIGH over the group's 85th percentile, LOW under its 15th, rounding the
     rank down."""

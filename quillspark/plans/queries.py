@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions.folding import fold
 from ..operators import bands, contrast, distance, panel, structure, syntax, vectors
 from ..sources import replies
+from ..sources.staged import staged
 from . import fixtures, reports
 
 QUERIES: dict = {}
@@ -532,7 +533,15 @@ def register_differential(spark, d):
 def register_card_documents(spark, d):
     """The card of every source, with the stand-in annotator's syntax rates."""
     docs = corpus(spark, d)
-    rates = syntax.rates(syntax.annotate(docs, most=None)).join(docs.select("doc_id", "grp"), "doc_id")
+    repeated = staged(documents(spark, d).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    named = docs.where("doc_id is not null")
+    if repeated.isEmpty():
+        rates = syntax.card_rates(named, ["grp"])
+    else:
+        many = docs.join(repeated, "doc_id", "left_semi")
+        rates = syntax.card_rates(named.join(repeated, "doc_id", "left_anti"), ["grp"])
+        shared = syntax.rates(syntax.annotate(many, most=None)).join(many.select("doc_id", "grp"), "doc_id")
+        rates = rates.unionByName(shared.select(*rates.columns))
     return bands.register_card(shape.features(docs, ["grp", *KEYS]), rates, structure.heading_features(docs, ["grp", *KEYS]), "grp")
 
 
